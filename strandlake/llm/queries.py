@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, language, lines, quality, simhash, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs).select("doc_id", "language", "confidence", "n_trigrams", "kept")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -24,9 +44,67 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+g AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS gram FROM p),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM t, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+b AS (
+  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(lines)::BIGINT AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+m AS (
+  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+    word_chars / nullif(n_words, 0) AS m1, n_symbols / nullif(n_words, 0) AS m2, n_dup_lines / nullif(n_lines, 0) AS m3
+  FROM b),
+q AS (
+  SELECT lang, source, count(*) AS n, quantile_disc(m1, [0.25, 0.75]) AS q1, quantile_disc(m2, [0.25, 0.75]) AS q2, quantile_disc(m3, [0.25, 0.75]) AS q3
+  FROM m WHERE NOT base_failed GROUP BY lang, source HAVING count(*) >= 30),
+l AS (
+  SELECT lang, quantile_disc(m1, [0.25, 0.75]) AS q1, quantile_disc(m2, [0.25, 0.75]) AS q2, quantile_disc(m3, [0.25, 0.75]) AS q3
+  FROM m WHERE NOT base_failed GROUP BY lang),
+f AS (
+  SELECT m.*, coalesce(q.q1, l.q1) AS q1, coalesce(q.q2, l.q2) AS q2, coalesce(q.q3, l.q3) AS q3
+  FROM m LEFT JOIN q ON q.lang = m.lang AND q.source = m.source LEFT JOIN l ON l.lang = m.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+  AND m1 BETWEEN q1[1] - greatest((q1[2] - q1[1]) * 3.0, 2.5) AND q1[2] + greatest((q1[2] - q1[1]) * 3.0, 2.5)
+  AND m2 BETWEEN q2[1] - greatest((q2[2] - q2[1]) * 3.0, 0.1) AND q2[2] + greatest((q2[2] - q2[1]) * 3.0, 0.1)
+  AND m3 BETWEEN q3[1] - greatest((q3[2] - q3[1]) * 3.0, 0.5) AND q3[2] + greatest((q3[2] - q3[1]) * 3.0, 0.5) AS kept
+FROM f
+"""
+
+OP8_SQL = r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM s),
+n AS (SELECT doc_id, i, trim(regexp_replace(line, '[\x09-\x0D]', ' ', 'g')) AS line FROM e),
+o AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM n WHERE line <> ''),
+r AS (
+  SELECT a.doc_id, a.pos, [a.i, b.i, c.i] AS places, [a.line, b.line, c.line] AS body
+  FROM o a JOIN o b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN o c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
+k AS (SELECT doc_id, places, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM r),
+d AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM k WHERE nth > 1),
+x AS (
+  SELECT e.doc_id, count(*)::BIGINT AS n_lines, count(d.i)::BIGINT AS n_removed,
+    coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE d.i IS NULL), '') AS kept
+  FROM e LEFT JOIN d ON d.doc_id = e.doc_id AND d.i = e.i GROUP BY e.doc_id)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN x ON x.doc_id = s.doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_byte_bpe)}
+    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3_SQL, "op8_line_dedup": OP8_SQL}
