@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, quality, simhash, urls
+from . import bpe, decontaminate, language, lines, quality, simhash, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
@@ -103,7 +108,7 @@ FROM s LEFT JOIN x ON x.doc_id = s.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
