@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, lines, quality, simhash, urls
+from . import bpe, decontaminate, fmindex, language, lines, quality, simhash, suffixarray, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,6 +40,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "language", "confidence", "n_trigrams", "kept")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fmindex.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixarray.dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -108,7 +118,7 @@ FROM s LEFT JOIN x ON x.doc_id = s.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
