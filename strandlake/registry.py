@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import q_intervals, q_variants
+
+MODULES = (q_variants, q_intervals)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.Q.items() if sql}
