@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_intervals, q_variants
+from .plans import q_graph, q_intervals, q_pairs, q_stats, q_variants
 
-MODULES = (q_variants, q_intervals)
+MODULES = (q_variants, q_intervals, q_pairs, q_graph, q_stats)
 
 
 def queries() -> dict:
