@@ -122,8 +122,9 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str = "lang"
     A null or empty text has no text evidence and is not kept. A null declared language,
     host or suffix adds no evidence of its own (hosts and suffixes that are null share one
     group). Rows count as often as they occur. With no declared language at all nothing is
-    kept.
+    kept. Columns of the names made here are replaced, others stay.
     """
+    docs = docs.drop("language", "confidence", "n_trigrams", "kept", "_e", "_host", "_suffix", "_prior", "_scores", "_top", "_n", "_which")
     langs = classes(docs, declared_col)
     if not langs:
         return docs.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "n_trigrams": F.lit(0).cast("long"), "kept": F.lit(False)})

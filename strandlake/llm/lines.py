@@ -62,9 +62,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A run is three or more consecutive lines with a word (blank lines between don't count
     and stay), equal but for white space at their ends. n_lines counts all \\n-split lines. A
     null text stays null with zeros; an empty text is one blank line. Equal rows are one
-    document: none is later than the other, and both are edited alike.
+    document: none is later than the other, and both are edited alike. Columns of the names
+    made here are replaced, others stay. No rows give no rows.
     """
     text = F.col(text_col)
+    docs = docs.drop("n_lines", "n_removed", "_key", "_places", "_lines")
     gone = repeated_lines(docs, id_col, text_col)
     d = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone.withColumnRenamed("places", "_places"), "_key", "left")
     d = d.withColumn("_lines", F.split(text, "\n"))

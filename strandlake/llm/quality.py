@@ -36,7 +36,8 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spaces, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
     bare = F.translate(text, spaces, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, spaces, "") != "")
-    others = [c for c in docs.columns if c != text_col]
+    made = ("_words", "_lines", "_grams", "_runs", "_at", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    others = [c for c in docs.columns if c not in (text_col, *made)]
     d = docs.select(
         *others,
         F.array_remove(F.split(F.translate(text, spaces, " " * 6), " +"), "").alias("_words"),
@@ -92,8 +93,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.
     kept: not base_failed and within its group's fences. Null languages and sources count as
     empty ones. Fences come from the texts that pass the base rules; every row, repeated or
-    not, counts once. No rows give no rows.
+    not, counts once. No rows give no rows. Columns of the names made here are replaced.
     """
+    docs = docs.drop("base_failed", "kept", "_lang", "_source", *[f"_{m}" for m in METRICS])
     base = counts(docs, text_col).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     base = cut(base)
     keyed = base.withColumns({"_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))} | {f"_{m}": e for m, e in METRICS.items()})

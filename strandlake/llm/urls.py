@@ -86,9 +86,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, url_col: str = "url", page_
     labels name pages by id; a page is bad if it is labelled of no quality or toxic (null
     counts as not). Pages without a fitting listed rule are blocked if a mined rule fits. A
     null url, or one without ://, has empty host and path and no tokens but those of its query,
-    and fits no listed rule. Repeated rows count, and are judged alike.
+    and fits no listed rule. Repeated rows count, and are judged alike. Columns of the names
+    made here are replaced.
     """
     url = F.col(url_col)
+    pages = pages.drop("host", "path", "rule", "verdict", "_hit", "_verdict")
     d = pages.select(F.col(page_id_col).alias("_id"), url.alias("url")).filter("url is not null").withColumn("tokens", tokens(F.col("url")))
     bad = labels.select(F.col(label_id_col).alias("_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     found = mine(d.join(bad, "_id").select("tokens", "bad"), min_support, min_confidence)
@@ -97,5 +99,4 @@ def filter_urls(pages: DataFrame, labels: DataFrame, url_col: str = "url", page_
     out = pages.withColumns({"host": host, "path": path})
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"rule": rule, "_verdict": verdict}).join(hit, url_col, "left")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*kept, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("_hit"), "block").otherwise("allow")).alias("verdict"))
+    return out.select(*pages.columns, "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("_hit"), "block").otherwise("allow")).alias("verdict"))
