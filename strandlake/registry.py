@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_graph, q_intervals, q_pairs, q_stats, q_variants
+from .plans import q_graph, q_intervals, q_pairs, q_stats, q_streams, q_variants
 
-MODULES = (q_variants, q_intervals, q_pairs, q_graph, q_stats)
+MODULES = (q_variants, q_intervals, q_pairs, q_graph, q_stats, q_streams)
 
 
 def queries() -> dict:
