@@ -64,11 +64,13 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.select(*others, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeat.alias("n_repeat_words"))
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+#: Ratios of two counts.
+METRICS = {"word_length": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines")}
 
 
-METRICS = {"word_length": _ratio("word_chars", "n_words"), "symbol_ratio": _ratio("n_symbols", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines")}
+def _ratio(metric: str) -> Column:
+    a, b = METRICS[metric]
+    return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
 
 
 def fences(judged: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +100,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     docs = docs.drop("base_failed", "kept", "_lang", "_source", *[f"_{m}" for m in METRICS])
     base = counts(docs, text_col).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     base = cut(base)
-    keyed = base.withColumns({"_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))} | {f"_{m}": e for m, e in METRICS.items()})
+    keyed = base.withColumns({"_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))} | {f"_{m}": _ratio(m) for m in METRICS})
     fit = keyed.filter(~F.col("base_failed")).select("_lang", "_source", *[F.coalesce(f"_{m}", F.lit(0.0)).alias(m) for m in METRICS])
     own, whole = fences(fit, ["_lang", "_source"])
     own = own.filter(F.col("n") >= LEAST_GROUP)
