@@ -105,7 +105,7 @@ def texts(d: DataFrame, wanted: DataFrame, kind: Kind, shards: int) -> DataFrame
                     out.append(data[starts[a] : ends[b - 1]] if kind.words else data[a:b])
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("count"), flat.field("n"), pa.array(out, pa.binary())], ["anchor", "body", "count", "n", "segment"])
 
-    found = d.join(asked, "_key").mapInArrow(run, "anchor long, body long, count long, n int, segment binary")
+    found = d.join(asked.hint("shuffle_hash"), "_key").mapInArrow(run, "anchor long, body long, count long, n int, segment binary")
     return found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
 
 
@@ -157,8 +157,8 @@ def counted(d: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                     same = [pa.array(np.full(n[k], flat.field(c)[k].as_py(), np.int64)) for c in ("anchor", "body", "count")]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n[k], dtype=np.int32)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["anchor", "body", "count", "at", "w1", "w2"])
 
-    windows = d.join(asked, "_key").mapInArrow(run, "anchor long, body long, count long, at int, w1 long, w2 long")
-    windows = cut(windows)
+    windows = d.join(asked.hint("shuffle_hash"), "_key").mapInArrow(run, "anchor long, body long, count long, at int, w1 long, w2 long")
+    # Not written out: both uses read the same exchange of the documents, which costs less disk.
     twice = windows.groupBy("w1", "w2").agg(F.sum("count").alias("total")).filter("total > 1").select("w1", "w2")
     hit = windows.join(twice, ["w1", "w2"])
     return hit.groupBy("anchor", "body").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + kind.length).alias("b"))).alias("spans"))
@@ -167,7 +167,7 @@ def counted(d: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
 def repeated(d: DataFrame, kind: Kind) -> DataFrame:
     """_key and spans (from, until; in symbols of the document; may overlap) of repeated windows."""
     found = segments(d, kind)
-    shared = found.groupBy("anchor").count().filter("count > 1").select("anchor")
+    shared = cut(found.groupBy("anchor").count().filter("count > 1").select("anchor"))
     near = cut(found.join(shared, "anchor"))
     once = cut(near.groupBy("anchor", "body").agg(F.count("*").alias("count"), F.min("key").alias("key"), F.min_by("lo", "key").alias("lo"), F.max("n").alias("n")))
     total = once.agg(F.sum(F.col("n") + kind.length)).first()[0] or 0
@@ -216,6 +216,6 @@ def removed(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> DataFram
                     kept.append(chosen[:-1].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(x, pa.int64()) for x in (sizes, gone, runs)], pa.array(kept, pa.binary())], [id_col, "size", "n_removed", "n_spans", "kept"])
 
-    whole = d.join(found, "_key", "left")
+    whole = d.join(found.hint("shuffle_hash"), "_key", "left")
     type_name = docs.schema[id_col].dataType.simpleString()
     return whole.mapInArrow(run, f"`{id_col}` {type_name}, size long, n_removed long, n_spans long, kept binary")
