@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 #: Lines in a gram, grams in a window: runs of at least GRAM + WINDOW - 1 lines are found.
 GRAM, WINDOW = 2, 2
 RUN = GRAM + WINDOW - 1
@@ -48,6 +50,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.array(*[F.get(lines, i + k)["i"] for k in range(RUN)]).alias("places"),
     )
     runs = d.select("_id", "_key", F.explode(F.transform(F.sequence(F.lit(0), F.size(lines) - RUN), run)).alias("r")).select("_id", "_key", "r.*")
+    runs = cut(runs)  # hashes and places only: the texts are read once for them
     shared = runs.filter("fresh").groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     near = runs.join(shared, "fp")
     place = F.struct("_id", "_key", "at")
@@ -68,7 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col)
     docs = docs.drop("n_lines", "n_removed", "_key", "_places", "_lines")
     gone = repeated_lines(docs, id_col, text_col)
-    d = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone.withColumnRenamed("places", "_places"), "_key", "left")
+    d = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone.withColumnRenamed("places", "_places").hint("shuffle_hash"), "_key", "left")
     d = d.withColumn("_lines", F.split(text, "\n"))
     lines = F.col("_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
