@@ -4,7 +4,8 @@ A document leaks an item if some stretch of its words is within the item's edit
 fifth of its words, inserted, deleted or replaced. Words are lower-cased (A-Z) and cut at
 white space and ASCII punctuation.
 
-Item-sized windows of the documents and the items go through CGK's random walk, which turns
+Item-sized windows of the documents, from every few words, and of the items, from each of
+their first words, go through CGK's random walk, which turns
 edits into few Hamming differences: a walk with its own random bits reads the word it stands
 on at each step and moves on by a bit that depends on step and word. Sampled coordinates of
 the walk are a key of locality-sensitive hashing; walks are repeated until the target recall
@@ -39,6 +40,8 @@ MAX_BITS = 24
 SAMPLE, AGREE, RECALL = 3, 0.6, 0.99
 WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLE))
 GROWTH = 1.1
+#: Windows of documents start this share of an item apart; items have windows from all starts in between.
+STRIDE = 0.25
 
 FOLD = tk.LOWER.copy()
 for _b in range(128):
@@ -51,6 +54,10 @@ def size_class(m: int) -> int:
     return int(math.log(m) / math.log(GROWTH) + 1e-9)
 
 
+def stride(cls: int) -> int:
+    return max(1, int(STRIDE * GROWTH**cls))
+
+
 def edits(m: int, radius: float = RADIUS) -> int:
     return int(radius * m + 1e-9)
 
@@ -60,7 +67,7 @@ class Walk:
 
     def __init__(self, cls: int, rep: int):
         rng = np.random.default_rng([cls, rep, 2016])
-        reach = max(SAMPLE, int(1.5 * GROWTH**cls))  # the walk then stands before the end of the least item
+        reach = max(SAMPLE, int(1.5 * (GROWTH**cls - stride(cls))))  # the walk then stands before the end of the least item
         self.at = set(rng.choice(reach, SAMPLE, replace=False).tolist())
         self.odd = rng.integers(0, 1 << 62, max(self.at) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.seed = np.uint64(cls * 1000 + rep + 1)
@@ -129,10 +136,11 @@ def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 c = size_class(len(w))
                 if c not in walks:
                     walks |= walks_of([c])
-                zero, end = np.zeros(1, np.int64), np.array([len(w)])
+                from_ = np.arange(min(len(w), stride(c) + edits(len(w))))
+                end = np.full(len(from_), len(w))
                 out["cls"].append(c)
                 out["words"].append(w.view(np.int64))
-                out["keys"].append(np.concatenate([walk.keys(w, zero, end) for walk in walks[c]]).view(np.int64))
+                out["keys"].append(np.unique(np.concatenate([walk.keys(w, from_, end) for walk in walks[c]])).view(np.int64))
                 out["pairs"].append(pairs(w).view(np.int64))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out["cls"], pa.int32()), *[pa.array(out[k], lists) for k in ("words", "keys", "pairs")]], ["item", "cls", "words", "keys", "pairs"])
@@ -172,10 +180,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         bits = known.value
         shift = np.uint64(64 - (len(bits).bit_length() - 1))
         walks = walks_of([c for c, *_ in plan])
-        lists = pa.list_(pa.int64())
         for batch in batches:
             buf, offsets = tk.flat(batch.column(1))
-            which, lows, stretches, keyed = [], [], [], []
+            # Regions that may hold an item, of all slices of the batch, one behind the other.
+            picked, rows, lows, starts, size = [], [], [], {c: [] for c, *_ in plan}, 0
             for i, j in tk.slices(offsets):
                 words, bounds = text_words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if len(words) < 2:
@@ -184,45 +192,57 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 hit[:-1] = bits[pairs(words) >> shift]
                 inner = bounds[1:-1]
                 hit[inner[inner > 0] - 1] = 0  # pairs across rows
-                sums = np.concatenate([[0], np.cumsum(hit)])
+                sums = np.zeros(len(words) + 1, np.int32)
+                np.cumsum(hit, out=sums[1:])
                 if sums[-1] == 0:
                     continue
-                last = np.repeat(bounds[1:], np.diff(bounds))
-                place = np.arange(len(words))
-                found, los, his, keys = [], [], [], []
+                last = np.repeat(bounds[1:].astype(np.int32), np.diff(bounds))
+                place = np.arange(len(words), dtype=np.int32)
                 row_first = np.repeat(bounds[:-1], np.diff(bounds))
+                found, los, his = {}, [], []
                 for c, length, least, slack in plan:
-                    end = np.minimum(place + length, last)
-                    s = np.flatnonzero(sums[end] - sums[:-1] >= least)
+                    s = np.flatnonzero(sums[np.minimum(place + length, last)] - sums[:-1] >= least)
                     if not len(s):
                         continue
-                    found.append(s)
                     los.append(np.maximum(s - slack, row_first[s]))
                     his.append(np.minimum(s + length + slack, last[s]))
-                    keys.append(np.stack([w.keys(words, s, last[s]) for w in walks[c]], axis=1))
-                if not found:
+                    k = stride(c)  # the next start of the grid after each window that may hold an item
+                    grid = row_first[s] + -(-(s - row_first[s]) // k) * k
+                    found[c] = np.unique(grid[grid < last[s]])
+                if not los:
                     continue
-                lo, hi = np.concatenate(los), np.concatenate(his)
-                inside = tk.covered(lo, hi, len(words))
+                inside = tk.covered(np.concatenate(los), np.concatenate(his), len(words))
                 edge = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1] & (row_first[1:] == row_first[:-1])]))
-                stop = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (row_first[1:] == row_first[:-1]), [False]])) + 1
-                region = np.searchsorted(edge, np.concatenate(found), "right") - 1
-                flat_region = np.repeat(region, WALKS)
-                flat_keys = np.concatenate([k.ravel() for k in keys])
-                order = np.lexsort((flat_keys, flat_region))
-                flat_region, flat_keys = flat_region[order], flat_keys[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (flat_region[1:] != flat_region[:-1]) | (flat_keys[1:] != flat_keys[:-1])
-                flat_region, flat_keys = flat_region[new], flat_keys[new].view(np.int64)
-                cuts = np.searchsorted(flat_region, np.arange(len(edge) + 1))
+                new_place = size + np.cumsum(inside) - 1
+                for c, s in found.items():
+                    starts[c].append(new_place[s])
                 row = np.searchsorted(bounds, edge, "right") - 1
-                for k in range(len(edge)):
-                    which.append(i + int(row[k]))
-                    lows.append(int(edge[k] - bounds[row[k]]))
-                    stretches.append(words[edge[k] : stop[k]].view(np.int64))
-                    keyed.append(flat_keys[cuts[k] : cuts[k + 1]])
-            if which:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(lows, pa.int64()), pa.array(stretches, lists), pa.array(keyed, lists)], ["id", "lo", "words", "keys"])
+                rows.append(np.column_stack([i + row, new_place[edge]]))
+                lows.append(edge - bounds[row])
+                picked.append(words[inside])
+                size += len(picked[-1])
+            if not size:
+                continue
+            words, rows = np.concatenate(picked), np.concatenate(rows)
+            first = np.append(rows[:, 1], size)
+            region, keys = [], []
+            for c, parts in starts.items():
+                if parts:
+                    s = np.concatenate(parts)
+                    of = np.searchsorted(first, s, "right") - 1
+                    keys.append(np.stack([w.keys(words, s, first[of + 1]) for w in walks[c]], axis=1).ravel())
+                    region.append(np.repeat(of, WALKS))
+            keys, region = np.concatenate(keys), np.concatenate(region)
+            order = np.lexsort((keys, region))
+            keys, region = keys[order], region[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (region[1:] != region[:-1]) | (keys[1:] != keys[:-1])
+            keys, region = keys[new].view(np.int64), region[new]
+            cuts = np.searchsorted(region, np.arange(len(first))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows[:, 0])), pa.array(np.concatenate(lows)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int64))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))],
+                ["id", "lo", "words", "keys"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = items.schema[item_id_col].dataType.simpleString()

@@ -90,8 +90,8 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; a longer row stands alone."""
+def slices(offsets: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes, so that arrays over them stay in cache; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
