@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import complement
+
 SITE = ["chrom", "pos"]
 
 
@@ -154,8 +156,7 @@ def reference_audit(sites: DataFrame, reference: DataFrame, chunk: int) -> DataF
 def allele_correspondence(a1: str, a2: str, b1: str, b2: str) -> Column:
     """direct, complement, palindromic_ambiguous or mismatch, of two unordered allele pairs."""
     pair = lambda x, y: F.array_sort(F.array(x, y))
-    flip = lambda c: F.translate(c, "ACGT", "TGCA")
-    p, q, c = pair(F.col(a1), F.col(a2)), pair(F.col(b1), F.col(b2)), pair(flip(F.col(b1)), flip(F.col(b2)))
+    p, q, c = pair(F.col(a1), F.col(a2)), pair(F.col(b1), F.col(b2)), pair(complement(F.col(b1)), complement(F.col(b2)))
     return F.when((p == q) & (q == c), "palindromic_ambiguous").when(p == q, "direct").when(p == c, "complement").otherwise("mismatch")
 
 

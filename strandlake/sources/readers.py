@@ -9,19 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y", "MT"]
-
-
-def plain_chrom(c: Column) -> Column:
-    """Chromosome names without a chr prefix; M is MT."""
-    bare = F.regexp_replace(c, "^[cC][hH][rR]", "")
-    return F.when(F.upper(bare) == "M", "MT").otherwise(F.upper(bare))
-
-
-def chrom_rank(c: Column) -> Column:
-    """Natural order 1 to 22, X, Y, MT; others last."""
-    p = F.array_position(F.array(*map(F.lit, CHROMOSOMES)), c)
-    return F.when(p > 0, p).otherwise(len(CHROMOSOMES) + 1)
+from ..functions.scalars import CHROMOSOMES, plain_chrom
 
 
 def _fields(spark: SparkSession, path: str, pattern: str = r"\s+") -> DataFrame:
