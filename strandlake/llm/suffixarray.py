@@ -32,14 +32,23 @@ def _dense(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
 def _ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Equal ranks for suffixes equal in their first `depth` symbols (or more), else in order."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+    bits = max(1, int(symbols.max(initial=1)).bit_length())
+    width = max(1, 62 // bits)  # so many symbols fit into the first key
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: n - k] |= symbols[k:] if k < n else 0
+    order = np.argsort(key)
+    sorted_key = key[order]
+    new = np.ones(n, np.int64)
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    rank = _dense(order, new)
     while width < depth:
         after = np.zeros(n, np.int64)
         if width < n:
             after[: n - width] = rank[width:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.ones(n, np.int64)
         new[1:] = key[1:] != key[:-1]
@@ -85,7 +94,7 @@ def window_order(text: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> n
     rank = _ranks(dictionary, 1 << int(sizes.max()).bit_length())
     # ranks past a terminator tell phrases apart by what stands next in the dictionary: make equal rests equal
     rest = np.repeat(first[1:] - 1, sizes + 1) - np.arange(first[-1])  # bytes to the terminator
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     body = tk.Rolling(dictionary.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     ident = body.of(order, order + rest[order])
     differs = np.ones(len(order), np.int64)
@@ -98,7 +107,7 @@ def window_order(text: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> n
     rest_rank = rank[first[phrase[where]] + windows - starts[where]]
     behind = np.append(code_rank, 0)[where + 1]
     behind = np.where(last[where], 0, behind)
-    return np.argsort(rest_rank * (int(behind.max(initial=0)) + 2) + behind, kind="stable")
+    return np.argsort(rest_rank * (int(behind.max(initial=0)) + 2) + behind)
 
 
 def agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
