@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decontaminate, language, lines, simhash
+from strandlake.llm import bpe, decontaminate, jaccard, language, lines
 from strandlake.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of least id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each component of near copies (J >= 4/5 on five-word shingles, exact), the document of least id stays."""
+    found = jaccard.near_duplicates(docs)
     gone = found.filter("doc_id > component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -1,0 +1,148 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, at 4/5 or more.
+
+A text is lower-cased (A-Z), split into words at ASCII white space and cut into shingles of
+five words (one of all words, if it has fewer), each hashed to 64 bits. A pair at J >= 4/5
+of its shingle sets has a shingle in common among the first n - ceil(4n/5) + 1 of each set,
+in any order that all sets share: so only these meet, and no pair is missed. Fingerprints
+can't do it: at J = 4/5 they should differ in about 10 of 64 bits, at times in many more, and
+no block tables of a bearable number are exact for that.
+
+The order puts shingles that a sample of the texts has often last, which changes the work
+and not the result. Each bucket first links its members to its least one; only pairs that
+this leaves apart and whose places in the sets allow 4/5 are compared then.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.graph import component_roots
+from ..plans.lineage import cut
+from .simhash import text_shingles
+
+#: One text in so many is counted for the order; shingles counted so often go last, of them the most frequent.
+SAMPLE, OFTEN, HELD = 16, 3, 100_000
+
+
+def shingle_sets(column: pa.Array, shingle: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of rows: (first row, end, distinct shingle hashes in order one row after the other, their number by row); null and empty texts have none."""
+    for i, j, hashes, counts in text_shingles(column, shingle):
+        row, h = np.repeat(np.arange(j - i), counts), hashes.view(np.int64)
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        yield i, j, h[new], np.bincount(row[new], minlength=j - i)
+
+
+def set_keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs: id, row, text. (id, row, key, s): a hash that equal sets share, and of one text in SAMPLE the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, np.uint64)
+            sizes, values = np.zeros(batch.num_rows, np.int64), [np.zeros(0, np.int64)]
+            for i, j, h, counts in shingle_sets(batch.column(2), shingle):
+                ends = np.cumsum(counts)
+                for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist()), i):
+                    if a < b:
+                        keys[k] = xxhash.xxh64_intdigest(h[a:b].tobytes())
+                taken = (keys[i:j] % np.uint64(SAMPLE) == 0) & (counts > 0)
+                sizes[i:j] = np.where(taken, counts, 0)
+                values.append(h[np.repeat(taken, counts)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(values)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), lists], ["id", "row", "key", "s"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, key long, s array<long>")
+
+
+def prefixes(docs: DataFrame, often: list[int], shingle: int) -> DataFrame:
+    """docs: text. (h, key, n, at): the first shingles of each text's set of n in the common order, with their places.
+
+    often: the shingles that go last, in order.
+    """
+    order = np.argsort(np.array(often, np.int64))
+    held, rank = np.array(often, np.int64)[order], order + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h, sizes in shingle_sets(batch.column(0), shingle):
+                ends = np.cumsum(sizes)
+                key = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())], np.uint64).view(np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                last = np.zeros(len(h), np.int64)
+                if len(held):
+                    k = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                    last = np.where(held[k] == h, rank[k], 0)
+                h = h[np.argsort(row * (len(held) + 1) + last, kind="stable")]
+                at = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
+                n = sizes[row]
+                keep = at < n - (4 * n + 4) // 5 + 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(key[row[keep]]), pa.array(n[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32))], ["h", "key", "n", "at"])
+
+    return docs.mapInArrow(run, "h long, key long, n int, at int")
+
+
+def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs: key, text. (key, s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, sizes in shingle_sets(batch.column(1), shingle):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["key", "s"])
+
+    return docs.mapInArrow(run, "key long, s array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of keys those at J >= 4/5; sets: key, s, each key once."""
+    left, right = (sets.select(F.col("key").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b")
+
+
+def can_be(n1, at1, n2, at2):
+    """Whether sets whose first common shingle stands at these places can reach J = 4/5."""
+    return 9 * F.least(n1 - at1, n2 - at2) >= 4 * (n1 + n2)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """Every row's id_col and component_id: the least id that links at J >= 4/5 lead to.
+
+    Null and empty texts are copies of each other. Ids need not be distinct; a null id is
+    kept and never names a component unless all its ids are null.
+    """
+    named_rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    sets = cut(set_keys(named_rows, shingle))
+    often = sets.select(F.explode("s").alias("h")).groupBy("h").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(HELD).collect()
+    # (h, key, n, at) cross the network once: a shingle of one set only is dropped where they meet
+    first = prefixes(named_rows.select("text"), [r.h for r in reversed(often)], shingle)
+    every = Window.partitionBy("h")
+    near = first.withColumns({"least": F.min("key").over(every), "most": F.max("key").over(every)}).filter("least < most").select("h", "key", "n", "at")
+    near = cut(near.distinct())
+    stars = near.groupBy("h").agg(F.min(F.struct("key", "n", "at")).alias("l"))
+    col = F.col
+    star = near.join(stars, "h").filter((col("key") > col("l.key")) & can_be(col("n"), col("at"), col("l.n"), col("l.at"))).select(col("l.key").alias("a"), col("key").alias("b")).distinct()
+    one = sets.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    once = cut(with_sets(named_rows.join(one, "row").dropDuplicates(["row"]).select("key", "text"), shingle))
+    links = cut(similar(star, once))
+    roots = component_roots(links)
+    apart = near.join(roots.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    mixed = apart.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("h")
+    apart = cut(apart.join(mixed, "h", "left_semi"))
+    x, y = apart.alias("x"), apart.alias("y")
+    fits = can_be(col("x.n"), col("x.at"), col("y.n"), col("y.at"))
+    rest = x.join(y, (col("x.h") == col("y.h")) & (col("x.key") < col("y.key")) & (col("x.root") != col("y.root")) & fits).select(col("x.key").alias("a"), col("y.key").alias("b")).distinct()
+    links = links.unionByName(cut(similar(rest.join(star, ["a", "b"], "left_anti"), once)))
+    nodes = sets.groupBy("key").agg(F.min("id").alias("least"))
+    roots = component_roots(links).withColumnRenamed("node", "key")
+    of_key = nodes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = of_key.join(of_key.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return sets.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "component_id")

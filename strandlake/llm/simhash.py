@@ -57,9 +57,9 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
+def text_shingles(column: pa.Array, shingle: int = 3) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of rows: (first row, end, shingle hashes one row after the other, their number by row)."""
     buf, offsets = tk.flat(column)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     digest = xxhash.xxh64_intdigest
     for i, j in tk.slices(offsets):
         part = tk.LOWER[buf[offsets[i] : offsets[j]]]
@@ -84,6 +84,12 @@ def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
         last = np.minimum(first + shingle, np.repeat(words.bounds[1:], counts)) - 1
         data = plain.tobytes()
         hashes = np.fromiter((digest(data[s:e], 42) for s, e in zip(starts[first].tolist(), ends[last].tolist())), np.uint64, len(first))
+        yield i, j, hashes, counts
+
+
+def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    out = np.zeros(len(column), np.uint64)
+    for i, j, hashes, counts in text_shingles(column, shingle):
         out[i:j] = majority(hashes, counts)
     return out
 
