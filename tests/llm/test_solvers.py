@@ -35,8 +35,16 @@ def reference():
 @given(st.text(max_size=80))
 def test_tokens_equal_the_library(text):
     c, e = test_tokens_equal_the_library.pair
-    assert c.encode(text) == e.encode_ordinary(text)
-    assert c.decode(c.encode(text)) == text.encode()
+    ids = encoded(c, [text])[0]
+    assert ids == e.encode_ordinary(text)
+    assert c.decode(np.array(ids, np.int32))[0].tobytes() == text.encode()
+
+
+def encoded(codec, texts):
+    out = []
+    for i, j, ids, bounds in codec.encode(pa.array(texts, pa.string())):
+        out += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    return out
 
 
 @pytest.fixture(autouse=True)
@@ -46,7 +54,25 @@ def _pair(codec, reference):
 
 def test_tokens_of_long_runs(codec, reference):
     for text in ("a" * 5000, "ab" * 3000, "the" * 2000, "é" * 500, " " * 3000, "<|endoftext|>", "ababaabab" * 200):
-        assert codec.encode(text) == reference.encode_ordinary(text)
+        assert encoded(codec, [text]) == [reference.encode_ordinary(text)]
+
+
+def test_tokens_of_many_texts(codec, reference):
+    rng = random.Random(20)
+    parts = ["'s", "'re", "'r", "''ll", " 'd", "'", "it's", "It'S", " ", "  ", "\n", "\t ", "\u00a0", "12", "\u00b2", "\u0660", "a", "Zz", "ñandú", "\u0301", "中文", "\U0001f600", "_", "!?", "\u2028", "the", "tion", "ablewh"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000))]
+    assert encoded(codec, texts) == [reference.encode_ordinary(t or "") for t in texts]
+
+
+def test_memo_generations(codec, reference, monkeypatch):
+    from strandlake.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "SLICE", 60)
+    monkeypatch.setattr(bpe, "FEW", 0)
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choice("abehinorst") for _ in range(rng.randint(1, 14))) for _ in range(8)) for _ in range(200)]
+    assert encoded(codec, texts) == [reference.encode_ordinary(t) for t in texts]
 
 
 def test_fingerprints():
