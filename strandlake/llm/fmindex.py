@@ -20,23 +20,10 @@ WINDOW_WORDS = 35
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first `depth` symbols or more; ends sort first."""
+    """Suffixes ordered by their first `depth` symbols; ends sort first."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        if width < n:
-            after[: n - width] = rank[width:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(n, np.int64)
-        new[1:] = key[1:] != key[:-1]
-        rank[order] = np.cumsum(new)
-        width *= 2
-        if width >= depth or rank[order[-1]] == n:
-            return order
+    rank = tk.suffix_ranks(np.unique(symbols, return_inverse=True)[1] + 1, np.minimum(depth, np.arange(n, 0, -1)))
+    return tk.in_order(rank, max(1, int(n).bit_length()))[0]
 
 
 class Bits:
@@ -144,7 +131,7 @@ def _as_array(buf: np.ndarray, words: tk.Words) -> tuple[pa.Buffer, pa.Buffer]:
     return pa.py_buffer(ends), pa.py_buffer(buf[~tk.SPACE[buf]])
 
 
-KIND = Kind(words=True, length=WINDOW_WORDS, gram=8, shard=1 << 19, search=search)
+KIND = Kind(words=True, length=WINDOW_WORDS, gram=8, shard=1 << 16, search=search)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,13 +8,15 @@ into one with a count. The rest is dealt to shards by anchor, so all copies of a
 are in one shard, and each shard is searched exactly by the operator's own index. What it
 reports goes back to all places of each segment.
 
-An anchor with very many different segments is not put into one shard: its windows are
-hashed one by one (128 bits) and counted.
+An anchor with very many different segments is not put into one shard: its segments are
+cut up by where the anchor stands in their windows. Windows of one piece all hold the same
+stretch around the anchor; that stretch and its place are the piece's own anchor, by which
+pieces are dealt, counted and searched like segments. Should that be a hot anchor too, the
+pieces are cut down to single windows, of which equal ones are one piece.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from . import textkernel as tk
 
-#: Different segments of one anchor beyond which its windows are counted one by one.
-HOT = 5000
+#: Different segments of one anchor beyond which they are cut up.
+HOT = 2000
+#: Parts into which the places of an anchor in its windows are cut first; then each place is a part.
+PARTS = 7
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def segments(d: DataFrame, kind: Kind) -> DataFrame:
-    """anchor, body, key, lo, n of each segment."""
+    """anchor, body, key, lo, n of each segment, and the anchor's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +68,9 @@ def segments(d: DataFrame, kind: Kind) -> DataFrame:
                 symbols, bounds = kind.symbols(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 found = tk.anchored(symbols, bounds, kind.length, kind.gram)
                 if len(found["row"]):
-                    yield pa.RecordBatch.from_arrays([pa.array(found["anchor"].view(np.int64)), pa.array(found["body"].view(np.int64)), pa.array(keys[i + found["row"]]), pa.array(found["lo"].astype(np.int32)), pa.array(found["n"].astype(np.int32))], ["anchor", "body", "key", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found["anchor"].view(np.int64)), pa.array(found["body"].view(np.int64)), pa.array(keys[i + found["row"]]), pa.array(found["lo"].astype(np.int32)), pa.array(found["n"].astype(np.int16)), pa.array(found["spot"].astype(np.int16))], ["anchor", "body", "key", "lo", "n", "spot"])
 
-    return d.select("_key", "_text").mapInArrow(run, "anchor long, body long, key long, lo int, n int")
+    return d.select("_key", "_text").mapInArrow(run, "anchor long, body long, key long, lo int, n short, spot short")
 
 
 def _pieces(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,24 +93,24 @@ def _asked(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArr
     return offsets - offsets[0], lists.flatten()
 
 
-def texts(d: DataFrame, wanted: DataFrame, kind: Kind, shards: int) -> DataFrame:
-    """shard, anchor, body, count, n and the bytes of each wanted segment."""
-    asked = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "n", "anchor", "body", "count")).alias("asked"))
+def texts(d: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+    """wanted (anchor, body, bodies, count, key, lo, n, spot) without key and lo, and with the bytes of each segment."""
+    same = ["anchor", "body", "bodies", "count", "n", "spot"]
+    asked = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", *same)).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, flat = _asked(batch, "asked")
-            lo, n = flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+            lo, n = flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
             out = []
             for i, part, starts, ends in _pieces(batch, kind):
                 data = part.tobytes()
                 for k in range(offsets[i], offsets[i + 1]):
                     a, b = lo[k], lo[k] + n[k] + kind.length - 1
                     out.append(data[starts[a] : ends[b - 1]] if kind.words else data[a:b])
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("count"), flat.field("n"), pa.array(out, pa.binary())], ["anchor", "body", "count", "n", "segment"])
+            yield pa.RecordBatch.from_arrays([*map(flat.field, same), pa.array(out, pa.binary())], [*same, "segment"])
 
-    found = d.join(asked.hint("shuffle_hash"), "_key").mapInArrow(run, "anchor long, body long, count long, n int, segment binary")
-    return found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
+    return d.join(asked.hint("shuffle_hash"), "_key").mapInArrow(run, "anchor long, body long, bodies long, count long, n short, spot short, segment binary")
 
 
 def _runs(flags: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,31 +141,69 @@ def searched(found: DataFrame, kind: Kind) -> DataFrame:
     return found.groupBy("shard").applyInArrow(run, "anchor long, body long, spans array<struct<a:int,b:int>>")
 
 
-def counted(d: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """As searched(), for segments of hot anchors: every window is hashed and counted."""
-    asked = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "n", "anchor", "body", "count")).alias("asked"))
+def cut_up(hot: DataFrame, kind: Kind, width: int) -> DataFrame:
+    """Segments with their bytes in pieces: anchor, body, count, shift, sub, sub_body, n, spot, segment.
+
+    A piece holds the windows in which the anchor stands at `width` neighbouring places. Its
+    own anchor `sub` is the hash of what all such windows share, with that place; shift is
+    its first window's place in the segment.
+    """
+    some = np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, flat = _asked(batch, "asked")
-            lo, n = flat.field("lo").to_numpy().astype(np.int64), flat.field("n").to_numpy()
-            for i, part, starts, ends in _pieces(batch, kind):
-                data = part.tobytes()
-                for k in range(offsets[i], offsets[i + 1]):
-                    sums = []
-                    for a in range(lo[k], lo[k] + n[k]):
-                        b = a + kind.length
-                        piece = b" ".join(data[starts[x] : ends[x]] for x in range(a, b)) if kind.words else data[a:b]
-                        sums.append(hashlib.blake2b(piece, digest_size=16).digest())
-                    whole = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-                    same = [pa.array(np.full(n[k], flat.field(c)[k].as_py(), np.int64)) for c in ("anchor", "body", "count")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n[k], dtype=np.int32)), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())], ["anchor", "body", "count", "at", "w1", "w2"])
-
-    windows = d.join(asked.hint("shuffle_hash"), "_key").mapInArrow(run, "anchor long, body long, count long, at int, w1 long, w2 long")
-    # Not written out: both uses read the same exchange of the documents, which costs less disk.
-    twice = windows.groupBy("w1", "w2").agg(F.sum("count").alias("total")).filter("total > 1").select("w1", "w2")
-    hit = windows.join(twice, ["w1", "w2"])
-    return hit.groupBy("anchor", "body").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + kind.length).alias("b"))).alias("spans"))
+            n, spot = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "spot"))
+            of, shift, size, stands, sub, sub_body, out = [], [], [], [], [], [], []
+            for k, data in enumerate(batch.column("segment")):
+                data = data.as_py()
+                text = np.frombuffer(data, np.uint8)
+                bounds = np.array([0, len(text)])
+                words = tk.Words(text, bounds) if kind.words else None
+                rolling = tk.Rolling(kind.symbols(text, bounds)[0])
+                block = (spot[k] - np.arange(n[k])) // width
+                head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                tail = np.append(head[1:], n[k])
+                stand = spot[k] - block[head] * width
+                own = tk.mix(rolling.of(stand, stand - width + 1 + kind.length) ^ (block[head].astype(np.uint64) * some) ^ np.uint64(width))
+                of.append(np.full(len(head), k))
+                shift.append(head)
+                size.append(tail - head)
+                stands.append(spot[k] - head)
+                sub.append(own)
+                sub_body.append(tk.mix(rolling.of(head, tail + kind.length - 1) ^ (tail - head).astype(np.uint64) * some ^ own))
+                for a, b in zip(head.tolist(), (tail + kind.length - 1).tolist()):
+                    out.append(data[words.starts[a] : words.ends[b - 1]] if kind.words else data[a:b])
+            if of:
+                at = pa.array(np.concatenate(of))
+                longs = [pa.array(np.concatenate(x).view(np.int64)) for x in (sub, sub_body)]
+                shorts = [pa.array(np.concatenate(x).astype(np.int16)) for x in (size, stands)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("anchor", "body", "count")), pa.array(np.concatenate(shift).astype(np.int32)), *longs, *shorts, pa.array(out, pa.binary())], ["anchor", "body", "count", "shift", "sub", "sub_body", "n", "spot", "segment"])
+
+    return hot.mapInArrow(run, "anchor long, body long, count long, shift int, sub long, sub_body long, n short, spot short, segment binary")
+
+
+def repeated_in(once: DataFrame, kind: Kind, widths: list[int], with_texts: Callable = lambda x: x) -> DataFrame:
+    """anchor, body and spans of repeated windows; once: the different segments with their counts.
+
+    The only segment of its anchor is repeated as a whole if it occurs twice, and needs no search.
+    """
+    anchors = cut(once.groupBy("anchor").agg(F.count("*").alias("bodies"), F.sum("n").alias("places")))
+    some = anchors.filter(F.col("bodies").between(2, HOT))
+    total = some.agg(F.sum(F.col("places") + F.col("bodies") * kind.length)).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // kind.shard)))).cast("int")
+    marked = once.join(anchors.select("anchor", "bodies"), "anchor")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + kind.length - 1).cast("int").alias("b")))
+    spans = marked.filter("bodies = 1 and count > 1").select("anchor", "body", whole.alias("spans"))
+    more = with_texts(marked.filter("bodies > 1"))
+    spans = spans.unionByName(searched(more.filter(F.col("bodies") <= HOT).withColumn("shard", shard), kind))
+    if anchors.filter(F.col("bodies") > HOT).isEmpty():
+        return spans
+    parts = cut(cut_up(more.filter(F.col("bodies") > HOT), kind, widths[0]))
+    pieces = parts.groupBy(F.col("sub").alias("anchor"), F.col("sub_body").alias("body")).agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.max("spot").alias("spot"), F.any_value("segment").alias("segment"))
+    found = repeated_in(cut(pieces), kind, widths[1:]).withColumnsRenamed({"anchor": "sub", "body": "sub_body"})
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("shift")).alias("a"), (x["b"] + F.col("shift")).alias("b")))
+    hit = parts.join(found, ["sub", "sub_body"]).select("anchor", "body", moved.alias("spans"))
+    return spans.unionByName(hit.groupBy("anchor", "body").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def repeated(d: DataFrame, kind: Kind) -> DataFrame:
@@ -169,14 +211,8 @@ def repeated(d: DataFrame, kind: Kind) -> DataFrame:
     found = segments(d, kind)
     shared = cut(found.groupBy("anchor").count().filter("count > 1").select("anchor"))
     near = cut(found.join(shared, "anchor"))
-    once = cut(near.groupBy("anchor", "body").agg(F.count("*").alias("count"), F.min("key").alias("key"), F.min_by("lo", "key").alias("lo"), F.max("n").alias("n")))
-    total = once.agg(F.sum(F.col("n") + kind.length)).first()[0] or 0
-    hot = cut(once.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"))
-    if hot.isEmpty():
-        spans = searched(texts(d, once, kind, max(1, -(-total // kind.shard))), kind)
-    else:
-        spans = searched(texts(d, once.join(hot, "anchor", "left_anti"), kind, max(1, -(-total // kind.shard))), kind)
-        spans = spans.unionByName(counted(d, once.join(hot, "anchor", "left_semi"), kind))
+    once = cut(near.groupBy("anchor", "body").agg(F.count("*").alias("count"), F.min("key").alias("key"), F.min_by("lo", "key").alias("lo"), F.max("n").alias("n"), F.max("spot").alias("spot")))
+    spans = repeated_in(once, kind, [-(-(kind.length - kind.gram + 1) // PARTS), 1], lambda wanted: cut(texts(d, wanted, kind)))
     placed = near.join(spans, ["anchor", "body"]).select(F.col("key").alias("_key"), "lo", "spans")
     return placed.groupBy("_key").agg(F.collect_list(F.struct("lo", "spans")).alias("_found"))
 

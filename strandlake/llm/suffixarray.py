@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .fmindex import suffix_order
 from .repeats import Kind, removed
 
 WINDOW_BYTES = 200
@@ -22,43 +21,6 @@ WINDOW_BYTES = 200
 TRIGGER, EVERY = 6, 24
 
 
-def _dense(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
-    """Ranks along an order, equal where a neighbour doesn't differ."""
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(differs)
-    return rank
-
-
-def _ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Equal ranks for suffixes equal in their first `depth` symbols (or more), else in order."""
-    n = len(symbols)
-    bits = max(1, int(symbols.max(initial=1)).bit_length())
-    width = max(1, 62 // bits)  # so many symbols fit into the first key
-    key = np.zeros(n, np.int64)
-    for k in range(width):
-        key <<= bits
-        key[: n - k] |= symbols[k:] if k < n else 0
-    order = np.argsort(key)
-    sorted_key = key[order]
-    new = np.ones(n, np.int64)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = _dense(order, new)
-    while width < depth:
-        after = np.zeros(n, np.int64)
-        if width < n:
-            after[: n - width] = rank[width:]
-        key = rank * (n + 2) + after
-        order = np.argsort(key)
-        key = key[order]
-        new = np.ones(n, np.int64)
-        new[1:] = key[1:] != key[:-1]
-        rank = _dense(order, new)
-        width *= 2
-        if rank[order[-1]] == n:
-            break
-    return rank
-
-
 def parse(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrase starts, and the row of each: a row's first byte, and each trigger's first byte.
 
@@ -91,23 +53,18 @@ def window_order(text: np.ndarray, bounds: np.ndarray, windows: np.ndarray) -> n
     at = np.repeat(starts[example] - first[:-1], sizes + 1) + np.arange(first[-1])
     dictionary = text[np.minimum(at, len(text) - 1)].astype(np.int64) + 1
     dictionary[first[1:] - 1] = 0
-    rank = _ranks(dictionary, 1 << int(sizes.max()).bit_length())
-    # ranks past a terminator tell phrases apart by what stands next in the dictionary: make equal rests equal
     rest = np.repeat(first[1:] - 1, sizes + 1) - np.arange(first[-1])  # bytes to the terminator
-    order = np.argsort(rank)
-    body = tk.Rolling(dictionary.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    ident = body.of(order, order + rest[order])
-    differs = np.ones(len(order), np.int64)
-    differs[1:] = (ident[1:] != ident[:-1]) | (rest[order][1:] != rest[order][:-1])
-    rank = _dense(order, differs)
-    # the parse in the order of its phrases
+    rank = tk.suffix_ranks(dictionary, np.minimum(rest, WINDOW_BYTES) + 1)
+    # the parse in the order of its phrases, as far as a window or the row goes
     code = rank[first[:-1]][phrase]
-    code_rank = _ranks(code, 256)
+    far = np.minimum(np.searchsorted(starts, starts + WINDOW_BYTES), np.flatnonzero(last)[np.cumsum(last) - last] + 1)
+    code_rank = tk.suffix_ranks(np.unique(code, return_inverse=True)[1], far - np.arange(len(starts)) + 1)
     where = np.searchsorted(starts, windows, "right") - 1
     rest_rank = rank[first[phrase[where]] + windows - starts[where]]
-    behind = np.append(code_rank, 0)[where + 1]
+    behind = np.append(code_rank, 0)[where + 1] + 1
     behind = np.where(last[where], 0, behind)
-    return np.argsort(rest_rank * (int(behind.max(initial=0)) + 2) + behind)
+    bits = int(behind.max(initial=0)).bit_length()
+    return tk.in_order(rest_rank << bits | behind, bits + max(1, len(dictionary).bit_length()))[0]
 
 
 def agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -135,7 +92,7 @@ def search(segments: pa.Array, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return flags
 
 
-KIND = Kind(words=False, length=WINDOW_BYTES, gram=32, shard=1 << 21, search=search)
+KIND = Kind(words=False, length=WINDOW_BYTES, gram=32, shard=1 << 18, search=search)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

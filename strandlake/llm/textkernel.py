@@ -128,6 +128,75 @@ class Words:
         return mix(Rolling(BYTE_SYMBOL[self.buf]).of(self.starts, self.ends))
 
 
+def in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order of keys below 2**bits, the keys in that order); place and key share a word where they fit."""
+    n = len(key)
+    low = max(1, int(n - 1).bit_length()) if n else 1
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = key.astype(U64)
+    both <<= U64(low)
+    both |= np.arange(n, dtype=U64)
+    both.sort()
+    order = (both & U64((1 << low) - 1)).astype(np.int64)
+    both >>= U64(low)
+    return order, both.astype(np.int64)
+
+
+def suffix_ranks(symbols: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Ranks of suffixes: the place in their order, equal ones at the first place of them.
+
+    need: how many of its symbols tell each suffix apart from all others, or end it; suffixes
+    equal so far share a rank. What stands behind them doesn't count. Prefix doubling; only
+    groups that aren't told apart yet are sorted again.
+    """
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits, low = max(1, int(symbols.max()).bit_length()), max(1, int(n - 1).bit_length())
+    width = max(1, (64 - low) // bits) if bits + low <= 64 else 1
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        if k < n:
+            key[: n - k] |= np.where(k < need[: n - k], symbols[k:], 0)
+    order, key = in_order(key, bits * width)
+    head = np.ones(n, bool)
+    head[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(head)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    size = np.diff(np.append(first, n))
+    left = order[np.repeat(size > 1, size)]  # members of groups of two or more, group by group
+    while len(left):
+        group = rank[left]
+        head = np.ones(len(left), bool)
+        head[1:] = group[1:] != group[:-1]
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(left)))
+        open_ = np.repeat(np.maximum.reduceat(need[left], first) > width, size)
+        left, group = left[open_], group[open_]
+        if not len(left):
+            break
+        after = np.where((need[left] > width) & (left + width < n), rank[np.minimum(left + width, n - 1)] + 1, 0)
+        head = np.ones(len(left), bool)
+        head[1:] = group[1:] != group[:-1]
+        first = np.flatnonzero(head)
+        number = np.cumsum(head) - 1
+        order, key = in_order(number << (low + 1) | after, low + 1 + max(1, int(number[-1]).bit_length()))
+        left, group = left[order], group[order]
+        place = group + np.arange(len(left)) - np.repeat(first, np.diff(np.append(first, len(left))))
+        head = np.ones(len(left), bool)
+        head[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(left)))
+        rank[left] = np.repeat(place[first], size)
+        left = left[np.repeat(size > 1, size)]
+        width *= 2
+    return rank
+
+
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w values from every start, by doubling."""
     have, width = values, 1
@@ -146,11 +215,11 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> di
     stand. Windows lie within one row of `bounds`. A run of consecutive windows with one
     anchor is a segment: its first symbol `lo`, its number of windows `n` (it covers
     n + length - 1 symbols), the hash `anchor` of its anchor, and the hash `body` of all
-    that it covers together with the anchor's place in it.
+    that it covers together with `spot`, the anchor's place in it.
     """
     total, none = len(symbols), np.zeros(0, np.int64)
     if total < length:
-        return {"row": none, "lo": none, "n": none, "anchor": none.astype(U64), "body": none.astype(U64)}
+        return {"row": none, "lo": none, "n": none, "spot": none, "anchor": none.astype(U64), "body": none.astype(U64)}
     rolling = Rolling(symbols)
     grams = mix(rolling.windows(k))
     bits = U64(max(1, int(total).bit_length()))
@@ -168,7 +237,7 @@ def anchored(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> di
     heads, tails = heads[good], tails[good]
     n = tails - heads
     body = mix(rolling.of(heads, tails + length - 1) ^ (n.astype(U64) * U64(0xD6E8FEB86659FD93)) ^ ((at[heads] - heads).astype(U64) << U64(32)))
-    return {"row": row[heads], "lo": heads - bounds[row[heads]], "n": n, "anchor": grams[at[heads]], "body": body}
+    return {"row": row[heads], "lo": heads - bounds[row[heads]], "n": n, "spot": at[heads] - heads, "anchor": grams[at[heads]], "body": body}
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
