@@ -1,10 +1,14 @@
 """Language identification by Bayesian evidence fusion (operator 10).
 
-Evidence for each row: the text (naive Bayes over hashed byte trigrams, one model a
-language), the declared markup language, the address suffix, and a prior of the host. Models and priors come from grouped counts
-over all rows, with the declared language as a noisy label. The host's prior is smoothed
-towards its suffix's, that towards the corpus's. The log evidence is added up; a class `und`
-with even trigrams stands for text in no known language.
+Evidence for each row: its text (naive Bayes over hashed byte trigrams, one model a
+language), the declared (markup) language, and a prior of its host, which is smoothed
+towards that of its address suffix, and that towards the corpus's. Models and priors come
+from grouped counts over all rows, with the declared language as a noisy label; a row's
+own counts are taken out of the models and priors that judge it. The log evidence is
+added up; a class `und` with even trigrams stands for text in no known language.
+
+The most declared languages have a model each. All others together have one model: a row
+for which it wins is in the language that it declares itself.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ from . import textkernel as tk
 
 #: Trigram buckets; a model has so many numbers a language.
 BUCKETS = 1 << 15
-#: A declared language is a class if it has at least this share of the rows: 200 classes at most.
-LEAST_SHARE = 0.005
+#: Languages with a model of their own, at most; the others share one.
+MODELS = 200
 #: Overlapping trigrams aren't independent: their log-likelihood counts so much.
 TEXT_WEIGHT = 0.3
 #: Chance that a declared language is right, and the pseudo-counts of the hierarchy's levels.
 DECLARED_RIGHT, LEVEL_WEIGHT = 0.9, 20.0
 #: Prior chance of no known language.
 UNKNOWN = 0.01
+#: Count added to each bucket.
+ADDED = 0.5
 
 
 def _letters() -> np.ndarray:
@@ -57,21 +63,21 @@ def _trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (code * np.uint32(2654435761)) >> np.uint32(17), row[:-2][good]
 
 
-def classes(docs: DataFrame, declared_col: str) -> list[str]:
-    """Declared languages of at least LEAST_SHARE of the rows that declare one."""
+def classes(docs: DataFrame, declared_col: str, most: int) -> tuple[list[str], bool]:
+    """(the declared languages with a model each, whether there are others)."""
     counts = docs.filter(F.col(declared_col).isNotNull()).groupBy(F.col(declared_col).cast("string").alias("l")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r["l"] for r in counts.filter(F.col("count") >= LEAST_SHARE * total).select("l").collect())
+    top = [r["l"] for r in counts.orderBy(F.desc("count"), "l").limit(most + 1).collect()]
+    return sorted(top[:most]), len(top) > most
 
 
-def text_models(docs: DataFrame, langs: list[str], text_col: str, declared_col: str) -> np.ndarray:
-    """Log probabilities, BUCKETS x (languages + 1), the last class even; from all rows that declare a class."""
-    place = {l: k for k, l in enumerate(langs)}
+def text_counts(docs: DataFrame, langs: list[str], rest: bool, text_col: str, declared_col: str) -> np.ndarray:
+    """Trigram counts, BUCKETS x models, of all rows that declare a language."""
+    place, width = {l: k for k, l in enumerate(langs)}, len(langs) + rest
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BUCKETS), np.int64)
+        sums = np.zeros((width, BUCKETS), np.int64)
         for batch in batches:
-            which = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            which = _which(batch.column(0), place)
             buf, offsets = tk.flat(batch.column(1))
             for i, j in tk.slices(offsets):
                 code, row = _trigrams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -83,83 +89,158 @@ def text_models(docs: DataFrame, langs: list[str], text_col: str, declared_col:
             part = slice(i, i + 10_000)
             yield pa.RecordBatch.from_arrays([pa.array(k[part].astype(np.int32)), pa.array(bucket[part].astype(np.int32)), pa.array(sums[k[part], bucket[part]])], ["k", "bucket", "n"])
 
+    # at most BUCKETS x (MODELS + 1) rows
     rows = docs.select(F.col(declared_col).cast("string"), text_col).mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros((BUCKETS, len(langs)))
+    sums = np.zeros((BUCKETS, width))
     sums[rows["bucket"], rows["k"]] = rows["n"]
-    model = np.log((sums + 0.5) / (sums.sum(axis=0) + 0.5 * BUCKETS))
-    return np.column_stack([model, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
+    return sums
 
 
-def host_priors(docs: DataFrame, langs: list[str], host_col: str, suffix_col: str | None, declared_col: str) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(_host, _suffix, prior array) , (_suffix, prior array) and the corpus's prior, each level smoothed towards the one above."""
-    known = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), _suffix(suffix_col).alias("_suffix"), F.col(declared_col).cast("string").alias("l"))
-    by = cut(known.groupBy("_host", "_suffix").agg(*[F.count_if(F.col("l") == l).alias(f"n{k}") for k, l in enumerate(langs)]))
-    n = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(langs))]
-    top = by.agg(*n).first()
-    whole = sum(x or 0 for x in top) + len(langs)
-    corpus = [((x or 0) + 1) / whole for x in top]
+def _which(declared: pa.Array, place: dict[str, int]) -> np.ndarray:
+    """Model of each declared language; that of all others comes last, null has -1."""
+    others = len(place)
+    return np.array([-1 if x is None else place.get(x, others) for x in declared.to_pylist()], np.int64)
 
-    def smooth(df: DataFrame, parent: list) -> F.Column:
-        total = sum((F.col(f"n{k}") for k in range(len(langs))), F.lit(0))
-        return F.array(*[(F.col(f"n{k}") + LEVEL_WEIGHT * parent[k]) / (total + LEVEL_WEIGHT) for k in range(len(langs))])
 
-    suffixes = by.groupBy("_suffix").agg(*n)
-    suffixes = suffixes.select("_suffix", smooth(suffixes, [F.lit(x) for x in corpus]).alias("_of_suffix"))
-    hosts = by.join(suffixes, "_suffix")
-    hosts = hosts.select("_host", "_suffix", smooth(hosts, [F.get("_of_suffix", F.lit(k)) for k in range(len(langs))]).alias("_prior"))
-    return hosts, suffixes, corpus
+def text_evidence(column: pa.Array, own: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of trigrams, log-likelihood under each model and under even trigrams) of each row.
 
+    own: the model that counts the row, or -1; the row is taken out of that one.
+    """
+    buf, offsets = tk.flat(column)
+    n, width = len(offsets) - 1, sums.shape[1]
+    whole = sums.sum(axis=0)
+    model = np.log((sums + ADDED) / (whole + ADDED * BUCKETS))
+    out, size = np.zeros((n, width + 1)), np.zeros(n, np.int64)
+    for i, j in tk.slices(offsets):
+        code, row = _trigrams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if not len(code):
+            continue
+        pair, times = np.unique(row * BUCKETS + code, return_counts=True)
+        row, code = pair // BUCKETS, pair % BUCKETS
+        have, first = np.unique(row, return_index=True)
+        total = np.add.reduceat(times, first)
+        out[i + have, :width] = np.add.reduceat(model[code] * times[:, None], first, axis=0)
+        out[i + have, width] = -total * np.log(BUCKETS)
+        size[i + have] = total
+        k = own[i + row]
+        mine = k >= 0
+        if mine.any():
+            left = whole[k] - size[i + row]
+            value = np.where(mine, times * np.log((np.where(mine, sums[code, k] - times, 0) + ADDED) / (np.where(mine, left, 0) + ADDED * BUCKETS)), 0.0)
+            value = np.add.reduceat(value, first)
+            k = own[i + have]
+            at = np.flatnonzero(k >= 0)
+            out[i + have[at], k[at]] = value[at]
+    return size, out
+
+
+def posterior(text: np.ndarray, own: np.ndarray, host: np.ndarray, suffix: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    """Posterior of each model's languages, and of `und` last; a row each.
+
+    text: log-likelihoods; own: the declared one's model or -1; host, suffix: counts of rows
+    that declare each, with the row itself; corpus: each one's share of all rows.
+    """
+    n, width = host.shape
+    mine = np.zeros((n, width))
+    at = np.flatnonzero(own >= 0)
+    mine[at, own[at]] = 1
+    prior = corpus
+    for counts in (suffix - mine, host - mine):
+        prior = (counts + LEVEL_WEIGHT * prior) / (counts.sum(axis=1, keepdims=True) + LEVEL_WEIGHT)
+    # a declared language against what any row would declare
+    other = (1 - DECLARED_RIGHT) / (1 - corpus) if width > 1 else np.ones(1)
+    said = np.where(mine > 0, DECLARED_RIGHT / corpus, other)
+    said = np.where(own[:, None] >= 0, said, 1.0)
+    score = np.column_stack([np.log(prior * (1 - UNKNOWN) * said), np.full(n, np.log(UNKNOWN))]) + TEXT_WEIGHT * text
+    score = np.exp(score - score.max(axis=1, keepdims=True))
+    return score / score.sum(axis=1, keepdims=True)
+
+
+def _dense(column: pa.Array, width: int) -> np.ndarray:
+    """Counts by model from a column of maps; a null map has none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out, offsets = np.zeros((len(column), width)), np.asarray(column.offsets)
+    part = slice(offsets[0], offsets[-1])
+    out[np.repeat(np.arange(len(column)), np.diff(offsets)), column.keys.to_numpy()[part]] = column.items.to_numpy()[part]
+    return out
+
+
+def declared_counts(docs: DataFrame, langs: list[str], host_col: str, suffix_col: str | None, declared_col: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(_host, _suffix, _of_host), (_suffix, _of_suffix) and the corpus's: maps of model to the number of rows that declare it."""
+    said = F.col(declared_col).cast("string")
+    model = F.coalesce(F.array_position(F.array(*map(F.lit, langs)), said) - 1, F.lit(-1))
+    k = F.when(model < 0, len(langs)).otherwise(model).cast("int")
+    rows = docs.filter(said.isNotNull()).select(_part(host_col).alias("_host"), _part(suffix_col).alias("_suffix"), k.alias("k"))
+    by = cut(rows.groupBy("_host", "_suffix", "k").agg(F.count("*").alias("n")))
+    as_map = lambda name: F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(name)  # noqa: E731  of MODELS + 1 entries at most
+    hosts = by.groupBy("_host", "_suffix").agg(as_map("_of_host"))
+    suffixes = by.groupBy("_suffix", "k").agg(F.sum("n").alias("n")).groupBy("_suffix").agg(as_map("_of_suffix"))
+    whole = {r["k"]: r["n"] for r in by.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    return hosts, suffixes, whole
 
-def _suffix(suffix_col: str | None):
-    return F.coalesce(F.col(suffix_col).cast("string"), F.lit("")) if suffix_col else F.lit("")
 
+def _part(column: str | None):
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) if column else F.lit("")
 
-def identify(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, least: float = 0.5) -> DataFrame:
+
+def identify(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, least: float = 0.5, models: int = MODELS) -> DataFrame:
     """docs with language, confidence, n_trigrams and kept.
 
-    language: the class of the highest posterior, null where `und` wins or nothing is known.
-    kept: a known language with a posterior of at least `least`, from a text with a letter.
-    A null or empty text has no text evidence and is not kept. A null declared language,
-    host or suffix adds no evidence of its own (hosts and suffixes that are null share one
-    group). Rows count as often as they occur. With no declared language at all nothing is
+    language: the class of the highest posterior (of equal ones the first by name, `und`
+    last), null where `und` wins or nothing is known. kept: a known language with a posterior
+    of at least `least`, from a text with a letter. Every declared language can be found,
+    however rare: beyond the `models` most declared ones (of equally frequent ones the first
+    by name) the others share a model, and a row for which that wins has the language that it
+    declares; if it declares none of those, null. A null or empty text has no text evidence
+    and is not kept. A null declared language, host or suffix adds no evidence of its own
+    (hosts and suffixes that are null share one group). Rows count as often as they occur,
+    and each is judged without its own counts. With no declared language at all nothing is
     kept. Columns of the names made here are replaced, others stay.
     """
-    docs = docs.drop("language", "confidence", "n_trigrams", "kept", "_e", "_host", "_suffix", "_prior", "_scores", "_top", "_n", "_which")
-    langs = classes(docs, declared_col)
+    docs = docs.drop("language", "confidence", "n_trigrams", "kept", "_e", "_host", "_suffix", "_of_host", "_of_suffix", "_found")
+    langs, rest = classes(docs, declared_col, models)
     if not langs:
         return docs.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "n_trigrams": F.lit(0).cast("long"), "kept": F.lit(False)})
-    model = docs.sparkSession.sparkContext.broadcast(text_models(docs, langs, text_col, declared_col))
-    hosts, _, _ = host_priors(docs, langs, host_col, suffix_col, declared_col)
-    width = len(langs) + 1
-
-    @F.pandas_udf("n long, ll array<double>")
-    def evidence(texts):
-        import pandas as pd
-
-        buf, offsets = tk.flat(pa.array(texts, pa.large_string(), from_pandas=True))
-        total, n = np.zeros((len(offsets) - 1, width)), np.zeros(len(offsets) - 1, np.int64)
-        for i, j in tk.slices(offsets):
-            code, row = _trigrams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if len(code):
-                have, first = np.unique(row, return_index=True)
-                total[i + have] = np.add.reduceat(model.value[code], first, axis=0, dtype=np.float64)
-                n[i + have] = np.diff(np.append(first, len(code)))
-        return pd.DataFrame({"n": n, "ll": list(total)})
-
-    d = docs.withColumns({"_e": evidence(text_col), "_host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "_suffix": _suffix(suffix_col)})
-    d = d.join(broadcast_if_small(hosts), ["_host", "_suffix"], "left")
+    place, width = {l: k for k, l in enumerate(langs)}, len(langs) + rest
+    sums = docs.sparkSession.sparkContext.broadcast(text_counts(docs, langs, rest, text_col, declared_col))
+    hosts, suffixes, whole = declared_counts(docs, langs, host_col, suffix_col, declared_col)
+    corpus = np.array([whole.get(k, 0) + 1 for k in range(width)], float)
+    corpus /= corpus.sum()
+
+    @F.arrow_udf("n long, ll array<double>")
+    def evidence(texts: pa.Array, declared: pa.Array) -> pa.Array:
+        n, ll = text_evidence(texts, _which(declared, place), sums.value)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (width + 1)), pa.array(ll.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n), lists], ["n", "ll"])
+
+    @F.arrow_udf("language string, confidence double")
+    def fused(e: pa.Array, declared: pa.Array, of_host: pa.Array, of_suffix: pa.Array) -> pa.Array:
+        own = _which(declared, place)
+        text = e.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), width + 1)
+        chance = posterior(text, own, _dense(of_host, width), _dense(of_suffix, width), corpus)
+        best = chance.argmax(axis=1)
+        names = [langs[k] if k < len(langs) else d if rest and k == width - 1 and d not in place else None for k, d in zip(best.tolist(), declared.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.round(chance[np.arange(len(best)), best], 6))], ["language", "confidence"])
+
     said = F.col(declared_col).cast("string")
-    wrong = (1 - DECLARED_RIGHT) / max(1, len(langs) - 1)
-    score = [
-        F.get("_e.ll", F.lit(k)) * TEXT_WEIGHT
-        + F.log(F.get("_prior", F.lit(k)) * (1 - UNKNOWN))
-        + F.when(said == l, F.lit(float(np.log(DECLARED_RIGHT)))).when(said.isNull(), F.lit(0.0)).otherwise(F.lit(float(np.log(wrong))) if len(langs) > 1 else F.lit(float(np.log(1 - DECLARED_RIGHT))))
-        for k, l in enumerate(langs)
-    ]
-    score.append(F.get("_e.ll", F.lit(width - 1)) * TEXT_WEIGHT + float(np.log(UNKNOWN)) + F.when(said.isNull(), F.lit(0.0)).otherwise(F.lit(float(-np.log(len(langs) + 1)))))
-    d = d.withColumn("_scores", F.array(*score))
-    d = d.withColumns({"_top": F.array_max("_scores"), "_n": F.col("_e.n")})
-    d = d.withColumn("_which", F.array_position("_scores", F.col("_top")))
-    d = d.withColumn("confidence", F.round(1 / F.aggregate(F.transform("_scores", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, b: a + b), 6))
-    language = F.when((F.col("_which") < width) & (F.col("_n") > 0), F.get(F.array(*map(F.lit, langs)), (F.col("_which") - 1).cast("int")))
-    return d.select(*docs.columns, language.alias("language"), "confidence", F.col("_n").alias("n_trigrams"), (language.isNotNull() & (F.col("confidence") >= least)).alias("kept"))
+    d = docs.withColumns({"_e": evidence(F.col(text_col), said), "_host": _part(host_col), "_suffix": _part(suffix_col)})
+    d = d.join(broadcast_if_small(hosts), ["_host", "_suffix"], "left").join(broadcast_if_small(suffixes), "_suffix", "left")
+    d = d.withColumn("_found", fused(F.col("_e"), said, F.col("_of_host"), F.col("_of_suffix")))
+    language = F.when(F.col("_e.n") > 0, F.col("_found.language"))
+    return d.select(*docs.columns, language.alias("language"), F.col("_found.confidence").alias("confidence"), F.col("_e.n").alias("n_trigrams"), (language.isNotNull() & (F.col("_found.confidence") >= least)).alias("kept"))
+
+
+def of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id_col, text, lang, host, suffix of web pages: what identify() reads.
+
+    text is the markup without scripts, styles, comments and tags; lang the primary subtag
+    of <html lang>, lower-cased; host that of the url, suffix its last label. What is absent
+    is null (text: empty).
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    lang = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    empty = lambda c: F.when(c != "", c)
+    return pages.select(id_col, text.alias("text"), empty(lang).alias("lang"), empty(host).alias("host"), empty(F.regexp_extract(host, r"([^.]*)$", 1)).alias("suffix"))
