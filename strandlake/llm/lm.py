@@ -1,14 +1,18 @@
 """Masked pseudo-likelihood scores (operator 9).
 
-Words become classes: the most frequent words of the corpus one each, all others by the hash
-of their ending. A small network predicts each word's class from the two words before and
-the two behind it; a document's score is the sum of the log-probabilities of all its words,
-each with the word itself masked.
-
-Word counts come from a grouped count over all texts. Training is numpy inside tasks: in each
-round every partition runs minibatch Adagrad over its share of the documents from the
-common weights, and the weights are averaged by a grouped sum. Each document is in one
-round, so all of the corpus is learnt from once.
+A document's score is the sum of the log-probabilities of all its words, each with the word
+itself masked. A word's probability has two levels: a small network predicts its class from
+the two words before and the two behind it; within the class stands the word's count in all
+other documents of the corpus. The most frequent words are a class each, all others fall
+into classes by the hash of their ending. A word that no other document has is spelled out.
+
+Documents are dealt to blocks of bounded size by a hash. A block's different words are
+counted and sent to where the counts of all blocks meet; what comes back to a block is the
+total of its own words only, so the table of counts grows with the corpus and is never in
+one place. Training is numpy inside tasks: in each round each block runs minibatch Adagrad
+over its documents from the common weights, and the weights are averaged. Each block is in
+one round, so all of the corpus is learnt from once. Blocks, and the order in them, don't
+depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import textkernel as tk
 
 #: Classes of frequent words and of endings; hidden units; words seen on either side.
@@ -27,23 +32,61 @@ FREQUENT, ENDINGS, HIDDEN, REACH = 96, 32, 16, 2
 CLASSES = FREQUENT + ENDINGS
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
-#: Weights are summed as integers of this many parts, so that their order doesn't matter.
-PARTS = float(1 << 24)
+#: Bytes of text in a block, about.
+BLOCK = 1 << 24
+#: An unseen word's bytes are spelled out at this chance each.
+LETTER = 1 / 32
+#: Weights are summed as integers of this many parts, weighted by each so many words, so that their order doesn't matter.
+PARTS, UNIT = float(1 << 20), 1024
+#: Rows in which the weights of all tasks reach the driver.
+SUMS = 32
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (64-bit hash), n over all texts, added up in tasks before the shuffle."""
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_block, _order, _id, _text of every row, written out block by block."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    d = docs.select(F.xxhash64(F.col(id_col), text).alias("_order"), F.col(id_col).alias("_id"), text.alias("_text"))
+    return cut(d.select(F.pmod(F.shiftrightunsigned("_order", 20), F.lit(blocks)).cast("int").alias("_block"), "*").repartition(blocks, "_block"))
+
+
+def _texts(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(a block's rows in order, their bytes, offsets)."""
+    order = np.argsort(table.column("_order").to_numpy(), kind="stable")
+    table = table.take(pa.array(order)).combine_chunks()
+    return table, *tk.flat(table.column("_text"))
+
+
+def _parts(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j in tk.slices(offsets):
+        yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = tk.flat(batch.column(0))
-            for i, j in tk.slices(offsets, 1 << 23):
-                found = [tk.Words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).hashes() for a, b in ((i + x, i + y) for x, y in tk.slices(offsets[i : j + 1]))]
-                word, n = np.unique(np.concatenate(found), return_counts=True)
-                if len(word):
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(d: DataFrame) -> DataFrame:
+    """Of each block's different words: _block, word (64-bit hash), ending, n, total (in all blocks), first (the least block that has it)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for _, _, part, rows in _parts(*tk.flat(table.column("_text"))):
+            word, ending, _, _ = parsed(part, rows)
+            words.append(word)
+            kinds.append(ending)
+        word, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
+        block = np.full(len(word), table.column("_block")[0].as_py(), np.int32)
+        return pa.table({"_block": block, "word": word.view(np.int64), "ending": np.concatenate(kinds)[at], "n": n.astype(np.int32)})
+
+    rows = d.groupBy("_block").applyInArrow(run, "_block int, word long, ending int, n int")
+    same = Window.partitionBy("word")  # a row a block at most
+    return rows.withColumns({"total": F.sum("n").over(same), "first": F.min("_block").over(same) == F.col("_block")})
+
+
+def parsed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, class of its ending, its bytes, first word of each row and the end)."""
+    words = tk.Words(buf, offsets)
+    rolling = tk.Rolling(tk.BYTE_SYMBOL[buf])
+    ending = tk.mix(rolling.of(np.maximum(words.starts, words.ends - 3), words.ends))
+    return tk.mix(rolling.of(words.starts, words.ends)), (ending % np.uint64(ENDINGS)).astype(np.int32), words.ends - words.starts, words.bounds
 
 
 class Coder:
@@ -52,18 +95,13 @@ class Coder:
     def __init__(self, frequent: list[int]):
         self.frequent = np.sort(np.array(frequent, np.int64).view(np.uint64))
 
-    def classes(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class of each word, first word of each row and the end)."""
-        words = tk.Words(buf, offsets)
-        rolling = tk.Rolling(tk.BYTE_SYMBOL[buf])
-        whole = tk.mix(rolling.of(words.starts, words.ends))
-        ending = tk.mix(rolling.of(np.maximum(words.starts, words.ends - 3), words.ends))
-        out = (FREQUENT + ending % np.uint64(ENDINGS)).astype(np.int32)
+    def classes(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        out = FREQUENT + ending
         if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, whole), len(self.frequent) - 1)
-            known = self.frequent[at] == whole
+            at = np.minimum(np.searchsorted(self.frequent, word), len(self.frequent) - 1)
+            known = self.frequent[at] == word
             out[known] = at[known]
-        return out, words.bounds
+        return out
 
 
 def contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -146,63 +184,106 @@ class Net:
                 p -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[list[int], np.ndarray]:
-    """(hashes of the frequent words, weights of the network)."""
-    counts = word_counts(docs, text_col)
-    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    coder = Coder(frequent)
-    spark = docs.sparkSession
+class Model:
+    """What a fit keeps: the frequent words, the weights, and each ending class's words and different words."""
+
+    def __init__(self, frequent: list[int], weights: np.ndarray, tokens: np.ndarray, types: np.ndarray):
+        self.frequent, self.weights, self.tokens, self.types = frequent, weights, tokens, types
+
+
+def fit(d: DataFrame, counts: DataFrame) -> Model:
+    """d: dealt documents, counts: their word_counts()."""
+    once = counts.filter("first").select("word", "ending", "total")
+    frequent = [r["word"] for r in once.orderBy(F.desc("total"), "word").limit(FREQUENT).collect()]
+    rest = once.filter(~F.col("word").isin(frequent)) if frequent else once
+    tokens, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in rest.groupBy("ending").agg(F.sum("total").alias("tokens"), F.count("*").alias("types")).collect():
+        tokens[r["ending"]], types[r["ending"]] = r["tokens"], r["types"]
+    coder, spark = Coder(frequent), d.sparkSession
     weights = Net.fresh(np.zeros(CLASSES))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            net = Net(start.value)
+        def run(table: pa.Table) -> pa.Table:
+            net, seen = Net(start.value), 0
             squares = [np.full_like(p, 1e-4) for p in net.parts]
-            seen = 0
+            for _, _, part, rows in _parts(*_texts(table)[1:]):
+                word, ending, _, bounds = parsed(part, rows)
+                if len(word):
+                    classes = coder.classes(word, ending)
+                    net.train(contexts(classes, bounds), classes, squares)
+                    seen += len(classes)
+            seen = -(-seen // UNIT)
+            values = np.rint(net.flat() * PARTS).astype(np.int64) * seen
+            return pa.table({"seen": pa.array([seen]), "sums": pa.array([values], pa.list_(pa.int64()))})
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, sums = 0, np.zeros(Net.SIZE, np.int64)
             for batch in batches:
-                buf, offsets = tk.flat(batch.column(0))
-                for i, j in tk.slices(offsets):
-                    classes, bounds = coder.classes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    if len(classes):
-                        net.train(contexts(classes, bounds), classes, squares)
-                        seen += len(classes)
+                seen += sum(batch.column("seen").to_pylist())
+                sums += batch.column("sums").flatten().to_numpy().reshape(-1, Net.SIZE).sum(axis=0)
             if seen:
-                values = np.rint(net.flat() * PARTS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(Net.SIZE, dtype=np.int32)), pa.array(values), pa.array(np.full(Net.SIZE, seen, np.int64))], ["at", "value", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([sums], pa.list_(pa.int64()))], ["seen", "sums"])
 
-        share = docs.filter(F.pmod(F.xxhash64(F.col(text_col)), F.lit(ROUNDS)) == turn).select(text_col)
-        found = share.mapInArrow(run, "at int, value long, seen long").groupBy("at").agg(
-            F.sum(F.col("value").cast("decimal(20,0)") * F.col("seen")).alias("v"), F.sum("seen").alias("n")
-        )
-        rows = found.select("at", (F.col("v").cast("double") / F.col("n") / PARTS).alias("w")).toPandas()
-        if len(rows):
-            weights = np.zeros(Net.SIZE)
-            weights[rows["at"].to_numpy()] = rows["w"].to_numpy()
-    return frequent, weights
+        kind = "seen long, sums array<long>"
+        found = d.filter(F.pmod("_block", F.lit(ROUNDS)) == turn).groupBy("_block").applyInArrow(run, kind)
+        found = found.mapInArrow(added, kind).repartition(SUMS).mapInArrow(added, kind).collect()
+        if seen := sum(r["seen"] for r in found):
+            weights = np.array([sum(x) for x in zip(*(r["sums"] for r in found))], float) / seen / PARTS
+    return Model(frequent, weights, tokens, types)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list[int], np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, log_prob (summed), mean_log_prob (null without words) of every row.
 
-    Without a model one is fitted to the same documents. A null or empty text has no words
-    and log_prob 0. Repeated rows count and are scored alike; other columns are not read.
-    Sums are rounded to four digits.
+    The model is fitted to the same documents; a document's own words are taken out of the
+    counts that judge it. A null or empty text has no words and log_prob 0. Repeated rows
+    count, and each counts as a document for the others; other columns are not read. Sums
+    are rounded to four digits.
     """
-    frequent, weights = model or fit(docs, text_col)
-    coder, shared = Coder(frequent), docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Net(shared.value)
-        for batch in batches:
-            buf, offsets = tk.flat(batch.column(1))
-            n, total = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
-            for i, j in tk.slices(offsets):
-                classes, bounds = coder.classes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(contexts(classes, bounds), classes))])
-                n[i:j], total[i:j] = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
-            mean = pa.array(np.round(total / np.maximum(n, 1), 4), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 4)), mean], [id_col, "n_tokens", "log_prob", "mean_log_prob"])
+    d = dealt(docs, id_col, text_col)
+    counts = cut(word_counts(d))
+    model = fit(d, counts)
+    coder, shared = Coder(model.frequent), docs.sparkSession.sparkContext.broadcast(model)
+    elsewhere = counts.filter("total > n").select("_block", "word", "total")
+
+    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+        m = shared.value
+        net = Net(m.weights)
+        table, buf, offsets = _texts(table)
+        slices = [(i, j, *parsed(part, rows)) for i, j, part, rows in _parts(buf, offsets)]
+        words, n = np.unique(np.concatenate([x[2] for x in slices] or [np.zeros(0, np.uint64)]), return_counts=True)
+        if len(totals):
+            n[np.searchsorted(words, totals.column("word").to_numpy().view(np.uint64))] = totals.column("total").to_numpy()
+        size, total = np.zeros(len(table), np.int64), np.zeros(len(table))
+        for i, j, word, ending, length, bounds in slices:
+            classes = coder.classes(word, ending.copy())
+            logs = net.log_probs(contexts(classes, bounds), classes) + within_class(words, n, word, ending, length, bounds, classes, m)
+            sums = np.concatenate([[0.0], np.cumsum(logs)])
+            size[i:j], total[i:j] = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
+        mean = pa.array(np.round(total / np.maximum(size, 1), 4), mask=size == 0)
+        return pa.table([table.column("_id"), pa.array(size), pa.array(np.round(total, 4)), mean], [id_col, "n_tokens", "log_prob", "mean_log_prob"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    return d.groupBy("_block").cogroup(elsewhere.groupBy("_block")).applyInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+
+
+def within_class(words: np.ndarray, n: np.ndarray, word: np.ndarray, ending: np.ndarray, length: np.ndarray, bounds: np.ndarray, classes: np.ndarray, m: Model) -> np.ndarray:
+    """Log-probability of each word among those of its class, counted in all other documents.
+
+    Witten-Bell: as much chance as the class has different words goes to unseen ones.
+    """
+    out = np.zeros(len(word))
+    at = np.flatnonzero(classes >= FREQUENT)
+    if not len(at):
+        return out
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at]
+    which = np.searchsorted(words, word[at])
+    _, back, times = np.unique(row * len(words) + which, return_inverse=True, return_counts=True)
+    others = n[which] - times[back]
+    kind = ending[at]
+    own = np.bincount(row * ENDINGS + kind, minlength=(len(bounds) - 1) * ENDINGS)[row * ENDINGS + kind]
+    rest, types = m.tokens[kind] - own, m.types[kind]
+    seen = others > 0
+    out[at] = np.where(seen, np.log(np.maximum(others, 1)), np.log(types) + length[at] * np.log(LETTER)) - np.log(rest + types)
+    return out
