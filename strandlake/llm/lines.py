@@ -1,12 +1,15 @@
 """Line dedup by winnowing (operator 8), in DataFrame functions only.
 
 The lines with a word in a text form a sequence of hashes. Of each two neighbouring
-2-line grams the one with the lesser hash (the earlier of equal ones) is a fingerprint, so
-every run of three lines holds one, at a place that depends on the run alone. Fingerprints
-that occur at one position only are dropped. Around the positions of the others matches
-are extended by a line to either side, up to the guaranteed three lines; runs that match
-an earlier run anywhere are deleted, and deleted runs that overlap or touch make up a
-longer repeated run. The first occurrence of a run stays.
+2-line grams the one with the lesser hash (the earlier of equal ones) is selected as a
+fingerprint, so every run of three lines holds one, at a place that depends on the run
+alone; a long line is a fingerprint by itself. Positions of equal fingerprints are joined
+and extended by a line to the side where the run goes on: those that agree there too are
+one repeated run. All but its first occurrence are deleted; deleted runs that overlap or
+touch make up a longer repeated run.
+
+Fingerprints and sides are grouped before anything is joined, so a line that very many
+texts share is split by its neighbours and pre-aggregated.
 """
 
 from __future__ import annotations
@@ -19,62 +22,77 @@ from ..plans.lineage import cut
 #: Lines in a gram, grams in a window: runs of at least GRAM + WINDOW - 1 lines are found.
 GRAM, WINDOW = 2, 2
 RUN = GRAM + WINDOW - 1
+#: Characters from which a line is a repeated run by itself.
+LONG = 60
 SPACES = " \t\x0b\x0c\r"
+#: To which side of the fingerprint the run goes on; a long line has no side.
+LEFT, RIGHT, ALONE = 0, 1, 2
+
+
+def _bare(line):
+    """A line without white space at its ends, all white space alike."""
+    return F.trim(F.translate(line, SPACES, " " * 5))
 
 
 def _lines(text):
-    """(place, hash) of the lines with a word; all white space is alike and none counts at the ends."""
-    bare = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, SPACES, " " * 5)).alias("s")))
-    return F.transform(F.filter(bare, lambda e: e["s"] != ""), lambda e: F.struct(e["i"].alias("i"), F.xxhash64(e["s"]).alias("h")))
+    """(hash, whether it is long) of the lines with a word."""
+    full = F.filter(F.transform(F.split(text, "\n"), _bare), lambda s: s != "")
+    return F.transform(full, lambda s: F.struct(F.xxhash64(s).alias("h"), (F.length(s) >= LONG).alias("long")))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_key, places): for each document with deletions, the places of its deleted lines.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, _key, fp, side, other, at: the selected places, with the line to the side that a run of RUN lines goes on.
 
     _key is the hash of id and text, so a row that repeats another one is the same document.
-    Documents are in order of id (null first) and _key, lines in order within them.
+    at is the run's first line, among those with a word.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
     d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), key, _lines(F.col(text_col)).alias("l"))
-    d = d.filter(F.size("l") >= RUN)
-    lines = F.col("l")
-    d = d.withColumn("g", F.transform(F.sequence(F.lit(0), F.size(lines) - GRAM), lambda i: F.xxhash64(*[F.get(lines, i + k)["h"] for k in range(GRAM)])))
+    line, none = F.col("l"), F.array().cast("array<long>")
+    grams = F.transform(F.sequence(F.lit(0), F.size(line) - GRAM), lambda i: F.xxhash64(*[F.get(line, i + k)["h"] for k in range(GRAM)]))
+    d = d.withColumn("g", F.when(F.size(line) >= RUN, grams).otherwise(none))
     g = F.col("g")
-    # each run of RUN lines: its fingerprint, and what extending the fingerprint to the run gives
-    spot = lambda i: i + F.when(F.get(g, F.greatest(i, F.lit(0))) <= F.get(g, i + 1), 0).otherwise(1)  # noqa: E731  of the fingerprint
-    run = lambda i: F.struct(
-        F.least(*[F.get(g, i + k) for k in range(WINDOW)]).alias("fp"),
-        F.xxhash64(F.lit(1), *[F.get(lines, i + k)["h"] for k in range(RUN)]).alias("body"),
-        ((i == 0) | (spot(i) != spot(i - 1))).alias("fresh"),
-        i.alias("at"),
-        F.array(*[F.get(lines, i + k)["i"] for k in range(RUN)]).alias("places"),
-    )
-    runs = d.select("_id", "_key", F.explode(F.transform(F.sequence(F.lit(0), F.size(lines) - RUN), run)).alias("r")).select("_id", "_key", "r.*")
-    runs = cut(runs)  # hashes and places only: the texts are read once for them
-    shared = runs.filter("fresh").groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    near = runs.join(shared, "fp")
-    place = F.struct("_id", "_key", "at")
-    first = near.groupBy("fp", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "body", "first")
-    later = near.join(first, ["fp", "body"]).filter(place > F.col("first"))
-    return later.select("_key", F.explode("places").alias("i")).groupBy("_key").agg(F.collect_set("i").alias("places"))
+    row = lambda fp, side, other, at: F.struct(fp.alias("fp"), F.lit(side).alias("side"), other.alias("other"), at.alias("at"))
+    # the window of grams i and i + 1 selects one, and its run goes on to the other side
+    window = lambda i: F.when(F.get(g, i) <= F.get(g, i + 1), row(F.get(g, i), RIGHT, F.get(line, i + GRAM)["h"], i)).otherwise(row(F.get(g, i + 1), LEFT, F.get(line, i)["h"], i))
+    runs = F.when(F.size(g) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(g) - WINDOW), window)).otherwise(F.array())
+    places = F.filter(F.transform(line, lambda e, i: F.struct(e["h"].alias("h"), F.when(e["long"], i).alias("i"))), lambda e: e["i"].isNotNull())
+    alone = F.transform(places, lambda e: row(e["h"], ALONE, F.lit(0).cast("long"), e["i"]))
+    return d.select("_id", "_key", F.explode(F.concat(runs, alone)).alias("r")).select("_id", "_key", "r.*")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_key, places): for each document with deletions, its deleted lines, counted among those with a word.
+
+    Documents are in order of id (null first) and _key, lines in order within them.
+    """
+    found = cut(fingerprints(docs, id_col, text_col))  # hashes and places only: the texts are read once for them
+    place, run = F.struct("_id", "_key", "at"), ["fp", "side", "other"]
+    first = cut(found.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    later = found.join(first, run).filter(place > F.col("first"))
+    last = F.col("at") + F.when(F.col("side") == ALONE, 0).otherwise(RUN - 1)
+    return later.select("_key", F.explode(F.sequence("at", last)).alias("i")).groupBy("_key").agg(F.collect_set("i").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's later repeated runs deleted, and n_lines, n_removed.
 
     A run is three or more consecutive lines with a word (blank lines between don't count
-    and stay), equal but for white space at their ends. n_lines counts all \\n-split lines. A
-    null text stays null with zeros; an empty text is one blank line. Equal rows are one
-    document: none is later than the other, and both are edited alike. Columns of the names
-    made here are replaced, others stay. No rows give no rows.
+    and stay), or one line of 60 characters or more; lines are equal but for white space at
+    their ends and the kind of white space. n_lines counts all \\n-split lines. A null text
+    stays null with zeros; an empty text is one blank line. Equal rows are one document:
+    none is later than the other, and both are edited alike. Columns of the names made here
+    are replaced, others stay. No rows give no rows.
     """
     text = F.col(text_col)
     docs = docs.drop("n_lines", "n_removed", "_key", "_places", "_lines")
     gone = repeated_lines(docs, id_col, text_col)
     d = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone.withColumnRenamed("places", "_places").hint("shuffle_hash"), "_key", "left")
     d = d.withColumn("_lines", F.split(text, "\n"))
-    lines = F.col("_lines")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
+    lines, number = F.col("_lines"), lambda i: F.get(F.col("_full"), i)
+    full = F.filter(F.transform(F.col("_lines"), lambda x, i: F.when(_bare(x) != "", i)), lambda i: i.isNotNull())
+    d = d.withColumn("_full", F.when(F.col("_places").isNotNull(), full))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("_places", number))
     kept = F.when(F.col("_places").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return d.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
