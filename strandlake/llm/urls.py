@@ -1,10 +1,12 @@
 """URL filters by association rules (operator 2).
 
 A url becomes a set of tokens (host labels, registered domain, path segments, query keys,
-fragment). Spark's FP-growth mines the token sets of labelled pages, with a bad label as one
-more token; rules that conclude it with enough support and confidence, and of which no
-shorter rule is as sure, are kept. Rules are matched through an inverted index from each rule's rarest token. A list of
-host/path rules comes before the mined ones.
+fragment); of tokens that always occur together on the labelled pages one stands for all.
+Spark's FP-growth mines the token sets of the bad pages; through an inverted index from
+each set's rarest token it is counted on how many labelled pages a set occurs. A set is a
+rule if it has enough bad pages, if enough of its pages are bad, also at the lower bound of
+that share against the share of all pages, and if no smaller set in it is as sure. Rules are
+matched through the same index. A list of host/path rules comes before the mined ones.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from ..plans.joins import broadcast_if_small
 from ..plans.lineage import cut
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.6
-BAD = "=block"
+#: Bad pages that a rule needs, at any size of the input, and the share of its pages that is bad.
+MIN_BAD, MIN_CONFIDENCE = 5, 0.5
+#: Standard deviations by which that share lies above the one of all pages (Wilson's bound).
+DEVIATIONS = 1.645
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (host, path, verdict): a rule fits its host and all subdomains, under its path; the longest wins.
 LISTED = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -53,48 +57,69 @@ def tokens(url):
     return F.array_distinct(F.filter(F.concat(host_tokens, domain, path_tokens, query_tokens, fragment), lambda x: x.isNotNull() & (F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: tokens array, bad boolean. Rules: antecedent (sorted), confidence, support."""
+def distinct_tokens(labelled: DataFrame) -> DataFrame:
+    """labelled: id, tokens. The tokens without those that another one always goes with: the first by name stays."""
+    spread = labelled.select("id", F.explode("tokens").alias("token"))
+    sets = spread.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    return sets.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+
+
+def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """labelled: id (distinct), tokens array, bad boolean. Rules: antecedent (sorted), n_bad, n, confidence.
+
+    Rows without a label don't count.
+    """
     spark = labelled.sparkSession
-    schema = "antecedent array<string>, confidence double, support double"
-    baskets = labelled.filter("bad is not null").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if baskets.isEmpty():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = cut(model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"))
-    # A rule goes when one with fewer tokens of the same ones is as sure: rules meet their subsets under a shared token.
-    longer = rules.select(F.col("antecedent").alias("of"), F.col("confidence").alias("c"), F.explode("antecedent").alias("t"))
-    shorter = rules.select("antecedent", "confidence", F.get("antecedent", F.lit(0)).alias("t"))
-    worse = longer.join(shorter, "t").filter((F.size("antecedent") < F.size("of")) & (F.col("confidence") >= F.col("c")) & (F.size(F.array_except("antecedent", "of")) == 0))
-    return rules.join(worse.select(F.col("of").alias("antecedent")).distinct(), "antecedent", "left_anti")
-
-
-def matching(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls: url, tokens. The distinct urls that any rule fits."""
-    spread = urls.select("url", "tokens", F.explode("tokens").alias("token"))
-    common = rules.select(F.explode("antecedent").alias("token")).distinct()
-    common = spread.join(broadcast_if_small(common), "token").groupBy("token").count()
-    index = rules.select("antecedent", F.explode("antecedent").alias("token")).join(common, "token")
-    index = index.groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("rarest")).select("antecedent", F.col("rarest.token").alias("token"))
-    index = cut(index)
-    return spread.join(broadcast_if_small(index), "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0).select("url").distinct()
-
-
-def filter_urls(pages: DataFrame, labels: DataFrame, url_col: str = "url", page_id_col: str = "page_id", label_id_col: str = "doc_id", rules=None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    labelled = labelled.filter("bad is not null")
+    total, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
+    if bad < min_bad:
+        return spark.createDataFrame([], "antecedent array<string>, n_bad long, n long, confidence double")
+    own = distinct_tokens(labelled)
+    baskets = labelled.select("id", "bad", F.explode("tokens").alias("token")).join(own, "token").groupBy("id", "bad").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    baskets = cut(baskets)
+    model = FPGrowth(itemsCol="tokens", minSupport=(min_bad - 0.5) / bad, minConfidence=0.0).fit(baskets.filter("bad"))
+    sets = cut(model.freqItemsets.select(F.sort_array("items").alias("antecedent"), F.col("freq").alias("n_bad")))
+    counted = holding(baskets.select("id", "tokens"), sets.select("antecedent")).groupBy("antecedent").agg(F.count("*").alias("n"))
+    share, z2 = F.col("n_bad") / F.col("n"), DEVIATIONS**2
+    bound = (share + z2 / (2 * F.col("n")) - DEVIATIONS * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
+    rules = sets.join(counted, "antecedent").withColumn("confidence", share).filter((share >= min_confidence) & (bound > bad / total))
+    rules = cut(rules.select("antecedent", "n_bad", "n", "confidence"))
+    # a rule goes when one of fewer of its tokens is as sure: each meets its subsets
+    some = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("antecedent")) - 2).cast("int"))
+    subset = lambda mask: F.filter("antecedent", lambda t, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
+    longer = rules.filter(F.size("antecedent") > 1).select(F.col("antecedent").alias("of"), F.col("confidence").alias("c"), F.explode(F.transform(some, subset)).alias("antecedent"))
+    worse = longer.join(rules, "antecedent").filter(F.col("confidence") >= F.col("c")).select(F.col("of").alias("antecedent")).distinct()
+    return rules.join(worse, "antecedent", "left_anti")
+
+
+def holding(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows: id, tokens; rules: antecedent. (id, antecedent) of each row and rule whose tokens it has, by an index from each rule's rarest token."""
+    spread = rows.select("id", "tokens", F.explode("tokens").alias("token"))
+    used = rules.select(F.explode("antecedent").alias("token")).distinct()
+    common = spread.select("token").join(used, "token").groupBy("token").count()
+    index = rules.select("antecedent", F.explode("antecedent").alias("token")).join(common, "token", "left")
+    index = index.groupBy("antecedent").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("rarest")).select("antecedent", F.col("rarest.token").alias("token"))
+    return spread.join(broadcast_if_small(cut(index)), "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0).select("id", "antecedent")
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, url_col: str = "url", page_id_col: str = "page_id", label_id_col: str = "doc_id", rules=None, min_bad: int = MIN_BAD, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """pages with host, path, rule (the listed rule that fits, else null) and verdict, allow or block.
 
     labels name pages by id; a page is bad if it is labelled of no quality or toxic (null
     counts as not). Pages without a fitting listed rule are blocked if a mined rule fits. A
     null url, or one without ://, has empty host and path and no tokens but those of its query,
-    and fits no listed rule. Repeated rows count, and are judged alike. Columns of the names
+    and fits no listed rule. Repeated rows of pages or labels count, each as a labelled page,
+    and are judged alike. Without min_bad bad pages nothing is mined. Columns of the names
     made here are replaced.
     """
     url = F.col(url_col)
     pages = pages.drop("host", "path", "rule", "verdict", "_hit", "_verdict")
     d = pages.select(F.col(page_id_col).alias("_id"), url.alias("url")).filter("url is not null").withColumn("tokens", tokens(F.col("url")))
     bad = labels.select(F.col(label_id_col).alias("_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
-    found = mine(d.join(bad, "_id").select("tokens", "bad"), min_support, min_confidence)
-    hit = matching(d.select("url", "tokens").distinct(), found).select(F.col("url").alias(url_col), F.lit(True).alias("_hit"))
+    labelled = d.join(bad, "_id").select(F.monotonically_increasing_id().alias("id"), "tokens", "bad")
+    found = mine(cut(labelled), min_bad, min_confidence).select("antecedent")
+    once = d.select(F.col("url").alias("id"), "tokens").distinct()
+    hit = holding(once, found).select(F.col("id").alias(url_col), F.lit(True).alias("_hit")).distinct()
     host, path = parts(url)
     out = pages.withColumns({"host": host, "path": path})
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
