@@ -10,7 +10,11 @@ edits into few Hamming differences: a walk with its own random bits reads the wo
 on at each step and moves on by a bit that depends on step and word. Sampled coordinates of
 the walk are a key of locality-sensitive hashing; walks are repeated until the target recall
 is reached for the agreement expected at the radius. Items and windows meet by an equi-join
-on keys, and every candidate is verified exactly by bit-parallel edit distance.
+on keys, and every candidate is verified exactly by bit-parallel edit distance. Of long
+items each stretch of CORE words has windows of its own: some stretch holds no more than its
+share of the edits.
+
+Items so short that they must match exactly are found by the hash of all their words.
 
 Windows that can't hold an item are dropped first, without loss: a stretch within d edits of
 an item of m words keeps at least m - 1 - 2d of its word pairs, and the pairs of all items
@@ -32,9 +36,7 @@ from ..plans.lineage import cut
 from . import textkernel as tk
 
 RADIUS = 0.2
-#: Items of fewer words are not searched for.
-LEAST_WORDS = 5
-#: Bits of the pair table, at most; 2 MB whatever the number of items.
+#: Places of the pair table are 2 to this power, at most: 16 MB whatever the number of items.
 MAX_BITS = 24
 #: Coordinates in a key, agreement of one expected at the radius, and the recall to reach.
 SAMPLE, AGREE, RECALL = 3, 0.6, 0.99
@@ -42,6 +44,8 @@ WALKS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLE))
 GROWTH = 1.1
 #: Windows of documents start this share of an item apart; items have windows from all starts in between.
 STRIDE = 0.25
+#: Words that a walk sees at most.
+CORE = 48
 
 FOLD = tk.LOWER.copy()
 for _b in range(128):
@@ -54,8 +58,12 @@ def size_class(m: int) -> int:
     return int(math.log(m) / math.log(GROWTH) + 1e-9)
 
 
+def core(cls: int) -> float:
+    return min(CORE, GROWTH**cls)
+
+
 def stride(cls: int) -> int:
-    return max(1, int(STRIDE * GROWTH**cls))
+    return max(1, int(STRIDE * core(cls)))
 
 
 def edits(m: int, radius: float = RADIUS) -> int:
@@ -67,7 +75,7 @@ class Walk:
 
     def __init__(self, cls: int, rep: int):
         rng = np.random.default_rng([cls, rep, 2016])
-        reach = max(SAMPLE, int(1.5 * (GROWTH**cls - stride(cls))))  # the walk then stands before the end of the least item
+        reach = max(SAMPLE, int(1.5 * (core(cls) - stride(cls))))  # the walk then stands before the end of the least item
         self.at = set(rng.choice(reach, SAMPLE, replace=False).tolist())
         self.odd = rng.integers(0, 1 << 62, max(self.at) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.seed = np.uint64(cls * 1000 + rep + 1)
@@ -91,6 +99,11 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return tk.mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
+def whole(words: np.ndarray, length: int) -> np.ndarray:
+    """A key of each `length` words, from every start."""
+    return tk.mix(tk.Rolling(words).windows(length) ^ np.uint64(length))
+
+
 def text_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end)."""
     found = tk.Words(FOLD[buf], offsets)
@@ -121,25 +134,31 @@ def within(item: list[int], words: list[int], radius: int) -> tuple[int, int] |
     return best if best[0] <= radius else None
 
 
-def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, cls, words, keys, pairs of each item that is long enough."""
+def item_table(items: DataFrame, id_col: str, text_col: str, radius: float) -> DataFrame:
+    """item, cls, words, keys, pairs of each item with a word; an item without edits has its number of words below zero as cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks: dict[int, list[Walk]] = {}
         for batch in batches:
             buf, offsets = tk.flat(batch.column(1))
             words, bounds = text_words(buf, offsets)
-            rows = [i for i in range(len(bounds) - 1) if bounds[i + 1] - bounds[i] >= LEAST_WORDS]
+            rows = [i for i in range(len(bounds) - 1) if bounds[i + 1] > bounds[i]]
             out: dict[str, list] = {"cls": [], "words": [], "keys": [], "pairs": []}
             for i in rows:
                 w = words[bounds[i] : bounds[i + 1]]
-                c = size_class(len(w))
+                m, c = len(w), size_class(len(w))
+                out["words"].append(w.view(np.int64))
+                if not edits(m, radius):
+                    key = whole(w, m).view(np.int64)
+                    out["cls"].append(-m)
+                    out["keys"].append(key)
+                    out["pairs"].append(key)
+                    continue
                 if c not in walks:
                     walks |= walks_of([c])
-                from_ = np.arange(min(len(w), stride(c) + edits(len(w))))
-                end = np.full(len(from_), len(w))
+                from_ = np.arange(min(m, max(0, int(m - core(c))) + stride(c) + edits(m, radius)))
+                end = np.full(len(from_), m)
                 out["cls"].append(c)
-                out["words"].append(w.view(np.int64))
                 out["keys"].append(np.unique(np.concatenate([walk.keys(w, from_, end) for walk in walks[c]])).view(np.int64))
                 out["pairs"].append(pairs(w).view(np.int64))
             lists = pa.list_(pa.int64())
@@ -166,15 +185,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(id_col, item_id_col, distance, item_words, word_end): each leaking document and item.
 
     distance is the least number of word edits between the item and any stretch found,
-    word_end the place after that stretch's last word. Null and empty texts, and items of
-    fewer than five words, leak nothing; no items give no rows. Documents or items that
-    repeat an id are one document or item with all their texts.
+    word_end the place after that stretch's last word. Items too short for an edit leak where
+    their words stand as they are. Null and empty texts and items leak nothing; no items give
+    no rows. Documents or items that repeat an id are one document or item with all their
+    texts.
     """
-    table = cut(item_table(items, item_id_col, item_text_col))
+    table = cut(item_table(items, item_id_col, item_text_col, radius))
     spark = docs.sparkSession
     sizes = table.groupBy("cls").agg(F.min(F.size("words")).alias("least"), F.max(F.size("words")).alias("most")).collect()
     known = spark.sparkContext.broadcast(pair_bits(table))
-    plan = [(r["cls"], r["most"] + edits(r["most"], radius), max(1, min(m - 1 - 2 * edits(m, radius) for m in range(r["least"], r["most"] + 1))), edits(r["most"], radius)) for r in sizes]
+    plan = [(r["cls"], r["most"] + edits(r["most"], radius), max(1, min(m - 1 - 2 * edits(m, radius) for m in range(r["least"], r["most"] + 1))), edits(r["most"], radius)) for r in sizes if r["cls"] >= 0]
+    exact = [-r["cls"] for r in sizes if r["cls"] < 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
@@ -183,9 +204,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         for batch in batches:
             buf, offsets = tk.flat(batch.column(1))
             # Regions that may hold an item, of all slices of the batch, one behind the other.
-            picked, rows, lows, starts, size = [], [], [], {c: [] for c, *_ in plan}, 0
+            picked, rows, lows, starts, size, shorts = [], [], [], {c: [] for c, *_ in plan}, 0, []
             for i, j in tk.slices(offsets):
                 words, bounds = text_words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for length in exact:
+                    key = whole(words, length)
+                    s = np.flatnonzero(bits[key >> shift])
+                    row = np.searchsorted(bounds, s, "right") - 1
+                    s, row = s[s + length <= bounds[row + 1]], row[s + length <= bounds[row + 1]]
+                    if len(s):  # the first place in each row
+                        s = s[np.unique(np.stack([row.astype(np.uint64), key[s]]), axis=1, return_index=True)[1]]
+                        row = np.searchsorted(bounds, s, "right") - 1
+                        at = (s[:, None] + np.arange(length)).ravel()
+                        shorts.append((batch.column(0).take(pa.array(i + row)), s - bounds[row], words[at].view(np.int64), np.arange(len(s) + 1) * length, key[s].view(np.int64)))
                 if len(words) < 2:
                     continue
                 hit = np.zeros(len(words), np.int32)
@@ -206,9 +237,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         continue
                     los.append(np.maximum(s - slack, row_first[s]))
                     his.append(np.minimum(s + length + slack, last[s]))
-                    k = stride(c)  # the next start of the grid after each window that may hold an item
-                    grid = row_first[s] + -(-(s - row_first[s]) // k) * k
-                    found[c] = np.unique(grid[grid < last[s]])
+                    # the grid's starts in each window that may hold an item, while a walk still fits in
+                    k = stride(c)
+                    near = tk.covered(s, np.minimum(s + k + max(0, int(length - core(c))), last[s]), len(words))
+                    found[c] = np.flatnonzero(near & ((place - row_first) % k == 0))
                 if not los:
                     continue
                 inside = tk.covered(np.concatenate(los), np.concatenate(his), len(words))
@@ -221,6 +253,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 lows.append(edge - bounds[row])
                 picked.append(words[inside])
                 size += len(picked[-1])
+            for ids, lo, part, ends, key in shorts:
+                one = pa.array(np.arange(len(key) + 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part)), pa.ListArray.from_arrays(one, pa.array(key))], ["id", "lo", "words", "keys"])
             if not size:
                 continue
             words, rows = np.concatenate(picked), np.concatenate(rows)
@@ -273,5 +308,5 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those that leak an item; rows with a null id stay."""
-    bad = leaks(docs, items, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    bad = cut(leaks(docs, items, id_col=id_col, **options).select(id_col).distinct())
+    return docs.join(broadcast_if_small(bad, 1_000_000), id_col, "left_anti")
