@@ -44,6 +44,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "language", "confidence", "n_trigrams", "kept")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator on web pages, with their markup language, host and address suffix."""
+    pages = language.of_pages(table(spark, sf_dir, "pages"))
+    return language.identify(pages, host_col="host", suffix_col="suffix").select("page_id", "language", "confidence", "n_trigrams", "kept")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -110,7 +116,9 @@ o AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i)
 r AS (
   SELECT a.doc_id, a.pos, [a.i, b.i, c.i] AS places, [a.line, b.line, c.line] AS body
   FROM o a JOIN o b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN o c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
-k AS (SELECT doc_id, places, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM r),
+k AS (
+  SELECT doc_id, places, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth FROM r
+  UNION ALL SELECT doc_id, [i], row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) FROM o WHERE length(line) >= 60),
 d AS (SELECT DISTINCT doc_id, unnest(places) AS i FROM k WHERE nth > 1),
 x AS (
   SELECT e.doc_id, count(*)::BIGINT AS n_lines, count(d.i)::BIGINT AS n_removed,
@@ -122,7 +130,7 @@ FROM s LEFT JOIN x ON x.doc_id = s.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
