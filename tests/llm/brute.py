@@ -79,8 +79,8 @@ def edit_in(item, text):
     return min(prev)
 
 
-def dedup_lines(docs, run=3):
-    """docs: (id, text) in order of id. Texts without later copies of runs of lines."""
+def dedup_lines(docs, run=3, long=60):
+    """docs: (id, text) in order of id. Texts without later copies of runs of lines and of long lines."""
     norm = lambda s: re.sub("[\x09-\x0d]", " ", s).strip(" ")
     seen, out = set(), []
     for _, text in docs:
@@ -95,5 +95,108 @@ def dedup_lines(docs, run=3):
             if body in seen:
                 gone |= {i for i, _ in full[k : k + run]}
             seen.add(body)
+        for i, s in full:
+            if len(s) >= long:
+                gone |= {i} if s in seen else set()
+                seen.add(s)
         out.append("\n".join(s for i, s in enumerate(lines) if i not in gone) if gone else text)
     return out
+
+
+def languages(rows, models, least=0.5):
+    """rows: (text, declared, host, suffix). (language, confidence, kept) of each, counted row by row."""
+    from collections import defaultdict
+    from math import exp, log
+
+    def grams(text):
+        b = [c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
+        b = [48 if 48 <= c <= 57 else c if c >= 128 or 97 <= c <= 122 else 32 for c in b]
+        codes = [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2) if b[i + 1] >= 97]
+        return Counter((c * 2654435761 & 0xFFFFFFFF) >> 17 for c in codes)
+
+    said = Counter(d for _, d, _, _ in rows if d is not None)
+    top = sorted(d for d, _ in sorted(said.items(), key=lambda x: (-x[1], x[0]))[:models])
+    names = top + ["(rest)"] * (len(said) > len(top))
+    of = lambda d: None if d is None else names.index(d) if d in top else len(top)
+    text, hosts, suffixes, corpus = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
+    for t, d, h, s in rows:
+        if d is not None:
+            text[of(d)].update(grams(t))
+            hosts[h or "", s or ""][of(d)] += 1
+            suffixes[s or ""][of(d)] += 1
+            corpus[of(d)] += 1
+    p = [(corpus[k] + 1) / (sum(corpus.values()) + len(names)) for k in range(len(names))]
+    out = []
+    for t, d, h, s in rows:
+        g, own, score = grams(t), of(d), []
+        for k in range(len(names)):
+            me = own == k
+            prior = p[k]
+            for counts in (suffixes[s or ""], hosts[h or "", s or ""]):
+                prior = (counts[k] - me + 20 * prior) / (sum(counts.values()) - (own is not None) + 20)
+            fits = 1 if own is None else 0.9 / p[k] if me else 0.1 / (1 - p[k])
+            whole = sum(text[k].values()) - me * sum(g.values())
+            like = sum(n * log((text[k][c] - me * n + 0.5) / (whole + 0.5 * 32768)) for c, n in g.items())
+            score.append(log(prior * 0.99 * fits) + 0.3 * like)
+        score.append(log(0.01) - 0.3 * sum(g.values()) * log(32768))
+        best = max(range(len(score)), key=lambda k: (score[k], -k))
+        sure = 1 / sum(exp(x - score[best]) for x in score)
+        name = None if best == len(names) or not g else names[best]
+        if name == "(rest)":
+            name = d if d is not None and d not in top else None
+        out.append((name, sure, name is not None and sure >= least))
+    return out
+
+
+def url_rules(baskets, min_bad, min_confidence):
+    """baskets: (tokens, bad). {rule: (bad pages, pages)}, by trying all sets of tokens."""
+    from itertools import combinations
+
+    where = {}
+    for k, (tokens, _) in enumerate(baskets):
+        for t in set(tokens):
+            where.setdefault(t, set()).add(k)
+    least = {}
+    for t in sorted(where):
+        least.setdefault(frozenset(where[t]), t)
+    own = set(least.values())
+    base = sum(bad for _, bad in baskets) / max(1, len(baskets))
+    pages, bads = Counter(), Counter()
+    for tokens, bad in baskets:
+        t = sorted(set(tokens) & own)
+        for k in range(1, len(t) + 1):
+            for c in combinations(t, k):
+                pages[c] += 1
+                bads[c] += bad
+    sure = {}
+    for c, n in pages.items():
+        p, z = bads[c] / n, 1.645
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if bads[c] >= min_bad and p >= min_confidence and low > base:
+            sure[c] = p
+    kept = [c for c in sure if not any(sure.get(x, -1) >= sure[c] for k in range(1, len(c)) for x in combinations(c, k))]
+    return {c: (bads[c], pages[c]) for c in kept}
+
+
+def url_tokens(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    host, path = (lower(m[1]), m[2]) if m else ("", "")
+    labels = host.split(".")
+    q = re.search(r"\?([^#]*)", url)
+    out = {"h:" + x for x in labels} | {"d:" + ".".join(labels[-2:])} | {"p:" + x for x in re.sub("[0-9]+", "0", path).split("/")}
+    out |= {"q:" + re.sub("[0-9]+", "0", re.sub("(?s)=.*", "", x)) for x in (q[1] if q else "").split("&")} | ({"f:#"} if "#" in url else set())
+    return host, path, {t for t in out if len(t) > 2}
+
+
+def filter_urls(pages, labels, listed, min_bad=5, min_confidence=0.5):
+    """((page_id, host, path, rule, verdict) of each page, the mined rules)."""
+    tokens = {i: url_tokens(u) if u is not None else ("", "", None) for i, u in pages}
+    baskets = [(tokens[i][2], q == 0 or t == 1) for i, q, t in labels if i in tokens and tokens[i][2] is not None]
+    mined = url_rules(baskets, min_bad, min_confidence)
+    out = []
+    for i, _ in pages:
+        host, path, t = tokens[i]
+        fit = [(len(h + p), h + p, v) for h, p, v in listed if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fit, default=(0, None, None))
+        out.append((i, host, path, rule, verdict or ("block" if t and any(set(c) <= t for c in mined) else "allow")))
+    return out, mined

@@ -5,6 +5,7 @@ from strandlake.llm import decontaminate
 
 from .. import oracle
 from . import brute
+from .test_similar_texts import components, shingles
 
 
 def test_stages(spark):
@@ -21,8 +22,8 @@ def test_stages(spark):
             texts = brute.dedup_lines([(r[0], r[1]) for r in rows])
             assert got == [(r[0], t, r[2], r[3], len(t)) for r, t in zip(rows, texts)]
         elif name.startswith("SimHash"):
-            prints = [brute.fingerprint(r[1]) for r in rows]
-            assert got == [r for r, c in zip(rows, brute.components([r[0] for r in rows], prints)) if r[0] == c]
+            sets = [shingles(r[1]) for r in rows]
+            assert got == [r for r, c in zip(rows, components([r[0] for r in rows], sets)) if r[0] == c]
         else:
             leaking = set()
             for r in rows:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from strandlake.llm import jaccard
+from strandlake.llm import simhash
 
 from . import brute
 from .test_operators import DOC, word_maker
@@ -54,14 +54,14 @@ def texts():
     return list(enumerate(out, 100))
 
 
-@pytest.mark.parametrize("often", [1, 1000])
-def test_against_brute_force(spark, texts, monkeypatch, often):
-    monkeypatch.setattr(jaccard, "SAMPLE", 1)
-    monkeypatch.setattr(jaccard, "OFTEN", often)  # the order of shingles must not change the result
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOC).repartition(3)
-    got = dict(map(tuple, jaccard.near_duplicates(docs).collect()))
+@pytest.mark.parametrize("large", [3, 4096])
+def test_against_brute_force(spark, texts, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)  # chunks of buckets must not change the result
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts] + [(None, "a null id", "en", "s", 1), (100, None, "en", "s", 1)], DOC).repartition(3)
+    rows = simhash.similar_texts(docs).collect()
+    got = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
     want = dict(zip((i for i, _ in texts), components([i for i, _ in texts], [shingles(t) for _, t in texts])))
-    assert got == want and 30 < len(set(want.values())) < len(want)
+    assert len(rows) == len(texts) + 2 and got == want and 30 < len(set(want.values())) < len(want)
 
 
 def test_stage_drops_what_two_bits_leave(spark, texts):

@@ -202,6 +202,33 @@ def test_network_learns_its_gradient():
     assert abs(np.sqrt(zero[-1][lm.CLASSES - 5]) - abs(slope)) < 1e-3 * max(1, abs(slope))
 
 
+def test_training_equals_plain_loops():
+    """One Adagrad step a batch, gradients added up word by word."""
+    rng = np.random.default_rng(10)
+    classes = rng.integers(0, lm.CLASSES, 50).astype(np.int32)
+    around = lm.contexts(classes, np.array([0, 30, 50]))
+    flat = lm.Net.fresh(rng.integers(0, 9, lm.CLASSES))
+    net, plain = lm.Net(flat), [p.astype(float) for p in lm.Net(flat).parts]
+    squares, sums = [np.full_like(p, 1e-4) for p in net.parts], [np.full_like(p, 1e-4) for p in plain]
+    for _ in range(3):
+        net.train(around, classes, squares)
+        grads = [np.zeros_like(p) for p in plain]
+        for c, t in zip(around, classes):
+            hidden = np.tanh(sum(plain[0][k][x] for k, x in enumerate(c)) + plain[1])
+            logits = hidden @ plain[2] + plain[3]
+            off = np.exp(logits) / np.exp(logits).sum()
+            off[t] -= 1
+            back = (plain[2] @ off) * (1 - hidden**2)
+            for k, x in enumerate(c):
+                grads[0][k][x] += back / 50
+            for g, x in zip(grads[1:], (back, np.outer(hidden, off), off)):
+                g += x / 50
+        for p, g, s in zip(plain, grads, sums):
+            s += g * g
+            p -= lm.RATE * g / (np.sqrt(s) + 1e-6)
+    assert all(np.allclose(a, b, atol=2e-3) for a, b in zip(net.parts, plain))
+
+
 def test_contexts_stop_at_documents():
     got = lm.contexts(np.array([1, 2, 3, 4, 5], np.int32), np.array([0, 3, 3, 5]))
     x = lm.CLASSES
