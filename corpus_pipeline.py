@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, decontaminate, jaccard, language, lines
+from strandlake.llm import bpe, decontaminate, language, lines, simhash
 from strandlake.llm.queries import VOCABULARY
+from strandlake.plans.joins import broadcast_if_small
+from strandlake.plans.lineage import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,10 +30,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (J >= 4/5 on five-word shingles, exact), the document of least id stays."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near copies (five-word shingles, J >= 4/5) the document of least id stays."""
+    found = simhash.similar_texts(docs)
+    gone = cut(found.filter("doc_id > component_id").select("doc_id").distinct())
+    return docs.select(*COLUMNS).join(broadcast_if_small(gone, 1_000_000), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
