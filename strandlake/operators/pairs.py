@@ -69,32 +69,26 @@ def weighted_pairs(segments: DataFrame, weight: str, a: str, b: str) -> DataFram
     return d.groupBy(*PAIR).agg(F.sum(weight).alias("total"), F.count("*").alias("n"), F.max(weight).alias("longest"))
 
 
-def _pairs_of(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-    """Counts of sites where the lesser person is in x and the greater in y, and the other way round."""
-    j = x.select(F.col("sample_id").alias("p"), *SITE).join(y.select(F.col("sample_id").alias("q"), *SITE), SITE).filter("p <> q")
-    return j.groupBy(F.least("p", "q").alias("sample_a"), F.greatest("p", "q").alias("sample_b")).agg(F.count("*").alias(name))
-
-
-def pair_evidence(genotypes: DataFrame, people: DataFrame) -> DataFrame:
-    """Joint-call evidence of all pairs of people with any shared carrier or jointly missing site.
+def pair_evidence(genotypes: DataFrame) -> DataFrame:
+    """Joint-call evidence of all pairs with a site that both carry or that one or both miss.
 
     n_both: both carry; n_either: either carries, at sites called in both; n_called: sites
-    called in both. From three sparse joins and each person's own counts; sites with a
-    missing genotype are the sparse rows, so nothing dense is built. people: sample_id.
+    called in both. Genotypes are sparse: a stored null is missing, what isn't stored is
+    called without the allele. Pairs meet at stored sites only; the rest follows from each
+    person's own counts and the number of sites.
     """
-    sites = genotypes.select(*SITE).distinct().count()
-    carried = genotypes.filter("dosage > 0").select("sample_id", *SITE)
-    site_list = genotypes.select(*SITE).distinct()
-    called = genotypes.filter("dosage is not null").select("sample_id", *SITE)
-    missing = people.crossJoin(site_list).join(called, ["sample_id", *SITE], "left_anti")
-    both = _pairs_of(carried, carried, "n2").select(*PAIR, (F.col("n2") / 2).cast("long").alias("n_both"))
-    lost = _pairs_of(carried, missing, "n_lost")  # one carries where the other is missing
-    blank = _pairs_of(missing, missing, "n2").select(*PAIR, (F.col("n2") / 2).cast("long").alias("n_blank"))
-    own = people.join(carried.groupBy("sample_id").agg(F.count("*").alias("c")), "sample_id", "left").join(missing.groupBy("sample_id").agg(F.count("*").alias("m")), "sample_id", "left").na.fill(0, ["c", "m"])
-    a, b = (own.select(F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
-    d = both.join(lost, PAIR, "full").join(blank, PAIR, "full").na.fill(0).join(a, "sample_a").join(b, "sample_b")
+    sites = genotypes.select(*SITE).distinct().agg(F.count("*").alias("sites"))
+    g = genotypes.filter("dosage is null or dosage > 0")
+    a, b = (g.select(F.col("sample_id").alias(f"sample_{x}"), *SITE, F.col("dosage").alias(v)) for x, v in (("a", "x"), ("b", "y")))
+    lost = (F.col("x").isNull() & F.col("y").isNotNull()) | (F.col("x").isNotNull() & F.col("y").isNull())
+    d = a.join(b, SITE).filter("sample_a < sample_b").groupBy(*PAIR).agg(
+        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_both"), F.count_if(F.col("x").isNull() & F.col("y").isNull()).alias("n_blank"), F.count_if(lost).alias("n_lost")
+    )
+    own = genotypes.groupBy("sample_id").agg(F.count_if(F.col("dosage") > 0).alias("c"), F.count_if(F.col("dosage").isNull()).alias("m"))
+    oa, ob = (own.select(F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c_{x}"), F.col("m").alias(f"m_{x}")) for x in "ab")
+    d = d.join(oa, "sample_a").join(ob, "sample_b").crossJoin(F.broadcast(sites))
     return d.select(
-        *PAIR, "n_both", (F.col("c_a") + F.col("c_b") - F.col("n_lost") - F.col("n_both")).alias("n_either"), (F.lit(sites) - F.col("m_a") - F.col("m_b") + F.col("n_blank")).alias("n_called")
+        *PAIR, "n_both", (F.col("c_a") + F.col("c_b") - F.col("n_lost") - F.col("n_both")).alias("n_either"), (F.col("sites") - F.col("m_a") - F.col("m_b") + F.col("n_blank")).alias("n_called")
     )
 
 
@@ -112,10 +106,10 @@ def dyad_universe(groups: DataFrame, observed: DataFrame, key: str) -> DataFrame
     return d.withColumn("unknown", F.col("possible") - F.col("observed"))
 
 
-def pair_universe(nodes: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """All pairs of a small node set with their value; absent ones stay null."""
-    a, b = nodes.select(F.col("sample_id").alias("sample_a")), nodes.select(F.col("sample_id").alias("sample_b"))
-    return a.join(b, F.col("sample_a") < F.col("sample_b")).join(values.select(*PAIR, value), PAIR, "left")
+def pair_universe(nodes: DataFrame, values: DataFrame, value: str, within: list[str]) -> DataFrame:
+    """All pairs of nodes of the same group (columns `within`) with their value; absent ones stay null."""
+    a, b = (nodes.select(*within, F.col("sample_id").alias(f"sample_{x}")) for x in "ab")
+    return a.join(b, within).filter("sample_a < sample_b").join(values.select(*PAIR, value), PAIR, "left").select(*within, *PAIR, value)
 
 
 def king_robust(genotypes: DataFrame) -> DataFrame:

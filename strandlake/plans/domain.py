@@ -1,10 +1,10 @@
 """Domain-shaped views of the driver's tables, each with the SQL that says the same.
 
-genotypes: a person is a customer modulo 200, a site a part; dosage is the line number
+genotypes: a person is a customer, a site a part; dosage is the line number
 modulo 3, missing for line 7. Where a cell repeats, the largest dosage counts.
 sites: allele count and number over called genotypes, with bases derived from the position.
 intervals: a shipment from its date over as many days as its quantity, on the supplier as contig.
-pairs: customers (modulo 200) sharing parts, through segments of carriers.
+pairs: customers sharing parts, through segments of carriers.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cell = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("o_custkey") % 200).alias("sample_id"),
+        F.col("o_custkey").alias("sample_id"),
         (F.col("l_partkey") % 5 + 1).alias("chrom"),
         (F.col("l_partkey") * 1000).alias("pos"),
         F.when(F.col("l_linenumber") != 7, (F.col("l_linenumber") % 3).cast("long")).alias("dosage"),
@@ -30,7 +30,7 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GENO = """geno AS (
-  SELECT o_custkey % 200 AS sample_id, l_partkey % 5 + 1 AS chrom, l_partkey * 1000 AS pos,
+  SELECT o_custkey AS sample_id, l_partkey % 5 + 1 AS chrom, l_partkey * 1000 AS pos,
     max(CASE WHEN l_linenumber <> 7 THEN (l_linenumber % 3)::BIGINT END) AS dosage
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"""
 

@@ -94,13 +94,13 @@ def query_burden(s, d):
 
 
 def called(s, d, shift: int):
-    g = D.genotypes(s, d).filter("sample_id < 60")
+    g = D.genotypes(s, d)
     k = F.floor((F.col("pos") + shift) / 60_000)
     return g.select("sample_id", "chrom", "pos", ((F.col("sample_id") + k) % 3).alias("label"))
 
 
 def _called(shift: int) -> str:
-    return f"(SELECT sample_id, chrom, pos, (sample_id + (pos + {shift}) // 60000) % 3 AS label FROM geno WHERE sample_id < 60)"
+    return f"(SELECT sample_id, chrom, pos, (sample_id + (pos + {shift}) // 60000) % 3 AS label FROM geno)"
 
 
 @query(f"""WITH {D.GENO}, x AS (SELECT *, lag(pos) OVER w AS p, lag(label) OVER w AS before FROM {_called(0)} WINDOW w AS (PARTITION BY sample_id, chrom ORDER BY pos))
@@ -115,7 +115,7 @@ def boundary_matches(s, d):
     return A.match_boundaries(A.boundaries(called(s, d, 0), k), A.boundaries(called(s, d, 5000), k), k, 20_000.0)
 
 
-GRIDP = "gr AS (SELECT p_partkey % 5 + 1 AS chrom, p_partkey * 1000 AS pos, p_size / 60 AS a, (60 - p_size) / 120 AS b FROM part WHERE p_partkey % 7 = 0)"
+GRIDP = "gr AS (SELECT p_partkey % 5 + 1 AS chrom, p_partkey * 1000 AS pos, p_size / 60 AS a, (60 - p_size) / 120 AS b FROM part)"
 
 
 @query(f"""WITH {GRIDP}, e AS (SELECT chrom, min(pos) AS lo, max(pos) AS hi FROM gr GROUP BY chrom), q AS (SELECT o_orderkey AS id, o_orderkey % 5 + 1 AS chrom, (o_orderkey * 7919) % 2200000 - 50000 AS pos FROM orders),
@@ -123,7 +123,7 @@ c AS (SELECT q.*, least(greatest(q.pos, lo), hi) AS x, hi FROM q JOIN e USING (c
 SELECT id, c.chrom, c.pos, round(a + (x - w.pos) * (na - a) / (np - w.pos), 9) AS p0, round(b + (x - w.pos) * (nb - b) / (np - w.pos), 9) AS p1 FROM c JOIN w ON w.chrom = c.chrom AND np IS NOT NULL AND x >= w.pos AND (x < np OR (x = np AND np = hi))""")
 def projected_posterior(s, d):
     z = F.col("p_size")
-    g = D.table(s, d, "part").filter("p_partkey % 7 = 0").select((F.col("p_partkey") % 5 + 1).alias("chrom"), (F.col("p_partkey") * 1000).alias("pos"), F.array(z / 60, (60 - z) / 120, (60 - z) / 120).alias("p"))
+    g = D.table(s, d, "part").select((F.col("p_partkey") % 5 + 1).alias("chrom"), (F.col("p_partkey") * 1000).alias("pos"), F.array(z / 60, (60 - z) / 120, (60 - z) / 120).alias("p"))
     out = A.project_posterior(map_points(s, d), g, ["chrom"], 20_000)
     return out.select("id", "chrom", "pos", F.round(F.get("p", F.lit(0)), 9).alias("p0"), F.round(F.get("p", F.lit(1)), 9).alias("p1"))
 
@@ -136,10 +136,10 @@ def flank_table(s, d):
     return A.flank_table(m, ["sample_id", "chrom"])
 
 
-@query(f"""WITH {D.INTERVALS}, c AS (SELECT contig, part, record AS carrier, lo, hi FROM iv WHERE contig < 4 AND part < 4)
+@query(f"""WITH {D.INTERVALS}, c AS (SELECT contig, part, record AS carrier, lo, hi FROM iv)
 SELECT a.contig, a.part, a.carrier, b.carrier AS other, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM c a JOIN c b ON a.contig = b.contig AND a.part = b.part AND a.carrier < b.carrier AND a.lo <= b.hi AND b.lo <= a.hi""")
 def copy_overlaps(s, d):
-    c = D.intervals(s, d).filter("contig < 4 and part < 4").select("contig", "part", F.col("record").alias("carrier"), "lo", "hi")
+    c = D.intervals(s, d).select("contig", "part", F.col("record").alias("carrier"), "lo", "hi")
     return A.copy_overlaps(c, ["contig", "part"], 32)
 
 

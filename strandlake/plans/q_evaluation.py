@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 @query(None)
 def overlap_assignment(s, d):
-    v = D.intervals(s, d).filter("contig < 10")
+    v = D.intervals(s, d)
     key = F.col("record") * 10 + F.col("part")
     t = v.filter("label = 'A'").select("contig", key.alias("truth"), "lo", "hi")
     return E.assign_overlaps(t, v.filter("label = 'R'").select("contig", key.alias("call"), "lo", "hi"), ["contig"], 32)
@@ -34,7 +34,7 @@ def overlap_assignment(s, d):
 
 @query(None)
 def tag_sites(s, d):
-    g = D.genotypes(s, d).filter("pos < 100000")
+    g = D.genotypes(s, d)
     return E.tag_sites(S.ld_pairs(g, ["chrom"], 20_000), g.select("chrom", "pos").distinct(), 0.2)
 
 
@@ -53,12 +53,12 @@ def config_diagnostics(s, d):
     return E.config_diagnostics(seg, "config").withColumn("per_kb", F.round("per_kb", 9))
 
 
-@query(f"""WITH {D.SEGMENTS}, g AS (SELECT chrom * 1000000000000 + start_pos * 100000 + sample_a * 300 + sample_b AS seg, * FROM segments WHERE sample_a < 20),
+@query(f"""WITH {D.SEGMENTS}, g AS (SELECT concat_ws('-', sample_a, sample_b, chrom, start_pos) AS seg, * FROM segments),
 j AS (SELECT seg, sample_a, sample_b, g.chrom, a.pos, a.dosage AS x, b.dosage AS y FROM g JOIN geno a ON a.sample_id = sample_a AND a.chrom = g.chrom AND a.pos BETWEEN start_pos AND end_pos JOIN geno b ON b.sample_id = sample_b AND b.chrom = g.chrom AND b.pos = a.pos),
 l AS (SELECT *, max(CASE WHEN x > 0 AND y > 0 THEN pos END) OVER (PARTITION BY seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM j)
 SELECT seg, sample_a, sample_b, chrom, count(*) FILTER (WHERE x > 0 AND y > 0) AS n_both, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND (x > 0 OR y > 0)) AS n_either, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_called, max(CASE WHEN x > 0 AND y > 0 THEN pos - p END) AS max_gap FROM l GROUP BY ALL""")
 def segment_evidence(s, d):
-    seg = segments(s, d).filter("sample_a < 20").select((F.col("chrom") * 1_000_000_000_000 + F.col("start_pos") * 100_000 + F.col("sample_a") * 300 + F.col("sample_b")).alias("seg"), "sample_a", "sample_b", "chrom", F.col("start_pos").alias("lo"), F.col("end_pos").alias("hi"))
+    seg = segments(s, d).select(F.concat_ws("-", "sample_a", "sample_b", "chrom", "start_pos").alias("seg"), "sample_a", "sample_b", "chrom", F.col("start_pos").alias("lo"), F.col("end_pos").alias("hi"))
     return E.segment_evidence(seg, D.genotypes(s, d), 50_000)
 
 
@@ -132,10 +132,10 @@ def compare_configs(s, d):
     return out.withColumns({"spearman": F.round("spearman", 6), "relative_change": F.round("relative_change", 6)})
 
 
-@query(f"""WITH {D.INTERVALS}, x AS (SELECT label AS file, contig AS chrom, lo, hi, record % 300 AS id1, part AS id2 FROM iv WHERE contig < 8)
+@query(f"""WITH {D.INTERVALS}, x AS (SELECT label AS file, contig AS chrom, lo, hi, record % 300 AS id1, part AS id2 FROM iv)
 SELECT coalesce(file, 'ALL') AS file, coalesce(chrom::VARCHAR, 'ALL') AS chrom, count(*) AS n, count(*) FILTER (WHERE id1 < 150 AND id2 < 6) AS n_known, min(lo) AS first, max(hi) AS last, min(hi - lo + 1) AS shortest, max(hi - lo + 1) AS longest FROM x GROUP BY ROLLUP (file, chrom)""")
 def ibd_inventory(s, d):
-    v = D.intervals(s, d).filter("contig < 8").select(F.col("label").alias("file"), F.col("contig").alias("chrom"), "lo", "hi", (F.col("record") % 300).alias("id1"), F.col("part").alias("id2"))
+    v = D.intervals(s, d).select(F.col("label").alias("file"), F.col("contig").alias("chrom"), "lo", "hi", (F.col("record") % 300).alias("id1"), F.col("part").alias("id2"))
     ids1 = v.filter("id1 < 150 or id1 < 6").select(F.col("id1").alias("sample_id")).distinct()
     # people are one universe: both sides use it, so second ids are lifted out of the way when unknown
     w = v.withColumn("id2", F.when(F.col("id2") < 6, F.col("id2")).otherwise(F.col("id2") + 1000))
@@ -193,7 +193,7 @@ def stratified_bootstrap(s, d):
 @query(None)
 def pc_relate(s, d):
     c = nodes(s, d).select(F.col("node").alias("sample_id"), (F.col("node") % 7 / 7).alias("pc1"), (F.col("node") % 5 / 5).alias("pc2"))
-    g = D.genotypes(s, d).filter("pos < 300000")
+    g = D.genotypes(s, d)
     return E.pc_relate(g, c, ["pc1", "pc2"]).withColumn("kinship", F.round("kinship", 6))
 
 

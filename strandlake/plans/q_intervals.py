@@ -50,10 +50,10 @@ def interval_geometry(s, d):
     return I.geometry(side(s, d, "A"), side(s, d, "R"), ["contig"], DAYS)
 
 
-@query(f"""WITH {D.INTERVALS}, a AS (SELECT * FROM iv WHERE label = 'A' AND contig < 5), b AS (SELECT contig, lo AS r_lo, hi AS r_hi, record AS r_record, part AS r_part FROM iv WHERE label = 'R' AND contig < 5)
+@query(f"""WITH {D.INTERVALS}, a AS (SELECT * FROM iv WHERE label = 'A'), b AS (SELECT contig, lo AS r_lo, hi AS r_hi, record AS r_record, part AS r_part FROM iv WHERE label = 'R')
 SELECT a.contig, record, part, lo, hi, r_record, r_part, r_lo, r_hi FROM a JOIN b ON a.contig = b.contig AND lo <= r_hi AND r_lo <= hi""")
 def interval_overlap(s, d):
-    v = D.intervals(s, d).filter("contig < 5")
+    v = D.intervals(s, d)
     a = v.filter("label = 'A'").drop("label")
     b = v.filter("label = 'R'").select("contig", "lo", "hi", F.col("record").alias("r_record"), F.col("part").alias("r_part"))
     return I.overlap_join(a, b, ["contig"], DAYS)
@@ -101,7 +101,7 @@ def segment_set_overlap(s, d):
     return I.set_overlap(side(s, d, "A"), side(s, d, "R"), ["contig"], DAYS)
 
 
-@query(f"""WITH p AS (SELECT l_suppkey AS contig, l_linenumber AS line, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, l_returnflag AS f FROM lineitem WHERE l_suppkey < 20),
+@query(f"""WITH p AS (SELECT l_suppkey AS contig, l_linenumber AS line, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, l_returnflag AS f FROM lineitem),
 q AS (SELECT contig, line % 2 AS side, day, min(f) AS f FROM p GROUP BY ALL),
 t AS (SELECT contig, side, day AS lo, coalesce(lead(day) OVER (PARTITION BY contig, side ORDER BY day) - 1, day) AS hi, CASE WHEN f = 'A' THEN NULL WHEN f = 'N' AND day % 3 = 0 THEN '?' ELSE f END AS label FROM q)
 SELECT a.contig, CASE WHEN a.label IS NULL OR b.label IS NULL THEN 'unobserved' WHEN a.label = '?' OR b.label = '?' THEN 'ambiguous' WHEN a.label = b.label THEN 'match' ELSE 'mismatch' END AS state,
@@ -110,7 +110,7 @@ FROM t a JOIN t b ON a.contig = b.contig AND a.side = 0 AND b.side = 1 AND a.lo
 def partition_overlay(s, d):
     from pyspark.sql import Window
 
-    p = D.table(s, d, "lineitem").filter("l_suppkey < 20").select(F.col("l_suppkey").alias("contig"), (F.col("l_linenumber") % 2).alias("side"), F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long").alias("day"), F.col("l_returnflag").alias("f"))
+    p = D.table(s, d, "lineitem").select(F.col("l_suppkey").alias("contig"), (F.col("l_linenumber") % 2).alias("side"), F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long").alias("day"), F.col("l_returnflag").alias("f"))
     q = p.groupBy("contig", "side", "day").agg(F.min("f").alias("f"))
     w = Window.partitionBy("contig", "side").orderBy("day")
     label = F.when(F.col("f") == "A", None).when((F.col("f") == "N") & (F.col("day") % 3 == 0), "?").otherwise(F.col("f"))
@@ -132,13 +132,13 @@ def edge_sweep(s, d):
 
 # Genetic map: parts in order on five chromosomes, cM the running sum of sizes over 1000.
 MAP = """map AS (SELECT p_partkey % 5 + 1 AS chrom, p_partkey * 1000 AS pos,
-  sum(p_size) OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) / 1000 AS cm FROM part WHERE p_partkey % 3 = 0)"""
+  sum(p_size) OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) / 1000 AS cm FROM part)"""
 
 
 def genetic_map(s, d):
     from pyspark.sql import Window
 
-    p = D.table(s, d, "part").filter("p_partkey % 3 = 0")
+    p = D.table(s, d, "part")
     w = Window.partitionBy(F.col("p_partkey") % 5).orderBy("p_partkey")
     return p.select((F.col("p_partkey") % 5 + 1).alias("chrom"), (F.col("p_partkey") * 1000).alias("pos"), (F.sum("p_size").over(w) / 1000).alias("cm"))
 

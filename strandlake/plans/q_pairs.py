@@ -60,18 +60,17 @@ def ibd_pairs(s, d):
     return P.weighted_pairs(p, "cm", "x", "y")
 
 
-FEW = "sample_id < 40"
-EVIDENCE = f"""WITH {D.GENO}, g AS (SELECT * FROM geno WHERE {FEW}), v AS (SELECT DISTINCT chrom, pos FROM g), p AS (SELECT DISTINCT sample_id FROM g),
-f AS (SELECT sample_id, v.chrom, v.pos, g.dosage FROM p CROSS JOIN v LEFT JOIN g USING (sample_id, chrom, pos)),
-e AS (SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, count(*) FILTER (WHERE a.dosage > 0 AND b.dosage > 0) AS n_both,
-    count(*) FILTER (WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL AND (a.dosage > 0 OR b.dosage > 0)) AS n_either,
-    count(*) FILTER (WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL) AS n_called
-  FROM f a JOIN f b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample_id < b.sample_id GROUP BY ALL)"""
+EVIDENCE = f"""WITH {D.GENO}, v AS (SELECT count(*) AS sites FROM (SELECT DISTINCT chrom, pos FROM geno)),
+j AS (SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, a.dosage AS x, b.dosage AS y FROM geno a JOIN geno b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample_id < b.sample_id),
+k AS (SELECT sample_a, sample_b, count(*) FILTER (WHERE x > 0 AND y > 0) AS n_both, count(*) FILTER (WHERE x IS NULL AND y IS NULL) AS n_blank,
+  count(*) FILTER (WHERE (x > 0 AND y IS NULL) OR (x IS NULL AND y > 0)) AS n_lost FROM j GROUP BY ALL HAVING n_both + n_blank + n_lost > 0),
+o AS (SELECT sample_id, count(*) FILTER (WHERE dosage > 0) AS c, count(*) FILTER (WHERE dosage IS NULL) AS m FROM geno GROUP BY sample_id),
+e AS (SELECT sample_a, sample_b, n_both, a.c + b.c - n_lost - n_both AS n_either, sites - a.m - b.m + n_blank AS n_called
+  FROM k JOIN o a ON a.sample_id = sample_a JOIN o b ON b.sample_id = sample_b, v)"""
 
 
 def evidence(s, d):
-    g = D.genotypes(s, d).filter(FEW)
-    return P.pair_evidence(g, g.select("sample_id").distinct())
+    return P.pair_evidence(D.genotypes(s, d))
 
 
 @query(EVIDENCE + " SELECT * FROM e")
@@ -93,11 +92,13 @@ def dyad_universe(s, d):
     return P.dyad_universe(g, o, "grp")
 
 
-@query(f"""WITH {D.PAIRS}, n AS (SELECT DISTINCT sample_id FROM geno WHERE {FEW})
-SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, total_shared_bp FROM n a JOIN n b ON a.sample_id < b.sample_id
+@query(f"""WITH {D.PAIRS}, n AS (SELECT DISTINCT sample_id, c_nationkey AS nation, c_mktsegment AS seg FROM geno JOIN customer ON c_custkey = sample_id)
+SELECT a.nation, a.seg, a.sample_id AS sample_a, b.sample_id AS sample_b, total_shared_bp FROM n a JOIN n b ON a.nation = b.nation AND a.seg = b.seg AND a.sample_id < b.sample_id
 LEFT JOIN pairs p ON p.sample_a = a.sample_id AND p.sample_b = b.sample_id""")
 def pair_universe(s, d):
-    return P.pair_universe(D.genotypes(s, d).filter(FEW).select("sample_id").distinct(), summary(s, d), "total_shared_bp")
+    """All pairs of one nation and market segment."""
+    c = D.table(s, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg"))
+    return P.pair_universe(D.genotypes(s, d).select("sample_id").distinct().join(c, "sample_id"), summary(s, d), "total_shared_bp", ["nation", "seg"])
 
 
 @query(f"""WITH {D.GENO}, j AS (SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, a.dosage AS x, b.dosage AS y FROM geno a JOIN geno b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample_id < b.sample_id
@@ -199,7 +200,7 @@ def derived_allele_counts(s, d):
     return S.derived_counts(p).select("chrom", "pos", "status", "dac", "daf")
 
 
-LD = f"""WITH {D.GENO}, g AS (SELECT * FROM geno WHERE dosage IS NOT NULL AND pos < 200000),
+LD = f"""WITH {D.GENO}, g AS (SELECT * FROM geno WHERE dosage IS NOT NULL),
 j AS (SELECT a.chrom, a.pos AS pos_a, b.pos AS pos_b, count(*) AS n, sum(a.dosage) AS sx, sum(b.dosage) AS sy, sum(a.dosage * b.dosage) AS sxy, sum(a.dosage * a.dosage) AS sxx, sum(b.dosage * b.dosage) AS syy
   FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.chrom = b.chrom AND a.pos < b.pos AND b.pos - a.pos <= 20000 GROUP BY ALL),
 l AS (SELECT chrom, pos_a, pos_b, n, ((n * sxy - sx * sy) * (n * sxy - sx * sy))::DOUBLE / nullif(((n * sxx - sx * sx) * (n * syy - sy * sy))::DOUBLE, 0) AS r2 FROM j)"""
@@ -207,12 +208,12 @@ l AS (SELECT chrom, pos_a, pos_b, n, ((n * sxy - sx * sy) * (n * sxy - sx * sy))
 
 @query(LD + " SELECT chrom, pos_a, pos_b, n, round(r2, 9) AS r2 FROM l")
 def ld_pairs(s, d):
-    return S.ld_pairs(D.genotypes(s, d).filter("pos < 200000"), ["chrom"], 20_000).withColumn("r2", F.round("r2", 9))
+    return S.ld_pairs(D.genotypes(s, d), ["chrom"], 20_000).withColumn("r2", F.round("r2", 9))
 
 
 @query(LD + " SELECT (pos_b - pos_a) // 5000 * 5000 AS bin, count(*) AS n, round(avg(r2), 9) AS mean_r2, round(median(r2), 9) AS median_r2 FROM l WHERE r2 IS NOT NULL GROUP BY 1")
 def ld_decay(s, d):
-    p = S.ld_pairs(D.genotypes(s, d).filter("pos < 200000"), ["chrom"], 20_000)
+    p = S.ld_pairs(D.genotypes(s, d), ["chrom"], 20_000)
     return S.ld_decay(p, 5000).withColumns({"mean_r2": F.round("mean_r2", 9), "median_r2": F.round("median_r2", 9)})
 
 
@@ -298,7 +299,7 @@ def presence_summary(s, d):
 
 # --- windows
 
-@query(f"""WITH {D.GENO}, c AS (SELECT sample_id, chrom, pos FROM geno WHERE dosage > 0 AND sample_id < 60), f AS (SELECT chrom, min(pos) AS p0 FROM c GROUP BY chrom),
+@query(f"""WITH {D.GENO}, c AS (SELECT sample_id, chrom, pos FROM geno WHERE dosage > 0), f AS (SELECT chrom, min(pos) AS p0 FROM c GROUP BY chrom),
 w AS (SELECT sample_id, c.chrom, pos, p0 + k * 50000 AS start FROM c JOIN f USING (chrom), LATERAL (SELECT unnest(range(greatest(0, floor((pos - p0 - 100000) / 50000)::BIGINT + 1), (pos - p0) // 50000 + 1)) AS k)),
 o AS (SELECT chrom, start, sample_id, count(*) AS c FROM w GROUP BY ALL),
 b AS (SELECT x.chrom, x.start, x.sample_id AS sample_a, y.sample_id AS sample_b, count(*) AS n FROM w x JOIN w y ON x.chrom = y.chrom AND x.start = y.start AND x.pos = y.pos AND x.sample_id < y.sample_id GROUP BY ALL),
@@ -307,7 +308,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY chrom, start ORDER BY jaccard DE
 SELECT chrom, start, count(*) AS n_pairs, round(avg(jaccard), 9) AS mean_jaccard, round(max(jaccard), 9) AS max_jaccard,
   string_agg(sample_a || '-' || sample_b, ',' ORDER BY rk) FILTER (WHERE rk <= 3) || CASE WHEN count(*) > 3 THEN ',+' || (count(*) - 3) || ' more' ELSE '' END AS top_pairs FROM r GROUP BY chrom, start""")
 def sharing_windows(s, d):
-    out = W.sharing_windows(carriers(s, d).filter("sample_id < 60"), 100_000, 50_000, 3)
+    out = W.sharing_windows(carriers(s, d), 100_000, 50_000, 3)
     return out.withColumns({"mean_jaccard": F.round("mean_jaccard", 9), "max_jaccard": F.round("max_jaccard", 9)})
 
 

@@ -211,13 +211,13 @@ def quality_state(s, d):
     return x.groupBy("flag", V.quality_state("dp", "gq", 10, 20).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {D.GENO}, m AS (SELECT chrom * 100000 + pos // 20000 AS block, pos AS marker, dosage AS allele FROM geno WHERE sample_id < 3),
+@query(f"""WITH {D.GENO}, m AS (SELECT chrom * 100000 + pos // 20000 AS block, pos AS marker, dosage AS allele FROM geno),
 p AS (SELECT block, marker, count(DISTINCT allele) AS k, max(allele) AS top FROM m WHERE allele IS NOT NULL GROUP BY ALL),
 b AS (SELECT block, count(*) AS n_called, max(k) AS k, max(top) AS top FROM p GROUP BY block)
 SELECT a.block, coalesce(n_called, 0) AS n_called, CASE WHEN coalesce(n_called, 0) < 2 THEN 'UNEVALUABLE_FEW' WHEN k > 1 THEN 'UNEVALUABLE_CONFLICT' WHEN top > 0 THEN 'PRESENT' ELSE 'ABSENT' END AS state
 FROM (SELECT DISTINCT block FROM m) a LEFT JOIN b USING (block)""")
 def block_state(s, d):
-    m = D.genotypes(s, d).filter("sample_id < 3").select((F.col("chrom") * 100000 + F.floor(F.col("pos") / 20000)).alias("block"), F.col("pos").alias("marker"), F.col("dosage").alias("allele"))
+    m = D.genotypes(s, d).select((F.col("chrom") * 100000 + F.floor(F.col("pos") / 20000)).alias("block"), F.col("pos").alias("marker"), F.col("dosage").alias("allele"))
     return V.block_state(m, "block", "marker", "allele", 2)
 
 
@@ -225,7 +225,7 @@ def block_state(s, d):
   SELECT l_partkey % 5 + 1 AS chrom, l_partkey * 1000 - 1500 AS lo, l_partkey * 1000 + (l_quantity * 40)::BIGINT AS hi,
     CASE WHEN l_linenumber < 3 THEN 'A' END AS ref, CASE WHEN l_linenumber < 3 THEN 'T' END AS alt,
     CASE WHEN l_linenumber <> 7 THEN 0 END AS dosage, l_quantity AS dp, l_extendedprice / 1000 AS gq
-  FROM lineitem WHERE l_suppkey < 3),
+  FROM lineitem),
 j AS (SELECT s.chrom, s.pos, s.ref, s.alt, (dp >= 8 AND gq >= 20 AND dosage IS NOT NULL) AS good, r.ref AS rr, r.alt AS ra, r.lo, dosage
   FROM sites s JOIN r ON r.chrom = s.chrom AND s.pos BETWEEN r.lo AND r.hi),
 p AS (SELECT chrom, pos, ref, alt, min(CASE WHEN good AND ra IS NOT NULL AND dosage = 0 THEN 2 WHEN good AND ra IS NULL THEN 3 WHEN NOT good THEN 4 ELSE 5 END) AS place FROM j GROUP BY ALL)
@@ -233,9 +233,9 @@ SELECT s.chrom, s.pos, s.ref, s.alt, CASE place WHEN 2 THEN 'other_alt_hom_ref'
   CASE WHEN place <= 3 THEN 0 END::BIGINT AS dosage
 FROM sites s LEFT JOIN p ON p.chrom = s.chrom AND p.pos = s.pos AND p.ref = s.ref AND p.alt = s.alt""")
 def gvcf_state(s, d):
-    """Sites against blocks around the shipped parts of three suppliers (no block starts at a site)."""
+    """Sites against blocks around the shipped parts (no block starts at a site)."""
     first = F.col("l_linenumber") < 3
-    r = D.table(s, d, "lineitem").filter("l_suppkey < 3").select(
+    r = D.table(s, d, "lineitem").select(
         (F.col("l_partkey") % 5 + 1).alias("chrom"), (F.col("l_partkey") * 1000 - 1500).alias("lo"), (F.col("l_partkey") * 1000 + F.col("l_quantity") * 40).cast("long").alias("hi"),
         F.when(first, "A").alias("ref"), F.when(first, "T").alias("alt"), F.when(F.col("l_linenumber") != 7, 0).alias("dosage"), F.col("l_quantity").alias("dp"), (F.col("l_extendedprice") / 1000).alias("gq"),
     )
