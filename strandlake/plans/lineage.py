@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where none is set (tests) a local one is made."""
+    """The session's checkpoint folder. Only where none is set, in local mode (tests), one is made; on a cluster that is an error."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strandlake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -19,6 +22,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder now and go on from those files."""
+    """Write df to the checkpoint folder now and go on from those files.
+
+    They go with spark.cleaner.referenceTracking.cleanCheckpoints once nothing refers to them.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet, which is compressed and read by columns."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
