@@ -6,25 +6,25 @@ the two words before and the two behind it; within the class stands the word's c
 other documents of the corpus. The most frequent words are a class each, all others fall
 into classes by the hash of their ending. A word that no other document has is spelled out.
 
-Documents are dealt to blocks of bounded size by a hash. A block's different words are
-counted and sent to where the counts of all blocks meet; what comes back to a block is the
-total of its own words only, so the table of counts grows with the corpus and is never in
-one place. Training is numpy inside tasks: in each round each block runs minibatch Adagrad
-over its documents from the common weights, and the weights are averaged. Each block is in
-one round, so all of the corpus is learnt from once. Blocks, and the order in them, don't
-depend on how the input is partitioned.
+Counts come from a grouped count over all texts. Those of the most frequent words (a bounded
+number) go to all tasks; all others stay distributed, and documents' words meet their counts
+by the word. Training is numpy inside tasks: documents, as class numbers, are dealt to blocks
+of bounded size by a hash; in each round each block runs minibatch Adagrad over its documents
+from the common weights, and the weights are averaged. Each block is in one round, so all of
+the corpus is learnt from once. Nothing depends on how the input is partitioned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import stored
 from . import textkernel as tk
 
 #: Classes of frequent words and of endings; hidden units; words seen on either side.
@@ -32,8 +32,10 @@ FREQUENT, ENDINGS, HIDDEN, REACH = 96, 32, 16, 2
 CLASSES = FREQUENT + ENDINGS
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
-#: Bytes of text in a block, about.
-BLOCK = 1 << 24
+#: Words whose counts go to all tasks; the counts of others stay distributed.
+HELD = 200_000
+#: Words in a block, about.
+BLOCK = 1 << 21
 #: An unseen word's bytes are spelled out at this chance each.
 LETTER = 1 / 32
 #: Weights are summed as integers of this many parts, weighted by each so many words, so that their order doesn't matter.
@@ -42,51 +44,34 @@ PARTS, UNIT = float(1 << 20), 1024
 SUMS = 32
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_block, _order, _id, _text of every row, written out block by block."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
-    d = docs.select(F.xxhash64(F.col(id_col), text).alias("_order"), F.col(id_col).alias("_id"), text.alias("_text"))
-    return cut(d.select(F.pmod(F.shiftrightunsigned("_order", 20), F.lit(blocks)).cast("int").alias("_block"), "*").repartition(blocks, "_block"))
-
-
-def _texts(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """(a block's rows in order, their bytes, offsets)."""
-    order = np.argsort(table.column("_order").to_numpy(), kind="stable")
-    table = table.take(pa.array(order)).combine_chunks()
-    return table, *tk.flat(table.column("_text"))
+def parsed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, class of its ending, its bytes, first word of each row and the end)."""
+    words = tk.Words(buf, offsets)
+    rolling = tk.Rolling(tk.BYTE_SYMBOL[buf])
+    ending = tk.mix(rolling.of(np.maximum(words.starts, words.ends - 3), words.ends))
+    return tk.mix(rolling.of(words.starts, words.ends)), (ending % np.uint64(ENDINGS)).astype(np.int32), words.ends - words.starts, words.bounds
 
 
-def _parts(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _parts(column: pa.Array) -> Iterator[tuple]:
+    """(first row, end, *parsed words) of slices of a text column."""
+    buf, offsets = tk.flat(column)
     for i, j in tk.slices(offsets):
-        yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, j, *parsed(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def word_counts(d: DataFrame) -> DataFrame:
-    """Of each block's different words: _block, word (64-bit hash), ending, n, total (in all blocks), first (the least block that has it)."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word (64-bit hash), ending, n over all texts, added up in tasks before the shuffle."""
 
-    def run(table: pa.Table) -> pa.Table:
-        words, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        for _, _, part, rows in _parts(*tk.flat(table.column("_text"))):
-            word, ending, _, _ = parsed(part, rows)
-            words.append(word)
-            kinds.append(ending)
-        word, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
-        block = np.full(len(word), table.column("_block")[0].as_py(), np.int32)
-        return pa.table({"_block": block, "word": word.view(np.int64), "ending": np.concatenate(kinds)[at], "n": n.astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, endings = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for _, _, word, ending, _, _ in _parts(batch.column(0)):
+                words.append(word)
+                endings.append(ending)
+            word, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(endings)[at]), pa.array(n)], ["word", "ending", "n"])
 
-    rows = d.groupBy("_block").applyInArrow(run, "_block int, word long, ending int, n int")
-    same = Window.partitionBy("word")  # a row a block at most
-    return rows.withColumns({"total": F.sum("n").over(same), "first": F.min("_block").over(same) == F.col("_block")})
-
-
-def parsed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, class of its ending, its bytes, first word of each row and the end)."""
-    words = tk.Words(buf, offsets)
-    rolling = tk.Rolling(tk.BYTE_SYMBOL[buf])
-    ending = tk.mix(rolling.of(np.maximum(words.starts, words.ends - 3), words.ends))
-    return tk.mix(rolling.of(words.starts, words.ends)), (ending % np.uint64(ENDINGS)).astype(np.int32), words.ends - words.starts, words.bounds
+    return docs.select(text_col).mapInArrow(run, "word long, ending int, n long").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 class Coder:
@@ -184,22 +169,52 @@ class Net:
                 p -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
+@dataclass
 class Model:
-    """What a fit keeps: the frequent words, the weights, and each ending class's words and different words."""
+    """What a fit gathers for all tasks; the counts of all words stay in a table."""
 
-    def __init__(self, frequent: list[int], weights: np.ndarray, tokens: np.ndarray, types: np.ndarray):
-        self.frequent, self.weights, self.tokens, self.types = frequent, weights, tokens, types
+    frequent: list[int]
+    held: np.ndarray  # hashes of the most frequent words, sorted
+    counts: np.ndarray  # of those
+    tokens: np.ndarray  # words in each ending class
+    types: np.ndarray  # different words in each ending class
+    weights: np.ndarray
 
 
-def fit(d: DataFrame, counts: DataFrame) -> Model:
-    """d: dealt documents, counts: their word_counts()."""
-    once = counts.filter("first").select("word", "ending", "total")
-    frequent = [r["word"] for r in once.orderBy(F.desc("total"), "word").limit(FREQUENT).collect()]
-    rest = once.filter(~F.col("word").isin(frequent)) if frequent else once
+def fit(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame) -> Model:
+    """counts: the documents' word_counts(), read more than once."""
+    top = counts.orderBy(F.desc("n"), "word").limit(HELD).toPandas()
+    frequent = top["word"].tolist()[:FREQUENT]
+    rest = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
     tokens, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in rest.groupBy("ending").agg(F.sum("total").alias("tokens"), F.count("*").alias("types")).collect():
+    for r in rest.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect():
         tokens[r["ending"]], types[r["ending"]] = r["tokens"], r["types"]
-    coder, spark = Coder(frequent), d.sparkSession
+    held = top["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(held)
+    blocks = max(1, -(-int(counts.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    weights = train(coded(docs, id_col, text_col, Coder(frequent), blocks))
+    return Model(frequent, held[order], top["n"].to_numpy(np.int64)[order], tokens, types, weights)
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str, coder: Coder, blocks: int) -> DataFrame:
+    """block, key, codes of every text with a word: its words' classes, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, word, ending, _, bounds in _parts(batch.column(2)):
+                codes = coder.classes(word, ending).astype(np.uint8)
+                full = pa.array(np.flatnonzero(np.diff(bounds)))
+                texts = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(full) for c in (0, 1)), texts.take(full)], ["block", "key", "codes"])
+
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    block = F.pmod(F.shiftrightunsigned(key, 20), F.lit(blocks)).cast("int")
+    return stored(docs.select(block.alias("block"), key.alias("key"), text_col).mapInArrow(run, "block int, key long, codes binary"))
+
+
+def train(texts: DataFrame) -> np.ndarray:
+    """Weights fitted to coded texts, block by block."""
+    spark = texts.sparkSession
     weights = Net.fresh(np.zeros(CLASSES))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
@@ -207,12 +222,12 @@ def fit(d: DataFrame, counts: DataFrame) -> Model:
         def run(table: pa.Table) -> pa.Table:
             net, seen = Net(start.value), 0
             squares = [np.full_like(p, 1e-4) for p in net.parts]
-            for _, _, part, rows in _parts(*_texts(table)[1:]):
-                word, ending, _, bounds = parsed(part, rows)
-                if len(word):
-                    classes = coder.classes(word, ending)
-                    net.train(contexts(classes, bounds), classes, squares)
-                    seen += len(classes)
+            codes = table.column("codes").combine_chunks().take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
+            buf, offsets = tk.flat(codes)
+            for i, j in tk.slices(offsets):
+                classes = buf[offsets[i] : offsets[j]].astype(np.int32)
+                net.train(contexts(classes, offsets[i : j + 1] - offsets[i]), classes, squares)
+                seen += len(classes)
             seen = -(-seen // UNIT)
             values = np.rint(net.flat() * PARTS).astype(np.int64) * seen
             return pa.table({"seen": pa.array([seen]), "sums": pa.array([values], pa.list_(pa.int64()))})
@@ -226,64 +241,71 @@ def fit(d: DataFrame, counts: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([sums], pa.list_(pa.int64()))], ["seen", "sums"])
 
         kind = "seen long, sums array<long>"
-        found = d.filter(F.pmod("_block", F.lit(ROUNDS)) == turn).groupBy("_block").applyInArrow(run, kind)
+        found = texts.filter(F.pmod("block", F.lit(ROUNDS)) == turn).groupBy("block").applyInArrow(run, kind)
         found = found.mapInArrow(added, kind).repartition(SUMS).mapInArrow(added, kind).collect()
         if seen := sum(r["seen"] for r in found):
             weights = np.array([sum(x) for x in zip(*(r["sums"] for r in found))], float) / seen / PARTS
-    return Model(frequent, weights, tokens, types)
+    return weights
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, log_prob (summed), mean_log_prob (null without words) of every row.
+def judged(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """id, key, n_tokens, known (log-probability without the numerators of words whose count isn't held), others (those: word, n, length)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    coder = Coder(model.frequent)
 
-    The model is fitted to the same documents; a document's own words are taken out of the
-    counts that judge it. A null or empty text has no words and log_prob 0. Repeated rows
-    count, and each counts as a document for the others; other columns are not read. Sums
-    are rounded to four digits.
-    """
-    d = dealt(docs, id_col, text_col)
-    counts = cut(word_counts(d))
-    model = fit(d, counts)
-    coder, shared = Coder(model.frequent), docs.sparkSession.sparkContext.broadcast(model)
-    elsewhere = counts.filter("total > n").select("_block", "word", "total")
-
-    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         net = Net(m.weights)
-        table, buf, offsets = _texts(table)
-        slices = [(i, j, *parsed(part, rows)) for i, j, part, rows in _parts(buf, offsets)]
-        words, n = np.unique(np.concatenate([x[2] for x in slices] or [np.zeros(0, np.uint64)]), return_counts=True)
-        if len(totals):
-            n[np.searchsorted(words, totals.column("word").to_numpy().view(np.uint64))] = totals.column("total").to_numpy()
-        size, total = np.zeros(len(table), np.int64), np.zeros(len(table))
-        for i, j, word, ending, length, bounds in slices:
-            classes = coder.classes(word, ending.copy())
-            logs = net.log_probs(contexts(classes, bounds), classes) + within_class(words, n, word, ending, length, bounds, classes, m)
-            sums = np.concatenate([[0.0], np.cumsum(logs)])
-            size[i:j], total[i:j] = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
-        mean = pa.array(np.round(total / np.maximum(size, 1), 4), mask=size == 0)
-        return pa.table([table.column("_id"), pa.array(size), pa.array(np.round(total, 4)), mean], [id_col, "n_tokens", "log_prob", "mean_log_prob"])
+        for batch in batches:
+            for i, j, word, ending, length, bounds in _parts(batch.column(2)):
+                classes = coder.classes(word, ending.copy())
+                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(contexts(classes, bounds), classes))])
+                total = sums[bounds[1:]] - sums[bounds[:-1]]
+                row = np.repeat(np.arange(j - i), np.diff(bounds))
+                plain = np.flatnonzero(classes >= FREQUENT)
+                # the class's words in all other documents, and one for each of its different words
+                cell = row[plain] * ENDINGS + ending[plain]
+                own = np.bincount(cell, minlength=(j - i) * ENDINGS)[cell]
+                total -= np.bincount(row[plain], np.log(m.tokens[ending[plain]] - own + m.types[ending[plain]]), j - i)
+                # each different word of a document
+                which = np.unique(word[plain], return_inverse=True)[1]
+                _, at, n = np.unique(row[plain] * (len(which) + 1) + which, return_index=True, return_counts=True)
+                at = plain[at]
+                place = np.minimum(np.searchsorted(m.held, word[at]), len(m.held) - 1) if len(m.held) else np.zeros(0, np.int64)
+                held = m.held[place] == word[at]
+                here = at[held]
+                elsewhere = m.counts[place[held]] - n[held]
+                total += np.bincount(row[here], n[held] * np.where(elsewhere > 0, np.log(np.maximum(elsewhere, 1)), length[here] * np.log(LETTER)), j - i)
+                far = at[~held]
+                bound = np.searchsorted(row[far], np.arange(j - i + 1)).astype(np.int32)
+                fields = pa.StructArray.from_arrays([pa.array(word[far].view(np.int64)), pa.array(n[~held].astype(np.int32)), pa.array(length[far].astype(np.int32))], ["word", "n", "length"])
+                others = pa.ListArray.from_arrays(pa.array(bound), fields)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), pa.array(total), others], ["id", "key", "n_tokens", "known", "others"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return d.groupBy("_block").cogroup(elsewhere.groupBy("_block")).applyInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), text_col)
+    return stored(rows.mapInArrow(run, f"id {kind}, key long, n_tokens long, known double, others array<struct<word:long,n:int,length:int>>"))
 
 
-def within_class(words: np.ndarray, n: np.ndarray, word: np.ndarray, ending: np.ndarray, length: np.ndarray, bounds: np.ndarray, classes: np.ndarray, m: Model) -> np.ndarray:
-    """Log-probability of each word among those of its class, counted in all other documents.
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, log_prob (summed), mean_log_prob (null without words) of every row.
 
-    Witten-Bell: as much chance as the class has different words goes to unseen ones.
+    The model is fitted to the same documents; a document's own words are taken out of the
+    counts that judge it. A null or empty text has no words and log_prob 0. Repeated rows
+    count, and each counts as a document for the others; other columns are not read. Sums
+    are rounded to four digits.
     """
-    out = np.zeros(len(word))
-    at = np.flatnonzero(classes >= FREQUENT)
-    if not len(at):
-        return out
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at]
-    which = np.searchsorted(words, word[at])
-    _, back, times = np.unique(row * len(words) + which, return_inverse=True, return_counts=True)
-    others = n[which] - times[back]
-    kind = ending[at]
-    own = np.bincount(row * ENDINGS + kind, minlength=(len(bounds) - 1) * ENDINGS)[row * ENDINGS + kind]
-    rest, types = m.tokens[kind] - own, m.types[kind]
-    seen = others > 0
-    out[at] = np.where(seen, np.log(np.maximum(others, 1)), np.log(types) + length[at] * np.log(LETTER)) - np.log(rest + types)
-    return out
+    counts = stored(word_counts(docs, text_col))
+    d = judged(docs, id_col, text_col, fit(docs, id_col, text_col, counts))
+    rest = d.select("key", F.explode("others").alias("o")).select("key", "o.*")
+    elsewhere = F.sum("n").over(Window.partitionBy("word")) - F.col("n")  # of words beyond the HELD most frequent
+    rest = rest.withColumn("e", elsewhere)
+    value = F.col("n") * F.when(F.col("e") > 0, F.log("e")).otherwise(F.col("length") * float(np.log(LETTER)))
+    # rows that repeat another one share a key, and the sum over all of them; integers, so that their order doesn't matter
+    sums = rest.groupBy("key").agg(F.sum((value * float(1 << 24)).cast("long")).alias("s"))
+    same = d.groupBy("key").agg(F.count("*").alias("rows"))
+    found = d.select("id", "key", "n_tokens", "known").join(sums.join(same, "key"), "key", "left")
+    total = F.col("known") + F.coalesce(F.col("s") / F.col("rows") / float(1 << 24), F.lit(0.0))
+    return found.select(
+        F.col("id").alias(id_col), "n_tokens", F.round(total, 4).alias("log_prob"), F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 4)).alias("mean_log_prob")
+    )

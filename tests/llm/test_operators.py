@@ -290,16 +290,16 @@ def test_scores_equal_brute_force(scored, monkeypatch):
 
     import numpy as np
 
-    monkeypatch.setattr(lm, "BLOCK", 4000)
+    monkeypatch.setattr(lm, "BLOCK", 700)
+    monkeypatch.setattr(lm, "HELD", 400)
     rows, docs = scored
-    d = lm.dealt(docs.repartition(3), "doc_id", "text")
-    assert d.select("_block").distinct().count() > 3
-    counts = lm.word_counts(d)
-    m = lm.fit(d, counts)
+    counts = lm.word_counts(docs.repartition(3))
+    m = lm.fit(docs.repartition(3), "doc_id", "text", counts)
     of = lambda w: lm.parsed(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
     corpus = Counter(w for _, t in rows for w in brute.words(t))
+    assert len(corpus) > 1000
     hashed = {w: (int(of(w)[0].view(np.int64)[0]), int(of(w)[1][0])) for w in corpus}
-    assert {(r.word, r.ending): r.total for r in counts.filter("first").collect()} == {hashed[w]: n for w, n in corpus.items()}
+    assert {(r.word, r.ending): r.n for r in counts.collect()} == {hashed[w]: n for w, n in corpus.items()}
     top = sorted(corpus, key=lambda w: (-corpus[w], hashed[w][0]))[:lm.FREQUENT]
     assert m.frequent == [hashed[w][0] for w in top]
     place = {w: k for k, w in enumerate(sorted(top, key=lambda w: hashed[w][0] % (1 << 64)))}
@@ -323,7 +323,7 @@ def test_scores_equal_brute_force(scored, monkeypatch):
                 e = hashed[x][1]
                 rest = tokens[e] - sum(n for y, n in own.items() if y not in place and hashed[y][1] == e)
                 seen = corpus[x] - own[x]
-                total += (math.log(seen) if seen else math.log(types[e]) - len(x.encode()) * math.log(32)) - math.log(rest + types[e])
+                total += (math.log(seen) if seen else -len(x.encode()) * math.log(32)) - math.log(rest + types[e])
         want.append((i, len(w), total))
     want.sort(key=repr)
     assert [x[:2] for x in got] == [x[:2] for x in want]
