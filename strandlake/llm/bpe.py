@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from . import textkernel as tk
 
 #: Encoded pieces kept in one Python worker, in two generations of so many; longer pieces aren't kept.
-MEMO, MEMO_BYTES = 200_000, 64
+MEMO, MEMO_BYTES = 100_000, 64
 #: Places of the table that remembers tested pairs (a power of two).
 PAIRS = 1 << 20
 #: Bytes of texts looked at together.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Pieces still open below which they are finished one by one.
 FEW = 16
 

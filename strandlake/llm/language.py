@@ -198,7 +198,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str = "lang"
     and each is judged without its own counts. With no declared language at all nothing is
     kept. Columns of the names made here are replaced, others stay.
     """
-    docs = docs.drop("language", "confidence", "n_trigrams", "kept", "_e", "_host", "_suffix", "_of_host", "_of_suffix", "_found")
+    docs = docs.drop("language", "confidence", "n_trigrams", "kept", "_host", "_suffix", "_of_host", "_of_suffix", "_found")
     langs, rest = classes(docs, declared_col, models)
     if not langs:
         return docs.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "n_trigrams": F.lit(0).cast("long"), "kept": F.lit(False)})
@@ -208,27 +208,22 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str = "lang"
     corpus = np.array([whole.get(k, 0) + 1 for k in range(width)], float)
     corpus /= corpus.sum()
 
-    @F.arrow_udf("n long, ll array<double>")
-    def evidence(texts: pa.Array, declared: pa.Array) -> pa.Array:
-        n, ll = text_evidence(texts, _which(declared, place), sums.value)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (width + 1)), pa.array(ll.ravel()))
-        return pa.StructArray.from_arrays([pa.array(n), lists], ["n", "ll"])
-
-    @F.arrow_udf("language string, confidence double")
-    def fused(e: pa.Array, declared: pa.Array, of_host: pa.Array, of_suffix: pa.Array) -> pa.Array:
+    @F.arrow_udf("language string, confidence double, n long")
+    def judged(texts: pa.Array, declared: pa.Array, of_host: pa.Array, of_suffix: pa.Array) -> pa.Array:
         own = _which(declared, place)
-        text = e.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), width + 1)
+        n, text = text_evidence(texts, own, sums.value)
         chance = posterior(text, own, _dense(of_host, width), _dense(of_suffix, width), corpus)
         best = chance.argmax(axis=1)
         names = [langs[k] if k < len(langs) else d if rest and k == width - 1 and d not in place else None for k, d in zip(best.tolist(), declared.to_pylist())]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.round(chance[np.arange(len(best)), best], 6))], ["language", "confidence"])
+        sure = np.round(chance[np.arange(len(best)), best], 6)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string(), mask=n == 0), pa.array(sure), pa.array(n)], ["language", "confidence", "n"])
 
     said = F.col(declared_col).cast("string")
-    d = docs.withColumns({"_e": evidence(F.col(text_col), said), "_host": _part(host_col), "_suffix": _part(suffix_col)})
-    d = d.join(broadcast_if_small(hosts), ["_host", "_suffix"], "left").join(broadcast_if_small(suffixes), "_suffix", "left")
-    d = d.withColumn("_found", fused(F.col("_e"), said, F.col("_of_host"), F.col("_of_suffix")))
-    language = F.when(F.col("_e.n") > 0, F.col("_found.language"))
-    return d.select(*docs.columns, language.alias("language"), F.col("_found.confidence").alias("confidence"), F.col("_e.n").alias("n_trigrams"), (language.isNotNull() & (F.col("_found.confidence") >= least)).alias("kept"))
+    d = docs.withColumns({"_host": _part(host_col), "_suffix": _part(suffix_col)})
+    d = d.join(broadcast_if_small(cut(hosts)), ["_host", "_suffix"], "left").join(broadcast_if_small(cut(suffixes)), "_suffix", "left")
+    d = d.withColumn("_found", judged(F.col(text_col), said, F.col("_of_host"), F.col("_of_suffix")))
+    kept = F.col("_found.language").isNotNull() & (F.col("_found.confidence") >= least)
+    return d.select(*docs.columns, F.col("_found.language").alias("language"), F.col("_found.confidence").alias("confidence"), F.col("_found.n").alias("n_trigrams"), kept.alias("kept"))
 
 
 def of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
