@@ -32,8 +32,10 @@ FREQUENT, ENDINGS, HIDDEN, REACH = 96, 32, 16, 2
 CLASSES = FREQUENT + ENDINGS
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
-#: Words whose counts go to all tasks; the counts of others stay distributed.
+#: Words whose counts go to all tasks, at most; the counts of others stay distributed.
 HELD = 200_000
+#: Words counted together before they are added up.
+COUNTED = 1 << 20
 #: Words in a block, about.
 BLOCK = 1 << 21
 #: An unseen word's bytes are spelled out at this chance each.
@@ -63,13 +65,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (64-bit hash), ending, n over all texts, added up in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, endings, held = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            word, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(endings)[at]), pa.array(n)], ["word", "ending", "n"])
+
         for batch in batches:
-            words, endings = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
             for _, _, word, ending, _, _ in _parts(batch.column(0)):
                 words.append(word)
                 endings.append(ending)
-            word, at, n = np.unique(np.concatenate(words), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.concatenate(endings)[at]), pa.array(n)], ["word", "ending", "n"])
+                held += len(word)
+                if held > COUNTED:
+                    yield counted()
+                    words, endings, held = [], [], 0
+        if held:
+            yield counted()
 
     return docs.select(text_col).mapInArrow(run, "word long, ending int, n long").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
@@ -183,8 +194,16 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame) -> Model:
     """counts: the documents' word_counts(), read more than once."""
-    top = counts.orderBy(F.desc("n"), "word").limit(HELD).toPandas()
-    frequent = top["word"].tolist()[:FREQUENT]
+    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    # the greatest counts that no more than HELD words have: by sizes, of which there are few
+    size = F.floor(F.log2("n") * 16)
+    least, have = None, 0
+    for r in counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        have += r["count"]
+        if have > HELD:
+            break
+        least = r["size"]
+    top = counts.filter(size >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
     rest = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
     tokens, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in rest.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect():
