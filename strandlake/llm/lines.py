@@ -35,16 +35,16 @@ def _bare(line):
 
 
 def _lines(text):
-    """(hash, whether it is long) of the lines with a word."""
-    full = F.filter(F.transform(F.split(text, "\n"), _bare), lambda s: s != "")
-    return F.transform(full, lambda s: F.struct(F.xxhash64(s).alias("h"), (F.length(s) >= LONG).alias("long")))
+    """(place, hash, whether it is long) of the lines with a word."""
+    bare = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), _bare(x).alias("s")))
+    return F.transform(F.filter(bare, lambda e: e["s"] != ""), lambda e: F.struct(e["i"].alias("i"), F.xxhash64(e["s"]).alias("h"), (F.length(e["s"]) >= LONG).alias("long")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _key, fp, side, other, at: the selected places, with the line to the side that a run of RUN lines goes on.
 
     _key is the hash of id and text, so a row that repeats another one is the same document.
-    at is the run's first line, among those with a word.
+    at holds the places of the run's lines in the text.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
     d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), key, _lines(F.col(text_col)).alias("l"))
@@ -52,17 +52,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = F.transform(F.sequence(F.lit(0), F.size(line) - GRAM), lambda i: F.xxhash64(*[F.get(line, i + k)["h"] for k in range(GRAM)]))
     d = d.withColumn("g", F.when(F.size(line) >= RUN, grams).otherwise(none))
     g = F.col("g")
-    row = lambda fp, side, other, at: F.struct(fp.alias("fp"), F.lit(side).alias("side"), other.alias("other"), at.alias("at"))
+    row = lambda fp, side, other, i, n: F.struct(fp.alias("fp"), F.lit(side).alias("side"), other.alias("other"), F.array(*[F.get(line, i + k)["i"] for k in range(n)]).alias("at"))
     # the window of grams i and i + 1 selects one, and its run goes on to the other side
-    window = lambda i: F.when(F.get(g, i) <= F.get(g, i + 1), row(F.get(g, i), RIGHT, F.get(line, i + GRAM)["h"], i)).otherwise(row(F.get(g, i + 1), LEFT, F.get(line, i)["h"], i))
+    window = lambda i: F.when(F.get(g, i) <= F.get(g, i + 1), row(F.get(g, i), RIGHT, F.get(line, i + GRAM)["h"], i, RUN)).otherwise(row(F.get(g, i + 1), LEFT, F.get(line, i)["h"], i, RUN))
     runs = F.when(F.size(g) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(g) - WINDOW), window)).otherwise(F.array())
     places = F.filter(F.transform(line, lambda e, i: F.struct(e["h"].alias("h"), F.when(e["long"], i).alias("i"))), lambda e: e["i"].isNotNull())
-    alone = F.transform(places, lambda e: row(e["h"], ALONE, F.lit(0).cast("long"), e["i"]))
+    alone = F.transform(places, lambda e: row(e["h"], ALONE, F.lit(0).cast("long"), e["i"], 1))
     return d.select("_id", "_key", F.explode(F.concat(runs, alone)).alias("r")).select("_id", "_key", "r.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_key, places): for each document with deletions, its deleted lines, counted among those with a word.
+    """(_key, places): for each document with deletions, the places of its deleted lines.
 
     Documents are in order of id (null first) and _key, lines in order within them.
     """
@@ -70,8 +70,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place, run = F.struct("_id", "_key", "at"), ["fp", "side", "other"]
     first = cut(found.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = found.join(first, run).filter(place > F.col("first"))
-    last = F.col("at") + F.when(F.col("side") == ALONE, 0).otherwise(RUN - 1)
-    return later.select("_key", F.explode(F.sequence("at", last)).alias("i")).groupBy("_key").agg(F.collect_set("i").alias("places"))
+    return later.select("_key", F.explode("at").alias("i")).groupBy("_key").agg(F.collect_set("i").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,10 +88,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_lines(docs, id_col, text_col)
     d = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(gone.withColumnRenamed("places", "_places").hint("shuffle_hash"), "_key", "left")
     d = d.withColumn("_lines", F.split(text, "\n"))
-    lines, number = F.col("_lines"), lambda i: F.get(F.col("_full"), i)
-    full = F.filter(F.transform(F.col("_lines"), lambda x, i: F.when(_bare(x) != "", i)), lambda i: i.isNotNull())
-    d = d.withColumn("_full", F.when(F.col("_places").isNotNull(), full))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("_places", number))
+    lines = F.col("_lines")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
     kept = F.when(F.col("_places").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return d.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
