@@ -76,13 +76,16 @@ def boundaries(labels: DataFrame, keys: list[str]) -> DataFrame:
     return d.filter("before <> label").select(*keys, ((F.col("_p") + F.col("pos")) / 2).alias("midpoint"), "before", F.col("label").alias("after"))
 
 
-def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """One-to-one matches of boundaries with the same transition within a tolerance, by haplotype, nearest first.
+def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: float, optimal: bool = False) -> DataFrame:
+    """One-to-one matches of boundaries with the same transition within a tolerance, by haplotype: nearest first, or (optimal) as many as can be and of these the nearest in all.
 
     A haplotype's boundaries are few; each is one bounded group in pandas.
     """
+    import numpy as np
     import pandas as pd
 
+    from ..functions.assignment import best_pairs
+
     t = truth.select(*keys, F.lit("t").alias("_s"), "midpoint", "before", "after")
     c = calls.select(*keys, F.lit("c").alias("_s"), "midpoint", "before", "after")
     both = t.unionByName(c)
@@ -93,6 +96,12 @@ def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolera
         tt, cc = pdf[pdf["_s"] == "t"], pdf[pdf["_s"] == "c"]
         pairs = sorted((abs(a.midpoint - b.midpoint), a.midpoint, b.midpoint) for a in tt.itertuples() for b in cc[(cc.midpoint >= a.midpoint - tolerance) & (cc.midpoint <= a.midpoint + tolerance)].itertuples() if (a.before, a.after) == (b.before, b.after))
         used_t, used_c, out = set(), set(), []
+        if optimal and pairs:
+            rows, cols = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
+            near = {(a, b): d for d, a, b in pairs}
+            much = int(2 * tolerance + 1) * min(len(rows), len(cols)) + 1
+            gain = np.array([[much - int(2 * near[a, b]) if (a, b) in near else 0 for b in cols] for a in rows], np.int64)
+            return pd.DataFrame([(*key, rows[i], cols[k]) for i, k in best_pairs(gain)], columns=[*keys, "truth", "called"])
         for _, a, b in pairs:
             if a not in used_t and b not in used_c:
                 used_t.add(a)

@@ -1,0 +1,156 @@
+"""Contrasts of partitions, sets and reads: strict merges, matches, permutations, bounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.lineage import cut
+from .axis import SIZE, with_island
+from .pairs import PAIR
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(left joined with right, breaches of the one-to-one rule: rule, n). Rules: repeated_left, repeated_right, only_left, only_right."""
+    l, r = (d.groupBy(*keys).agg(F.count("*").alias(f"_{x}")) for d, x in ((left, "l"), (right, "r")))
+    j = l.join(r, keys, "full")
+    rules = {"repeated_left": F.col("_l") > 1, "repeated_right": F.col("_r") > 1, "only_left": F.col("_r").isNull(), "only_right": F.col("_l").isNull()}
+    return left.join(right, keys), j.agg(*[F.count_if(c).alias(n) for n, c in rules.items()]).unpivot([], list(rules), "rule", "n").filter("n > 0")
+
+
+def out_of_order(rows: DataFrame, keys: list[str], pos: str, arrival: str) -> DataFrame:
+    """Rows that arrive with a position behind one that came before them within keys, with `ahead`, the greatest before."""
+    w = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("ahead", F.max(pos).over(w)).filter(F.col(pos) < F.col("ahead"))
+
+
+def match_controls(targets: DataFrame, pool: DataFrame, by: list[str], id_col: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(controls chosen from the pool, as many a bin as targets, in hash order; bins with n_targets, n_pool, deficit)."""
+    t, p = targets.groupBy(*by).agg(F.count("*").alias("n_targets")), pool.groupBy(*by).agg(F.count("*").alias("n_pool"))
+    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col))
+    chosen = pool.join(t, by).withColumn("_k", order).filter(F.col("_k") <= F.col("n_targets")).select(*pool.columns)
+    bins = t.join(p, by, "left").na.fill(0, ["n_pool"])
+    return chosen, bins.withColumn("deficit", F.greatest(F.col("n_targets") - F.col("n_pool"), F.lit(0)))
+
+
+def match_markers(targets: DataFrame, markers: DataFrame, keys: list[str], x: str, most: float, border: float, size: int = SIZE) -> DataFrame:
+    """keys, target, marker: each target (id `target`, coordinate x) in order takes the nearest marker (id `marker`) behind all taken ones, if within `most`; ties to the lesser.
+
+    A choice depends on those before it only as far as their reach: stretches that are more than
+    `border` (at least twice `most`) apart are separate groups.
+    """
+    import pandas as pd
+
+    both = targets.select(*keys, F.col(x).alias("x_"), F.col("target"), F.lit(None).cast(markers.schema["marker"].dataType).alias("marker"))
+    both = both.unionByName(markers.select(*keys, F.col(x).alias("x_"), F.lit(None).cast(targets.schema["target"].dataType).alias("target"), F.col("marker")))
+    fields = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    both = with_island(both, keys, max(border, 2 * most), "x_", size)
+
+    def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, t = pdf[pdf["marker"].notna()].sort_values(["x_", "marker"]), pdf[pdf["target"].notna()].sort_values(["x_", "target"])
+        places, names, free, out = m["x_"].tolist(), m["marker"].tolist(), 0, []
+        for at, name in zip(t["x_"].tolist(), t["target"].tolist()):
+            best = None
+            for k in range(free, len(places)):
+                gap = abs(places[k] - at)
+                if best is not None and gap >= best[0]:
+                    break
+                best = (gap, k)
+            if best is not None and best[0] <= most:
+                out.append((*key[:-1], name, names[best[1]]))
+                free = best[1] + 1
+        return pd.DataFrame(out, columns=[*keys, "target", "marker"])
+
+    return both.groupBy(*keys, "_island").applyInPandas(greedy, ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "target", "marker"]))
+
+
+def partition_concordance(a: DataFrame, b: DataFrame, replicates: int, contained: float = 0.9, seed: int = 0) -> DataFrame:
+    """For each community of a (node, community): size, b's most frequent label in it, its fraction, p, category.
+
+    p = (hits + 1) / (replicates + 1): hits are replicates in which a random set of the same
+    size, in hash order, has a label at that fraction or above. category: contained (at or
+    above `contained`), concordant (p < 0.05) or diffuse.
+    """
+    d = cut(a.filter("community is not null").select("node", F.col("community").alias("ca")).join(b.filter("community is not null").select("node", F.col("community").alias("cb")), "node"))
+    modal = lambda x, by: x.groupBy(*by, "cb").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), "cb")).alias("b"))
+    own = cut(modal(d, ["ca"]).select("ca", "size", F.col("b.cb").alias("label"), (-F.col("b.m")).alias("top")))
+    # a replicate deals the labels anew: nodes in hash order, as many to each community as it has
+    ends = own.withColumn("_end", F.sum("size").over(Window.orderBy("ca"))).withColumn("_from", F.col("_end") - F.col("size"))  # a row a community
+    r = d.select("cb", "node", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
+    r = r.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("node", "r", F.lit(seed)), "node")) - 1)
+    dealt = r.join(F.broadcast(ends.select("ca", "_from", "_end")), (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_end")))
+    tops = modal(dealt, ["r", "ca"]).select("r", "ca", (-F.col("b.m")).alias("t"))
+    hits = tops.join(F.broadcast(own.select("ca", "top")), "ca").groupBy("ca").agg(F.count_if(F.col("t") >= F.col("top")).alias("hits"))
+    out = own.join(hits, "ca").select(F.col("ca").alias("community"), "size", "label", (F.col("top") / F.col("size")).alias("fraction"), ((F.col("hits") + 1) / (replicates + 1)).alias("p"))
+    return out.withColumn("category", F.when(F.col("fraction") >= contained, "contained").when(F.col("p") < 0.05, "concordant").otherwise("diffuse"))
+
+
+def roh_by_community(roh: DataFrame, people: DataFrame, labels: DataFrame) -> DataFrame:
+    """By community: people, those in the ROH table's universe, mean and median kb and segments of these, and eta2 over all communities.
+
+    people: sample_id of all whose runs were looked for; a person there without runs has zero,
+    one who isn't there is unknown.
+    """
+    per = people.select("sample_id").distinct().join(roh.groupBy("sample_id").agg(F.sum("kb").alias("kb"), F.count("*").alias("n")), "sample_id", "left").na.fill(0, ["kb", "n"]).withColumn("_in", F.lit(True))
+    d = labels.select(F.col("node").alias("sample_id"), "community").filter("community is not null").join(per, "sample_id", "left")
+    g = d.groupBy("community").agg(F.count("*").alias("n_people"), F.count("_in").alias("n_known"), F.avg("kb").alias("mean_kb"), F.median("kb").alias("median_kb"), F.avg("n").alias("mean_segments"), F.sum("kb").alias("_s"), F.sum(F.col("kb") * F.col("kb")).alias("_q"))
+    t = g.agg(F.sum("_q").alias("q"), F.sum("_s").alias("s"), F.sum("n_known").alias("k"), F.sum(F.try_divide(F.col("_s") * F.col("_s"), F.col("n_known"))).alias("b"))
+    mean = F.col("s") * F.col("s") / F.col("k")
+    eta = t.select(F.try_divide(F.col("b") - mean, F.col("q") - mean).alias("eta2"))
+    return g.drop("_s", "_q").crossJoin(F.broadcast(eta))
+
+
+def representativeness(nodes: DataFrame, values: list[str], strata: list[str]) -> DataFrame:
+    """nodes: chosen (boolean), strata, values. By stratum (and ALL) and value: n and mean of the chosen and of the others, difference over the pooled deviation."""
+    d = nodes.withColumn("stratum", F.explode(F.array(F.concat_ws("|", *strata), F.lit("ALL"))))
+    d = d.select("stratum", "chosen", *[F.col(v).cast("double").alias(v) for v in values]).unpivot(["stratum", "chosen"], values, "measure", "v")
+    side = lambda f, flag: f(F.when(F.col("chosen") == flag, F.col("v")))
+    g = d.groupBy("stratum", "measure").agg(*[side(f, flag).alias(f"{n}_{x}") for flag, x in ((True, "chosen"), (False, "other")) for n, f in (("n", F.count), ("mean", F.avg), ("v", F.var_samp))])
+    smd = F.try_divide(F.col("mean_chosen") - F.col("mean_other"), F.sqrt((F.col("v_chosen") + F.col("v_other")) / 2))
+    return g.select("stratum", "measure", "n_chosen", "n_other", "mean_chosen", "mean_other", smd.alias("smd"))
+
+
+def paired_partition_contrast(pairs: DataFrame, p: DataFrame, q: DataFrame, value: str, groups: DataFrame | None = None, replicates: int = 0, seed: int = 0) -> DataFrame:
+    """One row: on the pairs whose ends both partitions assign, within-less-between mean of the value under p, under q, and the contrast.
+
+    n_rejected counts pairs with an unassigned end. With groups (node, group) also low and high,
+    the percentile interval of the contrast when groups of the lesser end are resampled by
+    hashed Poisson weights.
+    """
+    d = pairs
+    for name, part in (("p", p), ("q", q)):
+        for end in "ab":
+            d = d.join(part.select(F.col("node").alias(f"sample_{end}"), F.col("community").alias(f"_{name}{end}")), f"sample_{end}", "left")
+    known = F.col("_pa").isNotNull() & F.col("_pb").isNotNull() & F.col("_qa").isNotNull() & F.col("_qb").isNotNull()
+    d = d.select(*PAIR, F.col(value).cast("double").alias("_v"), known.alias("_known"), (F.col("_pa") == F.col("_pb")).alias("_p"), (F.col("_qa") == F.col("_qb")).alias("_q"))
+    if groups is not None:
+        d = d.join(groups.select(F.col("node").alias("sample_a"), F.col("group").alias("_g")), "sample_a", "left")
+    d = cut(d)
+
+    def means(rows: DataFrame, by: list[str], w) -> DataFrame:
+        part = lambda c, flag: F.try_divide(F.sum(F.when(F.col(c) == flag, w * F.col("_v"))), F.sum(F.when(F.col(c) == flag, w)))
+        g = rows.filter("_known").groupBy(*by).agg((part("_p", True) - part("_p", False)).alias("delta_p"), (part("_q", True) - part("_q", False)).alias("delta_q"))
+        return g.withColumn("contrast", F.col("delta_p") - F.col("delta_q"))
+
+    out = d.agg(F.count_if("_known").alias("n_pairs"), F.count_if(~F.col("_known")).alias("n_rejected")).crossJoin(means(d, [], F.lit(1.0)))
+    if groups is None or not replicates:
+        return out
+    u = (F.pmod(F.xxhash64("_g", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    w = sum((F.when(u > c, 1.0).otherwise(0.0) for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0.0))
+    r = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("_w", w)
+    ci = means(r, ["r"], F.col("_w")).agg(F.percentile("contrast", F.lit(0.025)).alias("low"), F.percentile("contrast", F.lit(0.975)).alias("high"))
+    return out.crossJoin(ci)
+
+
+def pair_bounds(bands: DataFrame) -> DataFrame:
+    """sample_a, sample_b, chrom, low, high, n: sums over sites of the least and greatest sharing min(copies) of two people, from their bands (sample_id, chrom, pos, low, high); sites without a band on either side don't count."""
+    b = bands.filter("low is not null and high is not null")
+    x, y = (b.select(F.col("sample_id").alias(f"sample_{e}"), "chrom", "pos", F.col("low").alias(f"l{e}"), F.col("high").alias(f"h{e}")) for e in "ab")
+    j = x.filter("ha > 0").join(y.filter("hb > 0"), ["chrom", "pos"]).filter("sample_a < sample_b")
+    return j.groupBy(*PAIR, "chrom").agg(F.sum(F.least("la", "lb")).alias("low"), F.sum(F.least("ha", "hb")).alias("high"), F.count("*").alias("n"))
+
+
+def merged_relationship(parts: DataFrame) -> DataFrame:
+    """parts: a, b, n, k of each chromosome (k null where n is 0). a, b, n and k over all: sum of n k over sum of n, null without any n."""
+    d = parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("k")).alias("_s"))
+    return d.select("a", "b", "n", F.when(F.col("n") > 0, F.col("_s") / F.col("n")).alias("k"))

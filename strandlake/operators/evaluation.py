@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.assignment import best_pairs
 from ..plans.lineage import cut
 from . import graph
 from .intervals import overlap_join, total, union
@@ -13,39 +15,49 @@ from .stats import value_ranks
 
 
 def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One-to-one assignment of calls (call, lo, hi) to truths (truth, lo, hi) by longest overlap, ties by order.
+    """One-to-one assignment of calls (call, lo, hi) to truths (truth, lo, hi) of maximum total overlap, ties by order.
 
-    Overlaps are found by a bucketed join; what is left to choose in one group (a chromosome
-    and copy pair) is few rows, taken greedily in pandas.
+    Overlaps are found by a bucketed join and fall into connected parts, which don't touch each
+    other's choice; each part is solved exactly in pandas.
     """
     import pandas as pd
 
     j = overlap_join(truth, calls, keys, size).withColumn("bp", F.least("hi", "r_hi") - F.greatest("lo", "r_lo") + 1).select(*keys, "truth", "call", "bp")
+    j = cut(j.withColumns({"_t": F.concat_ws("|", F.lit("t"), *keys, "truth"), "_c": F.concat_ws("|", F.lit("c"), *keys, "call")}))
+    part = graph.component_roots(j.select(F.col("_t").alias("a"), F.col("_c").alias("b")))
     fields = {f.name: f.dataType.simpleString() for f in j.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "truth", "call", "bp"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bp", "truth", "call"], ascending=[False, True, True])
-        seen_t, seen_c, keep = set(), set(), []
-        for i, t, c in zip(pdf.index, pdf["truth"], pdf["call"]):
-            if t not in seen_t and c not in seen_c:
-                seen_t.add(t)
-                seen_c.add(c)
-                keep.append(i)
-        return pdf.loc[keep, [*keys, "truth", "call", "bp"]]
+        rows, cols = sorted(pdf["truth"].unique()), sorted(pdf["call"].unique())
+        r, c = pdf["truth"].map({x: i for i, x in enumerate(rows)}), pdf["call"].map({x: i for i, x in enumerate(cols)})
+        gain = np.zeros((len(rows), len(cols)), np.int64)
+        gain[r, c] = pdf["bp"]
+        kept = set(best_pairs(gain))
+        return pdf.loc[[(i, k) in kept for i, k in zip(r, c)], [*keys, "truth", "call", "bp"]]
 
-    return j.groupBy(*keys).applyInPandas(choose, schema)
+    return j.join(part, F.col("_t") == F.col("node")).groupBy("root").applyInPandas(choose, schema)
 
 
 def tag_sites(pairs: DataFrame, sites: DataFrame, r2: float) -> DataFrame:
-    """Sites kept so that no two in linkage at r2 stay: the independent set by position (pairs: chrom, pos_a, pos_b, r2)."""
+    """Sites kept so that no two in linkage at r2 stay (pairs: chrom, pos_a, pos_b, r2): an independent set in the order of a hash, which settles in few rounds on chains of any length."""
     name = lambda p: F.concat_ws(":", F.col("chrom").cast("string"), F.lpad(F.col(p).cast("string"), 12, "0"))
     e = cut(pairs.filter(F.col("r2") >= r2).select(name("pos_a").alias("a"), name("pos_b").alias("b")))
     n = sites.select(name("pos").alias("node"))
-    kept = graph.independent_set(n, e, [F.col("node")])
+    kept = graph.independent_set(n, e, [F.xxhash64("node")])
     return sites.withColumn("node", name("pos")).join(kept, "node", "left_semi").drop("node")
 
 
+def tag_counts(pairs: DataFrame, sites: DataFrame, levels: list[float]) -> DataFrame:
+    """By r2 level and chrom: sites and tags."""
+    p, s, out = cut(pairs), cut(sites.select("chrom", "pos").distinct()), None
+    for level in levels:
+        n = s.groupBy("chrom").agg(F.count("*").alias("n_sites")).join(tag_sites(p, s, level).groupBy("chrom").agg(F.count("*").alias("n_tags")), "chrom", "left")
+        part = n.na.fill(0, ["n_tags"]).withColumn("r2", F.lit(float(level)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def support_cube(support: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Sums of values over every combination of keys; ALL stands for all levels of a key."""
     d = support.select(*[F.col(k).cast("string").alias(k) for k in keys], *values)
@@ -93,19 +105,20 @@ def founder_candidates(pairs: DataFrame, labels: DataFrame, least_size: int, rat
 
 
 def ancestry_names(weights: DataFrame, k: int) -> DataFrame:
-    """One-to-one names for files by enrichment: weights (file, label, w) less the label's mean, greatest first.
+    """One-to-one names for files by enrichment: weights (file, label, w) less the label's mean, greatest first; confirmed where that is the file's own greatest one.
 
     Files and labels are few (k at most); the greedy choice runs on the driver over k x k rows.
     """
     mean = weights.groupBy("label").agg(F.avg("w").alias("m"))
     rows = weights.join(mean, "label").select("file", "label", (F.col("w") - F.col("m")).alias("e")).orderBy(F.desc("e"), "file", "label").limit(k * k).collect()
-    files, labels, out = set(), set(), []
+    files, labels, out, best = set(), set(), [], {}
     for r in rows:
+        best.setdefault(r["file"], r["label"])
         if r["file"] not in files and r["label"] not in labels:
             files.add(r["file"])
             labels.add(r["label"])
-            out.append((r["file"], r["label"], float(r["e"])))
-    return weights.sparkSession.createDataFrame(out, f"file {weights.schema['file'].dataType.simpleString()}, label {weights.schema['label'].dataType.simpleString()}, enrichment double")
+            out.append((r["file"], r["label"], float(r["e"]), best[r["file"]] == r["label"]))
+    return weights.sparkSession.createDataFrame(out, f"file {weights.schema['file'].dataType.simpleString()}, label {weights.schema['label'].dataType.simpleString()}, enrichment double, confirmed boolean")
 
 
 def dyadic_variance(pairs: DataFrame, components: DataFrame, value: str) -> DataFrame:

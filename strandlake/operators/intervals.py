@@ -2,7 +2,7 @@
 
 Overlap joins put each interval under every bucket of positions that it touches and join on
 the bucket, so that the work spreads over (key, bucket) instead of a contig at a time.
-Unions are gaps and islands: one window a contig, partitioned further by the caller's keys.
+Unions merge inside buckets first, and then what touches a bucket's border.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .axis import SIZE
+
 
 def _buckets(lo: Column, hi: Column, size: int) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
@@ -40,8 +42,14 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     return kp.join(ip, on, "left").select(*[F.col(f"p.{c}") for c in points.columns], *rest)
 
 
-def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged intervals of each key; adjacent ones (lo = hi + 1) merge too."""
+def _clipped(intervals: DataFrame, size: int) -> DataFrame:
+    """Each interval once a bucket that it touches (_b), cut at the borders."""
+    d = intervals.withColumn("_b", _buckets(F.col("lo"), F.col("hi"), size))
+    return d.withColumns({"lo": F.greatest("lo", F.col("_b") * size), "hi": F.least("hi", F.col("_b") * size + (size - 1))})
+
+
+def _merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Gaps and islands within keys; adjacent intervals merge."""
     w = Window.partitionBy(*keys).orderBy("lo", "hi")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = intervals.select(*keys, "lo", "hi").withColumn("_new", F.when(F.col("lo") <= reach + 1, 0).otherwise(1))
@@ -49,15 +57,23 @@ def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
+def union(intervals: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
+    """Merged intervals of each key; adjacent ones (lo = hi + 1) merge too."""
+    d = _merged(_clipped(intervals.select(*keys, "lo", "hi"), size), [*keys, "_b"])
+    border = (F.col("lo") == F.col("_b") * size) | (F.col("hi") == F.col("_b") * size + (size - 1))
+    # at most two of each bucket touch its borders
+    return d.filter(~border).drop("_b").unionByName(_merged(d.filter(border), keys))
+
+
 def in_mask(points: DataFrame, mask: DataFrame, keys: list[str], size: int, pos: str = "pos") -> DataFrame:
     """points with in_mask; mask intervals may nest and overlap."""
-    merged = union(mask, keys)
+    merged = union(mask, keys, size)
     return point_in_interval(points, merged, keys, size, pos).withColumn("in_mask", F.col("lo").isNotNull()).drop("lo", "hi")
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Intersections of the two unions."""
-    j = overlap_join(union(a, keys), union(b, keys), keys, size)
+    j = overlap_join(union(a, keys, size), union(b, keys, size), keys, size)
     return j.select(*keys, F.greatest("lo", "r_lo").alias("lo"), F.least("hi", "r_hi").alias("hi"))
 
 
@@ -67,28 +83,29 @@ def total(intervals: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def geometry(a: DataFrame, b: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Per key: bp of a's union, of b's, of both, and the shared fraction of each (null for nothing)."""
-    d = total(union(a, keys), keys, "a_bp").join(total(union(b, keys), keys, "b_bp"), keys, "full").join(total(intersection(a, b, keys, size), keys, "both_bp"), keys, "left")
+    d = total(union(a, keys, size), keys, "a_bp").join(total(union(b, keys, size), keys, "b_bp"), keys, "full").join(total(intersection(a, b, keys, size), keys, "both_bp"), keys, "left")
     d = d.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("a_bp", "b_bp", "both_bp")])
     return d.withColumns({"of_a": F.try_divide("both_bp", "a_bp"), "of_b": F.try_divide("both_bp", "b_bp")})
 
 
 def labelled_union(intervals: DataFrame, keys: list[str], label: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(union by label, overlaps of different labels: the conflicts that make it invalid)."""
-    u = union(intervals, [*keys, label])
+    u = union(intervals, [*keys, label], size)
     r = u.withColumnRenamed(label, "other")
     clash = overlap_join(u, r, keys, size).filter(F.col(label) < F.col("other"))
     return u, clash.select(*keys, label, "other", F.greatest("lo", "r_lo").alias("lo"), F.least("hi", "r_hi").alias("hi"))
 
 
-def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+def complement(intervals: DataFrame, bounds: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
     """What the union leaves of each key's bounds (lo, hi)."""
-    b = bounds.select(*keys, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    u = union(intervals, keys).join(b, keys).filter("hi >= b_lo and lo <= b_hi")
-    w = Window.partitionBy(*keys).orderBy("lo")
-    before = u.select(*keys, F.coalesce(F.lag("hi").over(w) + 1, F.col("b_lo")).alias("lo"), (F.col("lo") - 1).alias("hi"))
-    end = u.groupBy(*keys).agg((F.max("hi") + 1).alias("lo"), F.first("b_hi").alias("hi"))
-    empty = b.join(u, keys, "left_anti").select(*keys, F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
-    return before.unionByName(end).unionByName(empty).filter("lo <= hi")
+    cell = [*keys, "_b"]
+    b = _clipped(bounds.select(*keys, "lo", "hi"), size).select(*cell, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+    u = _merged(_clipped(intervals.select(*keys, "lo", "hi"), size), cell).join(b, cell).filter("hi >= b_lo and lo <= b_hi")
+    w = Window.partitionBy(*cell).orderBy("lo")
+    before = u.select(*cell, F.coalesce(F.lag("hi").over(w) + 1, F.col("b_lo")).alias("lo"), (F.col("lo") - 1).alias("hi"))
+    end = u.groupBy(*cell).agg((F.max("hi") + 1).alias("lo"), F.first("b_hi").alias("hi"))
+    empty = b.join(u, cell, "left_anti").select(*cell, F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
+    return union(before.unionByName(end).unionByName(empty).filter("lo <= hi"), keys, size)
 
 
 def set_overlap(a: DataFrame, b: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -107,12 +124,14 @@ def overlay(a: DataFrame, b: DataFrame, keys: list[str], label: str, size: int)
     return j.groupBy(*keys, state.alias("state")).agg(F.sum(F.least("hi", "r_hi") - F.greatest("lo", "r_lo") + 1).alias("bp"))
 
 
-def edge_sweep(edges: DataFrame, keys: list[str]) -> DataFrame:
+def edge_sweep(edges: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
     """edges: lo, hi and edge (0 to 3: haplotype pairs 11, 12, 21, 22). bp by number and kind of active edges.
 
     One event where an edge starts and one behind its end; running sums tell which edges are
-    active between neighbouring positions, however many records an edge has there.
+    active between neighbouring positions, however many records an edge has there. Edges are
+    cut at bucket borders, so a window is a bucket.
     """
+    edges, by, keys = _clipped(edges.select(*keys, "lo", "hi", "edge"), size), keys, [*keys, "_b"]
     w = Window.partitionBy(*keys).orderBy("at")
     up = edges.select(*keys, F.col("lo").alias("at"), "edge", F.lit(1).alias("d"))
     down = edges.select(*keys, (F.col("hi") + 1).alias("at"), "edge", F.lit(-1).alias("d"))
@@ -122,7 +141,7 @@ def edge_sweep(edges: DataFrame, keys: list[str]) -> DataFrame:
     n = sum((F.col(f"on{k}").cast("int") for k in range(1, 4)), F.col("on0").cast("int"))
     disjoint = (F.col("on0") & F.col("on3")) | (F.col("on1") & F.col("on2"))
     pattern = F.when(n == 1, "1").when((n == 2) & disjoint, "2_disjoint").when(n == 2, "2_shared").when(n == 3, "3").when(n == 4, "4")
-    return e.filter(F.col("next").isNotNull() & (n > 0)).groupBy(*keys, pattern.alias("pattern")).agg(F.sum(F.col("next") - F.col("at")).alias("bp"))
+    return e.filter(F.col("next").isNotNull() & (n > 0)).groupBy(*by, pattern.alias("pattern")).agg(F.sum(F.col("next") - F.col("at")).alias("bp"))
 
 
 def interpolate(points: DataFrame, curve: DataFrame, keys: list[str], x: str, y: str, size: int) -> DataFrame:

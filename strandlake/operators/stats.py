@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.joins import broadcast_if_small
+from ..plans.lineage import cut
+
 
 def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """keys, value, n and the average rank of the value's rows (1-based) within keys.
@@ -22,11 +25,11 @@ def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None) -> Dat
     """
     keys = keys or []
     n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    parts = n.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id())
+    parts = cut(n.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))  # written, so that a row's number stays
     inside = Window.partitionBy("_p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy(*keys, "_p").agg(F.sum("n").alias("_t"))
     ahead = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    d = parts.join(F.broadcast(ahead), [*keys, "_p"])
+    d = parts.join(broadcast_if_small(ahead), [*keys, "_p"])
     below = F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     return d.select(*keys, value, "n", (below + (F.col("n") + 1) / 2).alias("rank"))
 
@@ -92,12 +95,20 @@ def _hypergeometric_tail(hit: pd.Series, inside: pd.Series, level: pd.Series, to
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
-    """df with q: adjusted p values over all rows (a table of tests, not of data)."""
-    n = F.broadcast(df.agg(F.count("*").alias("_n")))
-    d = df.crossJoin(n).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(p)))
-    raw = F.col(p) * F.col("_n") / F.col("_k")
-    back = Window.partitionBy(F.lit(0)).orderBy(F.desc(p), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("q", F.least(F.lit(1.0), F.min(raw).over(back))).drop("_n", "_k")
+    """df with q: adjusted p values over all rows with one; null ones stay null.
+
+    Equal p values share the highest of their ranks, and the least raw value from there on:
+    both come from value counts by ranges, so no window runs over all rows.
+    """
+    ranks = value_ranks(df, p).withColumn("_k", F.col("rank") + (F.col("n") - 1) / 2)
+    total = F.broadcast(ranks.agg(F.sum("n").alias("_n")))
+    raw = ranks.crossJoin(total).select(p, (F.col(p) * F.col("_n") / F.col("_k")).alias("_raw"))
+    parts = cut(raw.repartitionByRange(p).withColumn("_p", F.spark_partition_id()))
+    after = parts.groupBy("_p").agg(F.min("_raw").alias("_m"))
+    later = F.min("_m").over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    inside = F.min("_raw").over(Window.partitionBy("_p").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    q = parts.join(F.broadcast(after.select("_p", later.alias("_later"))), "_p").select(p, F.least(F.lit(1.0), inside, "_later").alias("q"))
+    return df.join(q, p, "left")
 
 
 def enrichment(df: DataFrame, group: str, level: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import broadcast_if_small
+from ..plans.lineage import cut
+from .axis import SIZE, with_before, with_island, with_ordinal
+from .intervals import interpolate
 from .pairs import PAIR, chains, shared_pairs
 
 
@@ -36,12 +40,12 @@ def sharing_windows(carriers: DataFrame, size: int, step: int, top: int) -> Data
     return g.select("chrom", "start", "n_pairs", "mean_jaccard", "max_jaccard", more.alias("top_pairs"))
 
 
-def snp_windows(positions: DataFrame, keys: list[str], width: int, step: int) -> DataFrame:
+def snp_windows(positions: DataFrame, keys: list[str], width: int, step: int, size: int = SIZE) -> DataFrame:
     """Windows of `width` consecutive positions, every `step`-th: window_id, start, end, per_mb."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    d = positions.select(*keys, "pos", (F.row_number().over(w) - 1).alias("_i"), F.lead("pos", width - 1).over(w).alias("end"))
-    d = d.filter(F.col("end").isNotNull() & (F.col("_i") % step == 0))
-    return d.select(*keys, (F.col("_i") / step).cast("long").alias("window_id"), F.col("pos").alias("start"), "end", (F.lit(width) * 1e6 / (F.col("end") - F.col("pos") + 1)).alias("per_mb"))
+    d = with_ordinal(positions.select(*keys, "pos"), keys, size=size)
+    end = d.select(*keys, (F.col("_ordinal") - (width - 1)).alias("_ordinal"), F.col("pos").alias("end"))
+    d = d.filter(F.col("_ordinal") % step == 0).join(end, [*keys, "_ordinal"])
+    return d.select(*keys, (F.col("_ordinal") / step).cast("long").alias("window_id"), F.col("pos").alias("start"), "end", (F.lit(width) * 1e6 / (F.col("end") - F.col("pos") + 1)).alias("per_mb"))
 
 
 def enriched(windows: DataFrame, value: str, percentile: float, by: list[str]) -> DataFrame:
@@ -51,12 +55,16 @@ def enriched(windows: DataFrame, value: str, percentile: float, by: list[str]) -
     return j.filter(F.col(value) >= F.col("cutoff")).drop("cutoff")
 
 
-def tracts(windows: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Enriched windows whose ids differ by up to gap + 1 merge: start, end, n_windows, mean_score."""
-    w = Window.partitionBy(*keys).orderBy("window_id")
-    d = windows.withColumn("_new", F.when(F.col("window_id") - F.lag("window_id").over(w) > gap + 1, 1).otherwise(0))
-    d = d.withColumn("_t", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "_t").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_windows"), F.avg("per_mb").alias("mean_score")).drop("_t")
+def tracts(windows: DataFrame, keys: list[str], gap: int, curve: DataFrame | None = None) -> DataFrame:
+    """Enriched windows whose ids differ by up to gap + 1 merge: start, end, n_windows, mean_score, windows a Mb, and with a genetic map (keys, pos, cm) length_cm (null where an end is off the map)."""
+    d = with_island(windows, keys, gap + 1, "window_id")
+    d = d.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_windows"), F.avg("per_mb").alias("mean_score")).drop("_island")
+    d = d.withColumn("density", F.col("n_windows") * 1e6 / (F.col("end") - F.col("start") + 1))
+    if curve is None:
+        return d
+    for end in ("start", "end"):
+        d = interpolate(d.withColumnRenamed(end, "pos"), curve.withColumnRenamed("cm", f"_{end}_cm"), keys, "pos", f"_{end}_cm", SIZE).withColumnRenamed("pos", end)
+    return d.withColumn("length_cm", F.col("_end_cm") - F.col("_start_cm")).drop("_start_cm", "_end_cm")
 
 
 def grid_features(genotypes: DataFrame, people: DataFrame, size: int) -> DataFrame:
@@ -67,7 +75,7 @@ def grid_features(genotypes: DataFrame, people: DataFrame, size: int) -> DataFra
     x = F.col("dosage")
     d = genotypes.withColumn("window_id", F.floor((F.col("pos") - 1) / size))
     f = d.groupBy("sample_id", "chrom", "window_id").agg(F.count(x).alias("n_called"), F.count_if(x.isNull()).alias("n_missing"), F.count_if(x > 0).alias("n_carried"), F.coalesce(F.sum(x), F.lit(0)).alias("dosage_sum"))
-    grid = people.crossJoin(F.broadcast(d.select("chrom", "window_id").distinct()))
+    grid = people.crossJoin(broadcast_if_small(d.select("chrom", "window_id").distinct()))
     out = grid.join(f, ["sample_id", "chrom", "window_id"], "left").na.fill(0)
     return out.withColumn("rate", F.try_divide("dosage_sum", "n_called"))
 
@@ -94,18 +102,16 @@ def log_histogram(distances: DataFrame, keys: list[str], low: float, high: float
     return distances.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(v < low).alias("n_under"), F.count_if(v >= high).alias("n_over"))
 
 
-def gap_stats(positions: DataFrame, keys: list[str], universe: str) -> DataFrame:
+def gap_stats(positions: DataFrame, keys: list[str], universe: str, size: int = SIZE) -> DataFrame:
     """n, mean and median gap of neighbouring positions within keys, all keys together."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    d = positions.select((F.col("pos") - F.lag("pos").over(w)).alias("gap")).filter("gap is not null")
+    d = with_before(positions, keys, size=size).select((F.col("pos") - F.col("_before")).alias("gap")).filter("gap is not null")
     return d.agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap")).select(F.lit(universe).alias("universe"), "*")
 
 
 def segment_sweep(carriers: DataFrame, gaps: list[int], lengths: list[int], sites: list[int]) -> DataFrame:
     """n_segments, n_pairs, total_bp of every configuration; chains are made once a gap."""
     spark = carriers.sparkSession
-    shared = shared_pairs(carriers, min(sites))
-    made = None
+    shared, made = cut(shared_pairs(carriers, min(sites))), None
     for gap in gaps:
         part = chains(shared, gap, [*PAIR, "chrom"]).withColumn("max_gap", F.lit(gap).cast("long"))
         made = part if made is None else made.unionByName(part)
@@ -115,10 +121,15 @@ def segment_sweep(carriers: DataFrame, gaps: list[int], lengths: list[int], site
     return grid.join(found, ["max_gap", "min_length", "min_sites"], "left").na.fill(0)
 
 
-def radius_counts(queries: DataFrame, events: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """queries (pos) with n_events: events (pos) of the same key within the radius on either side."""
-    u = queries.select(*keys, "pos", "id", F.lit(0).alias("e")).unionByName(events.select(*keys, "pos", F.lit(None).cast("long").alias("id"), F.lit(1).alias("e")))
-    w = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-radius, radius)
+def radius_counts(queries: DataFrame, events: DataFrame, keys: list[str], radius: int, size: int = SIZE) -> DataFrame:
+    """queries (pos) with n_events: events (pos) of the same key within the radius on either side.
+
+    Events go to every bucket that their radius touches; queries to their own.
+    """
+    reach = F.sequence(F.floor((F.col("pos") - radius) / size), F.floor((F.col("pos") + radius) / size))
+    e = events.select(*keys, "pos", F.lit(None).cast("long").alias("id"), F.lit(1).alias("e"), F.explode(reach).alias("_b"))
+    u = queries.select(*keys, "pos", "id", F.lit(0).alias("e"), F.floor(F.col("pos") / size).alias("_b")).unionByName(e)
+    w = Window.partitionBy(*keys, "_b").orderBy("pos").rangeBetween(-radius, radius)
     return u.withColumn("n_events", F.sum("e").over(w)).filter("id is not null").select("id", *keys, "pos", "n_events")
 
 
@@ -131,8 +142,6 @@ def voronoi(positions: DataFrame, keys: list[str]) -> DataFrame:
 
 def marker_windows(positions: DataFrame, keys: list[str], size: int, max_gap: int) -> DataFrame:
     """Runs of up to `size` markers by ordinal, broken at gaps above max_gap: window, start, end, n."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = positions.withColumn("_new", F.when(F.col("pos") - F.lag("pos").over(w) > max_gap, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(run))
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("pos")) - 1)
-    return d.groupBy(*keys, "_run", F.floor(F.col("_i") / size).alias("_w")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).drop("_run", "_w")
+    d = with_island(with_ordinal(positions, keys), keys, max_gap, value="_ordinal")
+    number = F.floor((F.col("_ordinal") - F.col("_island")) / size)
+    return d.groupBy(*keys, "_island", number.alias("_w")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).drop("_island", "_w")

@@ -115,6 +115,12 @@ def boundary_matches(s, d):
     return A.match_boundaries(A.boundaries(called(s, d, 0), k), A.boundaries(called(s, d, 5000), k), k, 20_000.0)
 
 
+@query(None)
+def boundary_matches_optimal(s, d):
+    k = ["sample_id", "chrom"]
+    return A.match_boundaries(A.boundaries(called(s, d, 0), k), A.boundaries(called(s, d, 5000), k), k, 20_000.0, True)
+
+
 GRIDP = "gr AS (SELECT p_partkey % 5 + 1 AS chrom, p_partkey * 1000 AS pos, p_size / 60 AS a, (60 - p_size) / 120 AS b FROM part)"
 
 

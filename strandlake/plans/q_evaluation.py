@@ -38,6 +38,12 @@ def tag_sites(s, d):
     return E.tag_sites(S.ld_pairs(g, ["chrom"], 20_000), g.select("chrom", "pos").distinct(), 0.2)
 
 
+@query(None)
+def tag_counts(s, d):
+    g = D.genotypes(s, d)
+    return E.tag_counts(S.ld_pairs(g, ["chrom"], 20_000), g, [0.2, 0.8])
+
+
 @query(f"""WITH {D.GENO}, x AS (SELECT CASE WHEN sample_id % 5 = 0 THEN 'test' ELSE 'train' END AS role, chrom::VARCHAR AS chrom, count(dosage) AS n_called, count(*) - count(dosage) AS n_missing FROM geno GROUP BY ALL)
 SELECT coalesce(role, 'ALL') AS role, coalesce(chrom, 'ALL') AS chrom, sum(n_called)::BIGINT AS n_called, sum(n_missing)::BIGINT AS n_missing FROM x GROUP BY CUBE (role, chrom)""")
 def support_review(s, d):

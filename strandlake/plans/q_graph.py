@@ -98,12 +98,13 @@ def communities(s, d):
 
 @query(None)
 def consensus(s, d):
-    """Co-assignment over three seeds."""
-    e, runs = cut(edges(s, d)), None
-    for seed in range(3):
-        part = G.communities(e, seed=seed).withColumn("run", F.lit(seed))
-        runs = part if runs is None else runs.unionByName(part)
-    return G.co_assignment(cut(runs))
+    """Co-assignment over two seeds."""
+    r = runs(s, d).filter("resolution = 1.0 and community is not null")
+    return G.co_assignment(r.select(F.col("seed").alias("run"), "node", "community"))
+
+
+def runs(s, d):
+    return G.community_runs(edges(s, d), nodes(s, d), [1.0], 2, 3)
 
 
 TABLE = f"{LABELS}, t AS (SELECT community AS la, node % 6 AS lb, count(*) AS n FROM lab WHERE community IS NOT NULL AND node % 7 <> 0 GROUP BY ALL)"
@@ -126,6 +127,34 @@ def partition_distance(s, d):
     return G.variation_of_information(table(s, d)).withColumn("vi", F.round("vi", 9))
 
 
+@query(f"""WITH {D.GENO}, {TABLE}, b AS (SELECT la, lb, n, row_number() OVER (PARTITION BY la ORDER BY n DESC, lb) AS k FROM t), x AS (SELECT la, sum(n) AS ra FROM t GROUP BY la), y AS (SELECT lb, sum(n) AS cb FROM t GROUP BY lb)
+SELECT la, lb, n, n / (ra + cb - n) AS jaccard FROM b JOIN x USING (la) JOIN y USING (lb) WHERE k = 1""")
+def partition_matches(s, d):
+    return G.match_partitions(table(s, d))
+
+
+def _sweep_part(t: int) -> str:
+    name = f"s{t}"
+    return f"""{name}x AS (SELECT a, b FROM x WHERE w >= {t}), {name}y AS (SELECT a, b FROM {name}x UNION ALL SELECT b, a FROM {name}x),
+{name}r AS (SELECT node, node AS reached FROM n UNION SELECT r.node, y.b FROM {name}r r JOIN {name}y y ON y.a = r.reached),
+{name}c AS (SELECT node, min(reached) AS component FROM {name}r GROUP BY node),
+{name}t AS (SELECT component AS la, community AS lb, count(*) AS n FROM {name}c JOIN lab USING (node) WHERE community IS NOT NULL GROUP BY ALL),
+{name}z AS (SELECT sum(n) AS z, sum(n * (n - 1) / 2) AS sc FROM {name}t), {name}a AS (SELECT sum(x * (x - 1) / 2) AS sa FROM (SELECT sum(n) AS x FROM {name}t GROUP BY la)), {name}b AS (SELECT sum(x * (x - 1) / 2) AS sb FROM (SELECT sum(n) AS x FROM {name}t GROUP BY lb)),
+{name}h AS (SELECT -sum(n / z * ln(n / z)) AS h FROM {name}t, {name}z), {name}ha AS (SELECT -sum(n / z * ln(n / z)) AS ha FROM (SELECT sum(n) AS n FROM {name}t GROUP BY la), {name}z), {name}hb AS (SELECT -sum(n / z * ln(n / z)) AS hb FROM (SELECT sum(n) AS n FROM {name}t GROUP BY lb), {name}z)"""
+
+
+def _sweep_row(t: int) -> str:
+    n = f"s{t}"
+    return f"""SELECT {t}::DOUBLE AS threshold, (SELECT count(*) FROM {n}x) AS n_edges, (SELECT count(DISTINCT component) FROM {n}c) AS n_components, (SELECT max(k) FROM (SELECT count(*) AS k FROM {n}c GROUP BY component)) AS largest,
+round((sc - sa * sb / (z * (z - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (z * (z - 1) / 2)), 9) AS ari, round(2 * h - ha - hb, 9) AS vi FROM {n}z, {n}a, {n}b, {n}h, {n}ha, {n}hb"""
+
+
+@query(f"WITH RECURSIVE {LONG.replace('WITH ', '', 1)}, {LABELS}, {_sweep_part(60000)}, {_sweep_part(90000)} {_sweep_row(60000)} UNION ALL {_sweep_row(90000)}")
+def graph_sweep(s, d):
+    out = G.graph_sweep(long_edges(s, d), nodes(s, d), [60_000, 90_000], labels(s, d).filter("community is not null"))
+    return out.withColumns({"ari": F.round("ari", 9), "vi": F.round("vi", 9)})
+
+
 @query(f"""WITH {EDGES}, {LABELS}, l AS (SELECT * FROM lab WHERE community IS NOT NULL), sm AS (SELECT a, b, w / (w + 100000) AS w FROM e), ev AS (SELECT a, b, w FROM sm UNION ALL SELECT b, a, w FROM sm),
 z AS (SELECT community, count(*) AS size FROM l GROUP BY community),
 f AS (SELECT l.node, l.community, z.size, o.community AS other, o.size AS osize FROM l JOIN z USING (community) CROSS JOIN z o),

@@ -42,7 +42,7 @@ def side(s, d, label):
 
 @query("WITH " + D.INTERVALS + ", ra AS (SELECT contig, lo, hi FROM iv), " + _sql_union("u", "ra", "contig") + " SELECT contig, lo, hi FROM u")
 def interval_union(s, d):
-    return I.union(D.intervals(s, d), ["contig"])
+    return I.union(D.intervals(s, d), ["contig"], 365)
 
 
 @query(BOTH + " SELECT contig, a_bp, b_bp, both_bp, both_bp / nullif(a_bp, 0) AS of_a, both_bp / nullif(b_bp, 0) AS of_b FROM g")
@@ -68,7 +68,7 @@ def points(s, d):
 
 @query(f"""{RAW}, {POINTS}, {_sql_union('u', 'ra', 'contig')} SELECT id, pt.contig, pos, u.lo, u.hi FROM pt LEFT JOIN u ON u.contig = pt.contig AND pos BETWEEN u.lo AND u.hi""")
 def point_in_interval(s, d):
-    return I.point_in_interval(points(s, d), I.union(side(s, d, "A"), ["contig"]), ["contig"], DAYS)
+    return I.point_in_interval(points(s, d), I.union(side(s, d, "A"), ["contig"], 365), ["contig"], DAYS)
 
 
 @query(f"""{RAW}, {POINTS} SELECT id, contig, pos, EXISTS (SELECT 1 FROM rr WHERE rr.contig = pt.contig AND pos BETWEEN lo AND hi) AS in_mask FROM pt""")
@@ -90,7 +90,7 @@ w AS (SELECT contig, coalesce(lag(hi) OVER (PARTITION BY contig ORDER BY lo) + 1
 SELECT contig, lo, hi FROM w WHERE lo <= hi""")
 def interval_complement(s, d):
     bounds = D.intervals(s, d).groupBy("contig").agg((F.min("lo") - 10).alias("lo"), (F.max("hi") + 10).alias("hi"))
-    return I.complement(side(s, d, "A"), bounds, ["contig"])
+    return I.complement(side(s, d, "A"), bounds, ["contig"], 365)
 
 
 @query(BOTH + """, da AS (SELECT DISTINCT * FROM ra), dr AS (SELECT DISTINCT * FROM rr),
@@ -127,7 +127,7 @@ SELECT contig, CASE WHEN n = 1 THEN '1' WHEN n = 2 AND ((a AND d) OR (b AND c))
 FROM n WHERE nxt IS NOT NULL AND n > 0 GROUP BY ALL""")
 def edge_sweep(s, d):
     v = D.intervals(s, d).select("contig", "lo", "hi", (F.col("part") % 4).alias("edge"))
-    return I.edge_sweep(v, ["contig"])
+    return I.edge_sweep(v, ["contig"], 365)
 
 
 # Genetic map: parts in order on five chromosomes, cM the running sum of sizes over 1000.

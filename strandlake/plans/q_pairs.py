@@ -317,7 +317,7 @@ w AS (SELECT chrom, i // 2 AS window_id, pos AS start, e AS "end", 5 * 1e6 / (e
 
 
 def snpw(s, d):
-    return W.snp_windows(D.sites(s, d).filter("floor(pos / 1000) % 7 <> 0").select("chrom", "pos"), ["chrom"], 5, 2)
+    return W.snp_windows(D.sites(s, d).filter("floor(pos / 1000) % 7 <> 0").select("chrom", "pos"), ["chrom"], 5, 2, 300_000)
 
 
 @query(SNPW + ' SELECT chrom, window_id, start, "end", round(per_mb, 6) AS per_mb FROM w')
@@ -335,9 +335,13 @@ def enriched_windows(s, d):
 
 @query(ENR + """, n AS (SELECT *, CASE WHEN window_id - lag(window_id) OVER (PARTITION BY chrom ORDER BY window_id) > 2 THEN 1 ELSE 0 END AS new FROM en),
 t AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY window_id ROWS UNBOUNDED PRECEDING) AS t FROM n)
-SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n_windows, round(avg(per_mb), 6) AS mean_score FROM t GROUP BY chrom, t""")
+SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n_windows, round(avg(per_mb), 6) AS mean_score, round(count(*) * 1e6 / (max("end") - min(start) + 1), 6) AS density,
+  round((max("end") - min(start)) / 500000, 6) AS length_cm FROM t GROUP BY chrom, t""")
 def tracts(s, d):
-    return W.tracts(W.enriched(snpw(s, d), "per_mb", 0.6, ["chrom"]), ["chrom"], 1).withColumn("mean_score", F.round("mean_score", 6))
+    """The map is even: 2 cM a Mb."""
+    curve = D.sites(s, d).select("chrom", "pos", (F.col("pos") / 500_000).alias("cm"))
+    out = W.tracts(W.enriched(snpw(s, d), "per_mb", 0.6, ["chrom"]), ["chrom"], 1, curve)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "density", "length_cm")})
 
 
 GRID = f"""WITH {D.GENO}, x AS (SELECT *, floor((pos - 1) / 100000)::BIGINT AS window_id FROM geno),
@@ -405,7 +409,7 @@ def radius_counts(s, d):
     from .q_intervals import points
 
     e = D.table(s, d, "lineitem").select(F.col("l_suppkey").alias("contig"), F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long").alias("pos"))
-    return W.radius_counts(points(s, d), e, ["contig"], 15)
+    return W.radius_counts(points(s, d), e, ["contig"], 15, 365)
 
 
 @query(f"""WITH {D.SITES}, w AS (SELECT chrom, pos, lag(pos) OVER v AS a, lead(pos) OVER v AS b FROM sites WINDOW v AS (PARTITION BY chrom ORDER BY pos))

@@ -139,6 +139,34 @@ def read_kinship(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.least("ID1", "ID2").alias("sample_a"), F.greatest("ID1", "ID2").alias("sample_b"), "kin", "k0", "k2")
 
 
+def read_grm(spark: SparkSession, path: str, ids_path: str) -> DataFrame:
+    """a, b (sample ids in order), n, k of a relationship triangle in text: lines of row, column (from 1), number of sites, value; k is null where n is 0.
+
+    ids_path: lines of family and person, in the triangle's order. A row without an id raises.
+    """
+    rows = spark.read.csv(path, sep="\t", schema="i long, j long, n double, k double")
+    ids = spark.read.csv(ids_path, sep="\t", schema="family string, sample_id string")
+    # the place in the file: lines are numbered by part, and parts by their order
+    numbered = ids.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    before = numbered.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = numbered.join(F.broadcast(before), "_p").select("sample_id", (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_at"))
+    d = rows.join(place.select(F.col("_at").alias("i"), F.col("sample_id").alias("x")), "i", "left").join(place.select(F.col("_at").alias("j"), F.col("sample_id").alias("y")), "j", "left")
+    if not d.filter("x is null or y is null").isEmpty():
+        raise ValueError("relationship triangle: rows without an id")
+    return d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", F.when(F.col("n") > 0, F.col("k")).alias("k"))
+
+
+def read_roh(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, chrom, lo, hi, kb, n_sites of a table of homozygous runs (header IID, CHR, POS1, POS2, KB, NSNP; blanks between)."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    head = lines.filter(F.array_contains("f", "POS1")).first()
+    if head is None:
+        raise ValueError("no header with POS1")
+    at = lambda name: F.get("f", F.lit(head["f"].index(name)))
+    d = lines.filter(~F.array_contains("f", "POS1") & (F.size("f") == len(head["f"])))
+    return d.select(at("IID").alias("sample_id"), plain_chrom(at("CHR")).alias("chrom"), at("POS1").cast("long").alias("lo"), at("POS2").cast("long").alias("hi"), at("KB").cast("double").alias("kb"), at("NSNP").cast("long").alias("n_sites"))
+
+
 def read_gvcf(spark: SparkSession, path: str) -> DataFrame:
     """chrom, lo, hi, ref, alt (null for reference blocks), dosage, dp, gq of one person; blocks span to INFO END."""
     v = _fields(spark, path, "\t").filter(~_f(0).startswith("#"))

@@ -36,6 +36,29 @@ def test_adjacent_intervals_merge(spark):
     assert rows(intervals.union(i, ["k"]), "lo", "hi") == [(1, 9), (11, 12)]
     b = spark.createDataFrame([("a", 0, 20), ("b", 1, 2)], "k string, lo long, hi long")
     assert rows(intervals.complement(i, b, ["k"]), "k", "lo", "hi") == [("a", 0, 0), ("a", 10, 10), ("a", 13, 20), ("b", 1, 2)]
+    for size in (1, 2, 3, 5, 7):  # bucket borders must not show
+        assert rows(intervals.union(i, ["k"], size), "lo", "hi") == [(1, 9), (11, 12)]
+        assert rows(intervals.complement(i, b, ["k"], size), "k", "lo", "hi") == [("a", 0, 0), ("a", 10, 10), ("a", 13, 20), ("b", 1, 2)]
+
+
+def test_order_along_an_axis(spark):
+    import random
+
+    from strandlake.operators import axis
+
+    rng = random.Random(3)
+    data = sorted({(k, rng.randint(0, 300)) for k in "ab" for _ in range(60)})
+    d = spark.createDataFrame(data, "k string, pos long")
+    want_before, want_ordinal, want_island = {}, {}, {}
+    for k in "ab":
+        p = [x for kk, x in data if kk == k]
+        for i, x in enumerate(p):
+            want_before[k, x], want_ordinal[k, x] = (p[i - 1] if i else None), i
+            want_island[k, x] = x if i == 0 or x - p[i - 1] > 8 else want_island[k, p[i - 1]]
+    for size in (10, 64, 1000):
+        assert {(r.k, r.pos): r._before for r in axis.with_before(d, ["k"], size=size).collect()} == want_before
+        assert {(r.k, r.pos): r._ordinal for r in axis.with_ordinal(d, ["k"], size=size).collect()} == want_ordinal
+        assert {(r.k, r.pos): r._island for r in axis.with_island(d, ["k"], 8, size=size).collect()} == want_island
 
 
 def test_points_on_ends_and_in_gaps(spark):
