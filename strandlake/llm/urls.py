@@ -74,7 +74,7 @@ def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = MI
     total, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     if bad < min_bad:
         return spark.createDataFrame([], "antecedent array<string>, n_bad long, n long, confidence double")
-    own = distinct_tokens(labelled)
+    own = broadcast_if_small(cut(distinct_tokens(labelled)), 200_000)
     baskets = labelled.select("id", "bad", F.explode("tokens").alias("token")).join(own, "token").groupBy("id", "bad").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
     baskets = cut(baskets)
     model = FPGrowth(itemsCol="tokens", minSupport=(min_bad - 0.5) / bad, minConfidence=0.0).fit(baskets.filter("bad"))
@@ -95,7 +95,7 @@ def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_confidence: float = MI
 def holding(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows: id, tokens; rules: antecedent. (id, antecedent) of each row and rule whose tokens it has, by an index from each rule's rarest token."""
     spread = rows.select("id", "tokens", F.explode("tokens").alias("token"))
-    used = rules.select(F.explode("antecedent").alias("token")).distinct()
+    used = broadcast_if_small(cut(rules.select(F.explode("antecedent").alias("token")).distinct()), 200_000)
     common = spread.select("token").join(used, "token").groupBy("token").count()
     index = rules.select("antecedent", F.explode("antecedent").alias("token")).join(common, "token", "left")
     index = index.groupBy("antecedent").agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("rarest")).select("antecedent", F.col("rarest.token").alias("token"))
