@@ -43,6 +43,6 @@ def with_island(df: DataFrame, keys: list[str], gap: int, pos: str = "pos", size
     d = with_before(df, keys, pos, size)
     start = F.when(F.col("_before").isNull() | (F.col(pos) - F.col("_before") > gap), F.struct(F.col(pos).alias("p"), F.col(value or pos).alias("v")))
     d = _ahead(_bucketed(d.withColumn("_start", start), pos, size), keys, F.max("_start"), F.max)
-    w = Window.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_b").orderBy(pos).rangeBetween(Window.unboundedPreceding, 0)  # rows at one position together
     found = F.coalesce(F.max("_start").over(w), "_carry").getField("v")
     return d.withColumn("_island", found).drop("_b", "_carry", "_start", "_before")

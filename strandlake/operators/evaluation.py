@@ -222,13 +222,13 @@ def diploid_scores(df: DataFrame, truth: str, call: str, classes: int) -> DataFr
 
 def stratified_bootstrap(df: DataFrame, stratum: str, group: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean of strata means and the percentile interval of replicates that resample groups within strata, strata weighing the same."""
-    g = df.groupBy(stratum, group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64(F.col(stratum), F.col(group), F.col("r"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    w = sum((F.when(F.col("u") > p, 1).otherwise(0) for p in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
-    d = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("u", u).withColumn("w", w)
-    per = d.groupBy("r", stratum).agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    m = per.groupBy("r").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    point = g.groupBy(stratum).agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.avg("m").alias("mean"))
+    g = df.groupBy(F.col(stratum).alias("_stratum"), F.col(group).alias("_group")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    u = (F.pmod(F.xxhash64("_stratum", "_group", "_r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    w = sum((F.when(F.col("_u") > p, 1).otherwise(0) for p in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
+    d = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")).withColumn("_u", u).withColumn("_w", w)
+    per = d.groupBy("_r", "_stratum").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("m"))
+    m = per.groupBy("_r").agg(F.avg("m").alias("m")).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    point = g.groupBy("_stratum").agg((F.sum("_s") / F.sum("_n")).alias("m")).agg(F.avg("m").alias("mean"))
     return point.crossJoin(m)
 
 
