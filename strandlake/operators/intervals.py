@@ -164,3 +164,13 @@ def clip(intervals: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.coalesce(a <= z, F.lit(False)) & F.col("_lo").isNotNull()
     status = F.when(~inside, "OUTSIDE_MAP").when((a == F.col("lo")) & (z == F.col("hi")), "FULL_MAP").otherwise("CLIPPED")
     return d.select(*intervals.columns, F.when(inside, a).alias("clip_lo"), F.when(inside, z).alias("clip_hi"), status.alias("status"))
+
+
+def clip_length(clipped: DataFrame, curve: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """clip()'s rows with length_cm between the clipped ends on the curve (pos, cm); null outside."""
+    d = clipped
+    for end in ("clip_lo", "clip_hi"):
+        ends = clipped.filter(F.col(end).isNotNull()).select(*keys, F.col(end).alias("pos")).distinct()
+        found = interpolate(ends, curve.withColumnRenamed("cm", f"_{end}"), keys, "pos", f"_{end}", size).withColumnRenamed("pos", end)
+        d = d.join(found, [*keys, end], "left")
+    return d.withColumn("length_cm", F.col("_clip_hi") - F.col("_clip_lo")).drop("_clip_lo", "_clip_hi")

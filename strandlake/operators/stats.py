@@ -174,6 +174,29 @@ def pair_denominators(nodes: DataFrame, component: str, value: str) -> DataFrame
     return d.select("n", "same", (pairs("k") - F.col("same")).alias("different"), (pairs("n") - pairs("k")).alias("unknown"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("product_sum"))
 
 
+def modal_confidence(df: DataFrame, group: str, level: str, confidence: str) -> DataFrame:
+    """modal_label() with the median confidence of all of the group's rows."""
+    return modal_label(df, group, level).join(df.groupBy(group).agg(F.median(confidence).alias("median_confidence")), group)
+
+
+def rank_shifts(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: median and 95 % quantile of how far a row's average rank by y lies from that by x."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rx, ry = value_ranks(d, x).select(x, F.col("rank").alias("_rx")), value_ranks(d, y).select(y, F.col("rank").alias("_ry"))
+    shift = F.abs(F.col("_ry") - F.col("_rx"))
+    return d.join(rx, x).join(ry, y).agg(F.percentile(shift, F.lit(0.5)).alias("shift_p50"), F.percentile(shift, F.lit(0.95)).alias("shift_p95"))
+
+
+def balanced_eta_squared(df: DataFrame, value: str, group: str, component: str) -> DataFrame:
+    """eta2 with rows weighted so that every component has weight one in all."""
+    d = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    size = d.groupBy(component).agg((1 / F.count("*")).alias("_w"))
+    g = d.join(size, component).groupBy(group).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col(value)).alias("s"), F.sum(F.col("_w") * F.col(value) * F.col(value)).alias("q"))
+    t = g.agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("w")).alias("b"), F.count("*").alias("groups"))
+    mean = F.col("s") * F.col("s") / F.col("w")
+    return t.select("groups", F.try_divide(F.col("b") - mean, F.col("q") - mean).alias("eta2"))
+
+
 def bootstrap_mean(df: DataFrame, group: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean and the percentile interval of group-resampled means.
 

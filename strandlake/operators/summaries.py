@@ -72,6 +72,20 @@ def sfs(sites: DataFrame, bins: int, n_people: int, least_called: tuple[int, int
     return dim.join(d, "bin", "left").na.fill(0, ["n"])
 
 
+def rare_tail(sites: DataFrame, most: int, folded: bool) -> DataFrame:
+    """ac, n: sites with 1 to `most` copies (folded: of the rarer allele); counts that don't occur have zero."""
+    ac = F.least("ac", F.col("an") - F.col("ac")) if folded else F.col("ac")
+    n = sites.filter("an > 0").select(ac.alias("ac")).groupBy("ac").agg(F.count("*").alias("n"))
+    return sites.sparkSession.range(1, most + 1).select(F.col("id").alias("ac")).join(n, "ac", "left").na.fill(0, ["n"])
+
+
+def linkage_sites(sites: DataFrame, min_maf: float, max_missing: float, thin: int) -> DataFrame:
+    """Sites (ac, an, n_missing) common and called enough for linkage, the first of every `thin` bp of a chromosome."""
+    ac, an = F.col("ac"), F.col("an")
+    d = sites.filter((an > 0) & (F.least(ac, an - ac) >= min_maf * an) & (F.col("n_missing") <= max_missing * (an / 2 + F.col("n_missing"))))
+    return d.groupBy("chrom", F.floor(F.col("pos") / thin).alias("_b")).agg(F.min("pos").alias("pos")).drop("_b")
+
+
 def derived_counts(polarised: DataFrame) -> DataFrame:
     """dac and daf of sites whose ancestral base is ref or alt."""
     d = polarised.filter(F.col("status").isin("ok_ref", "ok_alt") & (F.col("an") > 0))
@@ -119,6 +133,14 @@ def suppressed(compositions: DataFrame, group: str, level: str, least: int) -> D
     return compositions.groupBy(group, name.alias(level)).agg(F.sum("n").alias("n"))
 
 
+def against_background(compositions: DataFrame, group: str, level: str) -> DataFrame:
+    """compositions (n, fraction) with background, the level's share of all groups together, and ratio of the two."""
+    d = compositions.groupBy(level).agg(F.sum("n").alias("_n"))
+    total = F.broadcast(d.agg(F.sum("_n").alias("_t")))
+    b = d.crossJoin(total).select(level, (F.col("_n") / F.col("_t")).alias("background"))
+    return compositions.join(b, level).withColumn("ratio", F.try_divide("fraction", "background"))
+
+
 def concentration(people: DataFrame, group: str, level: str) -> DataFrame:
     """n, Herfindahl index, effective number of levels and the largest level's fraction."""
     n = people.groupBy(group, level).agg(F.count("*").alias("n"))
@@ -169,6 +191,15 @@ def external_presence(targets: DataFrame, panel: DataFrame) -> DataFrame:
     return d.select(*SITE, "ref", "alt", F.get(names, F.col("_place") - 1).alias("state"), "panel_ac")
 
 
+def presence_without(targets: DataFrame, panel: DataFrame, dropped: DataFrame) -> DataFrame:
+    """external_presence() with the whole panel and without one sample (dropped: chrom, pos, ref, alt, ac of it): state, state_drop, and lost where only that sample carries the target."""
+    key = [*SITE, "ref", "alt"]
+    once = panel.groupBy(*key).agg(F.max("ac").alias("ac"))
+    less = once.join(dropped.select(*key, F.col("ac").alias("_own")), key, "left").select(*key, F.greatest(F.col("ac") - F.coalesce("_own", F.lit(0)), F.lit(0)).alias("ac"))
+    full, drop = external_presence(targets, once).withColumnRenamed("panel_ac", "ac_full"), external_presence(targets, less).select(*key, F.col("state").alias("state_drop"), F.col("panel_ac").alias("ac_drop"))
+    return full.join(drop, key).withColumn("lost", (F.col("state") == "carried") & (F.col("state_drop") != "carried"))
+
+
 def presence_summary(states: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of states by key and over all keys (ALL), with the carried fraction."""
     d = states

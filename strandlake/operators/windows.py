@@ -87,6 +87,39 @@ def regrid(features: DataFrame, factor: int, phase: int) -> DataFrame:
     return d.withColumn("rate", F.try_divide("dosage_sum", "n_called"))
 
 
+def equal_site_windows(positions: DataFrame, keys: list[str], target: int, size: int = SIZE) -> DataFrame:
+    """window_id, start, end, n of windows of `target` consecutive positions; a last one of under half joins the one before."""
+    d = with_ordinal(positions.select(*keys, "pos"), keys, size=size)
+    n = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    last = F.floor((F.col("_n") - 1) / target)
+    short = (F.col("_n") - last * target < target / 2) & (last > 0)
+    window = F.least(F.floor(F.col("_ordinal") / target), last - F.when(short, 1).otherwise(0))
+    return d.join(n, keys).groupBy(*keys, window.alias("window_id")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"))
+
+
+def distances_within(positions: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Distances of all pairs of positions of a key up to `most` apart, by a band join of buckets of that width."""
+    b = F.floor(F.col("pos") / most)
+    a = positions.select(*keys, F.col("pos").alias("_p"), F.explode(F.array(b, b + 1)).alias("_b"))
+    c = positions.select(*keys, F.col("pos").alias("_q"), b.alias("_b"))
+    j = a.join(c, [*keys, "_b"]).select(*keys, (F.col("_q") - F.col("_p")).alias("distance"))
+    return j.filter((F.col("distance") > 0) & (F.col("distance") <= most))
+
+
+def distance_moments(distances: DataFrame, keys: list[str]) -> DataFrame:
+    """n, mean, population deviation and geometric mean of distances."""
+    return distances.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("sd"), F.exp(F.avg(F.log("distance"))).alias("geometric_mean"))
+
+
+def histogram_quantile(histogram: DataFrame, keys: list[str], low: float, high: float, bins: int, q: float) -> DataFrame:
+    """keys, value: the q quantile of log10 bins (bin, n), interpolated inside its bin."""
+    w = Window.partitionBy(*keys).orderBy("bin")
+    d = histogram.withColumns({"_c": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum("n").over(Window.partitionBy(*keys))})
+    aim, width = q * F.col("_t"), (high - low) / bins
+    hit = d.filter((F.col("_c") >= aim) & (F.col("_c") - F.col("n") < aim))
+    return hit.select(*keys, F.pow(F.lit(10.0), low + width * (F.col("bin") + (aim - F.col("_c") + F.col("n")) / F.col("n"))).alias("value"))
+
+
 def nearest_distances(positions: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Distances to the next 1 to k positions of the same key."""
     w = Window.partitionBy(*keys).orderBy("pos")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contrasts as C
+from ..operators import intervals as I
 from ..operators import pairs as P
+from ..operators import stats as T
+from ..operators import summaries as S
+from ..operators import windows as W
 from . import domain as D
 from .q_graph import LABELS, labels, nodes
+from .lineage import cut
 from .q_intervals import genetic_map
-from .q_pairs import summary
+from .q_pairs import COMP, PANEL, carriers, people, summary
 from .q_stats import CUST, customers
 
 Q: dict = {}
@@ -133,3 +138,97 @@ def merged_relationship(s, d):
     x, y = (g.select(F.col("sample_id").alias(e), "chrom", "pos", F.col("dosage").alias(f"d{e}")) for e in "ab")
     parts = x.join(y, ["chrom", "pos"]).filter("a < b").groupBy("a", "b", "chrom").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("da") * F.col("db")).alias("k"))
     return C.merged_relationship(parts).withColumn("k", F.round("k", 9))
+
+
+@query(f"WITH {D.SITES}, x AS (SELECT least(ac, an - ac) AS ac FROM sites WHERE an > 0) SELECT r.ac::BIGINT AS ac, count(x.ac) AS n FROM (SELECT unnest(range(1, 21)) AS ac) r LEFT JOIN x ON x.ac = r.ac GROUP BY r.ac")
+def rare_tail(s, d):
+    return S.rare_tail(D.sites(s, d), 20, True)
+
+
+@query(f"""WITH {D.SITES} SELECT chrom, min(pos) AS pos FROM sites WHERE an > 0 AND least(ac, an - ac) >= 0.25 * an AND n_missing <= 0.15 * (an / 2 + n_missing) GROUP BY chrom, pos // 10000""")
+def linkage_sites(s, d):
+    return S.linkage_sites(D.sites(s, d), 0.25, 0.15, 10_000)
+
+
+@query(PANEL + """, dr AS (SELECT chrom, pos, ref, alt, CASE WHEN pos // 1000 % 3 = 0 THEN ac ELSE 1 END AS own FROM sites WHERE pos // 1000 % 2 = 0), pl AS (SELECT p.*, greatest(ac - coalesce(own, 0), 0) AS less FROM panel p LEFT JOIN dr USING (chrom, pos, ref, alt))
+SELECT x.chrom, x.pos, x.ref, x.alt, state, panel_ac AS ac_full, CASE WHEN state IN ('carried', 'monomorphic') THEN CASE WHEN less > 0 THEN 'carried' ELSE 'monomorphic' END ELSE state END AS state_drop,
+  CASE WHEN state IN ('carried', 'monomorphic') THEN less ELSE 0 END AS ac_drop, state = 'carried' AND less = 0 AS lost FROM x LEFT JOIN pl ON pl.chrom = x.chrom AND pl.pos = x.pos""")
+def presence_without(s, d):
+    t = D.sites(s, d)
+    k = F.floor(F.col("pos") / 1000)
+    panel = t.filter(k % 11 != 0).select("chrom", "pos", F.when(k % 7 == 0, F.col("alt")).otherwise(F.col("ref")).alias("ref"), F.when(k % 5 == 0, "N").otherwise(F.col("alt")).alias("alt"), F.when(k % 4 == 0, 0).otherwise(F.col("ac")).alias("ac"))
+    own = t.filter(k % 2 == 0).select("chrom", "pos", "ref", "alt", F.when(k % 3 == 0, F.col("ac")).otherwise(1).alias("ac"))
+    return S.presence_without(t.select("chrom", "pos", "ref", "alt"), panel, own)
+
+
+@query(COMP + ", b AS (SELECT level, sum(n) / (SELECT sum(n) FROM c) AS background FROM c GROUP BY level) SELECT grp, level, n, fraction, round(background, 9) AS background, round(fraction / background, 9) AS ratio FROM c JOIN b USING (level)")
+def composition_background(s, d):
+    out = S.against_background(S.composition(people(s, d), "grp", "level"), "grp", "level")
+    return out.withColumns({"background": F.round("background", 9), "ratio": F.round("ratio", 9)})
+
+
+@query(f"""WITH {D.SITES}, o AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM sites),
+w AS (SELECT chrom, pos, least(i // 7, (n - 1) // 7 - CASE WHEN n - (n - 1) // 7 * 7 < 3.5 AND (n - 1) // 7 > 0 THEN 1 ELSE 0 END)::BIGINT AS window_id FROM o)
+SELECT chrom, window_id, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM w GROUP BY ALL""")
+def equal_site_windows(s, d):
+    return W.equal_site_windows(D.sites(s, d), ["chrom"], 7, 300_000)
+
+
+WITHIN = f"""WITH {D.GENO}, c AS (SELECT sample_id, chrom, pos FROM geno WHERE dosage > 0), x AS (SELECT a.chrom, b.pos - a.pos AS distance FROM c a JOIN c b ON a.sample_id = b.sample_id AND a.chrom = b.chrom AND b.pos > a.pos AND b.pos - a.pos <= 50000)"""
+
+
+def within(s, d):
+    return W.distances_within(carriers(s, d), ["sample_id", "chrom"], 50_000).select("chrom", "distance")
+
+
+@query(WITHIN + " SELECT chrom, count(*) AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS sd, round(exp(avg(ln(distance))), 6) AS geometric_mean FROM x GROUP BY chrom")
+def distance_moments(s, d):
+    return W.distance_moments(within(s, d), ["chrom"]).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "geometric_mean")})
+
+
+@query(WITHIN + """, h AS (SELECT chrom, greatest(0, least(7, floor((log10(distance) - 3.0) / 0.25)))::BIGINT AS bin, count(*) AS n FROM x GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY chrom ORDER BY bin) AS u, sum(n) OVER (PARTITION BY chrom) AS t FROM h)
+SELECT chrom, round(power(10.0, 3.0 + 0.25 * (bin + (0.5 * t - u + n) / n)), 6) AS value FROM k WHERE u >= 0.5 * t AND u - n < 0.5 * t""")
+def distance_median(s, d):
+    h = W.log_histogram(within(s, d), ["chrom"], 3.0, 5.0, 8)
+    return W.histogram_quantile(h, ["chrom"], 3.0, 5.0, 8, 0.5).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {CUST}, m AS (SELECT nation, seg, count(*) AS n FROM cu GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY n DESC, seg) AS k, sum(n) OVER (PARTITION BY nation) AS size FROM m), q AS (SELECT nation, median(bal) AS median_confidence FROM cu GROUP BY nation)
+SELECT nation, seg, n / size AS fraction, size::BIGINT AS size, round(median_confidence, 6) AS median_confidence FROM r JOIN q USING (nation) WHERE k = 1""")
+def modal_confidence(s, d):
+    return T.modal_confidence(customers(s, d), "nation", "seg", "bal").withColumn("median_confidence", F.round("median_confidence", 6))
+
+
+@query(f"""WITH {CUST}, k AS (SELECT rank() OVER (ORDER BY n_orders) + (count(*) OVER (PARTITION BY n_orders) - 1) / 2 AS rx, rank() OVER (ORDER BY bal) + (count(*) OVER (PARTITION BY bal) - 1) / 2 AS ry FROM cu)
+SELECT quantile_cont(abs(ry - rx), 0.5) AS shift_p50, quantile_cont(abs(ry - rx), 0.95) AS shift_p95 FROM k""")
+def rank_shifts(s, d):
+    return T.rank_shifts(cut(customers(s, d).select("n_orders", "bal")), "n_orders", "bal")
+
+
+@query(f"""WITH {CUST}, w AS (SELECT nation, seg, bal, 1.0 / count(*) OVER (PARTITION BY nation) AS w FROM cu), g AS (SELECT seg, sum(w) AS w, sum(w * bal) AS s, sum(w * bal * bal) AS q FROM w GROUP BY seg), t AS (SELECT sum(w) AS w, sum(s) AS s, sum(q) AS q, sum(s * s / w) AS b, count(*) AS groups FROM g)
+SELECT groups, round((b - s * s / w) / (q - s * s / w), 6) AS eta2 FROM t""")
+def balanced_eta_squared(s, d):
+    return T.balanced_eta_squared(customers(s, d), "bal", "seg", "nation").withColumn("eta2", F.round("eta2", 6))
+
+
+@query(f"""WITH {D.GENO}, r AS (SELECT *, CASE WHEN sample_id % 5 = 0 THEN 'test' ELSE 'train' END AS role FROM geno), x AS (SELECT * FROM r UNION ALL SELECT sample_id, chrom, pos, dosage, 'ALL' FROM geno),
+c AS (SELECT role, count(*) AS n_joint, count(*) FILTER (WHERE (sample_id + pos // 1000) % 10 <> 0 OR dosage = 1) AS n_same FROM x WHERE dosage IS NOT NULL GROUP BY role)
+SELECT *, n_same / n_joint AS concordance FROM c""")
+def role_concordance(s, d):
+    g = D.genotypes(s, d)
+    other = g.withColumn("dosage", F.when((F.col("sample_id") + F.floor(F.col("pos") / 1000)) % 10 == 0, 2 - F.col("dosage")).otherwise(F.col("dosage")))
+    role = F.when(F.col("sample_id") % 5 == 0, "test").otherwise("train")
+    return S.concordance(g.withColumn("role", F.explode(F.array(role, F.lit("ALL")))), other, "role")
+
+
+@query(f"""WITH {D.INTERVALS}, b AS (SELECT contig, min(lo) + 200 AS b_lo, max(hi) - 200 AS b_hi FROM iv WHERE contig % 7 <> 0 GROUP BY contig),
+c AS (SELECT iv.contig, record, part, greatest(lo, b_lo) AS a, least(hi, b_hi) AS z FROM iv LEFT JOIN b USING (contig))
+SELECT contig, record, part, CASE WHEN a <= z THEN (z - a) / 50 END AS length_cm FROM c""")
+def clip_length(s, d):
+    """On an even map of 2 cM for 100 days."""
+    v = D.intervals(s, d).drop("label")
+    b = v.filter("contig % 7 <> 0").groupBy("contig").agg((F.min("lo") + 200).alias("lo"), (F.max("hi") - 200).alias("hi"))
+    curve = b.select("contig", F.explode(F.array("lo", F.floor((F.col("lo") + F.col("hi")) / 2), "hi")).alias("pos")).withColumn("cm", F.col("pos") / 50)
+    out = I.clip_length(I.clip(v, b, ["contig"]), curve, ["contig"], 365)
+    return out.select("contig", "record", "part", F.round("length_cm", 9).alias("length_cm"))
