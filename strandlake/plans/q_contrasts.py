@@ -223,8 +223,8 @@ def role_concordance(s, d):
 
 
 @query(f"""WITH {D.INTERVALS}, b AS (SELECT contig, min(lo) + 200 AS b_lo, max(hi) - 200 AS b_hi FROM iv WHERE contig % 7 <> 0 GROUP BY contig),
-c AS (SELECT iv.contig, record, part, greatest(lo, b_lo) AS a, least(hi, b_hi) AS z FROM iv LEFT JOIN b USING (contig))
-SELECT contig, record, part, CASE WHEN a <= z THEN (z - a) / 50 END AS length_cm FROM c""")
+c AS (SELECT iv.contig, record, part, b_lo, greatest(lo, b_lo) AS a, least(hi, b_hi) AS z FROM iv LEFT JOIN b USING (contig))
+SELECT contig, record, part, CASE WHEN b_lo IS NOT NULL AND a <= z THEN (z - a) / 50 END AS length_cm FROM c""")
 def clip_length(s, d):
     """On an even map of 2 cM for 100 days."""
     v = D.intervals(s, d).drop("label")
