@@ -353,12 +353,16 @@ def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, s array<long>")
 
 
+def sets_of(keys: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, s) of keys; sets: key, row; docs: row, text. Only these texts are read again."""
+    wanted = cut(keys.distinct().join(sets.select("key", "row"), "key"))
+    return with_sets(docs.join(broadcast_if_small(wanted, 200_000), "row").dropDuplicates(["key"]).select("key", "text"), shingle)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Of pairs (a, b) of keys those at J >= 4/5; sets: key, row; docs: row, text. Only texts of pairs are read again."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "row"), "key"))
-    found = docs.join(broadcast_if_small(wanted, 200_000), "row").dropDuplicates(["key"]).select("key", "text")
-    left, right = (with_sets(found, shingle).select(F.col("key").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+    """Of pairs (a, b) of keys those at J >= 4/5."""
+    found = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), sets, docs, shingle)
+    left, right = (found.select(F.col("key").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     return cut(both.filter(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b"))
 
@@ -368,22 +372,29 @@ def _sizes_fit(m, n):
     return 5 * F.least(m, n) >= 4 * F.greatest(m, n)
 
 
-def pairs_in_buckets(apart: DataFrame) -> DataFrame:
-    """apart: tab, met, c (members), key, n, fp, root. Pairs (a, b) within the wide radius that have different roots.
+def links_in_buckets(apart: DataFrame) -> DataFrame:
+    """apart: tab, met, c (members), key, n, fp, root, s. Links (a, b) at J >= 4/5 that join what has different roots; a bucket hands on no more links than members.
 
-    A large bucket's members are dealt to chunks, and each two chunks meet in a bucket of their own.
+    A pair within the wide radius is checked on its sets, unless the bucket's links join it
+    already. A large bucket's members are dealt to chunks, and each two chunks meet in a bucket
+    of their own.
     """
     chunks = F.ceil(F.col("c") / LARGE).cast("int")
     apart = apart.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("key"), chunks).cast("int")})
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    apart = apart.select("tab", "met", "key", "n", "fp", "root", "chunk", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other")
+    apart = apart.select("tab", "met", "key", "n", "fp", "root", "s", "chunk", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other")
 
     def compare(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        key, n, root, chunk = (table.column(c).to_numpy() for c in ("key", "n", "root", "chunk"))
-        mixed = (table.column("low").to_numpy() != table.column("high").to_numpy())
+        key, n, chunk = (table.column(c).to_numpy() for c in ("key", "n", "chunk"))
+        n = n.astype(np.int64)
+        # the parts of a bucket that are known to be linked
+        label = np.unique(np.stack([bucket, table.column("root").to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        mixed = table.column("low").to_numpy() != table.column("high").to_numpy()
         fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
-        first = np.arange(len(table))
+        lists = table.column("s").combine_chunks()
+        ends, values = np.asarray(lists.offsets), lists.values.to_numpy()
+        first, a, b = np.arange(len(table)), [], []
         for lag in range(1, len(table)):
             first = first[first + lag < len(table)]
             first = first[bucket[first] == bucket[first + lag]]
@@ -392,12 +403,18 @@ def pairs_in_buckets(apart: DataFrame) -> DataFrame:
             for i in range(0, len(first), 1 << 15):
                 u = first[i : i + (1 << 15)]
                 v = u + lag
-                fits = (root[u] != root[v]) & (5 * np.minimum(n[u], n[v]).astype(np.int64) >= 4 * np.maximum(n[u], n[v]).astype(np.int64)) & (~mixed[u] | (chunk[u] != chunk[v]))
+                fits = (label[u] != label[v]) & (5 * np.minimum(n[u], n[v]) >= 4 * np.maximum(n[u], n[v])) & (~mixed[u] | (chunk[u] != chunk[v]))
                 u, v = u[fits], v[fits]
                 hit = links_between(fp[u], fp[v], WIDE_RADIUS)
-                if len(hit):
-                    a, b = key[u[hit]], key[v[hit]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                for x, y in zip(u[hit].tolist(), v[hit].tolist()):
+                    if label[x] == label[y]:
+                        continue
+                    both = len(np.intersect1d(values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]], assume_unique=True))
+                    if 9 * both >= 4 * (n[x] + n[y]):
+                        a.append(key[x])
+                        b.append(key[y])
+                        label[label == label[y]] = label[x]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return in_buckets(apart, ["tab", "met", "low", "high"], compare, "a long, b long")
 
@@ -427,8 +444,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = near.select("tab", "met", "c", "key", "n", "fp").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = cut(apart)
     mixed = apart.groupBy("tab", "met").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("tab", "met")
-    rest = pairs_in_buckets(apart.join(mixed, ["tab", "met"], "left_semi")).distinct().join(star, ["a", "b"], "left_anti")
-    roots = component_roots(linked.unionByName(similar(rest, sets, texts, shingle)))
+    apart = cut(apart.join(mixed, ["tab", "met"], "left_semi"))
+    rest = links_in_buckets(apart.join(sets_of(apart.select("key"), sets, texts, shingle), "key"))
+    roots = component_roots(linked.unionByName(cut(rest)))
     nodes = rows.groupBy("key").agg(F.min("id").alias("least"))
     return _named(rows.withColumnRenamed("id", id_col), id_col, "key", nodes, roots).drop("key")
 
