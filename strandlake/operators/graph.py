@@ -128,7 +128,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels
     In each round a hash-chosen half of the nodes moves to the neighbouring community of the
     greatest gain (ties to the least label); the other half stands still, so that neighbours
     don't swap for ever. A level ends when nothing wants to move, or after two rounds in which the
-    objective rises by less than a thousandth; its communities are the nodes of the next level, until one joins
+    objective rises by less than a hundredth; its communities are the nodes of the next level, until one joins
     nothing. Labels are least members' ids. Raises if levels don't end.
     """
     e = cut(edges.filter("a <> b and w > 0").select("a", "b", "w"))
@@ -169,7 +169,7 @@ def _local_moving(e: DataFrame, own: DataFrame, m2: float, resolution: float, se
         moves = F.pmod(F.xxhash64(F.col("node"), F.lit(seed), F.lit(turn)), F.lit(2)) == 0
         new = cut(pick.select("node", F.col("k").alias("strength"), F.when(moves, F.col("x.c")).otherwise(F.col("now")).alias("community"), (F.col("x.c") != F.col("now")).alias("wants"), "inside"))
         objective, wanting = new.agg(F.round(F.sum("inside"), 6), F.count_if("wants")).first()  # of lab, before the move
-        since = 0 if best is None or objective > best + abs(best) / 1000 else since + 1
+        since = 0 if best is None or objective > best + abs(best) / 100 else since + 1
         if best is None or objective > best:
             best, kept = objective, lab
         if not wanting or since >= 2:
