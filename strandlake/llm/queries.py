@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fmindex, language, lines, lm, quality, simhash, suffixarray, urls
+from . import bpe, decontaminate, divergence, fmindex, language, lines, lm, quality, simhash, suffixarray, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -69,6 +69,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
@@ -128,10 +132,36 @@ SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM s LEFT JOIN x ON x.doc_id = s.doc_id
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS item
+  FROM d),
+k AS (SELECT lang, item FROM o GROUP BY lang, item HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.item, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.item = o.item GROUP BY ALL),
+g AS (
+  SELECT s.lang, s.source, coalesce(v.v, 0) AS v, coalesce(t.n, 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v ON v.lang = s.lang
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) t ON t.lang = s.lang AND t.source = s.source),
+p AS (
+  SELECT g.lang, g.source, k.item, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.item = k.item),
+q AS (
+  SELECT lang, item, 1 + (1000000000::HUGEINT * (sum(c.n) + 5)) // (max(l.n) + 5 * max(v.v)) AS q
+  FROM c JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) l USING (lang) JOIN v USING (lang) GROUP BY lang, item),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.item = x.item GROUP BY ALL
+  UNION ALL SELECT p.lang, p.source, 'term', p.item, (p.p - q.q)::BIGINT FROM p JOIN q ON q.lang = p.lang AND q.item = p.item WHERE p.n > 0 AND p.p > q.q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id, language_of_pages)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id, op12_source_divergence, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op8_line_dedup": OP8_SQL, "op12_source_divergence": OP12_SQL}
