@@ -76,10 +76,11 @@ class PerfectHash:
         self.tail = {k: before + i for i, k in enumerate(keys.slice(before).to_pylist())}
 
     @staticmethod
-    def build(keys: list[bytes]) -> PerfectHash:
+    def build(keys: list[bytes], most: int) -> PerfectHash:
+        """most: levels at most; what those don't tell apart is listed."""
         keys = sorted(keys)  # the same slots in whatever order they come
         h, left, levels, order = hashed(keys), np.arange(len(keys)), [], []
-        for level in range(LEVELS):
+        for level in range(most):
             if not len(left):
                 break
             size = 2 * len(left)
@@ -153,7 +154,7 @@ def perfect_hashes(kept: DataFrame) -> DataFrame:
     dealt = kept.join(sizes, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int"))
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
-        made = PerfectHash.build([bytes(t) for t in one["term"]])
+        made = PerfectHash.build([bytes(t) for t in one["term"]], LEVELS)
         return pd.DataFrame([{"lang": one["lang"][0], "shard": one["shard"][0], "shards": one["shards"][0], "n": len(one), **made.packed()}])
 
     built = dealt.groupBy("lang", "shard").applyInPandas(run, "lang string, shard int, shards int, n long, sizes array<int>, bits array<binary>, keys array<binary>")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, fmindex, language, lines, lm, quality, simhash, suffixarray, urls
+from . import bpe, decontaminate, divergence, fmindex, language, lines, lm, merkle, quality, simhash, suffixarray, urls, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -69,10 +69,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": tampered})
+
+
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
@@ -132,6 +142,14 @@ SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM s LEFT JOIN x ON x.doc_id = s.doc_id
 """
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (SELECT body, max(page_id) AS first FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+SELECT p.page_id, octet_length(p.body) AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN g.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to
+FROM p LEFT JOIN g ON g.body = p.body
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 o AS (
@@ -158,10 +176,44 @@ r AS (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 50
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, row_number() OVER () AS rid,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+e AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now FROM c),
+w AS (
+  SELECT rid, doc_id, lang, now, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM e),
+f AS (SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS claimed FROM w),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f),
+t AS (
+  SELECT 0 AS lv, lang, i, n, leaf AS h FROM b
+  UNION ALL SELECT lv + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, lang, i // 8, n),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lv, i, n, h FROM s
+  UNION ALL SELECT lv + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 8, n),
+p AS (
+  SELECT rid, lang, 0 AS lv, i, n, '' AS proof, claimed AS h FROM b
+  UNION ALL
+  SELECT p.rid, p.lang, p.lv + 1, p.i // 8, (p.n + 7) // 8, p.proof || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> p.i), ''), sha256(string_agg(CASE WHEN t.i = p.i THEN p.h ELSE t.h END, '' ORDER BY t.i))
+  FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.lv = p.lv AND t.i // 8 = p.i // 8 WHERE p.n > 1 GROUP BY p.rid, p.lang, p.lv, p.i, p.n, p.proof, p.h),
+o AS (
+  SELECT p.rid, 0 AS lv, s.i, s.n, p.proof, p.h FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL
+  SELECT o.rid, o.lv + 1, o.i // 8, (o.n + 7) // 8, o.proof || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i <> o.i), ''), sha256(string_agg(CASE WHEN u.i = o.i THEN o.h ELSE u.h END, '' ORDER BY u.i))
+  FROM o JOIN u ON u.lv = o.lv AND u.i // 8 = o.i // 8 WHERE o.n > 1 GROUP BY o.rid, o.lv, o.i, o.n, o.proof, o.h)
+SELECT f.doc_id, f.leaf, s.h AS subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = r.h AS verified
+FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang JOIN o ON o.rid = f.rid AND o.n = 1, (SELECT h FROM u WHERE n = 1) r
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id, op12_source_divergence, language_of_pages)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_quality_rules, op4_substring_dedup, op5_suffix_array_dedup, op6_simhash_near_dedup, op7_byte_bpe, op8_line_dedup, op9_lm_scoring, op10_language_id, op11_warc, op12_source_divergence, op13_merkle_manifest, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_line_dedup": OP8_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_warc": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
