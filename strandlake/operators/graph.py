@@ -122,98 +122,6 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return d.select((F.col("inside") / F.col("m") - resolution * F.col("expected")).alias("q"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, levels: int = 10) -> DataFrame:
-    """(node, community) by local moving on the modularity objective, level by level.
-
-    In each round a hash-chosen half of the nodes moves to the neighbouring community of the
-    greatest gain (ties to the least label); the other half stands still, so that neighbours
-    don't swap for ever. A level ends when nothing wants to move, or after two rounds in which the
-    objective rises by less than a hundredth; its communities are the nodes of the next level, until one joins
-    nothing. Labels are least members' ids. Raises if levels don't end.
-    """
-    e = cut(edges.filter("a <> b and w > 0").select("a", "b", "w"))
-    own = cut(strength(e).select("node", "strength"))
-    m2 = e.agg(F.sum("w")).first()[0]
-    if not m2:
-        return own.select("node", F.col("node").alias("community"))
-    m2 *= 2
-    named = own.select("node", F.col("node").alias("community"))
-    for level in range(levels):
-        lab = _local_moving(e, own, m2, resolution, seed * levels + level)
-        named = cut(named.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_c")), "community").select("node", F.col("_c").alias("community")))
-        if lab.filter("node <> community").isEmpty():
-            return named
-        ends = e.join(lab.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(lab.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
-        # what lies inside a community stays in its strength
-        e = cut(ends.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
-        own = cut(own.join(lab, "node").groupBy(F.col("community").alias("node")).agg(F.sum("strength").alias("strength")))
-    raise RuntimeError(f"communities did not settle in {levels} levels")
-
-
-def _local_moving(e: DataFrame, own: DataFrame, m2: float, resolution: float, seed: int) -> DataFrame:
-    """(node, community, named by the least member) after moving single nodes until nothing is gained."""
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    lab = cut(own.select("node", "strength", F.col("node").alias("community")))
-    best, since, kept, turn = None, 0, lab, 0
-    while True:
-        tot = lab.groupBy("community").agg(F.sum("strength").alias("tot"))
-        to = both.join(lab.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("k_in"))
-        now = lab.select("node", F.col("strength").alias("k"), F.col("community").alias("now"))
-        c = to.join(now, "node").unionByName(now.select("node", F.col("now").alias("community"), F.lit(0.0).alias("k_in"), "k", "now"))
-        c = c.groupBy("node", "community", "k", "now").agg(F.sum("k_in").alias("k_in")).join(tot, "community")
-        rest = F.col("tot") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("k_in") - resolution * F.col("k") * rest / m2, 9)
-        stay = F.when(F.col("community") == F.col("now"), 0).otherwise(1)
-        inside = F.sum(F.when(F.col("community") == F.col("now"), F.col("k_in") - resolution * F.col("k") * F.col("tot") / m2)).alias("inside")
-        pick = c.groupBy("node", "k", "now").agg(F.min(F.struct((-gain).alias("g"), stay.alias("stay"), F.col("community").alias("c"))).alias("x"), inside)
-        moves = F.pmod(F.xxhash64(F.col("node"), F.lit(seed), F.lit(turn)), F.lit(2)) == 0
-        new = cut(pick.select("node", F.col("k").alias("strength"), F.when(moves, F.col("x.c")).otherwise(F.col("now")).alias("community"), (F.col("x.c") != F.col("now")).alias("wants"), "inside"))
-        objective, wanting = new.agg(F.round(F.sum("inside"), 6), F.count_if("wants")).first()  # of lab, before the move
-        since = 0 if best is None or objective > best + abs(best) / 100 else since + 1
-        if best is None or objective > best:
-            best, kept = objective, lab
-        if not wanting or since >= 2:
-            break
-        lab, turn = new.select("node", "strength", "community"), turn + 1
-    names = kept.groupBy("community").agg(F.min("node").alias("name"))
-    return cut(kept.join(names, "community").select("node", F.col("name").alias("community")))
-
-
-def community_runs(edges: DataFrame, nodes: DataFrame, resolutions: list[float], seeds: int, least_size: int) -> DataFrame:
-    """resolution, seed, node, community, q of every run, and chosen: the run of the best q of its resolution (of equal ones the least seed).
-
-    Communities below least_size and nodes without an edge are noise: null.
-    """
-    e, out = cut(edges), None
-    for r in resolutions:
-        for seed in range(seeds):
-            lab = cut(communities(e, r, seed))
-            q = modularity(e, lab, r)
-            n = lab.groupBy("community").agg(F.count("*").alias("n"))
-            lab = lab.join(n, "community").select("node", F.when(F.col("n") >= least_size, F.col("community")).alias("community"))
-            run = nodes.select("node").join(lab, "node", "left").crossJoin(F.broadcast(q)).select(F.lit(float(r)).alias("resolution"), F.lit(seed).alias("seed"), "node", "community", "q")
-            out = run if out is None else out.unionByName(run)
-    out = cut(out)
-    top = out.groupBy("resolution").agg(F.min(F.struct((-F.round("q", 9)).alias("q"), "seed")).alias("t")).select("resolution", F.col("t.seed").alias("seed"), F.lit(True).alias("chosen"))
-    return out.join(F.broadcast(top), ["resolution", "seed"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-
-
-def assignment_confidence(runs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """node, community, confidence: the median, over the other members of its chosen community, of how often runs put both together; null for a lone member.
-
-    runs: run, node, community (null: noise). chosen: node, community.
-    """
-    total = F.broadcast(runs.agg(F.countDistinct("run").alias("t")))
-    members = chosen.filter("community is not null")
-    own, other = (members.select("community", F.col("node").alias(c)) for c in "ab")
-    pairs = own.join(other, "community").filter("a <> b")
-    ra, rb = runs.filter("community is not null").select("run", F.col("node").alias("a"), F.col("community").alias("ca")), runs.filter("community is not null").select("run", F.col("node").alias("b"), F.col("community").alias("cb"))
-    together = pairs.join(ra, "a").join(rb, ["b", "run"]).filter("ca = cb").groupBy("a", "b").agg(F.count("*").alias("n"))
-    d = pairs.join(together, ["a", "b"], "left").crossJoin(total).withColumn("f", F.coalesce("n", F.lit(0)) / F.col("t"))
-    found = d.groupBy(F.col("a").alias("node")).agg(F.median("f").alias("confidence"))
-    return members.join(found, "node", "left").select("node", "community", "confidence")
-
-
 def match_partitions(table: DataFrame) -> DataFrame:
     """Each la of a contingency table with the lb of the greatest overlap (ties to the least), n, and the Jaccard index of the two."""
     rows, cols = table.groupBy("la").agg(F.sum("n").alias("ra")), table.groupBy("lb").agg(F.sum("n").alias("cb"))
@@ -317,14 +225,6 @@ def combine(rare: DataFrame, common: DataFrame) -> DataFrame:
     return d.select("a", "b", (F.coalesce(0.5 * F.col("wr") / F.col("sr"), F.lit(0.0)) + F.coalesce(0.5 * F.col("wc") / F.col("sc"), F.lit(0.0))).alias("w"))
 
 
-def co_assignment(runs: DataFrame) -> DataFrame:
-    """runs: run, node, community. How often each pair that ever shares a community shares one."""
-    a, b = runs.select("run", "community", F.col("node").alias("a")), runs.select("run", "community", F.col("node").alias("b"))
-    total = F.broadcast(runs.agg(F.countDistinct("run").alias("t")))
-    d = a.join(b, ["run", "community"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return d.crossJoin(total).select("a", "b", (F.col("n") / F.col("t")).alias("frequency"))
-
-
 def sym_nmf(edges: DataFrame, nodes: DataFrame, k: int, rounds: int, seed: int = 0) -> DataFrame:
     """node, factor array, dominant (0-based, first of equals) of S ~ H H^T by multiplicative updates.
 

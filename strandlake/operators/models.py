@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .stats import mann_whitney
+from ..plans.lineage import cut, stored
+from .stats import mann_whitney, poisson_weight
+
+#: Neighbours that vote; rows of a block of queries and of a stripe of references that meet in one task.
+NEIGHBOURS, QUERIES, REFERENCES = 5, 4096, 1 << 16
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,15 +24,63 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scores(train: DataFrame, test: DataFrame, columns: list[str], label: str, model: str, seed: int = 0) -> DataFrame:
-    """test with p, the probability of label 1, by a model fitted to train (scaled by train's moments)."""
+    """test with p, the probability of label 1, by a model fitted to train (scaled by train's moments).
+
+    Models: logistic, forest, knn (the share of the NEIGHBOURS nearest training rows).
+    """
     a, b = (_vectors(d.withColumn("_y", F.col(label).cast("double")), columns) for d in (train, test))
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(a)
+    if model == "knn":
+        z = lambda d, *c: scaler.transform(d).select(*c, vector_to_array("_z").alias("_v"))
+        b = stored(z(b.withColumn("_q", F.monotonically_increasing_id()), *test.columns, "_q"))
+        votes = nearest(b.select("_q", "_v"), z(a.withColumn("_r", F.xxhash64(*train.columns)), "_r", "_y"), "_q", "_r", "_v", NEIGHBOURS, "_y")
+        return b.join(votes.groupBy("_q").agg(F.avg("_y").alias("p")), "_q").select(*test.columns, "p")
     kinds = {"logistic": LogisticRegression(featuresCol="_z", labelCol="_y", regParam=0.01), "forest": RandomForestClassifier(featuresCol="_z", labelCol="_y", numTrees=20, maxDepth=4, seed=seed)}
     fitted = kinds[model].fit(scaler.transform(a))
     out = fitted.transform(scaler.transform(b))
     return out.select(*test.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
+def nearest(queries: DataFrame, references: DataFrame, query: str, reference: str, vector: str, k: int, *carried: str) -> DataFrame:
+    """query, reference, distance, rank, carried: the k nearest references (Euclidean) of each query, exactly; equal distances by reference.
+
+    Queries are dealt to blocks and references to stripes; each block meets each stripe in
+    one task, which keeps k rows a query at most. Those of all stripes are then ranked.
+    Rows with a null vector are left out; fewer than k references give fewer rows.
+    """
+    q, r = (d.filter(F.col(vector).isNotNull()) for d in (queries, references))
+    q, r = stored(q.select(query, vector)), stored(r.select(reference, vector, *carried))
+    blocks, stripes = (max(1, -(-d.count() // size)) for d, size in ((q, QUERIES), (r, REFERENCES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = q.withColumns({"_block": dealt(query, blocks)}).withColumn("_stripe", every(stripes))
+    r = r.withColumns({"_stripe": dealt(reference, stripes)}).withColumn("_block", every(blocks))
+    kinds = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *r.schema.fields)}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (query, reference, *carried)) + ", distance double"
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in (query, reference, *carried, "distance")})
+        b = b.sort_values(reference, kind="stable")
+        x, y = (np.stack(d[vector].to_numpy()).astype(float) for d in (a, b))
+        out, most = [], min(k, len(b))
+        for lo in range(0, len(x), 256):
+            part = x[lo : lo + 256]
+            rough = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1) - 2 * part @ y.T, 0)
+            edge = np.partition(rough, most - 1, 1)[:, most - 1]
+            slack = 1e-9 * ((part**2).sum(1) + (y**2).sum(1).max() + 1)
+            for i in range(len(part)):
+                near = np.flatnonzero(rough[i] <= edge[i] + slack[i])  # the rough distances may swap neighbours that are all but equal
+                d = np.sqrt(((y[near] - part[i]) ** 2).sum(1))
+                top = np.argsort(d, kind="stable")[:most]
+                out.append(b.iloc[near[top]][[reference, *carried]].assign(**{query: a[query].iloc[lo + i], "distance": d[top]}))
+        return pd.concat(out)[[query, reference, *carried, "distance"]]
+
+    met = q.groupBy("_block", "_stripe").cogroup(r.groupBy("_block", "_stripe")).applyInPandas(run, schema)
+    rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", reference))  # k rows a stripe
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, reference, "distance", "rank", *carried)
+
+
 def class_metrics(scored: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """n, sensitivity, specificity and balanced accuracy at p >= 0.5, by key."""
     y, hit = F.col(label).cast("boolean"), F.col("p") >= 0.5
@@ -49,15 +104,30 @@ def frozen_test(people: DataFrame, split: str, columns: list[str], label: str, m
     return class_metrics(s, "_y", []).crossJoin(mann_whitney(s, "p", "_y").select("auc"))
 
 
-def component_scores(profiles: DataFrame, columns: list[str], k: int, fit_on: str) -> DataFrame:
-    """profiles with pc (array of k) by principal components of the rows where fit_on holds; signs make the largest loading positive."""
-    v = cut(_vectors(profiles, columns))
-    scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=False).fit(v.filter(fit_on))
-    model = PCA(k=k, inputCol="_z", outputCol="_pc").fit(scaler.transform(v.filter(fit_on)))
-    loadings = model.pc.toArray()
-    signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
-    pc = vector_to_array("_pc")
-    return model.transform(scaler.transform(v)).select(*profiles.columns, F.array(*[F.get(pc, F.lit(i)) * s for i, s in enumerate(signs)]).alias("pc"))
+def score_deltas(scored: DataFrame, label: str, base: str, other: str, group: str, replicates: int, threshold: float = 0.5, seed: int = 0) -> DataFrame:
+    """One row: base, other (balanced accuracies of two probabilities on the same rows), delta = other - base, and the percentile interval of the delta over replicates that resample groups.
+
+    Groups are summed first; a replicate weighs them by hashed Poisson counts. Replicates
+    without a row of either label don't count. group may be the row's id.
+    """
+    y = F.col(label).cast("boolean")
+    hits = {f"{m}{s}": F.count_if((y if s == "1" else ~y) & ((F.col(c) >= threshold) == (s == "1"))) for m, c in (("a", base), ("b", other)) for s in "10"}
+    g = scored.groupBy(F.col(group).alias("_g")).agg(F.count_if(y).alias("n1"), F.count_if(~y).alias("n0"), *[v.alias(c) for c, v in hits.items()])
+    g = cut(g)
+    share = lambda m: (F.try_divide(F.sum(F.col("w") * F.col(f"{m}1")), F.sum(F.col("w") * F.col("n1"))) + F.try_divide(F.sum(F.col("w") * F.col(f"{m}0")), F.sum(F.col("w") * F.col("n0")))) / 2
+    point = g.withColumn("w", F.lit(1)).agg(share("a").alias("base"), share("b").alias("other"))
+    d = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.xxhash64("_g", "r", F.lit(seed))))
+    d = d.groupBy("r").agg((share("b") - share("a")).alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    return point.crossJoin(d).select("base", "other", (F.col("other") - F.col("base")).alias("delta"), "low", "high")
+
+
+def frozen_deltas(people: DataFrame, split: str, base: Sequence[str], other: Sequence[str], label: str, model: str, key: str, group: str, replicates: int) -> DataFrame:
+    """score_deltas() on TEST of one model fitted to TRAIN with the columns base and with the columns other; by rows (unit `row`) and by groups (unit `group`)."""
+    train, test = (cut(people.filter(F.col(split) == x)) for x in ("TRAIN", "TEST"))
+    a, b = (scores(train, test, list(c), label, model).select(key, F.col("p").alias(name)) for c, name in ((base, "_pa"), (other, "_pb")))
+    s = cut(test.select(key, label, group).join(a, key).join(b, key))
+    out = [score_deltas(s, label, "_pa", "_pb", c, replicates).select(F.lit(unit).alias("unit"), "*") for unit, c in (("row", key), ("group", group))]
+    return out[0].unionByName(out[1])
 
 
 def permute_edges(edges: DataFrame, rounds: int, seed: int = 0) -> DataFrame:

@@ -128,12 +128,12 @@ def king_robust(genotypes: DataFrame) -> DataFrame:
     return d.withColumn("kinship", F.try_divide(F.col("n_het_het") - 2 * F.col("n_ibs0"), F.col("n_het_a") + F.col("n_het_b")))
 
 
-def pair_gram(genotypes: DataFrame) -> DataFrame:
-    """Sums of dosage products of pairs over sites, as integers; absent pairs are zero."""
+def pair_gram(genotypes: DataFrame, *by: str) -> DataFrame:
+    """Sums of dosage products of pairs over sites (of each `by`, such as the chromosome), as integers; absent pairs are zero."""
     g = genotypes.filter("dosage > 0")
     a = g.select(F.col("sample_id").alias("sample_a"), *SITE, F.col("dosage").alias("x"))
     b = g.select(F.col("sample_id").alias("sample_b"), *SITE, F.col("dosage").alias("y"))
-    return a.join(b, SITE).filter("sample_a <= sample_b").groupBy(*PAIR).agg(F.sum(F.col("x") * F.col("y")).alias("gram"))
+    return a.join(b, SITE).filter("sample_a <= sample_b").groupBy(*by, *PAIR).agg(F.sum(F.col("x") * F.col("y")).alias("gram"))
 
 
 def dose_bands(df: DataFrame, dose: str, ancestry: str) -> DataFrame:

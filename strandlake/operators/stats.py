@@ -197,6 +197,16 @@ def balanced_eta_squared(df: DataFrame, value: str, group: str, component: str)
     return t.select("groups", F.try_divide(F.col("b") - mean, F.col("q") - mean).alias("eta2"))
 
 
+def poisson_weight(h: Column) -> Column:
+    """A Poisson(1) count from a 64-bit hash."""
+    u, weight, below, p = (F.pmod(h, F.lit(1 << 30)) + 0.5) / (1 << 30), F.lit(0), 0.0, math.exp(-1)
+    for k in range(8):
+        below += p
+        weight = weight + F.when(u > below, 1).otherwise(0)
+        p /= k + 1
+    return weight
+
+
 def bootstrap_mean(df: DataFrame, group: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """One row: mean and the percentile interval of group-resampled means.
 
@@ -204,13 +214,7 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, replicates: int, seed:
     group, replicate and seed, so it is the same on any cluster.
     """
     g = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64(F.col(group), F.col("r"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, cumulated, p = F.lit(0), 0.0, 2.718281828459045 ** -1
-    for k in range(8):
-        cumulated += p
-        weight = weight + F.when(F.col("u") > cumulated, 1).otherwise(0)
-        p /= k + 1
-    d = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("u", u).withColumn("w", weight)
+    d = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", poisson_weight(F.xxhash64(F.col(group), F.col("r"), F.lit(seed))))
     means = d.groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return g.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ci)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import communities as C
 from ..operators import graph as G
 from . import domain as D
 from .lineage import cut
@@ -23,7 +24,8 @@ def query(sql: str | None):
 
 EDGES = D.PAIRS + ", e AS (SELECT sample_a AS a, sample_b AS b, total_shared_bp::DOUBLE AS w, max_segment_bp FROM pairs)"
 #: Edges of long segments only, so that there are several components.
-LONG = EDGES + ", x AS (SELECT a, b, w FROM e WHERE w >= 60000 AND a % 3 = b % 3), n AS (SELECT DISTINCT sample_id AS node FROM geno)"
+LEAST = 40_000
+LONG = EDGES + f", x AS (SELECT a, b, w FROM e WHERE w >= {LEAST}), n AS (SELECT DISTINCT sample_id AS node FROM geno)"
 REACH = LONG.replace("WITH ", "", 1) + """, y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
 r AS (SELECT node, node AS at FROM n UNION SELECT r.node, y.b FROM r JOIN y ON y.a = r.at),
 c AS (SELECT node, min(at) AS component FROM r GROUP BY node)"""
@@ -35,7 +37,7 @@ def edges(s, d):
 
 
 def long_edges(s, d):
-    return edges(s, d).filter("w >= 60000 and a % 3 = b % 3")
+    return edges(s, d).filter(F.col("w") >= LEAST)
 
 
 def nodes(s, d):
@@ -93,18 +95,39 @@ def modularity(s, d):
 
 @query(None)
 def communities(s, d):
-    return G.communities(edges(s, d))
+    return C.communities(edges(s, d)).select("node", "community")
+
+
+def runs(s, d):
+    return C.community_runs(edges(s, d), nodes(s, d), [0.5, 1.0], 3, 3)
+
+
+@query(None)
+def community_runs(s, d):
+    """Two resolutions and three seeds."""
+    return runs(s, d).withColumn("q", F.round("q", 9))
+
+
+def _consensus(s, d):
+    r = runs(s, d).filter("resolution = 1.0").select(F.col("seed").alias("run"), "node", "community", "chosen")
+    return cut(r)
 
 
 @query(None)
 def consensus(s, d):
-    """Co-assignment over two seeds."""
-    r = runs(s, d).filter("resolution = 1.0 and community is not null")
-    return G.co_assignment(r.select(F.col("seed").alias("run"), "node", "community"))
+    """Co-assignment over three seeds, by classes of people whom no seed parts."""
+    return C.co_assignment(_consensus(s, d))[0]
 
 
-def runs(s, d):
-    return G.community_runs(edges(s, d), nodes(s, d), [1.0], 2, 3)
+@query(None)
+def consensus_classes(s, d):
+    return C.co_assignment(_consensus(s, d))[1]
+
+
+@query(None)
+def assignment_confidence(s, d):
+    r = _consensus(s, d)
+    return C.assignment_confidence(r, r.filter("chosen").select("node", "community"))
 
 
 TABLE = f"{LABELS}, t AS (SELECT community AS la, node % 6 AS lb, count(*) AS n FROM lab WHERE community IS NOT NULL AND node % 7 <> 0 GROUP BY ALL)"
@@ -149,9 +172,9 @@ def _sweep_row(t: int) -> str:
 round((sc - sa * sb / (z * (z - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (z * (z - 1) / 2)), 9) AS ari, round(2 * h - ha - hb, 9) AS vi FROM {n}z, {n}a, {n}b, {n}h, {n}ha, {n}hb"""
 
 
-@query(f"WITH RECURSIVE {LONG.replace('WITH ', '', 1)}, {LABELS}, {_sweep_part(60000)}, {_sweep_part(90000)} {_sweep_row(60000)} UNION ALL {_sweep_row(90000)}")
+@query(f"WITH RECURSIVE {LONG.replace('WITH ', '', 1)}, {LABELS}, {_sweep_part(LEAST)}, {_sweep_part(50000)} {_sweep_row(LEAST)} UNION ALL {_sweep_row(50000)}")
 def graph_sweep(s, d):
-    out = G.graph_sweep(long_edges(s, d), nodes(s, d), [60_000, 90_000], labels(s, d).filter("community is not null"))
+    out = G.graph_sweep(long_edges(s, d), nodes(s, d), [LEAST, 50_000], labels(s, d).filter("community is not null"))
     return out.withColumns({"ari": F.round("ari", 9), "vi": F.round("vi", 9)})
 
 

@@ -120,14 +120,15 @@ def source_minor_carriers(s, d):
     return V.source_minor_carriers(D.genotypes(s, d), V.select_rare_minor(one_alt(s, d), **RARE))
 
 
-@query(f"""WITH {D.SITES}, f AS (SELECT chrom, pos, coalesce(sum(dosage), 0)::BIGINT AS ac, 2 * count(dosage) AS an FROM geno WHERE sample_id < 100 GROUP BY ALL),
+@query(f"""WITH {D.SITES}, f AS (SELECT chrom, pos, coalesce(sum(dosage), 0)::BIGINT AS ac, 2 * count(dosage) AS an FROM geno JOIN customer ON c_custkey = sample_id WHERE c_mktsegment = 'BUILDING' GROUP BY ALL),
 j AS (SELECT s.chrom, s.pos, s.ac, s.an, coalesce(f.ac, 0) AS sac, coalesce(f.an, 0) AS san FROM sites s LEFT JOIN f ON f.chrom = s.chrom AND f.pos = s.pos)
 SELECT CASE WHEN an = 0 THEN 'all_missing' WHEN 2 * ac = an THEN 'tie' WHEN 2 * ac > an THEN 'alt_major' ELSE 'alt_minor' END AS cohort_state,
   CASE WHEN san = 0 THEN 'all_missing' WHEN 2 * sac = san THEN 'tie' WHEN 2 * sac > san THEN 'alt_major' ELSE 'alt_minor' END AS subset_state, count(*) AS n
 FROM j GROUP BY ALL""")
 def orientation_inventory(s, d):
-    """Orientation in the whole cohort against the first hundred people."""
-    sub = D.genotypes(s, d).filter("sample_id < 100").groupBy("chrom", "pos").agg(F.coalesce(F.sum("dosage"), F.lit(0)).alias("sac"), (2 * F.count("dosage")).alias("san"))
+    """Orientation in the whole cohort against the people of one market segment."""
+    part = D.table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sample_id"))
+    sub = D.genotypes(s, d).join(part, "sample_id").groupBy("chrom", "pos").agg(F.coalesce(F.sum("dosage"), F.lit(0)).alias("sac"), (2 * F.count("dosage")).alias("san"))
     j = D.sites(s, d).join(sub, ["chrom", "pos"], "left").withColumns({"sac": F.coalesce("sac", F.lit(0)), "san": F.coalesce("san", F.lit(0))})
     return j.groupBy(V.orientation_state().alias("cohort_state"), V.orientation_state("sac", "san").alias("subset_state")).agg(F.count("*").alias("n"))
 

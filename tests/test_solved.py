@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions.assignment import best_pairs
-from strandlake.operators import ancestry, contrasts, evaluation, graph, stats
+from strandlake.operators import ancestry, communities, contrasts, evaluation, stats
 from strandlake.sources import readers
 
 
@@ -130,11 +130,11 @@ def test_concordance_of_equal_and_random_partitions(spark):
 
 def test_two_cliques_are_two_communities(spark):
     e = [(i, j, 1.0) for c in (0, 5) for i in range(c, c + 5) for j in range(i + 1, c + 5)] + [(4, 5, 1.0)]
-    got = {r.node: r.community for r in graph.communities(spark.createDataFrame(e, "a long, b long, w double")).collect()}
+    got = {r.node: r.community for r in communities.communities(spark.createDataFrame(e, "a long, b long, w double")).collect()}
     assert got == {i: 0 if i < 5 else 5 for i in range(10)}
     runs = spark.createDataFrame([(r, i, (0 if i < 5 else 5) if r or i != 4 else 5) for r in range(2) for i in range(10)], "run long, node long, community long")
     chosen = spark.createDataFrame([(i, 0 if i < 5 else 5) for i in range(10)] + [(99, None)], "node long, community long")
-    sure = {r.node: r.confidence for r in graph.assignment_confidence(runs, chosen).collect()}
+    sure = {r.node: r.confidence for r in communities.assignment_confidence(runs, chosen).collect()}
     assert sure[0] == 1.0 and sure[4] == 0.5 and sure[9] == 1.0 and len(sure) == 10
 
 
