@@ -89,11 +89,12 @@ def fences(judged: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return bounds(groups, keys), bounds(whole, keys[:1])
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
     """docs without the text, with the counts, base_failed and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.
-    kept: not base_failed and within its group's fences. Null languages and sources count as
+    kept: not base_failed and within its group's fences, or its language's where fewer than
+    least_group of the group's texts pass the base rules (quartiles of fewer say little). Null languages and sources count as
     empty ones. Fences come from the texts that pass the base rules; every row, repeated or
     not, counts once. No rows give no rows. Columns of the names made here are replaced.
     """
@@ -103,7 +104,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     keyed = base.withColumns({"_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))} | {f"_{m}": _ratio(m) for m in METRICS})
     fit = keyed.filter(~F.col("base_failed")).select("_lang", "_source", *[F.coalesce(f"_{m}", F.lit(0.0)).alias(m) for m in METRICS])
     own, whole = fences(fit, ["_lang", "_source"])
-    own = own.filter(F.col("n") >= LEAST_GROUP)
+    own = own.filter(F.col("n") >= least_group)
     sides = [f"{m}_{s}" for m in METRICS for s in ("lo", "hi")]
     own = own.select("_lang", "_source", *[F.col(c).alias(f"_own_{c}") for c in sides])
     whole = whole.select("_lang", *[F.col(c).alias(f"_all_{c}") for c in sides])

@@ -103,7 +103,7 @@ def dedup_lines(docs, run=3, long=60):
     return out
 
 
-def languages(rows, models, least=0.5):
+def languages(rows, least=0.5):
     """rows: (text, declared, host, suffix). (language, confidence, kept) of each, counted row by row."""
     from collections import defaultdict
     from math import exp, log
@@ -115,9 +115,8 @@ def languages(rows, models, least=0.5):
         return Counter((c * 2654435761 & 0xFFFFFFFF) >> 17 for c in codes)
 
     said = Counter(d for _, d, _, _ in rows if d is not None)
-    top = sorted(d for d, _ in sorted(said.items(), key=lambda x: (-x[1], x[0]))[:models])
-    names = top + ["(rest)"] * (len(said) > len(top))
-    of = lambda d: None if d is None else names.index(d) if d in top else len(top)
+    names = sorted(said)
+    of = lambda d: None if d is None else names.index(d)
     text, hosts, suffixes, corpus = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
     for t, d, h, s in rows:
         if d is not None:
@@ -142,8 +141,6 @@ def languages(rows, models, least=0.5):
         best = max(range(len(score)), key=lambda k: (score[k], -k))
         sure = 1 / sum(exp(x - score[best]) for x in score)
         name = None if best == len(names) or not g else names[best]
-        if name == "(rest)":
-            name = d if d is not None and d not in top else None
         out.append((name, sure, name is not None and sure >= least))
     return out
 

@@ -240,8 +240,8 @@ def test_language_evidence(spark):
     assert nothing.filter("kept").count() == 0
 
 
-@pytest.mark.parametrize("models", [1, 2, 3, 200])
-def test_language_equals_brute_force(spark, models):
+@pytest.mark.parametrize("at_once", [1, 2, 3, 200])
+def test_language_equals_brute_force(spark, at_once):
     rng, make = random.Random(19), word_maker(19)
     style = {"en": "", "xx": "zyx", "yy": "qu", "zz": "jö", None: ""}
     rows = []
@@ -251,8 +251,8 @@ def test_language_equals_brute_force(spark, models):
         rows.append((i, text, true if rng.random() < 0.9 else "en", rng.choice(["h1", "h2", None]), rng.choice(["com", "net", None])))
     rows += [(200, None, "en", "h1", "com"), (201, "", None, None, None), (202, "12 !", "xx", "h9", "org"), (203, "é", "qq", None, "net"), (204, "Éa" * 50_000, "yy", "h1", "com"), rows[3], rows[3], (None, "null id", "en", "h1", "com")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tld string").repartition(3)
-    got = sorted(((r.doc_id, r.language, r.kept, r.confidence) for r in language.identify(d, suffix_col="tld", models=models).collect()), key=repr)
-    want = sorted(((r[0], a, k, c) for r, (a, c, k) in zip(rows, brute.languages([r[1:] for r in rows], models))), key=repr)
+    got = sorted(((r.doc_id, r.language, r.kept, r.confidence) for r in language.identify(d, suffix_col="tld", at_once=at_once).collect()), key=repr)
+    want = sorted(((r[0], a, k, c) for r, (a, c, k) in zip(rows, brute.languages([r[1:] for r in rows]))), key=repr)
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, want))
 
@@ -264,6 +264,23 @@ def test_rare_languages_stay(spark):
     assert all(got[2000 + i] == ("xx", True) for i in range(4)) and got[3000][1]  # one row alone teaches no model
 
 
+def test_each_of_many_languages_is_found_undeclared(spark):
+    rng, signs = random.Random(23), [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouyäöüé"]
+    words = {f"l{k:03}": ["".join(rng.sample(signs, 3)) for _ in range(12)] for k in range(250)}
+    make = lambda l: " ".join(rng.choice(words[l]) for _ in range(60))
+    rows = [(k, make(l), l, None) for k, l in enumerate(sorted(words) * 3)] + [(10_000 + k, make(l), None, None) for k, l in enumerate(sorted(words))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for at_once in (language.AT_ONCE, 70):
+        got = {r.doc_id: (r.language, r.kept) for r in language.identify(d, at_once=at_once).filter("doc_id >= 10000").collect()}
+        assert got == {10_000 + k: (l, True) for k, l in enumerate(sorted(words))}
+
+
+def test_equal_languages_go_by_name(spark):
+    rows = [(i, "same words here", "ab"[i % 2] * 2, "h") for i in range(8)] + [(9, "same words here", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {language.identify(d, at_once=n).filter("doc_id = 9").first().language for n in (1, 2)} == {"aa"}
+
+
 def test_language_of_pages(spark):
     pages = language.of_pages(spark.createDataFrame([(1, "http://A.b.Org/x", "<!DOCTYPE html><HTML class='k' lang='de-AT'><script>var <b></script><p>Wort</p>"), (2, None, None), (3, "x", "<p>no tag")], "page_id long, url string, html string"))
     got = [(r.page_id, r.text.split(), r.lang, r.host, r.suffix) for r in pages.orderBy("page_id").collect()]
