@@ -1,46 +1,75 @@
-"""One-to-one assignment of few rows and columns, for use inside a bounded group."""
+"""One-to-one assignment of the greatest total gain over the pairs that have any, for use inside a bounded group."""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 import numpy as np
 
 
-def best_pairs(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the greatest total gain; of equal totals those of lesser rows and columns. Gains are whole numbers; pairs without gain are left out.
+def matching(pairs: Iterable[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """(left, right) pairs of the greatest total gain, nobody twice; pairs: (left, right, whole gain), of repeated ones the last counts.
 
-    Shortest augmenting paths with potentials, row by row.
+    Only pairs with a gain are kept in memory. Everybody has a worth, and the worths of two
+    that could pair cover their gain: so no matching gains more than all worths, and one
+    whose partners' worths are just their gain, all others worth nothing, gains the most.
+    Left ones come in one by one, worth the best they could add; a search by slack (least
+    first) finds the cheapest way to lower that to what the others' worths allow, ending at
+    a right one that is free or at a left one that is worth no more than being left out.
+    Which of several best matchings is found depends on nothing but the sorted pairs.
     """
-    n, m = gain.shape
-    if not n or not m:
-        return []
-    if n > m:
-        return sorted((i, j) for j, i in best_pairs(gain.T))
-    # a small price by place makes totals differ, in exact integers
-    price = np.add.outer(np.arange(n, dtype=object), np.arange(m, dtype=object))
-    cost = price - gain.astype(object) * int(n * (n + m) + 1)
-    if abs(cost).max() < 1 << 52:
-        cost = cost.astype(np.int64)
-    far = np.iinfo(np.int64).max // 4 if cost.dtype != object else 10**60
-    u, v = np.zeros(n + 1, cost.dtype), np.zeros(m + 1, cost.dtype)
-    row_of, way = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)  # rows and columns from 1; column 0 stands outside
-    for i in range(1, n + 1):
-        row_of[0], at = i, 0
-        least = np.full(m + 1, far, cost.dtype)
-        used = np.zeros(m + 1, bool)
-        while row_of[at]:
-            used[at] = True
-            r = row_of[at]
-            open_ = np.flatnonzero(~used[1:]) + 1
-            reach = cost[r - 1, open_ - 1] - u[r] - v[open_]
-            better = reach < least[open_]
-            least[open_[better]], way[open_[better]] = reach[better], at
-            at_next = open_[np.argmin(least[open_])]
-            delta = least[at_next]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            at = at_next
-        while at:
-            row_of[at] = row_of[way[at]]
-            at = way[at]
-    return sorted((int(row_of[j]) - 1, j - 1) for j in range(1, m + 1) if row_of[j] and gain[row_of[j] - 1, j - 1] > 0)
+    near: dict[int, dict[int, int]] = {}
+    for left, right, gain in sorted(pairs):
+        if gain > 0:
+            near.setdefault(left, {})[right] = gain
+    worth_left: dict[int, int] = {}
+    worth_right: dict[int, int] = {}
+    partner: dict[int, int] = {}  # of right ones
+    taken: dict[int, int] = {}  # of left ones
+    for start, options in near.items():
+        worth_left[start] = max(gain - worth_right.get(right, 0) for right, gain in options.items())
+        if worth_left[start] <= 0:
+            worth_left[start] = 0
+            continue
+        lefts, rights, came = {start: 0}, {}, {}
+        heap: list[tuple[int, bool, int, int]] = []  # slack, whether the right one is taken, it, who leads there
+        at, paid = start, 0
+        out_cost, out_left = worth_left[start], start  # leaving start out
+        while True:
+            for right, gain in near[at].items():
+                if right not in rights:
+                    heapq.heappush(heap, (paid + worth_left[at] + worth_right.get(right, 0) - gain, right in partner, right, at))
+            while heap and heap[0][2] in rights:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= out_cost:
+                end, cost = None, out_cost
+                break
+            paid, _, right, came_from = heapq.heappop(heap)
+            rights[right], came[right] = paid, came_from
+            if right not in partner:
+                end, cost = right, paid
+                break
+            at = partner[right]
+            lefts[at] = paid
+            if paid + worth_left[at] < out_cost:
+                out_cost, out_left = paid + worth_left[at], at
+        for left, reached in lefts.items():
+            worth_left[left] -= cost - min(reached, cost)
+        for right, reached in rights.items():
+            worth_right[right] = worth_right.get(right, 0) + cost - min(reached, cost)
+        if end is None:
+            if out_left == start:
+                continue
+            end = taken.pop(out_left)  # whoever is left out frees its partner
+        while end is not None:  # partners move up along the way back to start
+            left = came[end]
+            partner[end] = left
+            taken[left], end = end, taken.get(left)
+    return set(taken.items())
+
+
+def best_pairs(gain: np.ndarray) -> list[tuple[int, int]]:
+    """matching() of a table of whole gains, in order."""
+    rows, columns = np.nonzero(np.asarray(gain) > 0)
+    return sorted(matching(zip(rows.tolist(), columns.tolist(), (int(gain[r, c]) for r, c in zip(rows, columns)))))

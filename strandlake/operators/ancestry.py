@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import graph
+from .axis import SIZE, with_known
 from .intervals import interpolate, overlap_join, point_in_interval
 
 
@@ -63,12 +67,39 @@ def equal_regions(curve: DataFrame, keys: list[str], n: int, margin: float) -> D
 
 
 def burden_within(queries: DataFrame, events: DataFrame, keys: list[str], radius: int, weight: str) -> DataFrame:
-    """queries (id, pos) with n and total weight of events within the radius on either side."""
-    u = queries.select(*keys, "pos", "id", F.lit(None).cast("double").alias("_w")).unionByName(events.select(*keys, "pos", F.lit(None).cast("long").alias("id"), F.col(weight).cast("double").alias("_w")))
-    w = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-radius, radius)
+    """queries (id, pos) with n and total weight of events within the radius on either side.
+
+    Events go to every bucket that their radius touches, queries to their own.
+    """
+    size = max(SIZE, 2 * radius)
+    reach = F.explode(F.sequence(F.floor((F.col("pos") - radius) / size), F.floor((F.col("pos") + radius) / size))).alias("_b")
+    e = events.select(*keys, "pos", F.lit(None).cast("long").alias("id"), F.col(weight).cast("double").alias("_w"), reach)
+    u = queries.select(*keys, "pos", "id", F.lit(None).cast("double").alias("_w"), F.floor(F.col("pos") / size).alias("_b")).unionByName(e)
+    w = Window.partitionBy(*keys, "_b").orderBy("pos").rangeBetween(-radius, radius)
     return u.withColumns({"n": F.count("_w").over(w), "total": F.coalesce(F.sum("_w").over(w), F.lit(0.0))}).filter("id is not null").select("id", *keys, "pos", "n", "total")
 
 
+def transition_scores(truth: DataFrame, calls: DataFrame, keys: list[str], tolerances: list[float]) -> DataFrame:
+    """tolerance, n_truth, n_called, matched, precision, recall, f1, false_per_morgan, mean_error of changes of label along a map.
+
+    truth and calls: keys (a haplotype or person), pos (cM), label. Changes match one to one
+    within the tolerance where they go from and to the same labels, as many as can. False
+    ones are called changes without a match, over the summed map lengths of all keys of
+    truth in Morgan; null where that is zero. Keys that one side lacks have no changes there.
+    """
+    t, c = cut(boundaries(truth, keys)), cut(boundaries(calls, keys))
+    span = truth.groupBy(*keys).agg((F.max("pos") - F.min("pos")).alias("s")).agg((F.sum("s") / 100).alias("morgan"))
+    whole = cut(t.agg(F.count("*").alias("n_truth")).crossJoin(c.agg(F.count("*").alias("n_called"))).crossJoin(span))
+    out = None
+    for tolerance in tolerances:
+        m = match_boundaries(t, c, keys, tolerance, optimal=True).agg(F.count("*").alias("matched"), F.avg(F.abs(F.col("truth") - F.col("called"))).alias("mean_error"))
+        part = whole.crossJoin(m).withColumn("tolerance", F.lit(float(tolerance)))
+        out = part if out is None else out.unionByName(part)
+    p, r = F.try_divide("matched", "n_called"), F.try_divide("matched", "n_truth")
+    false = F.try_divide(F.col("n_called") - F.col("matched"), "morgan")
+    return out.select("tolerance", "n_truth", "n_called", "matched", p.alias("precision"), r.alias("recall"), F.try_divide(2 * F.col("matched"), F.col("n_called") + F.col("n_truth")).alias("f1"), false.alias("false_per_morgan"), "mean_error")
+
+
 def boundaries(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Changes of label between neighbouring positions: midpoint, before, after."""
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -81,10 +112,7 @@ def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolera
 
     A haplotype's boundaries are few; each is one bounded group in pandas.
     """
-    import numpy as np
-    import pandas as pd
-
-    from ..functions.assignment import best_pairs
+    from ..functions.assignment import matching
 
     t = truth.select(*keys, F.lit("t").alias("_s"), "midpoint", "before", "after")
     c = calls.select(*keys, F.lit("c").alias("_s"), "midpoint", "before", "after")
@@ -98,10 +126,11 @@ def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolera
         used_t, used_c, out = set(), set(), []
         if optimal and pairs:
             rows, cols = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
-            near = {(a, b): d for d, a, b in pairs}
-            much = int(2 * tolerance + 1) * min(len(rows), len(cols)) + 1
-            gain = np.array([[much - int(2 * near[a, b]) if (a, b) in near else 0 for b in cols] for a in rows], np.int64)
-            return pd.DataFrame([(*key, rows[i], cols[k]) for i, k in best_pairs(gain)], columns=[*keys, "truth", "called"])
+            row, col = ({x: i for i, x in enumerate(xs)} for xs in (rows, cols))
+            # distances in parts of the tolerance, as whole numbers; any match is worth more than all of them
+            parts, most = 1 << 20, min(len(rows), len(cols))
+            gains = ((row[a], col[b], (parts + 1) * most + 1 - round(d / tolerance * parts) if tolerance else 1) for d, a, b in pairs)
+            return pd.DataFrame([(*key, rows[i], cols[k]) for i, k in sorted(matching(gains))], columns=[*keys, "truth", "called"])
         for _, a, b in pairs:
             if a not in used_t and b not in used_c:
                 used_t.add(a)
@@ -130,11 +159,9 @@ def flank_table(markers: DataFrame, keys: list[str]) -> DataFrame:
 
     markers: keys, pos, dosage, common.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
     known = F.when(F.col("common") & F.col("dosage").isNotNull(), F.col("dosage"))
-    left = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    d = markers.withColumns({"left": left, "right": right}).filter(~F.col("common") & F.col("dosage").isNotNull())
+    d = with_known(markers.withColumn("_known", known), keys, "_known").withColumnsRenamed({"_left": "left", "_right": "right"})
+    d = d.filter(~F.col("common") & F.col("dosage").isNotNull())
     return d.groupBy("left", "right", "dosage").agg(F.count("*").alias("n"))
 
 
@@ -241,6 +268,58 @@ def scope_summary(people: DataFrame, label: str, level: str, small: int) -> Data
     return j.select("scope", F.col("size").alias("n"), (F.col("m") / F.col("size")).alias("purity"), "dominant", (F.col("size") < small).alias("small"))
 
 
+def expected_information(table: DataFrame) -> DataFrame:
+    """One row: emi, the mean mutual information (nats) of tables with the same margins and random cells.
+
+    Cells of equal margins have the same expectation, so it is taken once for each pair of
+    different sizes (at most the root of twice the number of rows on either side).
+    """
+    total = F.broadcast(table.agg(F.sum("n").alias("t")))
+    size = lambda c, name: table.groupBy(c).agg(F.sum("n").alias(name)).groupBy(name).agg(F.count("*").alias(f"k_{name}"))
+    met = size("la", "a").crossJoin(F.broadcast(size("lb", "b"))).crossJoin(total)
+
+    @F.pandas_udf("double")
+    def cell(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+        def expectation(a: int, b: int, t: int) -> float:
+            lo, hi, found = max(1, a + b - t), min(a, b), 0.0
+            fixed = sum(log_gamma(np.array([x + 1.0]))[0] for x in (a, b, t - a, t - b)) - log_gamma(np.array([t + 1.0]))[0]
+            for first in range(lo, hi + 1, 1 << 20):
+                n = np.arange(first, min(hi, first + (1 << 20) - 1) + 1, dtype=float)
+                chance = np.exp(fixed - log_gamma(n + 1) - log_gamma(a - n + 1) - log_gamma(b - n + 1) - log_gamma(t - a - b + n + 1))
+                found += float((n / t * np.log(n * t / (a * b)) * chance).sum())
+            return found
+
+        return pd.Series([expectation(*map(int, x)) for x in zip(a, b, t)], dtype=float)
+
+    return met.agg(F.coalesce(F.sum(F.col("k_a") * F.col("k_b") * cell("a", "b", "t")), F.lit(0.0)).alias("emi"))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma for x >= 1: Stirling's series, after stepping up to where it is exact."""
+    x, low = np.array(x, float), np.zeros(len(x))
+    for _ in range(9):
+        small = x < 9
+        low[small] += np.log(x[small])
+        x[small] += 1
+    z = 1 / (x * x)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * 691 / 360360))))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - low
+
+
+def adjusted_information(table: DataFrame) -> DataFrame:
+    """One row: ami = (mi - emi) / (mean entropy - emi) of a contingency table (la, lb, n), and degenerate: fewer than two groups on a side or nothing to gain over chance, where ami is null."""
+    table = table.filter("n > 0")
+    total = F.broadcast(table.agg(F.sum("n").alias("t")))
+    a, b = table.groupBy("la").agg(F.sum("n").alias("na")), table.groupBy("lb").agg(F.sum("n").alias("nb"))
+    share = lambda c: F.col(c) / F.col("t")
+    mi = table.join(a, "la").join(b, "lb").crossJoin(total).agg(F.coalesce(F.sum(share("n") * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))), F.lit(0.0)).alias("mi"))
+    h = lambda d, c: d.crossJoin(total).agg(F.coalesce(-F.sum(share(c) * F.log(share(c))), F.lit(0.0)).alias(f"h{c}"), F.count("*").alias(f"k{c}"))
+    d = mi.crossJoin(h(a, "na")).crossJoin(h(b, "nb")).crossJoin(expected_information(table))
+    room = (F.col("hna") + F.col("hnb")) / 2 - F.col("emi")
+    flat = (F.col("kna") < 2) | (F.col("knb") < 2) | (F.abs(room) < 1e-12)
+    return d.select(F.when(~flat, (F.col("mi") - F.col("emi")) / room).alias("ami"), flat.alias("degenerate"))
+
+
 def mutual_information(table: DataFrame) -> DataFrame:
     """One row: nmi (arithmetic mean) and weighted purity of a contingency table (la: partition, lb: reference)."""
     total = F.broadcast(table.agg(F.sum("n").alias("t")))

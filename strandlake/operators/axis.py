@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 SIZE = 1 << 20
 
 
-def _ahead(d: DataFrame, keys: list[str], summary, carried) -> DataFrame:
-    """d with what `carried` makes of the earlier buckets' summaries, as _carry."""
+def _ahead(d: DataFrame, keys: list[str], summary, carried, later: bool = False) -> DataFrame:
+    """d with what `carried` makes of the earlier (or the later) buckets' summaries, as _carry."""
     rows = d.groupBy(*keys, "_b").agg(summary.alias("_s"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(F.desc("_b") if later else "_b").rowsBetween(Window.unboundedPreceding, -1)
     return d.join(rows.select(*keys, "_b", carried("_s").over(w).alias("_carry")), [*keys, "_b"])
 
 
@@ -31,6 +31,28 @@ def with_before(df: DataFrame, keys: list[str], pos: str = "pos", size: int = SI
     return d.withColumn("_before", F.coalesce(F.lag(pos).over(w), "_carry")).drop("_b", "_carry")
 
 
+def with_neighbours(df: DataFrame, keys: list[str], pos: str, value: str, size: float = SIZE) -> DataFrame:
+    """df with _before and _after: value in the rows next to each one within keys, in order of pos, then value; null at the ends."""
+    place = F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))
+    d, w = _bucketed(df, pos, size), Window.partitionBy(*keys, "_b").orderBy(pos, value)
+    d = d.withColumns({"_lag": F.lag(value).over(w), "_lead": F.lead(value).over(w)})
+    d = _ahead(d, keys, F.max(place), F.max).withColumn("_before", F.coalesce("_lag", F.col("_carry.v"))).drop("_carry")
+    d = _ahead(d, keys, F.min(place), F.min, later=True).withColumn("_after", F.coalesce("_lead", F.col("_carry.v")))
+    return d.drop("_b", "_lag", "_lead", "_carry")
+
+
+def with_known(df: DataFrame, keys: list[str], value: str, pos: str = "pos", size: float = SIZE) -> DataFrame:
+    """df with _left and _right: the nearest value that isn't null before and behind each row within keys; positions differ."""
+    w = Window.partitionBy(*keys, "_b").orderBy(pos)
+    place = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))
+    d = _bucketed(df, pos, size).withColumns({
+        "_last": F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_first": F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    d = _ahead(d, keys, F.max(place), F.max).withColumn("_left", F.coalesce("_last", F.col("_carry.v"))).drop("_carry")
+    d = _ahead(d, keys, F.min(place), F.min, later=True).withColumn("_right", F.coalesce("_first", F.col("_carry.v")))
+    return d.drop("_b", "_last", "_first", "_carry")
+
+
 def with_ordinal(df: DataFrame, keys: list[str], pos: str = "pos", size: int = SIZE) -> DataFrame:
     """df with _ordinal: the row's number within keys by position, from 0; positions differ."""
     d = _ahead(_bucketed(df, pos, size), keys, F.count("*"), F.sum)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assignment import best_pairs
+from ..functions.assignment import matching
 from ..plans.lineage import cut
 from . import graph
 from .intervals import overlap_join, total, union
@@ -15,10 +15,10 @@ from .stats import value_ranks
 
 
 def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One-to-one assignment of calls (call, lo, hi) to truths (truth, lo, hi) of maximum total overlap, ties by order.
+    """One-to-one assignment of calls (call, lo, hi) to truths (truth, lo, hi) of maximum total overlap; which of several best ones is fixed by their order.
 
     Overlaps are found by a bucketed join and fall into connected parts, which don't touch each
-    other's choice; each part is solved exactly in pandas.
+    other's choice; each part is solved exactly in its task, over the pairs that overlap only.
     """
     import pandas as pd
 
@@ -31,9 +31,7 @@ def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: i
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(pdf["truth"].unique()), sorted(pdf["call"].unique())
         r, c = pdf["truth"].map({x: i for i, x in enumerate(rows)}), pdf["call"].map({x: i for i, x in enumerate(cols)})
-        gain = np.zeros((len(rows), len(cols)), np.int64)
-        gain[r, c] = pdf["bp"]
-        kept = set(best_pairs(gain))
+        kept = matching(zip(r.tolist(), c.tolist(), pdf["bp"].tolist()))
         return pdf.loc[[(i, k) in kept for i, k in zip(r, c)], [*keys, "truth", "call", "bp"]]
 
     return j.join(part, F.col("_t") == F.col("node")).groupBy("root").applyInPandas(choose, schema)
@@ -210,6 +208,30 @@ def support_burden(loci: DataFrame, support: DataFrame, window: int) -> DataFram
     return j.groupBy("chrom", "window_id", "code").agg(F.sum(F.col("n") * F.col("share")).alias("burden"), F.count("*").alias("n_loci"))
 
 
+def diploid_brier(df: DataFrame, probabilities: tuple[str, str], truths: tuple[str, str]) -> DataFrame:
+    """One row: n and brier, the mean over rows of the squared differences of both haplotypes' probabilities (arrays by class) to their true classes, over 4. Rows with a null in any are left out."""
+    def off(p: str, y: str) -> Column:
+        squares = F.transform(p, lambda x, k: F.pow(x - F.when(k == F.col(y), 1.0).otherwise(0.0), F.lit(2.0)))
+        return F.when(F.col(y).isNotNull(), F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
+
+    parts = [off(p, y) for p, y in zip(probabilities, truths)]
+    return df.select(((parts[0] + parts[1]) / 4).alias("b")).filter("b is not null").agg(F.count("*").alias("n"), F.avg("b").alias("brier"))
+
+
+def dose_errors(df: DataFrame, probability: str, truth: str, doses: list[list[float]]) -> DataFrame:
+    """ancestry, n, mae: the mean absolute difference of expected and true dose of each ancestry.
+
+    probability: an array over states; truth: the true state; doses: each state's dose of each ancestry. Rows with a null are left out.
+    """
+    d = df.select(F.col(probability).alias("p"), F.col(truth).cast("int").alias("y")).filter("p is not null and y is not null")
+    found = []
+    for k in range(len(doses[0])):
+        of = F.array(*[F.lit(float(s[k])) for s in doses])
+        expected = F.aggregate(F.zip_with("p", of, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        found.append(F.struct(F.lit(k).cast("long").alias("ancestry"), F.abs(expected - F.get(of, F.col("y"))).alias("e")))
+    return d.select(F.explode(F.array(*found)).alias("x")).groupBy("x.ancestry").agg(F.count("*").alias("n"), F.avg("x.e").alias("mae"))
+
+
 def diploid_scores(df: DataFrame, truth: str, call: str, classes: int) -> DataFrame:
     """One row: n, macro F1 over the classes with support, and over all classes (null when one is absent)."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import broadcast_if_small
 from ..plans.lineage import cut, stored
 from .stats import mann_whitney, poisson_weight
 
@@ -152,3 +153,44 @@ def permute_edges(edges: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
         made = new.join(good.select("_cell"), "_cell", "left_semi").select("a", "b")
         have = cut(have.join(old, ["a", "b"], "left_anti").unionByName(made))
     return have
+
+
+def permute_carriers(carriers: DataFrame, missing: DataFrame, rounds: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(carriers after swaps, mixing) of carriers (sample_id, event, dosage, stratum, once a sample and event).
+
+    In each round the carriers of a stratum and dosage pair up by hash; two of different
+    people and events swap events where both crossed cells are called (not in missing:
+    sample_id, event), carried by nobody, and made once. So every event keeps its carriers'
+    number, dosages and strata, every person its number of events and dosages, and missing
+    cells stay as they are. mixing: stratum, dosage, n, swaps (over all rounds), moved
+    (carriers that are where none was), moved_share. Groups never fall back on wider strata.
+    """
+    cell, group = ["sample_id", "event"], ["stratum", "dosage"]
+    first = have = stored(carriers.select(*cell, *group))
+    closed = stored(missing.select(*cell).distinct())
+    sizes = cut(have.groupBy(*group).agg(F.count("*").alias("n")))
+    small, swaps = broadcast_if_small(sizes), None
+    for turn in range(rounds):
+        h = F.xxhash64(*cell, F.lit(seed), F.lit(turn))
+        d = have.join(small, group).withColumn("_h", h).withColumn("_cell", F.pmod("_h", F.greatest(F.lit(1), F.floor(F.col("n") / 2))))
+        two = d.groupBy(*group, "_cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", *cell))), 1, 2).alias("e")).filter(F.size("e") == 2)  # few share a cell
+        x, y = F.get("e", F.lit(0)), F.get("e", F.lit(1))
+        c = two.select(*group, "_cell", x["sample_id"].alias("s1"), x["event"].alias("e1"), y["sample_id"].alias("s2"), y["event"].alias("e2")).filter("s1 <> s2 and e1 <> e2")
+        made = c.select(*group, "_cell", F.explode(F.array(F.struct(F.col("s1").alias("sample_id"), F.col("e2").alias("event")), F.struct(F.col("s2").alias("sample_id"), F.col("e1").alias("event")))).alias("x")).select(*group, "_cell", "x.*")
+        made = stored(made)
+        twice = made.groupBy(*cell).agg(F.count("*").alias("k")).filter("k > 1").select(*cell)
+        bad = made.join(have.select(*cell).unionByName(closed).unionByName(twice).distinct(), cell, "left_semi").select(*group, "_cell").distinct()
+        good = stored(c.join(bad, [*group, "_cell"], "left_anti"))
+        gone = good.select(F.col("s1").alias("sample_id"), F.col("e1").alias("event")).unionByName(good.select(F.col("s2").alias("sample_id"), F.col("e2").alias("event")))
+        come = made.join(good.select(*group, "_cell"), [*group, "_cell"], "left_semi").select(*cell, *group)
+        have = stored(have.join(gone, cell, "left_anti").unionByName(come))
+        n = good.groupBy(*group).agg(F.count("*").alias("swaps"))
+        swaps = n if swaps is None else swaps.unionByName(n)
+    moved = have.join(first.select(*cell), cell, "left_anti").groupBy(*group).agg(F.count("*").alias("moved"))
+    mixing = sizes.join(moved, group, "left")
+    if swaps is None:
+        mixing = mixing.withColumn("swaps", F.lit(0).cast("long"))
+    else:
+        mixing = mixing.join(swaps.groupBy(*group).agg(F.sum("swaps").alias("swaps")), group, "left")
+    mixing = mixing.na.fill(0, ["moved", "swaps"])
+    return have, mixing.select(*group, "n", "swaps", "moved", (F.col("moved") / F.col("n")).alias("moved_share"))

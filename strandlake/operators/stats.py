@@ -220,6 +220,24 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, replicates: int, seed:
     return g.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ci)
 
 
+def bootstrap_delta(df: DataFrame, group: str, base: str, other: str, replicates: int, seed: int = 0, stratum: str | None = None) -> DataFrame:
+    """One row: base and other (means over the rows with both), delta = other - base, and the percentile interval of the delta over replicates that resample groups.
+
+    With a stratum, means are means of strata means, strata weighing the same, and groups
+    are resampled within them. Both values of a row stay together; groups are summed
+    first, and a replicate weighs them by hashed Poisson counts.
+    """
+    d = df.filter(F.col(base).isNotNull() & F.col(other).isNotNull())
+    s = F.lit(0) if stratum is None else F.col(stratum)
+    g = cut(d.groupBy(s.alias("_s"), F.col(group).alias("_g")).agg(F.sum(base).alias("a"), F.sum(other).alias("b"), F.count("*").alias("n")))
+    share = lambda c: F.try_divide(F.sum(F.col("w") * F.col(c)), F.sum(F.col("w") * F.col("n"))).alias(c)
+    point = g.withColumn("w", F.lit(1)).groupBy("_s").agg(share("a"), share("b")).agg(F.avg("a").alias("base"), F.avg("b").alias("other"))
+    r = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.xxhash64("_s", "_g", "r", F.lit(seed))))
+    r = r.groupBy("r", "_s").agg(share("a"), share("b")).groupBy("r").agg((F.avg("b") - F.avg("a")).alias("d"))
+    ci = r.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    return point.crossJoin(ci).select("base", "other", (F.col("other") - F.col("base")).alias("delta"), "low", "high")
+
+
 def confusion(df: DataFrame, truth: str, call: str) -> DataFrame:
     return df.filter(F.col(truth).isNotNull()).groupBy(truth, F.coalesce(F.col(call), F.lit("MISSING")).alias(call)).agg(F.count("*").alias("n"))
 

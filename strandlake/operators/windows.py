@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import broadcast_if_small
 from ..plans.lineage import cut
-from .axis import SIZE, with_before, with_island, with_ordinal
+from .axis import SIZE, with_before, with_island, with_neighbours, with_ordinal
 from .intervals import interpolate
 from .pairs import PAIR, chains, shared_pairs
 
@@ -67,17 +67,38 @@ def tracts(windows: DataFrame, keys: list[str], gap: int, curve: DataFrame | Non
     return d.withColumn("length_cm", F.col("_end_cm") - F.col("_start_cm")).drop("_start_cm", "_end_cm")
 
 
-def grid_features(genotypes: DataFrame, people: DataFrame, size: int) -> DataFrame:
+def grid_features(genotypes: DataFrame, people: DataFrame, size: int, lengths: DataFrame | None = None) -> DataFrame:
     """Every person and window of a fixed grid: called and missing sites, carried sites, dosage, dosage a called site (null for none).
 
-    Windows are those that hold any site; people without genotypes there have zeros.
+    Windows are those that hold any site; people without genotypes there have zeros. With
+    lengths (chrom, length) windows are all that a chromosome has, empty ones included, the
+    last one cut at its end, and there are bp (the window's own length) and variance
+    (population variance of the called dosages, null for none).
+
+    Sums are gathered by person and chromosome before windows are filled in, so what is
+    shuffled are carried cells, not the grid.
     """
     x = F.col("dosage")
     d = genotypes.withColumn("window_id", F.floor((F.col("pos") - 1) / size))
-    f = d.groupBy("sample_id", "chrom", "window_id").agg(F.count(x).alias("n_called"), F.count_if(x.isNull()).alias("n_missing"), F.count_if(x > 0).alias("n_carried"), F.coalesce(F.sum(x), F.lit(0)).alias("dosage_sum"))
-    grid = people.crossJoin(broadcast_if_small(d.select("chrom", "window_id").distinct()))
-    out = grid.join(f, ["sample_id", "chrom", "window_id"], "left").na.fill(0)
-    return out.withColumn("rate", F.try_divide("dosage_sum", "n_called"))
+    sums = [F.count(x).alias("n_called"), F.count_if(x.isNull()).alias("n_missing"), F.count_if(x > 0).alias("n_carried"), F.coalesce(F.sum(x), F.lit(0)).alias("dosage_sum"), F.coalesce(F.sum(x * x), F.lit(0)).alias("_squares")]
+    f = d.groupBy("sample_id", "chrom", "window_id").agg(*sums)
+    cell = F.struct("n_called", "n_missing", "n_carried", "dosage_sum", "_squares")
+    f = f.groupBy("sample_id", "chrom").agg(F.map_from_entries(F.collect_list(F.struct("window_id", cell))).alias("_cells"))
+    if lengths is None:
+        held = d.select("chrom", "window_id").distinct().groupBy("chrom").agg(F.collect_list(F.struct("window_id", F.lit(None).cast("long").alias("bp"))).alias("_windows"))
+    else:
+        start = lambda w: w * size
+        ws = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)), lambda w: F.struct(w.alias("window_id"), F.least(F.lit(size).cast("long"), F.col("length") - start(w)).alias("bp")))
+        held = lengths.filter("length > 0").select("chrom", ws.alias("_windows"))
+    rows = people.crossJoin(broadcast_if_small(held)).join(f, ["sample_id", "chrom"], "left")  # a row a person and chromosome
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n_called", "n_missing", "n_carried", "dosage_sum", "_squares")])
+    rows = rows.select("sample_id", "chrom", "_cells", F.explode("_windows").alias("_w"))
+    rows = rows.select("sample_id", "chrom", "_w.window_id", "_w.bp", F.coalesce(F.try_element_at("_cells", F.col("_w.window_id")), none).alias("_c"))
+    rows = rows.select("sample_id", "chrom", "window_id", "bp", "_c.*").withColumn("rate", F.try_divide("dosage_sum", "n_called"))
+    if lengths is None:
+        return rows.drop("bp", "_squares")
+    variance = F.when(F.col("n_called") > 0, F.greatest(F.lit(0.0), F.try_divide("_squares", "n_called") - F.col("rate") * F.col("rate")))
+    return rows.withColumn("variance", variance).drop("_squares")
 
 
 def regrid(features: DataFrame, factor: int, phase: int) -> DataFrame:
@@ -122,9 +143,10 @@ def histogram_quantile(histogram: DataFrame, keys: list[str], low: float, high:
 
 def nearest_distances(positions: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Distances to the next 1 to k positions of the same key."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    gaps = F.array(*[F.lead("pos", i).over(w) - F.col("pos") for i in range(1, k + 1)])
-    return positions.select(*keys, gaps.alias("_gaps")).select(*keys, F.explode("_gaps").alias("distance")).filter("distance is not null")
+    d = with_ordinal(positions.select(*keys, "pos"), keys)
+    near = d.select(*keys, "pos", F.explode(F.sequence(F.col("_ordinal") + 1, F.col("_ordinal") + k)).alias("_ordinal"))
+    later = d.select(*keys, F.col("pos").alias("_later"), "_ordinal")
+    return near.join(later, [*keys, "_ordinal"]).select(*keys, (F.col("_later") - F.col("pos")).alias("distance"))
 
 
 def log_histogram(distances: DataFrame, keys: list[str], low: float, high: float, bins: int) -> DataFrame:
@@ -141,6 +163,35 @@ def gap_stats(positions: DataFrame, keys: list[str], universe: str, size: int =
     return d.agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap")).select(F.lit(universe).alias("universe"), "*")
 
 
+def geometric_sites(length: int, gap: int) -> int:
+    """Fewest sites that a chain of `length` bp with gaps up to `gap` can have."""
+    return 1 + -(-(length - 1) // gap) if length > 1 else 1
+
+
+def sweep_classes(carriers: DataFrame, gaps: list[int], lengths: list[int], sites: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(results, aliases) of a grid whose configurations of equal effect are evaluated once.
+
+    A chain of so many bp with gaps so short has a least number of sites anyhow, so what
+    counts is the greater of that and the nominal number. results: max_gap, min_length,
+    effective_sites, n_segments, n_pairs, total_bp. aliases: max_gap, min_length, min_sites
+    (nominal), geometric_sites, effective_sites, a row for every nominal configuration.
+    """
+    grid = [(g, n, m, geometric_sites(n, g)) for g in sorted(set(gaps)) for n in sorted(set(lengths)) for m in sorted(set(sites))]
+    if min(*gaps, *lengths, *sites) < 1:
+        raise ValueError("gaps, lengths and sites are positive")
+    spark = carriers.sparkSession
+    aliases = spark.createDataFrame([(*x, max(x[2:])) for x in grid], "max_gap long, min_length long, min_sites long, geometric_sites long, effective_sites long")
+    classes = aliases.select("max_gap", "min_length", "effective_sites").distinct()
+    shared, made = cut(shared_pairs(carriers, min(max(x[2:]) for x in grid))), None
+    for gap in sorted(set(gaps)):
+        part = chains(shared, gap, [*PAIR, "chrom"]).withColumn("max_gap", F.lit(gap).cast("long"))
+        made = part if made is None else made.unionByName(part)
+    hit = made.join(F.broadcast(classes), "max_gap").filter((F.col("length_bp") >= F.col("min_length")) & (F.col("n_shared_variants") >= F.col("effective_sites")))
+    keys = ["max_gap", "min_length", "effective_sites"]
+    found = hit.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.countDistinct(*PAIR).alias("n_pairs"), F.sum("length_bp").alias("total_bp"))
+    return F.broadcast(classes).join(found, keys, "left").na.fill(0), aliases
+
+
 def segment_sweep(carriers: DataFrame, gaps: list[int], lengths: list[int], sites: list[int]) -> DataFrame:
     """n_segments, n_pairs, total_bp of every configuration; chains are made once a gap."""
     spark = carriers.sparkSession
@@ -168,9 +219,20 @@ def radius_counts(queries: DataFrame, events: DataFrame, keys: list[str], radius
 
 def voronoi(positions: DataFrame, keys: list[str]) -> DataFrame:
     """cell_lo, cell_hi of each position: up to the midpoints to its neighbours, ties to the left one; ends stay open (null)."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    before, after = F.lag("pos").over(w), F.lead("pos").over(w)
-    return positions.select(*keys, "pos", (F.floor((before + F.col("pos")) / 2) + 1).alias("cell_lo"), F.floor((F.col("pos") + after) / 2).alias("cell_hi"))
+    d = with_neighbours(positions.select(*keys, "pos"), keys, "pos", "pos")
+    return d.select(*keys, "pos", (F.floor((F.col("_before") + F.col("pos")) / 2) + 1).alias("cell_lo"), F.floor((F.col("pos") + F.col("_after")) / 2).alias("cell_hi"))
+
+
+def map_weights(markers: DataFrame, keys: list[str], cm: str = "cm", size: float = 1.0) -> DataFrame:
+    """markers with weight: the map length nearer to each than to any other of its key, within the first and last marker.
+
+    Markers at one place on the map share nothing: all but the outer ones weigh 0. A key of
+    markers at one place has weights 0 throughout. Neighbours are found across buckets of
+    `size` cM in both directions.
+    """
+    d = with_neighbours(markers, keys, cm, cm, size)
+    own = F.col(cm)
+    return d.withColumn("weight", (F.coalesce("_after", own) - F.coalesce("_before", own)) / 2).drop("_before", "_after")
 
 
 def marker_windows(positions: DataFrame, keys: list[str], size: int, max_gap: int) -> DataFrame:

@@ -66,11 +66,11 @@ def matched_controls(s, d):
 
 
 @query(None)
-def matched_markers(s, d):
+def markers_within(s, d):
     """Sites that nobody misses find the nearest on the map among those that somebody misses."""
     m = genetic_map(s, d).join(D.sites(s, d).select("chrom", "pos", "n_missing"), ["chrom", "pos"])
     t = m.filter("n_missing = 0").select("chrom", "cm", F.col("pos").alias("target"))
-    return C.match_markers(t, m.filter("n_missing > 0").select("chrom", "cm", F.col("pos").alias("marker")), ["chrom"], "cm", 0.05, 0.1, 4)
+    return C.markers_within(t, m.filter("n_missing > 0").select("chrom", "cm", F.col("pos").alias("marker")), ["chrom"], "cm", 0.05, 0.1, 4)
 
 
 @query(None)

@@ -107,10 +107,10 @@ def test_targets_are_the_sampled_pairs(spark):
     assert rows and len({tuple(r) for r in rows}) == len(rows)
 
 
-def test_markers_match_in_order(spark):
+def test_markers_within_reach_match_in_order(spark):
     rng = random.Random(4)
     t, m = sorted({rng.randint(0, 400) for _ in range(40)}), sorted({rng.randint(0, 400) for _ in range(40)})
-    got = sorted((r.target, r.marker) for r in contrasts.match_markers(spark.createDataFrame([("c", float(x), x) for x in t], "k string, cm double, target long"), spark.createDataFrame([("c", float(x), x) for x in m], "k string, cm double, marker long"), ["k"], "cm", 6.0, 12.0, 64).collect())
+    got = sorted((r.target, r.marker) for r in contrasts.markers_within(spark.createDataFrame([("c", float(x), x) for x in t], "k string, cm double, target long"), spark.createDataFrame([("c", float(x), x) for x in m], "k string, cm double, marker long"), ["k"], "cm", 6.0, 12.0, 64).collect())
     want, free = [], 0
     for x in t:
         left = [(abs(y - x), i) for i, y in enumerate(m) if i >= free]
