@@ -1,10 +1,13 @@
 """Masked pseudo-likelihood scores (operator 9).
 
 A document's score is the sum of the log-probabilities of all its words, each with the word
-itself masked. A word's probability has two levels: a small network predicts its class from
-the two words before and the two behind it; within the class stands the word's count in all
-other documents of the corpus. The most frequent words are a class each, all others fall
-into classes by the hash of their ending. A word that no other document has is spelled out.
+itself masked. A small network sees the two words before and the two behind it and decides
+in several steps, each with a softmax of its own over what the network makes of both sides:
+first among the most frequent words and classes of endings, then, below an ending, digit by
+digit of the word's hash. The number of digits grows with the number of different words, so
+that a leaf holds a few of them at any size of the corpus; among those few the counts in all
+other documents decide. The first digits start from the counts of the words below them. A
+word that no other document has is spelled out.
 
 Counts come from a grouped count over all texts. Those of the most frequent words (a bounded
 number) go to all tasks; all others stay distributed, and documents' words meet their counts
@@ -32,6 +35,8 @@ FREQUENT, ENDINGS, HIDDEN, REACH = 96, 32, 16, 2
 CLASSES = FREQUENT + ENDINGS
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
+#: Choices of a digit and its bits, different words of a leaf (about), digits that start from counts.
+FAN, BITS, LEAF, COUNTED_DIGITS = 16, 4, 4, 3
 #: Words whose counts go to all tasks, at most; the counts of others stay distributed.
 HELD = 200_000
 #: Words counted together before they are added up.
@@ -111,31 +116,61 @@ def contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def depth_for(types: int) -> int:
+    """Digits below an ending for so many different words."""
+    return max(1, -(-int(np.ceil(np.log2(max(1, types) / (ENDINGS * LEAF)))) // BITS))
+
+
+def priors_of(cells: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Log counts (and one) by prefix and digit, for each digit that starts from counts; cells: words below each ending and its first digits."""
+    out = []
+    for _ in range(min(depth, COUNTED_DIGITS)):
+        out.append(np.log(cells.reshape(ENDINGS, FAN, -1) + 1).astype(np.float32))  # the last digit stands first within an ending
+        cells = cells.reshape(ENDINGS, FAN, -1).sum(axis=1)
+    return [p.transpose(0, 2, 1).reshape(-1, FAN) for p in out[::-1]]
+
+
 class Net:
-    """Tables of hidden inputs (one an offset), a tanh layer, and a softmax over the classes."""
+    """Tables of hidden inputs (one an offset), a tanh layer, a softmax over the classes, and one for each digit."""
+
+    @staticmethod
+    def shapes(depth: int) -> list[tuple[int, ...]]:
+        return [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (depth, HIDDEN, FAN), (depth, FAN)]
 
-    SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
-    SIZE = sum(int(np.prod(s)) for s in SHAPES)
+    @staticmethod
+    def size(depth: int) -> int:
+        return sum(int(np.prod(s)) for s in Net.shapes(depth))
 
-    def __init__(self, flat: np.ndarray):
-        self.parts, at = [], 0
-        for shape in self.SHAPES:
+    def __init__(self, flat: np.ndarray, depth: int, priors: list[np.ndarray]):
+        self.parts, self.depth, self.priors, at = [], depth, priors, 0
+        for shape in self.shapes(depth):
             size = int(np.prod(shape))
             self.parts.append(flat[at : at + size].astype(np.float32).reshape(shape))
             at += size
 
-    @classmethod
-    def fresh(cls, class_counts: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def fresh(depth: int) -> np.ndarray:
         rng = np.random.default_rng(9)
-        flat = rng.normal(0, 0.1, cls.SIZE)
-        flat[-CLASSES:] = np.log((class_counts + 1) / (class_counts.sum() + CLASSES))
+        flat, last = rng.normal(0, 0.1, Net.size(depth)), depth * (HIDDEN * FAN + FAN)
+        flat[-last - CLASSES : -last] = -np.log(CLASSES)
+        flat[-last:] = 0
         return flat
 
+    def steps(self, hidden: np.ndarray, ending: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(digit's place, logits, the digit) for words with an ending, by the low bits of their hashes."""
+        weights, bias = self.parts[4:]
+        for k in range(self.depth):
+            logits = hidden @ weights[k]
+            logits += bias[k]
+            if k < len(self.priors):
+                logits += self.priors[k][(ending << (BITS * k)) + (low & ((1 << (BITS * k)) - 1))]
+            yield k, logits, (low >> (BITS * k)) & (FAN - 1)
+
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        tables, b1, w2, b2 = self.parts
+        tables, b1, w2, b2 = self.parts[:4]
         hidden = tables[0][around[:, 0]]
         for k in range(1, len(OFFSETS)):
             hidden += tables[k][around[:, k]]
@@ -144,31 +179,36 @@ class Net:
         logits += b2
         return hidden, logits
 
-    def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probs(self, around: np.ndarray, target: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's class and digits."""
         out = np.empty(len(target))
         for i in range(0, len(target), BATCH):
             part = slice(i, i + BATCH)
-            _, logits = self.forward(around[part])
-            own = logits[np.arange(len(logits)), target[part]]
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            out[part] = own - top[:, 0] - np.log(logits.sum(axis=1))
+            hidden, logits = self.forward(around[part])
+            out[part] = _log_share(logits, target[part])
+            plain = np.flatnonzero(target[part] >= FREQUENT)
+            for _, logits, digit in self.steps(hidden[plain], target[part][plain] - FREQUENT, low[part][plain]):
+                out[i + plain] += _log_share(logits, digit)
         return out
 
-    def train(self, around: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        tables, b1, w2, b2 = self.parts
+    def train(self, around: np.ndarray, target: np.ndarray, low: np.ndarray, squares: list[np.ndarray]) -> None:
+        tables, _, w2, _, weights, bias = self.parts
         for i in range(0, len(target), BATCH):
             c, t = around[i : i + BATCH], target[i : i + BATCH]
             n = len(t)
             hidden, logits = self.forward(c)
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(n), t] -= 1
-            logits /= n
-            back = (logits @ w2.T) * (1 - hidden * hidden)
-            grads = [np.empty_like(tables), back.sum(axis=0), hidden.T @ logits, logits.sum(axis=0)]
+            _error(logits, t, n)
+            back = logits @ w2.T
+            plain = np.flatnonzero(t >= FREQUENT)
+            seen, digits = hidden[plain], [np.zeros_like(weights), np.zeros_like(bias)]
+            up = np.zeros_like(seen)
+            for k, wrong, digit in self.steps(seen, t[plain] - FREQUENT, low[i : i + BATCH][plain]):
+                _error(wrong, digit, n)
+                up += wrong @ weights[k].T
+                digits[0][k], digits[1][k] = seen.T @ wrong, wrong.sum(axis=0)
+            back[plain] += up
+            back *= 1 - hidden * hidden
+            grads = [np.empty_like(tables), back.sum(axis=0), hidden.T @ logits, logits.sum(axis=0), *digits]
             hot = np.zeros((CLASSES + 1, n), np.float32)
             place = np.arange(n)
             for k in range(len(OFFSETS)):
@@ -180,6 +220,24 @@ class Net:
                 p -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
+def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log softmax at chosen; spoils logits."""
+    own = logits[np.arange(len(logits)), chosen]
+    top = logits.max(axis=1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    return own - top[:, 0] - np.log(logits.sum(axis=1))
+
+
+def _error(logits: np.ndarray, chosen: np.ndarray, n: int) -> None:
+    """Makes logits the gradient of the mean log loss over n words."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    logits[np.arange(len(logits)), chosen] -= 1
+    logits /= n
+
+
 @dataclass
 class Model:
     """What a fit gathers for all tasks; the counts of all words stay in a table."""
@@ -187,75 +245,103 @@ class Model:
     frequent: list[int]
     held: np.ndarray  # hashes of the most frequent words, sorted
     counts: np.ndarray  # of those
-    tokens: np.ndarray  # words in each ending class
-    types: np.ndarray  # different words in each ending class
+    whole: np.ndarray  # words and different words in the leaf of each of those
+    depth: int  # digits
+    priors: list[np.ndarray]
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame) -> Model:
-    """counts: the documents' word_counts(), read more than once."""
+def _low(word, depth: int):
+    """The low bits of a word's hash (a column) that its digits are made of."""
+    return word.bitwiseAND(F.lit((1 << (BITS * depth)) - 1))
+
+
+def with_leaves(counts: DataFrame, frequent: list[int], depth: int) -> DataFrame:
+    """The counts of all words but the frequent ones, with whole: words and different words in their leaf."""
+    rest = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
+    leaf = Window.partitionBy("ending", _low(F.col("word"), depth))  # LEAF different words, about
+    return stored(rest.withColumn("whole", F.sum("n").over(leaf) + F.count("*").over(leaf)))
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """(the model, with_leaves() of counts). counts: the documents' word_counts(), read more than once."""
     frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    types, total = counts.agg(F.count("*"), F.sum("n")).first()
+    depth = depth_for(types)
+    leaves = with_leaves(counts, frequent, depth)
     # the greatest counts that no more than HELD words have: by sizes, of which there are few
     size = F.floor(F.log2("n") * 16)
     least, have = None, 0
-    for r in counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+    for r in leaves.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
         have += r["count"]
         if have > HELD:
             break
         least = r["size"]
-    top = counts.filter(size >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
-    rest = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
-    tokens, types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in rest.groupBy("ending").agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect():
-        tokens[r["ending"]], types[r["ending"]] = r["tokens"], r["types"]
-    held = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(held)
-    blocks = max(1, -(-int(counts.agg(F.sum("n")).first()[0] or 0) // BLOCK))
-    weights = train(coded(docs, id_col, text_col, Coder(frequent), blocks))
-    return Model(frequent, held[order], top["n"].to_numpy(np.int64)[order], tokens, types, weights)
-
-
-def coded(docs: DataFrame, id_col: str, text_col: str, coder: Coder, blocks: int) -> DataFrame:
-    """block, key, codes of every text with a word: its words' classes, a byte each."""
+    top = leaves.filter(size >= least if least is not None else F.lit(False)).select("word", "n", "whole").toPandas()
+    order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
+    words, n, whole = (top[c].to_numpy(np.int64)[order] for c in ("word", "n", "whole"))
+    counted = min(depth, COUNTED_DIGITS)
+    cells = np.zeros(ENDINGS << (BITS * counted))
+    for r in leaves.groupBy("ending", _low(F.col("word"), counted).alias("low")).agg(F.sum("n").alias("n")).collect():  # as many as there are cells
+        cells[(r["ending"] << (BITS * counted)) + r["low"]] = r["n"]
+    priors, blocks = priors_of(cells, depth), max(1, -(-int(total or 0) // BLOCK))
+    weights = train(coded(docs, id_col, text_col, Coder(frequent), blocks, depth), depth, priors)
+    return Model(frequent, words.view(np.uint64), n, whole, depth, priors, weights), leaves
+
+
+def coded(docs: DataFrame, id_col: str, text_col: str, coder: Coder, blocks: int, depth: int) -> DataFrame:
+    """block, key, codes, digits of every text with a word: its words' classes, a byte each, and the low bits of their hashes, some bytes each."""
+    wide = -(-BITS * depth // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, word, ending, _, bounds in _parts(batch.column(2)):
-                codes = coder.classes(word, ending).astype(np.uint8)
+                classes = coder.classes(word, ending)
+                low = np.where(classes < FREQUENT, np.uint64(0), word & np.uint64((1 << (BITS * depth)) - 1)).astype("<u8")
                 full = pa.array(np.flatnonzero(np.diff(bounds)))
-                texts = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(codes)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(full) for c in (0, 1)), texts.take(full)], ["block", "key", "codes"])
+                texts = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(classes.astype(np.uint8))])
+                digits = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * wide).astype(np.int32)), pa.py_buffer(low.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes())])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(full) for c in (0, 1)), texts.take(full), digits.take(full)], ["block", "key", "codes", "digits"])
 
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     block = F.pmod(F.shiftrightunsigned(key, 20), F.lit(blocks)).cast("int")
-    return stored(docs.select(block.alias("block"), key.alias("key"), text_col).mapInArrow(run, "block int, key long, codes binary"))
+    return stored(docs.select(block.alias("block"), key.alias("key"), text_col).mapInArrow(run, "block int, key long, codes binary, digits binary"))
+
+
+def decoded(digits: np.ndarray, wide: int) -> np.ndarray:
+    """Low bits of hashes from `wide` bytes each."""
+    out = np.zeros(len(digits) // wide, np.int64)
+    for k in range(wide):
+        out |= digits[k::wide].astype(np.int64) << (8 * k)
+    return out
 
 
-def train(texts: DataFrame) -> np.ndarray:
+def train(texts: DataFrame, depth: int, priors: list[np.ndarray]) -> np.ndarray:
     """Weights fitted to coded texts, block by block."""
-    spark = texts.sparkSession
-    weights = Net.fresh(np.zeros(CLASSES))
+    spark, wide, size = texts.sparkSession, -(-BITS * depth // 8), Net.size(depth)
+    weights, known = Net.fresh(depth), spark.sparkContext.broadcast(priors)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
         def run(table: pa.Table) -> pa.Table:
-            net, seen = Net(start.value), 0
+            net, seen = Net(start.value, depth, known.value), 0
             squares = [np.full_like(p, 1e-4) for p in net.parts]
-            codes = table.column("codes").combine_chunks().take(pa.array(np.argsort(table.column("key").to_numpy(), kind="stable")))
-            buf, offsets = tk.flat(codes)
+            order = pa.array(np.argsort(table.column("key").to_numpy(), kind="stable"))
+            buf, offsets = tk.flat(table.column("codes").combine_chunks().take(order))
+            digits, _ = tk.flat(table.column("digits").combine_chunks().take(order))
             for i, j in tk.slices(offsets):
                 classes = buf[offsets[i] : offsets[j]].astype(np.int32)
-                net.train(contexts(classes, offsets[i : j + 1] - offsets[i]), classes, squares)
+                net.train(contexts(classes, offsets[i : j + 1] - offsets[i]), classes, decoded(digits[offsets[i] * wide : offsets[j] * wide], wide), squares)
                 seen += len(classes)
             seen = -(-seen // UNIT)
             values = np.rint(net.flat() * PARTS).astype(np.int64) * seen
             return pa.table({"seen": pa.array([seen]), "sums": pa.array([values], pa.list_(pa.int64()))})
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, sums = 0, np.zeros(Net.SIZE, np.int64)
+            seen, sums = 0, np.zeros(size, np.int64)
             for batch in batches:
                 seen += sum(batch.column("seen").to_pylist())
-                sums += batch.column("sums").flatten().to_numpy().reshape(-1, Net.SIZE).sum(axis=0)
+                sums += batch.column("sums").flatten().to_numpy().reshape(-1, size).sum(axis=0)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([sums], pa.list_(pa.int64()))], ["seen", "sums"])
 
@@ -268,42 +354,44 @@ def train(texts: DataFrame) -> np.ndarray:
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """id, key, n_tokens, known (log-probability without the numerators of words whose count isn't held), others (those: word, n, length)."""
+    """id, key, n_tokens, known (log-probability without the last step of words whose count isn't held), others (those: word, n, length, own: the document's words in its leaf)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     coder = Coder(model.frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        net = Net(m.weights)
+        net, mask = Net(m.weights, m.depth, m.priors), np.uint64((1 << (BITS * m.depth)) - 1)
         for batch in batches:
             for i, j, word, ending, length, bounds in _parts(batch.column(2)):
                 classes = coder.classes(word, ending.copy())
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(contexts(classes, bounds), classes))])
+                low = (word & mask).astype(np.int64)
+                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(contexts(classes, bounds), classes, low))])
                 total = sums[bounds[1:]] - sums[bounds[:-1]]
                 row = np.repeat(np.arange(j - i), np.diff(bounds))
                 plain = np.flatnonzero(classes >= FREQUENT)
-                # the class's words in all other documents, and one for each of its different words
-                cell = row[plain] * ENDINGS + ending[plain]
-                own = np.bincount(cell, minlength=(j - i) * ENDINGS)[cell]
-                total -= np.bincount(row[plain], np.log(m.tokens[ending[plain]] - own + m.types[ending[plain]]), j - i)
                 # each different word of a document
                 which = np.unique(word[plain], return_inverse=True)[1]
                 _, at, n = np.unique(row[plain] * (len(which) + 1) + which, return_index=True, return_counts=True)
                 at = plain[at]
+                # the document's own words in the leaf of each
+                leaf = np.unique(((ending[at].astype(np.int64) << (BITS * m.depth)) | low[at]), return_inverse=True)[1]
+                cell = np.unique(row[at] * (len(leaf) + 1) + leaf, return_inverse=True)[1]
+                own = np.bincount(cell, n)[cell].astype(np.int64) if len(at) else n
                 place = np.minimum(np.searchsorted(m.held, word[at]), len(m.held) - 1) if len(m.held) else np.zeros(0, np.int64)
                 held = m.held[place] == word[at]
                 here = at[held]
                 elsewhere = m.counts[place[held]] - n[held]
-                total += np.bincount(row[here], n[held] * np.where(elsewhere > 0, np.log(np.maximum(elsewhere, 1)), length[here] * np.log(LETTER)), j - i)
+                last = np.where(elsewhere > 0, np.log(np.maximum(elsewhere, 1)), length[here] * np.log(LETTER)) - np.log(m.whole[place[held]] - own[held])
+                total += np.bincount(row[here], n[held] * last, j - i)
                 far = at[~held]
                 bound = np.searchsorted(row[far], np.arange(j - i + 1)).astype(np.int32)
-                fields = pa.StructArray.from_arrays([pa.array(word[far].view(np.int64)), pa.array(n[~held].astype(np.int32)), pa.array(length[far].astype(np.int32))], ["word", "n", "length"])
+                fields = pa.StructArray.from_arrays([pa.array(word[far].view(np.int64)), pa.array(n[~held].astype(np.int32)), pa.array(length[far].astype(np.int32)), pa.array(own[~held].astype(np.int32))], ["word", "n", "length", "own"])
                 others = pa.ListArray.from_arrays(pa.array(bound), fields)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(np.diff(bounds)), pa.array(total), others], ["id", "key", "n_tokens", "known", "others"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), text_col)
-    return stored(rows.mapInArrow(run, f"id {kind}, key long, n_tokens long, known double, others array<struct<word:long,n:int,length:int>>"))
+    return stored(rows.mapInArrow(run, f"id {kind}, key long, n_tokens long, known double, others array<struct<word:long,n:int,length:int,own:int>>"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,11 +403,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are rounded to four digits.
     """
     counts = stored(word_counts(docs, text_col))
-    d = judged(docs, id_col, text_col, fit(docs, id_col, text_col, counts))
-    rest = d.select("key", F.explode("others").alias("o")).select("key", "o.*")
-    elsewhere = F.sum("n").over(Window.partitionBy("word")) - F.col("n")  # of words beyond the HELD most frequent
-    rest = rest.withColumn("e", elsewhere)
-    value = F.col("n") * F.when(F.col("e") > 0, F.log("e")).otherwise(F.col("length") * float(np.log(LETTER)))
+    model, leaves = fit(docs, id_col, text_col, counts)
+    d = judged(docs, id_col, text_col, model)
+    rest = d.select("key", F.explode("others").alias("o")).select("key", "o.*")  # words beyond the HELD most frequent
+    rest = rest.join(leaves.select("word", F.col("n").alias("total"), "whole"), "word").withColumn("e", F.col("total") - F.col("n"))
+    value = F.col("n") * (F.when(F.col("e") > 0, F.log("e")).otherwise(F.col("length") * float(np.log(LETTER))) - F.log(F.col("whole") - F.col("own")))
     # rows that repeat another one share a key, and the sum over all of them; integers, so that their order doesn't matter
     sums = rest.groupBy("key").agg(F.sum((value * float(1 << 24)).cast("long")).alias("s"))
     same = d.groupBy("key").agg(F.count("*").alias("rows"))

@@ -301,7 +301,8 @@ def scored(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def test_scores_equal_brute_force(scored, monkeypatch):
+@pytest.mark.parametrize("leaf", [4, 0.002, 0.00001])
+def test_scores_equal_brute_force(scored, monkeypatch, leaf):
     import math
     from collections import Counter
 
@@ -309,23 +310,28 @@ def test_scores_equal_brute_force(scored, monkeypatch):
 
     monkeypatch.setattr(lm, "BLOCK", 700)
     monkeypatch.setattr(lm, "HELD", 400)
+    monkeypatch.setattr(lm, "LEAF", leaf)  # fewer words of a leaf need more digits, as a larger vocabulary does
     rows, docs = scored
     counts = lm.word_counts(docs.repartition(3))
-    m = lm.fit(docs.repartition(3), "doc_id", "text", counts)
+    m, leaves = lm.fit(docs.repartition(3), "doc_id", "text", counts)
     of = lambda w: lm.parsed(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
     corpus = Counter(w for _, t in rows for w in brute.words(t))
-    assert len(corpus) > 1000
+    assert len(corpus) > 1000 and m.depth == {4: 1, 0.002: 4, 0.00001: 6}[leaf]
     hashed = {w: (int(of(w)[0].view(np.int64)[0]), int(of(w)[1][0])) for w in corpus}
     assert {(r.word, r.ending): r.n for r in counts.collect()} == {hashed[w]: n for w, n in corpus.items()}
     top = sorted(corpus, key=lambda w: (-corpus[w], hashed[w][0]))[:lm.FREQUENT]
     assert m.frequent == [hashed[w][0] for w in top]
     place = {w: k for k, w in enumerate(sorted(top, key=lambda w: hashed[w][0] % (1 << 64)))}
+    digits = {w: [hashed[w][0] >> 4 * k & 15 for k in range(m.depth)] for w in corpus}
+    path = {w: (hashed[w][1], *digits[w]) for w in corpus if w not in place}
     tokens, types = Counter(), Counter()
-    for w, n in corpus.items():
-        if w not in place:
-            tokens[hashed[w][1]] += n
-            types[hashed[w][1]] += 1
-    tables, b1, w2, b2 = lm.Net(m.weights).parts
+    for w, way in path.items():
+        for k in range(len(way) + 1):
+            tokens[way[:k]] += corpus[w]
+        types[way] += 1
+    assert {r.word: r.whole for r in leaves.collect()} == {hashed[w][0]: tokens[way] + types[way] for w, way in path.items()}
+    tables, b1, w2, b2, weights, bias = lm.Net(m.weights, m.depth, m.priors).parts
+    share = lambda logits, k: logits[k] - np.log(np.exp(logits).sum())
     got = sorted(((r.doc_id, r.n_tokens, r.log_prob) for r in lm.score(docs).collect()), key=repr)
     want = []
     for i, t in rows:
@@ -334,19 +340,50 @@ def test_scores_equal_brute_force(scored, monkeypatch):
         classes = [place.get(x, lm.FREQUENT + hashed[x][1]) for x in w]
         for k, x in enumerate(w):
             around = [classes[k + o] if 0 <= k + o < len(w) else lm.CLASSES for o in (-2, -1, 1, 2)]
-            logits = np.tanh(sum(tables[a][c] for a, c in enumerate(around)) + b1) @ w2 + b2
-            total += logits[classes[k]] - np.log(np.exp(logits).sum())
+            hidden = np.tanh(sum(tables[a][c] for a, c in enumerate(around)) + b1)
+            total += share(hidden @ w2 + b2, classes[k])
             if x not in place:
-                e = hashed[x][1]
-                rest = tokens[e] - sum(n for y, n in own.items() if y not in place and hashed[y][1] == e)
+                for d, digit in enumerate(digits[x]):
+                    prior = [math.log(tokens[path[x][: d + 1] + (y,)] + 1) if d < 3 else 0.0 for y in range(16)]
+                    total += share(hidden @ weights[d] + bias[d] + prior, digit)
+                rest = tokens[path[x]] - sum(n for y, n in own.items() if y not in place and path[y] == path[x])
                 seen = corpus[x] - own[x]
-                total += (math.log(seen) if seen else -len(x.encode()) * math.log(32)) - math.log(rest + types[e])
+                total += (math.log(seen) if seen else -len(x.encode()) * math.log(32)) - math.log(rest + types[path[x]])
         want.append((i, len(w), total))
     want.sort(key=repr)
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert all(abs(a[2] - b[2]) < 1e-3 * max(1, abs(b[2])) for a, b in zip(got, want))
 
 
+def test_the_tree_grows_and_shares_add_up():
+    import numpy as np
+
+    assert [lm.depth_for(n) for n in (0, 100, 2000, 40_000, 450_000, 10**9)] == [1, 1, 1, 3, 3, 6]
+    rng = np.random.default_rng(1)
+    for depth in (1, 3, 4):
+        cells = rng.integers(0, 5, lm.ENDINGS << (4 * min(depth, 3))).astype(float)
+        net = lm.Net(lm.Net.fresh(depth) + rng.normal(0, 0.3, lm.Net.size(depth)), depth, lm.priors_of(cells, depth))
+        around = np.repeat(rng.integers(0, lm.CLASSES, (1, 4)), lm.FREQUENT + lm.ENDINGS * 16, 0)
+        target = np.concatenate([np.arange(lm.FREQUENT), lm.FREQUENT + np.repeat(np.arange(lm.ENDINGS), 16)])
+        one = np.concatenate([np.zeros(lm.FREQUENT, int), np.tile(np.arange(16), lm.ENDINGS)])
+        short = lm.Net(net.flat(), depth, net.priors)
+        short.depth = 1  # class and first digit
+        assert np.exp(short.log_probs(around, target, one)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_a_shuffled_document_scores_lower(spark):
+    rng = random.Random(24)
+    make = word_maker(24)
+    # every noun has verbs and objects of its own, which are rare words below the same few endings
+    nouns = [(n, make(3), make(3)) for n in make(60)]
+    sentence = lambda: (lambda n: f"the {n[0]} will {rng.choice(n[1])} a {rng.choice(n[2])} .")(rng.choice(nouns))
+    texts = [" ".join(sentence() for _ in range(12)) for _ in range(600)]
+    shuffled = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts[:60]]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(shuffled)], "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm.score(d).collect()}
+    assert sum(got[i] > got[1000 + i] for i in range(60)) >= 58
+
+
 def test_scores_follow_the_corpus(scored):
     rows, docs = scored
     one, two = ({(r.doc_id, r.n_tokens, r.log_prob, r.mean_log_prob) for r in lm.score(docs.repartition(n)).collect()} for n in (2, 16))
