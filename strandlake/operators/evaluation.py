@@ -92,14 +92,22 @@ def kin_candidates(pairs: DataFrame, labels: DataFrame, segment: int, small: int
     return one.unionByName(two)
 
 
-def founder_candidates(pairs: DataFrame, labels: DataFrame, least_size: int, ratio: float) -> DataFrame:
-    """Communities of enough members whose median sharing within is a multiple of that with others: n, medians, ratio."""
+def founder_candidates(pairs: DataFrame, labels: DataFrame, least_size: int, ratio: float, silhouettes: DataFrame | None = None, least_silhouette: float = 0.0, least_reported: int = 0) -> DataFrame:
+    """Communities of enough members whose median sharing within is a multiple of that with others: n, medians, ratio.
+
+    With least_silhouette above 0 a community's silhouette (silhouettes: community,
+    silhouette) must reach it as well, and one without fails; at 0 or below it is not asked.
+    least_reported is a second floor on the size.
+    """
     la, lb = labels.select(F.col("node").alias("sample_a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("sample_b"), F.col("community").alias("cb"))
     j = pairs.join(la, "sample_a").join(lb, "sample_b")
     inside = j.filter("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.median("total_shared_bp").alias("within"))
     out = j.filter("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("community"), "total_shared_bp").groupBy("community").agg(F.median("total_shared_bp").alias("between"))
     n = labels.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") >= least_size)
-    return n.join(inside, "community").join(out, "community").withColumn("ratio", F.try_divide("within", "between")).filter(F.col("ratio") >= ratio)
+    d = n.join(inside, "community").join(out, "community").withColumn("ratio", F.try_divide("within", "between")).filter((F.col("ratio") >= ratio) & (F.col("n") >= least_reported))
+    if least_silhouette <= 0 or silhouettes is None:
+        return d
+    return d.join(silhouettes.filter(F.col("silhouette") >= least_silhouette).select("community", "silhouette"), "community")
 
 
 def ancestry_names(weights: DataFrame, k: int) -> DataFrame:
