@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import broadcast_if_small
+from ..plans.lineage import cut
+
 
 def feature_store(base: DataFrame, tables: dict[str, DataFrame], key: str, zero: dict[str, list[str]]) -> DataFrame:
     """base with each table left-joined; in_<name> tells presence before the named columns get zeros."""
@@ -43,7 +46,7 @@ def grouped_folds(people: DataFrame, group: str, label: str, k: int, seed: int =
     n = g.groupBy("_y", "_range").agg(F.count("*").alias("_n"))
     before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_y", "_range").orderBy("_h", group))
-    dealt = g.withColumn("_r", rank).join(F.broadcast(before), ["_y", "_range"]).select(group, ((F.col("_before") + F.col("_r") - 1) % k).alias("fold"))
+    dealt = g.withColumn("_r", rank).join(broadcast_if_small(cut(before)), ["_y", "_range"]).select(group, ((F.col("_before") + F.col("_r") - 1) % k).alias("fold"))
     return people.join(dealt, group)
 
 
@@ -85,7 +88,7 @@ def dosage_matrix(genotypes: DataFrame, max_missing: tuple[int, int]) -> tuple[D
     n = v.groupBy("chrom", "_range").agg(F.count("*").alias("_n"))
     before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("chrom", "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("chrom", "_range").orderBy("pos"))
-    v = v.withColumn("_r", rank).join(F.broadcast(before), ["chrom", "_range"]).select("chrom", "pos", (F.col("_before") + F.col("_r") - 1).alias("col"), "n_carriers", "mac", "n_missing")
+    v = v.withColumn("_r", rank).join(broadcast_if_small(cut(before)), ["chrom", "_range"]).select("chrom", "pos", (F.col("_before") + F.col("_r") - 1).alias("col"), "n_carriers", "mac", "n_missing")
     cells = genotypes.filter("dosage > 0").join(v.select("chrom", "pos", "col"), ["chrom", "pos"]).select("sample_id", "col", "dosage")
     return cells, v
 

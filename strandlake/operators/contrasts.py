@@ -109,12 +109,18 @@ def partition_concordance(a: DataFrame, b: DataFrame, replicates: int, contained
     modal = lambda x, by: x.groupBy(*by, "cb").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), "cb")).alias("b"))
     own = cut(modal(d, ["ca"]).select("ca", "size", F.col("b.cb").alias("label"), (-F.col("b.m")).alias("top")))
     # a replicate deals the labels anew: nodes in hash order, as many to each community as it has
-    ends = own.withColumn("_end", F.sum("size").over(Window.orderBy("ca"))).withColumn("_from", F.col("_end") - F.col("size"))  # a row a community
-    r = d.select("cb", "node", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    r = r.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("node", "r", F.lit(seed)), "node")) - 1)
-    dealt = r.join(F.broadcast(ends.select("ca", "_from", "_end")), (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_end")))
+    ends = own.withColumn("_end", F.sum("size").over(Window.orderBy("ca")))  # a row a community
+    places = ends.select("ca", F.explode(F.sequence(F.col("_end") - F.col("size"), F.col("_end") - 1)).alias("_k"))
+    # the order of hashes, in ranges of them: places within one, behind the sizes of those before
+    r = d.select("cb", "node", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("_h", F.xxhash64("node", "r", F.lit(seed)))
+    r = r.withColumn("_b", F.shiftright("_h", 52))
+    ranges = r.groupBy("r", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 rows a replicate
+    within = F.row_number().over(Window.partitionBy("r", "_b").orderBy("_h", "node"))
+    r = r.withColumn("_w", within).join(ranges.select("r", "_b", before.alias("_before")), ["r", "_b"])
+    dealt = r.select("r", "cb", (F.col("_before") + F.col("_w") - 1).alias("_k")).join(places, "_k")
     tops = modal(dealt, ["r", "ca"]).select("r", "ca", (-F.col("b.m")).alias("t"))
-    hits = tops.join(F.broadcast(own.select("ca", "top")), "ca").groupBy("ca").agg(F.count_if(F.col("t") >= F.col("top")).alias("hits"))
+    hits = tops.join(own.select("ca", "top"), "ca").groupBy("ca").agg(F.count_if(F.col("t") >= F.col("top")).alias("hits"))
     out = own.join(hits, "ca").select(F.col("ca").alias("community"), "size", "label", (F.col("top") / F.col("size")).alias("fraction"), ((F.col("hits") + 1) / (replicates + 1)).alias("p"))
     return out.withColumn("category", F.when(F.col("fraction") >= contained, "contained").when(F.col("p") < 0.05, "concordant").otherwise("diffuse"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import broadcast_if_small
+from ..plans.lineage import cut
+
 SITE = ["chrom", "pos"]
 
 
@@ -159,7 +162,7 @@ def distribution(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 def genotype_support(genotypes: DataFrame, roles: DataFrame) -> DataFrame:
     """By role, and over ALL: called, missing, ac, an, carriers, homozygous carriers of each site."""
-    d = genotypes.join(F.broadcast(roles), "sample_id").withColumn("role", F.explode(F.array("role", F.lit("ALL"))))
+    d = genotypes.join(broadcast_if_small(cut(roles)), "sample_id").withColumn("role", F.explode(F.array("role", F.lit("ALL"))))
     x = F.col("dosage")
     return d.groupBy("role", *SITE).agg(
         F.count("dosage").alias("n_called"), F.count_if(x.isNull()).alias("n_missing"), F.coalesce(F.sum(x), F.lit(0)).alias("ac"), (2 * F.count(x)).alias("an"), F.count_if(x > 0).alias("n_carriers"), F.count_if(x == 2).alias("n_hom"),

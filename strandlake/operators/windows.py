@@ -16,18 +16,23 @@ def sharing_windows(carriers: DataFrame, size: int, step: int, top: int) -> Data
     """chrom, start, n_pairs, mean_jaccard, max_jaccard, top_pairs of bp windows from each chromosome's first position.
 
     Windows without sharing pairs are left out. top_pairs lists the best pairs by Jaccard index
-    (ties by ids), with '+N more' behind them.
+    (ties by ids), with '+N more' behind them. People meet once a site; what is copied to the
+    windows are their counts over the sites that lie in the same windows.
     """
     first = carriers.groupBy("chrom").agg(F.min("pos").alias("p0"))
     d = carriers.join(F.broadcast(first), "chrom")
     off = F.col("pos") - F.col("p0")
     lowest = F.greatest(F.lit(0), F.floor((off - size) / step) + 1)
-    w = d.select("sample_id", "chrom", "pos", "p0", F.explode(F.sequence(lowest, F.floor(off / step))).alias("k"))
-    w = w.select("sample_id", "chrom", "pos", (F.col("p0") + F.col("k") * step).alias("start"))
-    own = w.groupBy("chrom", "start", "sample_id").agg(F.count("*").alias("c"))
-    a = w.select("chrom", "start", "pos", F.col("sample_id").alias("sample_a"))
-    b = w.select("chrom", "start", "pos", F.col("sample_id").alias("sample_b"))
-    both = a.join(b, ["chrom", "start", "pos"]).filter("sample_a < sample_b").groupBy("chrom", "start", *PAIR).agg(F.count("*").alias("n"))
+    d = d.select("sample_id", "chrom", "pos", "p0", lowest.alias("lo"), F.floor(off / step).alias("hi"))
+    start = F.explode(F.transform(F.sequence("lo", "hi"), lambda k: F.col("p0") + k * step)).alias("start")
+
+    def by_window(rows: DataFrame, who: list[str], n: str) -> DataFrame:
+        some = rows.groupBy("chrom", "p0", "lo", "hi", *who).agg(F.count("*").alias("_n"))
+        return some.filter("lo <= hi").select("chrom", start, *who, "_n").groupBy("chrom", "start", *who).agg(F.sum("_n").alias(n))
+
+    own = by_window(d, ["sample_id"], "c")
+    a, b = d.withColumnRenamed("sample_id", "sample_a"), d.select("chrom", "pos", F.col("sample_id").alias("sample_b"))
+    both = by_window(a.join(b, ["chrom", "pos"]).filter("sample_a < sample_b"), PAIR, "n")
     ca, cb = (own.select("chrom", "start", F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
     j = both.join(ca, ["chrom", "start", "sample_a"]).join(cb, ["chrom", "start", "sample_b"])
     j = j.withColumn("jaccard", F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")))
@@ -51,7 +56,7 @@ def snp_windows(positions: DataFrame, keys: list[str], width: int, step: int, si
 def enriched(windows: DataFrame, value: str, percentile: float, by: list[str]) -> DataFrame:
     """Windows at or above the percentile of their scope (by: [] for all)."""
     cutoff = windows.groupBy(*by).agg(F.percentile(value, F.lit(percentile)).alias("cutoff"))
-    j = windows.join(F.broadcast(cutoff), by) if by else windows.crossJoin(F.broadcast(cutoff))
+    j = windows.join(broadcast_if_small(cut(cutoff)), by) if by else windows.crossJoin(F.broadcast(cutoff))
     return j.filter(F.col(value) >= F.col("cutoff")).drop("cutoff")
 
 
