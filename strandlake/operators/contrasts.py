@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from .axis import SIZE, with_island
 from .pairs import PAIR
+from .stats import poisson_weight
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -167,17 +168,18 @@ def paired_partition_contrast(pairs: DataFrame, p: DataFrame, q: DataFrame, valu
         d = d.join(groups.select(F.col("node").alias("sample_a"), F.col("group").alias("_g")), "sample_a", "left")
     d = cut(d)
 
+    # what counts of the known pairs are sums by group and by the two partitions' verdicts
+    sums = cut(d.filter("_known").groupBy(*(["_g"] if groups is not None else []), "_p", "_q").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n")))
+
     def means(rows: DataFrame, by: list[str], w) -> DataFrame:
-        part = lambda c, flag: F.try_divide(F.sum(F.when(F.col(c) == flag, w * F.col("_v"))), F.sum(F.when(F.col(c) == flag, w)))
-        g = rows.filter("_known").groupBy(*by).agg((part("_p", True) - part("_p", False)).alias("delta_p"), (part("_q", True) - part("_q", False)).alias("delta_q"))
+        part = lambda c, flag: F.try_divide(F.sum(F.when(F.col(c) == flag, w * F.col("_s"))), F.sum(F.when(F.col(c) == flag, w * F.col("_n"))))
+        g = rows.groupBy(*by).agg((part("_p", True) - part("_p", False)).alias("delta_p"), (part("_q", True) - part("_q", False)).alias("delta_q"))
         return g.withColumn("contrast", F.col("delta_p") - F.col("delta_q"))
 
-    out = d.agg(F.count_if("_known").alias("n_pairs"), F.count_if(~F.col("_known")).alias("n_rejected")).crossJoin(means(d, [], F.lit(1.0)))
+    out = d.agg(F.count_if("_known").alias("n_pairs"), F.count_if(~F.col("_known")).alias("n_rejected")).crossJoin(means(sums, [], F.lit(1)))
     if groups is None or not replicates:
         return out
-    u = (F.pmod(F.xxhash64("_g", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    w = sum((F.when(u > c, 1.0).otherwise(0.0) for c in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0.0))
-    r = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("_w", w)
+    r = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("_w", poisson_weight(F.xxhash64("_g", "r", F.lit(seed))))
     ci = means(r, ["r"], F.col("_w")).agg(F.percentile("contrast", F.lit(0.025)).alias("low"), F.percentile("contrast", F.lit(0.975)).alias("high"))
     return out.crossJoin(ci)
 
