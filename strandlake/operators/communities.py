@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.joins import broadcast_if_small
-from ..plans.lineage import cut, stored
+from ..plans.lineage import cut, release, stored
 from .graph import strength
 
 #: Directed edges of a block, about, and of a node that is dealt to one.
@@ -135,7 +135,8 @@ def communities(edges: DataFrame, runs: Sequence[tuple[float, int]] = ((1.0, 0),
             found = _rounds(stored(links), own, m2, runs, level, blocks)
         least = found.groupBy("run", "community").agg(F.min("node").alias("name"))
         found = stored(found.join(least, ["run", "community"]).select("run", "node", F.col("name").alias("community")))
-        named = stored(named.join(found.select("run", F.col("node").alias("community"), F.col("community").alias("_c")), ["run", "community"]).select("run", "node", F.col("_c").alias("community")))
+        old, named = named, stored(named.join(found.select("run", F.col("node").alias("community"), F.col("community").alias("_c")), ["run", "community"]).select("run", "node", F.col("_c").alias("community")))
+        release(old)
         if blocks <= 1 or found.filter("node <> community").isEmpty():
             break
         label = broadcast_if_small(found, SMALL)
@@ -204,7 +205,9 @@ def _rounds(links: DataFrame, own: DataFrame, m2: float, runs: Sequence[tuple[fl
         new = state.select("run", "node", "k", F.col("community").alias("_old")).join(out, ["run", "node"], "left").select("run", "node", "k", F.coalesce("community", "_old").alias("community"))
         new = stored(new)
         if not hubs.isEmpty():
-            new = stored(_hubs_moved(links, new, hubs, resolution, m2))
+            plain_moved, new = new, stored(_hubs_moved(links, new, hubs, resolution, m2))
+            release(plain_moved)
+        release(state)
         value = stored(_objective(links, new, resolution, m2))
         if best is None:
             best, kept = value, new
@@ -213,7 +216,9 @@ def _rounds(links: DataFrame, own: DataFrame, m2: float, runs: Sequence[tuple[fl
             better = cut(value.join(best.withColumnRenamed("q", "old"), "run").select("run", "q", "old", (F.col("q") > F.col("old")).alias("up")))
             gained = better.filter(F.col("q") > F.col("old") + F.abs("old") * LEAST_GAIN).count() > 0
             won = F.broadcast(better.filter("up").select("run"))
-            kept = stored(new.join(won, "run", "left_semi").unionByName(kept.join(won, "run", "left_anti")))
+            old, kept = kept, stored(new.join(won, "run", "left_semi").unionByName(kept.join(won, "run", "left_anti")))
+            if old is not lab:  # the round's start is read until its end
+                release(old)
             best = cut(better.select("run", F.greatest("q", "old").alias("q")))
         poor = 0 if gained else poor + 1
         if poor >= 2:

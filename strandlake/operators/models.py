@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.joins import broadcast_if_small
-from ..plans.lineage import cut, stored
+from ..plans.lineage import cut, release, stored
 from .stats import mann_whitney, poisson_weight
 
 #: Neighbours that vote; rows of a block of queries and of a stripe of references that meet in one task.
@@ -183,7 +183,8 @@ def permute_carriers(carriers: DataFrame, missing: DataFrame, rounds: int, seed:
         good = stored(c.join(bad, [*group, "_cell"], "left_anti"))
         gone = good.select(F.col("s1").alias("sample_id"), F.col("e1").alias("event")).unionByName(good.select(F.col("s2").alias("sample_id"), F.col("e2").alias("event")))
         come = made.join(good.select(*group, "_cell"), [*group, "_cell"], "left_semi").select(*cell, *group)
-        have = stored(have.join(gone, cell, "left_anti").unionByName(come))
+        old, have = have, stored(have.join(gone, cell, "left_anti").unionByName(come))
+        release(made, *([old] if turn else []))
         n = good.groupBy(*group).agg(F.count("*").alias("swaps"))
         swaps = n if swaps is None else swaps.unionByName(n)
     moved = have.join(first.select(*cell), cell, "left_anti").groupBy(*group).agg(F.count("*").alias("moved"))

@@ -36,4 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of stored() tables that a loop has replaced. Nothing may read them any more: what was made of them must be stored itself."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            spark = df.sparkSession
+            file = spark._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
