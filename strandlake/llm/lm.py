@@ -3,8 +3,8 @@
 A document's score is the sum of the log-probabilities of all its words, each with the word
 itself masked. A small network sees the two words before and the two behind it and decides
 in several steps, each with a softmax of its own over what the network makes of both sides:
-first among the most frequent words and classes of endings, then, below an ending, digit by
-digit of the word's hash. The number of digits grows with the number of different words, so
+first among groups of the most frequent words and of classes of endings, then in the group,
+then, below an ending, digit by digit of the word's hash. The number of digits grows with the number of different words, so
 that a leaf holds a few of them at any size of the corpus; among those few the counts in all
 other documents decide. The first digits start from the counts of the words below them. A
 word that no other document has is spelled out.
@@ -37,6 +37,8 @@ OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 ROUNDS, BATCH, RATE = 2, 4096, 0.3
 #: Choices of a digit and its bits, different words of a leaf (about), digits that start from counts.
 FAN, BITS, LEAF, COUNTED_DIGITS = 16, 4, 4, 3
+#: Groups of FAN classes, which are chosen first.
+GROUPS = CLASSES // FAN
 #: Words whose counts go to all tasks, at most; the counts of others stay distributed.
 HELD = 200_000
 #: Words counted together before they are added up.
@@ -135,7 +137,7 @@ class Net:
 
     @staticmethod
     def shapes(depth: int) -> list[tuple[int, ...]]:
-        return [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (depth, HIDDEN, FAN), (depth, FAN)]
+        return [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (HIDDEN, CLASSES), (CLASSES,), (depth, HIDDEN, FAN), (depth, FAN)]
 
     @staticmethod
     def size(depth: int) -> int:
@@ -151,14 +153,28 @@ class Net:
     @staticmethod
     def fresh(depth: int) -> np.ndarray:
         rng = np.random.default_rng(9)
-        flat, last = rng.normal(0, 0.1, Net.size(depth)), depth * (HIDDEN * FAN + FAN)
-        flat[-last - CLASSES : -last] = -np.log(CLASSES)
-        flat[-last:] = 0
-        return flat
+        # small chance weights for the hidden layer and the classes, none for biases and digits
+        return np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) if k in (0, 1, 2, 4) else np.zeros(int(np.prod(s))) for k, s in enumerate(Net.shapes(depth))])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
+
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        tables, b1 = self.parts[:2]
+        out = tables[0].take(around[:, 0], axis=0)
+        for k in range(1, len(OFFSETS)):
+            out += tables[k].take(around[:, k], axis=0)
+        out += b1
+        return np.tanh(out, out=out)
+
+    def in_group(self, g: int, hidden: np.ndarray) -> np.ndarray:
+        """Logits of the classes of group g."""
+        part = slice(g * FAN, (g + 1) * FAN)
+        return hidden @ self.parts[4][:, part] + self.parts[5][part]
 
     def steps(self, hidden: np.ndarray, ending: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(digit's place, logits, the digit) for words with an ending, by the low bits of their hashes."""
-        weights, bias = self.parts[4:]
+        weights, bias = self.parts[6:]
         for k in range(self.depth):
             logits = hidden @ weights[k]
             logits += bias[k]
@@ -166,76 +182,91 @@ class Net:
                 logits += self.priors[k][(ending << (BITS * k)) + (low & ((1 << (BITS * k)) - 1))]
             yield k, logits, (low >> (BITS * k)) & (FAN - 1)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts]).astype(np.float64)
-
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        tables, b1, w2, b2 = self.parts[:4]
-        hidden = tables[0][around[:, 0]]
-        for k in range(1, len(OFFSETS)):
-            hidden += tables[k][around[:, k]]
-        hidden = np.tanh(hidden + b1)
-        logits = hidden @ w2
-        logits += b2
-        return hidden, logits
+    def bounded(self) -> bool:
+        """Whether no logit is so large that its exponential isn't a float32; hidden values are within 1."""
+        _, _, wg, bg, w2, b2, weights, bias = self.parts
+        most = max((np.abs(w).sum(axis=0) + np.abs(b)).max() for w, b in ((wg, bg), (w2, b2)))
+        return bool(max(most, (np.abs(weights).sum(axis=1) + np.abs(bias)).max() + max(p.max() for p in self.priors)) < 80)
 
     def log_probs(self, around: np.ndarray, target: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Log-probability of each word's class and digits."""
-        out = np.empty(len(target))
+        out, safe = np.empty(len(target)), self.bounded()
         for i in range(0, len(target), BATCH):
-            part = slice(i, i + BATCH)
-            hidden, logits = self.forward(around[part])
-            out[part] = _log_share(logits, target[part])
-            plain = np.flatnonzero(target[part] >= FREQUENT)
-            for _, logits, digit in self.steps(hidden[plain], target[part][plain] - FREQUENT, low[part][plain]):
-                out[i + plain] += _log_share(logits, digit)
+            t, hidden = target[i : i + BATCH], self.hidden(around[i : i + BATCH])
+            found = _log_share(hidden @ self.parts[2] + self.parts[3], t // FAN, safe)
+            for g, mine in _by_group(t):
+                found[mine] += _log_share(self.in_group(g, hidden.take(mine, axis=0)), t[mine] - g * FAN, safe)
+            plain = np.flatnonzero(t >= FREQUENT)
+            for _, logits, digit in self.steps(hidden.take(plain, axis=0), t[plain] - FREQUENT, low[i + plain]):
+                found[plain] += _log_share(logits, digit, safe)
+            out[i : i + BATCH] = found
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, low: np.ndarray, squares: list[np.ndarray]) -> None:
-        tables, _, w2, _, weights, bias = self.parts
+        _, _, wg, bg, w2, _, weights, _ = self.parts
         for i in range(0, len(target), BATCH):
             c, t = around[i : i + BATCH], target[i : i + BATCH]
-            n = len(t)
-            hidden, logits = self.forward(c)
-            _error(logits, t, n)
-            back = logits @ w2.T
+            n, safe, hidden = len(t), self.bounded(), self.hidden(c)
+            grads = [np.zeros_like(p) for p in self.parts]
+            wrong = hidden @ wg + bg
+            _error(wrong, t // FAN, n, safe)
+            back = wrong @ wg.T
+            grads[2], grads[3] = hidden.T @ wrong, wrong.sum(axis=0)
+            for g, mine in _by_group(t):
+                seen, part = hidden.take(mine, axis=0), slice(g * FAN, (g + 1) * FAN)
+                wrong = self.in_group(g, seen)
+                _error(wrong, t[mine] - g * FAN, n, safe)
+                back[mine] += wrong @ w2[:, part].T
+                grads[4][:, part], grads[5][part] = seen.T @ wrong, wrong.sum(axis=0)
             plain = np.flatnonzero(t >= FREQUENT)
-            seen, digits = hidden[plain], [np.zeros_like(weights), np.zeros_like(bias)]
+            seen = hidden.take(plain, axis=0)
             up = np.zeros_like(seen)
-            for k, wrong, digit in self.steps(seen, t[plain] - FREQUENT, low[i : i + BATCH][plain]):
-                _error(wrong, digit, n)
+            for k, wrong, digit in self.steps(seen, t[plain] - FREQUENT, low[i + plain]):
+                _error(wrong, digit, n, safe)
                 up += wrong @ weights[k].T
-                digits[0][k], digits[1][k] = seen.T @ wrong, wrong.sum(axis=0)
+                grads[6][k], grads[7][k] = seen.T @ wrong, wrong.sum(axis=0)
             back[plain] += up
             back *= 1 - hidden * hidden
-            grads = [np.empty_like(tables), back.sum(axis=0), hidden.T @ logits, logits.sum(axis=0), *digits]
-            hot = np.zeros((CLASSES + 1, n), np.float32)
-            place = np.arange(n)
+            grads[1] = back.sum(axis=0)
             for k in range(len(OFFSETS)):
-                hot[c[:, k], place] = 1
-                grads[0][k] = hot @ back
-                hot[c[:, k], place] = 0
+                # rows of one class together: a byte each, so that the sort is by counting
+                order = np.argsort(c[:, k].astype(np.uint8), kind="stable")
+                classes = c[order, k]
+                starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(np.diff(classes)) + 1])
+                grads[0][k][classes[starts]] = np.add.reduceat(back.take(order, axis=0), starts, axis=0)
             for p, g, s in zip(self.parts, grads, squares):
                 s += g * g
                 p -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
-def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """log softmax at chosen; spoils logits."""
+def _by_group(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places of its classes)."""
+    group = (classes // FAN).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if bounds[g] < bounds[g + 1]:
+            yield g, order[bounds[g] : bounds[g + 1]]
+
+
+def _log_share(logits: np.ndarray, chosen: np.ndarray, safe: bool) -> np.ndarray:
+    """log softmax at chosen; spoils logits. safe: none of them is large."""
     own = logits[np.arange(len(logits)), chosen]
-    top = logits.max(axis=1, keepdims=True)
-    logits -= top
+    if not safe:
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        own = own - top[:, 0]
     np.exp(logits, out=logits)
-    return own - top[:, 0] - np.log(logits.sum(axis=1))
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
-def _error(logits: np.ndarray, chosen: np.ndarray, n: int) -> None:
+def _error(logits: np.ndarray, chosen: np.ndarray, n: int, safe: bool) -> None:
     """Makes logits the gradient of the mean log loss over n words."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(logits)), chosen] -= 1
-    logits /= n
+    logits *= (1 / (n * (logits @ np.ones(logits.shape[1], logits.dtype))))[:, None]
+    logits[np.arange(len(logits)), chosen] -= np.float32(1 / n)
 
 
 @dataclass

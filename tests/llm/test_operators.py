@@ -330,7 +330,7 @@ def test_scores_equal_brute_force(scored, monkeypatch, leaf):
             tokens[way[:k]] += corpus[w]
         types[way] += 1
     assert {r.word: r.whole for r in leaves.collect()} == {hashed[w][0]: tokens[way] + types[way] for w, way in path.items()}
-    tables, b1, w2, b2, weights, bias = lm.Net(m.weights, m.depth, m.priors).parts
+    tables, b1, wg, bg, w2, b2, weights, bias = lm.Net(m.weights, m.depth, m.priors).parts
     share = lambda logits, k: logits[k] - np.log(np.exp(logits).sum())
     got = sorted(((r.doc_id, r.n_tokens, r.log_prob) for r in lm.score(docs).collect()), key=repr)
     want = []
@@ -341,7 +341,8 @@ def test_scores_equal_brute_force(scored, monkeypatch, leaf):
         for k, x in enumerate(w):
             around = [classes[k + o] if 0 <= k + o < len(w) else lm.CLASSES for o in (-2, -1, 1, 2)]
             hidden = np.tanh(sum(tables[a][c] for a, c in enumerate(around)) + b1)
-            total += share(hidden @ w2 + b2, classes[k])
+            g = classes[k] // 16
+            total += share(hidden @ wg + bg, g) + share((hidden @ w2 + b2)[16 * g : 16 * g + 16], classes[k] % 16)
             if x not in place:
                 for d, digit in enumerate(digits[x]):
                     prior = [math.log(tokens[path[x][: d + 1] + (y,)] + 1) if d < 3 else 0.0 for y in range(16)]
