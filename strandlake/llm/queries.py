@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin digests of what each operator returns."""
+"""Registered queries of the thirteen operators: thin digests of what each operator returns."""
 
 from __future__ import annotations
 
