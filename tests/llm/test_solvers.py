@@ -175,54 +175,74 @@ def test_edit_distance_in_text():
         assert decontaminate.within(item, text, len(item))[0] == brute.edit_in(item, text)
 
 
-def test_network_learns_its_gradient():
-    """Loss falls, and the analytic step agrees with finite differences."""
-    rng = np.random.default_rng(9)
-    classes = np.tile(rng.integers(0, lm.CLASSES, 40), 40).astype(np.int32)
+def net_case(seed, n, depth=2):
+    rng = np.random.default_rng(seed)
+    classes = np.tile(rng.integers(0, lm.CLASSES, n), 40 if n == 40 else 1).astype(np.int32)
+    low = np.tile(rng.integers(0, 1 << 4 * depth, n), 40 if n == 40 else 1)
+    priors = lm.priors_of(rng.integers(0, 6, lm.ENDINGS << 4 * depth).astype(float), depth)
+    return classes, low, priors, lm.Net.fresh(depth) + rng.normal(0, 0.05, lm.Net.size(depth))
+
+
+def test_network_learns_its_gradient(monkeypatch):
+    """Loss falls, and the analytic step agrees with finite differences for weights of every kind."""
+    classes, low, priors, flat = net_case(9, 40)
     around = lm.contexts(classes, np.array([0, len(classes)]))
-    net = lm.Net(lm.Net.fresh(np.zeros(lm.CLASSES)))
-    before = net.log_probs(around, classes).mean()
+    net = lm.Net(flat, 2, priors)
+    before = net.log_probs(around, classes, low).mean()
     squares = [np.full_like(p, 1e-4) for p in net.parts]
     for _ in range(40):
-        net.train(around, classes, squares)
-    assert net.log_probs(around, classes).mean() > before + 1
-    # one output weight
-    flat = lm.Net.fresh(np.zeros(lm.CLASSES))
-    at, eps = lm.Net.SIZE - 5, 1e-2
-    loss = lambda d: -lm.Net(flat + d * (np.arange(lm.Net.SIZE) == at)).log_probs(around, classes).mean()
-    slope = (loss(eps) - loss(-eps)) / (2 * eps)
-    probe = lm.Net(flat)
-    zero = [np.zeros_like(p) for p in probe.parts]
-    old, lm_batch = lm.BATCH, len(classes)
-    lm.BATCH = lm_batch
-    try:
-        probe.train(around, classes, zero)
-    finally:
-        lm.BATCH = old
-    assert abs(np.sqrt(zero[-1][lm.CLASSES - 5]) - abs(slope)) < 1e-3 * max(1, abs(slope))
-
-
-def test_training_equals_plain_loops():
+        net.train(around, classes, low, squares)
+    assert net.log_probs(around, classes, low).mean() > before + 1
+    monkeypatch.setattr(lm, "BATCH", len(classes))
+    probe = lm.Net(flat, 2, priors)
+    zero, start = [np.zeros_like(p) for p in probe.parts], 0
+    probe.train(around, classes, low, zero)
+    for part in zero:
+        at, eps = int(part.argmax()), 1e-2
+        loss = lambda d, i=start + at: -lm.Net(flat + d * (np.arange(len(flat)) == i), 2, priors).log_probs(around, classes, low).mean()
+        slope = (loss(eps) - loss(-eps)) / (2 * eps)
+        assert part.ravel()[at] > 0 and abs(np.sqrt(part.ravel()[at]) - abs(slope)) < 2e-3 * max(1, abs(slope))
+        start += part.size
+
+
+@pytest.mark.parametrize("safe", [True, False])
+def test_training_equals_plain_loops(monkeypatch, safe):
     """One Adagrad step a batch, gradients added up word by word."""
-    rng = np.random.default_rng(10)
-    classes = rng.integers(0, lm.CLASSES, 50).astype(np.int32)
+    monkeypatch.setattr(lm.Net, "bounded", lambda self: safe)
+    classes, low, priors, flat = net_case(10, 50)
     around = lm.contexts(classes, np.array([0, 30, 50]))
-    flat = lm.Net.fresh(rng.integers(0, 9, lm.CLASSES))
-    net, plain = lm.Net(flat), [p.astype(float) for p in lm.Net(flat).parts]
+    net, plain = lm.Net(flat, 2, priors), [p.astype(float) for p in lm.Net(flat, 2, priors).parts]
     squares, sums = [np.full_like(p, 1e-4) for p in net.parts], [np.full_like(p, 1e-4) for p in plain]
+
+    def off(logits, chosen):
+        x = np.exp(logits) / np.exp(logits).sum()
+        x[chosen] -= 1
+        return x / 50
+
     for _ in range(3):
-        net.train(around, classes, squares)
+        net.train(around, classes, low, squares)
         grads = [np.zeros_like(p) for p in plain]
-        for c, t in zip(around, classes):
+        for c, t, word in zip(around, classes, low):
             hidden = np.tanh(sum(plain[0][k][x] for k, x in enumerate(c)) + plain[1])
-            logits = hidden @ plain[2] + plain[3]
-            off = np.exp(logits) / np.exp(logits).sum()
-            off[t] -= 1
-            back = (plain[2] @ off) * (1 - hidden**2)
+            g, part = t // 16, slice(t // 16 * 16, t // 16 * 16 + 16)
+            x = off(hidden @ plain[2] + plain[3], g)
+            back = plain[2] @ x
+            grads[2] += np.outer(hidden, x)
+            grads[3] += x
+            x = off(hidden @ plain[4][:, part] + plain[5][part], t % 16)
+            back += plain[4][:, part] @ x
+            grads[4][:, part] += np.outer(hidden, x)
+            grads[5][part] += x
+            for k in range(2 if t >= lm.FREQUENT else 0):
+                prior = priors[k][((t - lm.FREQUENT) << 4 * k) + (word & (1 << 4 * k) - 1)]
+                x = off(hidden @ plain[6][k] + plain[7][k] + prior, word >> 4 * k & 15)
+                back += plain[6][k] @ x
+                grads[6][k] += np.outer(hidden, x)
+                grads[7][k] += x
+            back *= 1 - hidden**2
+            grads[1] += back
             for k, x in enumerate(c):
-                grads[0][k][x] += back / 50
-            for g, x in zip(grads[1:], (back, np.outer(hidden, off), off)):
-                g += x / 50
+                grads[0][k][x] += back
         for p, g, s in zip(plain, grads, sums):
             s += g * g
             p -= lm.RATE * g / (np.sqrt(s) + 1e-6)
