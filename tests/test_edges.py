@@ -115,3 +115,19 @@ def test_ranks_over_many_partitions(spark):
     d = spark.range(1000).select((F.col("id") * 7 % 100).alias("v"))
     got = {r.v: r.rank for r in stats.value_ranks(d, "v").collect()}
     assert got == {v: 10 * v + 5.5 for v in range(100)}
+
+
+def test_unions_of_many_equal_intervals(spark):
+    """Equal intervals (ties of any order by their ends) merge as one, on either side of bucket borders."""
+    from strandlake.operators import intervals as I
+
+    one = [(c, lo, lo + n) for c in range(3) for lo, n in ((1, 4), (9, 40), (55, 2), (58, 9), (70, 31), (140, 0))]
+    rows = spark.createDataFrame(one * 40, "contig long, lo long, hi long").repartition(7)
+    want = set()
+    for c in range(3):
+        held = sorted({p for k, lo, hi in one if k == c for p in range(lo, hi + 1)})
+        starts = [p for p in held if p - 1 not in held]
+        ends = [p for p in held if p + 1 not in held]
+        want |= set(zip([c] * len(starts), starts, ends))
+    for size in (8, 32, 1 << 20):
+        assert sorted(tuple(r) for r in I.union(rows, ["contig"], size).select("contig", "lo", "hi").collect()) == sorted(want)
