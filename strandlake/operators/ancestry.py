@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..plans.lineage import cut
 from . import graph
@@ -110,19 +114,25 @@ def boundaries(labels: DataFrame, keys: list[str]) -> DataFrame:
 def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: float, optimal: bool = False) -> DataFrame:
     """One-to-one matches of boundaries with the same transition within a tolerance, by haplotype: nearest first, or (optimal) as many as can be and of these the nearest in all.
 
-    A haplotype's boundaries are few; each is one bounded group in pandas.
+    Spark gathers a haplotype's boundaries, which are few, into a row; tasks match row by row.
     """
     from ..functions.assignment import matching
 
-    t = truth.select(*keys, F.lit("t").alias("_s"), "midpoint", "before", "after")
-    c = calls.select(*keys, F.lit("c").alias("_s"), "midpoint", "before", "after")
-    both = t.unionByName(c)
-    fields = [f for f in both.schema.fields if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", truth double, called double"
-
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tt, cc = pdf[pdf["_s"] == "t"], pdf[pdf["_s"] == "c"]
-        pairs = sorted((abs(a.midpoint - b.midpoint), a.midpoint, b.midpoint) for a in tt.itertuples() for b in cc[(cc.midpoint >= a.midpoint - tolerance) & (cc.midpoint <= a.midpoint + tolerance)].itertuples() if (a.before, a.after) == (b.before, b.after))
+    place = F.struct(F.col("midpoint").cast("double").alias("midpoint"), "before", "after")
+    both = truth.select(*keys, place.alias("_t"), F.lit(None).alias("_c")).unionByName(calls.select(*keys, F.lit(None).alias("_t"), place.alias("_c")))
+    both = both.groupBy(*keys).agg(F.collect_list("_t").alias("_t"), F.collect_list("_c").alias("_c")).filter((F.size("_t") > 0) & (F.size("_c") > 0))
+    both = both.select(*keys, *[F.col(f"_{x}").getField(c).alias(f"_{x}_{c}") for x in "tc" for c in ("midpoint", "before", "after")])
+    kept = StructType([both.schema[k] for k in keys] + [StructField("_match", ArrayType(StructType([StructField("truth", DoubleType()), StructField("called", DoubleType())])))])
+
+    def matched(t_at, t_before, t_after, c_at, c_before, c_after) -> list[tuple[float, float]]:
+        near: dict[tuple, list[float]] = {}
+        for at, *label in sorted(zip(c_at.tolist(), c_before.tolist(), c_after.tolist())):
+            near.setdefault(tuple(label), []).append(at)
+        pairs = []
+        for at, *label in zip(t_at.tolist(), t_before.tolist(), t_after.tolist()):
+            calls_at = near.get(tuple(label), ())
+            pairs += [(abs(at - x), at, x) for x in calls_at[bisect_left(calls_at, at - tolerance) : bisect_right(calls_at, at + tolerance)]]
+        pairs.sort()
         used_t, used_c, out = set(), set(), []
         if optimal and pairs:
             rows, cols = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
@@ -130,15 +140,22 @@ def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolera
             # distances in parts of the tolerance, as whole numbers; any match is worth more than all of them
             parts, most = 1 << 20, min(len(rows), len(cols))
             gains = ((row[a], col[b], (parts + 1) * most + 1 - round(d / tolerance * parts) if tolerance else 1) for d, a, b in pairs)
-            return pd.DataFrame([(*key, rows[i], cols[k]) for i, k in sorted(matching(gains))], columns=[*keys, "truth", "called"])
+            return [(rows[i], cols[k]) for i, k in sorted(matching(gains))]
         for _, a, b in pairs:
             if a not in used_t and b not in used_c:
                 used_t.add(a)
                 used_c.add(b)
-                out.append((*key, a, b))
-        return pd.DataFrame(out, columns=[*keys, "truth", "called"])
+                out.append((a, b))
+        return out
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [matched(*r) for r in zip(*(pdf[f"_{x}_{c}"] for x in "tc" for c in ("midpoint", "before", "after")))]
+            out = pdf[keys].copy()
+            out["_match"] = [[{"truth": a, "called": b} for a, b in pairs] for pairs in found]
+            yield out
 
-    return both.groupBy(*keys).applyInPandas(match, schema)
+    return both.mapInPandas(match, kept).select(*keys, F.explode("_match").alias("_m")).select(*keys, "_m.truth", "_m.called")
 
 
 def project_posterior(queries: DataFrame, grid: DataFrame, keys: list[str], size: int) -> DataFrame:

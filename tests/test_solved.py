@@ -173,3 +173,18 @@ def test_late_events_fail_the_stream(spark, tmp_path):
     batch("in/c", [(2, datetime(2024, 1, 1, 4))])
     with pytest.raises(Exception, match="out of order"):
         run()
+
+
+def test_boundaries_of_many_haplotypes_match_as_by_brute_force(spark):
+    """Few rows a haplotype and many haplotypes: every haplotype by itself, none in a Python group of its own."""
+    rng = np.random.default_rng(5)
+    rows = {x: [(int(h), float(m), int(b), int(b) ^ 1) for h in range(300) for m, b in zip(rng.choice(400, 6, False), rng.integers(0, 2, 6))] for x in "tc"}
+    t, c = (spark.createDataFrame(rows[x], "k long, midpoint double, before long, after long") for x in "tc")
+    want, held = set(), set()
+    for d, h, a, b in sorted((abs(a - b), h, a, b) for h, a, *s in rows["t"] for k, b, *z in rows["c"] if h == k and s == z and abs(a - b) <= 40):
+        if (h, "t", a) not in held and (h, "c", b) not in held:
+            held |= {(h, "t", a), (h, "c", b)}
+            want.add((h, a, b))
+    made = ancestry.match_boundaries(t, c, ["k"], 40.0)
+    assert {tuple(r) for r in made.collect()} == want
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
