@@ -131,3 +131,28 @@ def test_unions_of_many_equal_intervals(spark):
         want |= set(zip([c] * len(starts), starts, ends))
     for size in (8, 32, 1 << 20):
         assert sorted(tuple(r) for r in I.union(rows, ["contig"], size).select("contig", "lo", "hi").collect()) == sorted(want)
+
+
+def test_grids_and_universes_shuffle_what_is_stored_only(spark):
+    """The grid and all pairs are filled in behind the last exchange; joined windows equal windows joined afterwards."""
+    from strandlake.operators import windows as W
+
+    g = spark.createDataFrame([(1, 1, 5, 1), (1, 1, 25, None), (2, 1, 45, 2), (3, 2, 7, 0), (3, 2, 99, 1), (1, 2, 99, 1)], "sample_id long, chrom long, pos long, dosage long")
+    people = spark.createDataFrame([(1,), (2,), (3,), (4,)], "sample_id long")
+    full = W.grid_features(g, people, 10)
+    assert full.count() == 4 * 5
+    for factor, phase in ((3, 1), (2, 0), (4, 3)):
+        assert rows(W.grid_features(g, people, 10, factor=factor, phase=phase), *full.columns) == rows(W.regrid(full, factor, phase), *full.columns)
+    plan = W.grid_features(g, people, 10, factor=3, phase=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "Exchange")
+
+    n = spark.createDataFrame([(k, k % 2) for k in range(20)], "sample_id long, grp long")
+    v = spark.createDataFrame([(0, 2, 7), (0, 1, 5), (3, 7, None), (4, 18, 9)], "sample_a long, sample_b long, w long")
+    u = pairs.pair_universe(n, v, "w", ["grp"])
+    known = {(0, 2): 7, (4, 18): 9}
+    assert {tuple(r) for r in u.collect()} == {(a % 2, a, b, known.get((a, b))) for a in range(20) for b in range(a + 1, 20) if a % 2 == b % 2}
+    assert u.count() == 90
+    c = spark.createDataFrame([(k, 1, p) for k in range(4) for p in (10, 20, 900)] + [(9, 1, 10)], "sample_id long, chrom long, pos long")
+    s = pairs.pair_segments(c, 50, 2)
+    assert {(r.sample_a, r.sample_b, r.start_pos, r.end_pos) for r in s.collect()} == {(a, b, 10, 20) for a in range(4) for b in range(a + 1, 4)}
+    assert s._jdf.queryExecution().executedPlan().toString().count("Join") <= 2  # sites meet once
