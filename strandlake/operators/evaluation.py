@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import matching
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 from . import graph
 from .intervals import overlap_join, total, union
 from .pairs import PAIR
@@ -84,6 +84,7 @@ def segment_evidence(segments: DataFrame, genotypes: DataFrame, size: int) -> Da
 
 def kin_candidates(pairs: DataFrame, labels: DataFrame, segment: int, small: int, median: float) -> DataFrame:
     """kind, a, b or community: pairs with a long segment, and small communities with a high median of shared bp."""
+    pairs = stored(pairs.select(*PAIR, "max_segment_bp", "total_shared_bp"))  # read twice, made once
     one = pairs.filter(F.col("max_segment_bp") >= segment).select(F.lit("pair").alias("kind"), F.col("sample_a").alias("a"), F.col("sample_b").alias("b"), F.lit(None).cast("long").alias("community"))
     sizes = labels.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") <= small)
     la, lb = labels.select(F.col("node").alias("sample_a"), "community"), labels.select(F.col("node").alias("sample_b"), F.col("community").alias("_c"))

@@ -169,9 +169,13 @@ def log_histogram(distances: DataFrame, keys: list[str], low: float, high: float
     return distances.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(v < low).alias("n_under"), F.count_if(v >= high).alias("n_over"))
 
 
-def gap_stats(positions: DataFrame, keys: list[str], universe: str, size: int = SIZE) -> DataFrame:
-    """n, mean and median gap of neighbouring positions within keys, all keys together."""
-    d = with_before(positions, keys, size=size).select((F.col("pos") - F.col("_before")).alias("gap")).filter("gap is not null")
+def gap_stats(positions: DataFrame, keys: list[str], universe: str, size: int | None = SIZE) -> DataFrame:
+    """n, mean and median gap of neighbouring positions within keys, all keys together. With size None a key's positions are few and stay together, shuffled once."""
+    if size is None:
+        d = positions.withColumn("_before", F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos")))
+    else:
+        d = with_before(positions, keys, size=size)
+    d = d.select((F.col("pos") - F.col("_before")).alias("gap")).filter("gap is not null")
     return d.agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap")).select(F.lit(universe).alias("universe"), "*")
 
 

@@ -136,7 +136,7 @@ SELECT a, b, sum(n) AS n, round(sum(n * k) / sum(n), 9) AS k FROM p GROUP BY a,
 def merged_relationship(s, d):
     g = D.genotypes(s, d).filter("dosage is not null")
     x, y = (g.select(F.col("sample_id").alias(e), "chrom", "pos", F.col("dosage").alias(f"d{e}")) for e in "ab")
-    parts = x.join(y, ["chrom", "pos"]).filter("a < b").groupBy("a", "b", "chrom").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("da") * F.col("db")).alias("k"))
+    parts = x.join(y, ["chrom", "pos"]).filter("a < b").select("a", "b", "chrom", "da", "db").repartition("a", "b").groupBy("a", "b", "chrom").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("da") * F.col("db")).alias("k"))
     return C.merged_relationship(parts).withColumn("k", F.round("k", 9))
 
 

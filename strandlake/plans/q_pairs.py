@@ -383,7 +383,7 @@ def _gap_sql(name: str, source: str, keys: str) -> str:
 @query(f"WITH {D.SEGMENTS} " + _gap_sql("catalogue", "(SELECT DISTINCT chrom, pos FROM carriers)", "chrom") + " UNION ALL " + _gap_sql("individual", "carriers", "sample_id, chrom") + " UNION ALL " + _gap_sql("pair", "shared", "sample_a, sample_b, chrom"))
 def gap_stats(s, d):
     c = carriers(s, d)
-    parts = [W.gap_stats(c.select("chrom", "pos").distinct(), ["chrom"], "catalogue"), W.gap_stats(c, ["sample_id", "chrom"], "individual"), W.gap_stats(P.shared_pairs(c), ["sample_a", "sample_b", "chrom"], "pair")]
+    parts = [W.gap_stats(c.select("chrom", "pos").distinct(), ["chrom"], "catalogue"), W.gap_stats(c, ["sample_id", "chrom"], "individual"), W.gap_stats(P.shared_pairs(c), ["sample_a", "sample_b", "chrom"], "pair", None)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("mean_gap", F.round("mean_gap", 6))
 
 
