@@ -156,3 +156,23 @@ def test_grids_and_universes_shuffle_what_is_stored_only(spark):
     s = pairs.pair_segments(c, 50, 2)
     assert {(r.sample_a, r.sample_b, r.start_pos, r.end_pos) for r in s.collect()} == {(a, b, 10, 20) for a in range(4) for b in range(a + 1, 4)}
     assert s._jdf.queryExecution().executedPlan().toString().count("Join") <= 2  # sites meet once
+
+
+def _exchanges_of(df, *columns):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return sum("Exchange hashpartitioning" in line and all(c in line for c in columns) for line in plan.splitlines())
+
+
+def test_evidence_of_pairs_shuffles_them_once(spark):
+    from strandlake.operators import windows as W
+
+    got = [(1, 1, 10, 1), (2, 1, 10, 2), (3, 1, 10, None), (1, 1, 20, None), (2, 1, 20, None), (3, 2, 30, 1), (1, 2, 30, 0)]
+    g = spark.createDataFrame(got, "sample_id long, chrom long, pos long, dosage long")
+    e = pairs.pair_evidence(g)
+    # 1 and 2 share site 10 and both miss 20; 3 misses 10 and carries 30
+    assert rows(e, "sample_a", "sample_b", "n_both", "n_either", "n_called") == [(1, 2, 1, 1, 2), (1, 3, 0, 1, 1), (2, 3, 0, 1, 1)]
+    assert _exchanges_of(pairs.masked_jaccard(e), "sample_a") <= 1
+    p = spark.createDataFrame([(a, a + 1, 1, p) for a in range(3) for p in (5, 9, 2_000_000)], "sample_a long, sample_b long, chrom long, pos long")
+    keys = ["sample_a", "sample_b", "chrom"]
+    assert rows(W.gap_stats(p, keys, "pair", None), "n", "max_gap") == rows(W.gap_stats(p, keys, "pair"), "n", "max_gap") == [(6, 1_999_991)]
+    assert _exchanges_of(W.gap_stats(p, keys, "pair", None), "sample_a") == 1 < _exchanges_of(W.gap_stats(p, keys, "pair"), "sample_a")
