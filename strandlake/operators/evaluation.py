@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.assignment import matching
 from ..plans.lineage import cut, stored
@@ -136,13 +137,18 @@ def dyadic_variance(pairs: DataFrame, components: DataFrame, value: str) -> Data
     """
     ca, cb = components.select(F.col("node").alias("sample_a"), F.col("component").alias("ca")), components.select(F.col("node").alias("sample_b"), F.col("component").alias("cb"))
     j = pairs.join(ca, "sample_a").join(cb, "sample_b")
-    mean = F.broadcast(j.agg(F.avg(value).alias("_m"), F.count("*").alias("_n")))
-    r = j.crossJoin(mean).select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), (F.col(value) - F.col("_m")).alias("u"), "_n", "_m")
-    cell = cut(r.groupBy("ca", "cb", "_n", "_m").agg(F.sum("u").alias("u")))
-    incident = cell.select("_n", "_m", "u", F.explode(F.array_distinct(F.array("ca", "cb"))).alias("c")).groupBy("c", "_n", "_m").agg(F.sum("u").alias("u"))
-    one = incident.groupBy("_n", "_m").agg(F.sum(F.col("u") * F.col("u")).alias("s1"))
-    two = cell.filter("ca <> cb").agg(F.coalesce(F.sum(F.col("u") * F.col("u")), F.lit(0.0)).alias("s2"))
-    return one.crossJoin(two).select(F.col("_n").alias("n"), F.col("_m").alias("mean"), ((F.col("s1") - F.col("s2")) / (F.col("_n") * F.col("_n"))).alias("variance"))
+    whole = isinstance(pairs.schema[value].dataType, IntegralType)
+    of = lambda c: F.col(c).cast("decimal(20,0)" if whole else "double")
+    cell = cut(j.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.count("*").alias("n"), F.count(value).alias("k"), F.sum(of(value)).alias("v")))
+    total = cell.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.sum("k").alias("_k"), F.sum("v").alias("_v"))
+    # residuals times the number of pairs: of whole values they are whole, and nothing is lost before the squares
+    u = F.col("v") * of("_k") - of("k") * F.col("_v")
+    cell = cell.crossJoin(F.broadcast(total)).select("_k", "ca", "cb", (u.cast("decimal(38,0)") if whole else u).alias("u"))
+    square = lambda d: d.agg(F.sum(F.pow(F.col("u").cast("double") / F.col("_k"), F.lit(2.0))).alias("s"))
+    one = square(cell.select("_k", "u", F.explode(F.array_distinct(F.array("ca", "cb"))).alias("c")).groupBy("c", "_k").agg(F.sum("u").alias("u")))
+    two = square(cell.filter("ca <> cb")).select(F.coalesce("s", F.lit(0.0)).alias("s2"))
+    mean = F.try_divide(F.col("_v").cast("double"), F.col("_k"))
+    return total.crossJoin(one).crossJoin(two).select(F.col("_n").alias("n"), mean.alias("mean"), F.try_divide(F.col("s") - F.col("s2"), F.col("_n") * F.col("_n")).alias("variance"))
 
 
 def sharing_by_partition(pairs: DataFrame, partitions: DataFrame, kin: DataFrame) -> DataFrame:

@@ -176,3 +176,26 @@ def test_evidence_of_pairs_shuffles_them_once(spark):
     keys = ["sample_a", "sample_b", "chrom"]
     assert rows(W.gap_stats(p, keys, "pair", None), "n", "max_gap") == rows(W.gap_stats(p, keys, "pair"), "n", "max_gap") == [(6, 1_999_991)]
     assert _exchanges_of(W.gap_stats(p, keys, "pair", None), "sample_a") == 1 < _exchanges_of(W.gap_stats(p, keys, "pair"), "sample_a")
+
+
+def test_dyadic_variance_of_large_whole_values_is_exact(spark):
+    from fractions import Fraction
+
+    from strandlake.operators import evaluation
+
+    v = {(a, b): (1 << 52) + 3 * a + 7 * b + a * b % 5 for a in range(12) for b in range(a + 1, 12)}
+    p = spark.createDataFrame([(a, b, x) for (a, b), x in v.items()], "sample_a long, sample_b long, bp long")
+    c = spark.createDataFrame([(i, i % 4) for i in range(12)], "node long, component long")
+    mean = Fraction(sum(v.values()), len(v))
+    cell, incident = {}, {}
+    for (a, b), x in v.items():
+        k = tuple(sorted((a % 4, b % 4)))
+        cell[k] = cell.get(k, 0) + x - mean
+    for k, u in cell.items():
+        for i in set(k):
+            incident[i] = incident.get(i, 0) + u
+    want = (sum(u * u for u in incident.values()) - sum(u * u for k, u in cell.items() if k[0] != k[1])) / len(v) ** 2
+    r = evaluation.dyadic_variance(p, c, "bp").first()
+    assert r.n == len(v) and r.mean == float(mean) and abs(r.variance - float(want)) < 1e-9
+    none = evaluation.dyadic_variance(p.limit(0), c, "bp").collect()
+    assert [tuple(x) for x in none] == [(0, None, None)]
