@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType
 from ..functions.assignment import matching
 from ..plans.lineage import cut, stored
 from . import graph
-from .intervals import overlap_join, total, union
+from .intervals import overlap_join, point_in_interval, total, union
 from .pairs import PAIR
 from .stats import value_ranks
 
@@ -18,14 +18,17 @@ from .stats import value_ranks
 def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: int) -> DataFrame:
     """One-to-one assignment of calls (call, lo, hi) to truths (truth, lo, hi) of maximum total overlap; which of several best ones is fixed by their order.
 
-    Overlaps are found by a bucketed join and fall into connected parts, which don't touch each
-    other's choice; each part is solved exactly in its task, over the pairs that overlap only.
+    Overlaps are found by a bucketed join and fall into runs along the axis, which don't touch each
+    other's choice; each run is solved exactly in its task, over the pairs that overlap only.
+    A run is a union of what truths and calls cover from their first to their last overlap, so
+    pairs that share a truth or a call are in one.
     """
     import pandas as pd
 
-    j = overlap_join(truth, calls, keys, size).withColumn("bp", F.least("hi", "r_hi") - F.greatest("lo", "r_lo") + 1).select(*keys, "truth", "call", "bp")
-    j = cut(j.withColumns({"_t": F.concat_ws("|", F.lit("t"), *keys, "truth"), "_c": F.concat_ws("|", F.lit("c"), *keys, "call")}))
-    part = graph.component_roots(j.select(F.col("_t").alias("a"), F.col("_c").alias("b")))
+    j = overlap_join(truth, calls, keys, size)
+    j = stored(j.select(*keys, "truth", "call", F.greatest("lo", "r_lo").alias("_lo"), F.least("hi", "r_hi").alias("_hi")).withColumn("bp", F.col("_hi") - F.col("_lo") + 1))
+    reach = [j.groupBy(*keys, c).agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).select(*keys, "lo", "hi") for c in ("truth", "call")]
+    runs = union(reach[0].unionByName(reach[1]), keys)
     fields = {f.name: f.dataType.simpleString() for f in j.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "truth", "call", "bp"])
 
@@ -35,7 +38,7 @@ def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: i
         kept = matching(zip(r.tolist(), c.tolist(), pdf["bp"].tolist()))
         return pdf.loc[[(i, k) in kept for i, k in zip(r, c)], [*keys, "truth", "call", "bp"]]
 
-    return j.join(part, F.col("_t") == F.col("node")).groupBy("root").applyInPandas(choose, schema)
+    return point_in_interval(j, runs.withColumn("_run", F.col("lo")), keys, 100 * size, pos="_lo").groupBy(*keys, "_run").applyInPandas(choose, schema)
 
 
 def tag_sites(pairs: DataFrame, sites: DataFrame, r2: float) -> DataFrame:

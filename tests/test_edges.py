@@ -199,3 +199,16 @@ def test_dyadic_variance_of_large_whole_values_is_exact(spark):
     assert r.n == len(v) and r.mean == float(mean) and abs(r.variance - float(want)) < 1e-9
     none = evaluation.dyadic_variance(p.limit(0), c, "bp").collect()
     assert [tuple(x) for x in none] == [(0, None, None)]
+
+
+def test_assignment_needs_no_rounds_of_components(spark, monkeypatch):
+    from strandlake.operators import evaluation, graph
+
+    def none(*_, **__):
+        raise AssertionError("rounds over all pairs")
+
+    monkeypatch.setattr(graph, "component_roots", none)
+    t = spark.createDataFrame([(1, 1, 0, 40), (1, 2, 30, 90), (1, 3, 100, 110), (2, 4, 0, 40)], "contig long, truth long, lo long, hi long")
+    c = spark.createDataFrame([(1, 11, 0, 10), (1, 12, 5, 35), (1, 13, 60, 104), (1, 14, 200, 210), (2, 15, 41, 50)], "contig long, call long, lo long, hi long")
+    got = evaluation.assign_overlaps(t, c, ["contig"], 8)
+    assert rows(got, "contig", "truth", "call", "bp") == [(1, 1, 12, 31), (1, 2, 13, 31)]
