@@ -16,26 +16,19 @@ def sharing_windows(carriers: DataFrame, size: int, step: int, top: int) -> Data
     """chrom, start, n_pairs, mean_jaccard, max_jaccard, top_pairs of bp windows from each chromosome's first position.
 
     Windows without sharing pairs are left out. top_pairs lists the best pairs by Jaccard index
-    (ties by ids), with '+N more' behind them. People meet once a site; what is copied to the
-    windows are their counts over the sites that lie in the same windows.
+    (ties by ids), with '+N more' behind them. People bring their counts of a window to where
+    they meet, so a pair's site is shuffled once, to its window.
     """
     first = carriers.groupBy("chrom").agg(F.min("pos").alias("p0"))
-    d = carriers.join(F.broadcast(first), "chrom")
     off = F.col("pos") - F.col("p0")
-    lowest = F.greatest(F.lit(0), F.floor((off - size) / step) + 1)
-    d = d.select("sample_id", "chrom", "pos", "p0", lowest.alias("lo"), F.floor(off / step).alias("hi"))
-    start = F.explode(F.transform(F.sequence("lo", "hi"), lambda k: F.col("p0") + k * step)).alias("start")
-
-    def by_window(rows: DataFrame, who: list[str], n: str) -> DataFrame:
-        some = rows.groupBy("chrom", "p0", "lo", "hi", *who).agg(F.count("*").alias("_n"))
-        return some.filter("lo <= hi").select("chrom", start, *who, "_n").groupBy("chrom", "start", *who).agg(F.sum("_n").alias(n))
-
-    own = by_window(d, ["sample_id"], "c")
-    a, b = d.withColumnRenamed("sample_id", "sample_a"), d.select("chrom", "pos", F.col("sample_id").alias("sample_b"))
-    both = by_window(a.join(b, ["chrom", "pos"]).filter("sample_a < sample_b"), PAIR, "n")
-    ca, cb = (own.select("chrom", "start", F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
-    j = both.join(ca, ["chrom", "start", "sample_a"]).join(cb, ["chrom", "start", "sample_b"])
-    j = j.withColumn("jaccard", F.col("n") / (F.col("ca") + F.col("cb") - F.col("n")))
+    lowest, highest = F.greatest(F.lit(0), F.floor((off - size) / step) + 1), F.floor(off / step)
+    start = F.explode(F.transform(F.sequence(lowest, highest), lambda k: F.col("p0") + k * step)).alias("start")
+    d = carriers.join(F.broadcast(first), "chrom").filter(lowest <= highest).select("sample_id", "chrom", "pos", start)
+    d = d.withColumn("c", F.count("*").over(Window.partitionBy("chrom", "start", "sample_id")))
+    a, b = (d.select("chrom", "start", "pos", F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+    met = a.join(b, ["chrom", "start", "pos"]).filter("sample_a < sample_b").select("chrom", "start", *PAIR, (F.col("ca") + F.col("cb")).alias("c"))
+    j = met.repartition("chrom", "start").groupBy("chrom", "start", *PAIR).agg(F.count("*").alias("n"), F.max("c").alias("c"))
+    j = j.withColumn("jaccard", F.col("n") / (F.col("c") - F.col("n")))
     rank = F.row_number().over(Window.partitionBy("chrom", "start").orderBy(F.desc("jaccard"), *PAIR))
     j = j.withColumn("rank", rank)
     name = F.when(F.col("rank") <= top, F.struct("rank", F.concat_ws("-", "sample_a", "sample_b").alias("name")))

@@ -212,3 +212,15 @@ def test_assignment_needs_no_rounds_of_components(spark, monkeypatch):
     c = spark.createDataFrame([(1, 11, 0, 10), (1, 12, 5, 35), (1, 13, 60, 104), (1, 14, 200, 210), (2, 15, 41, 50)], "contig long, call long, lo long, hi long")
     got = evaluation.assign_overlaps(t, c, ["contig"], 8)
     assert rows(got, "contig", "truth", "call", "bp") == [(1, 1, 12, 31), (1, 2, 13, 31)]
+
+
+def test_sharing_windows_shuffle_pairs_by_window_only(spark):
+    import re
+
+    from strandlake.operators import windows
+
+    c = spark.createDataFrame([(s, 1, p) for s in (1, 2, 3) for p in (10, 60, 130) if (s + p) % 4], "sample_id long, chrom long, pos long")
+    out = windows.sharing_windows(c, 100, 50, 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*sample_[ab]", plan)
+    assert rows(out, "start", "n_pairs", "max_jaccard", "top_pairs") == [(10, 3, 1.0, '1-3,+2 more'), (60, 3, 1.0, '1-3,+2 more'), (110, 1, 1.0, '1-3')]
