@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import stored
+
 SITE = ["chrom", "pos"]
 PAIR = ["sample_a", "sample_b"]
+#: Meetings of two people at a site that one task counts by pair.
+MEETINGS = 1 << 19
 
 
 def shared_pairs(carriers: DataFrame, min_shared: int = 1) -> DataFrame:
@@ -127,13 +131,16 @@ def king_robust(genotypes: DataFrame) -> DataFrame:
 
     (het-het - 2 * opposite homozygotes) / (het_a + het_b), over sites called in both.
     """
-    g = genotypes.filter("dosage is not null")
+    g = stored(genotypes.filter("dosage is not null").select("sample_id", *SITE, "dosage"))
     a = g.select(F.col("sample_id").alias("sample_a"), *SITE, F.col("dosage").alias("x"))
     b = g.select(F.col("sample_id").alias("sample_b"), *SITE, F.col("dosage").alias("y"))
-    j = a.join(b, SITE).filter("sample_a < sample_b")
+    # most pairs meet at few sites: one byte a site goes to the pair, without tables of counts before the shuffle, and parts are as many as the meetings ask for
+    meetings = g.groupBy(*SITE).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    j = a.join(b, SITE).filter("sample_a < sample_b").select(*PAIR, (4 * F.col("x") + F.col("y")).cast("byte").alias("_xy")).repartition(max(1, -(-int(meetings) // MEETINGS)), *PAIR)
+    x, y = F.shiftright("_xy", 2), F.col("_xy").bitwiseAND(F.lit(3).cast("byte"))
     d = j.groupBy(*PAIR).agg(
-        F.count_if((F.col("x") == 1) & (F.col("y") == 1)).alias("n_het_het"), F.count_if(F.abs(F.col("x") - F.col("y")) == 2).alias("n_ibs0"),
-        F.count_if(F.col("x") == 1).alias("n_het_a"), F.count_if(F.col("y") == 1).alias("n_het_b"), F.count("*").alias("n_called"),
+        F.count_if((x == 1) & (y == 1)).alias("n_het_het"), F.count_if(F.abs(x - y) == 2).alias("n_ibs0"),
+        F.count_if(x == 1).alias("n_het_a"), F.count_if(y == 1).alias("n_het_b"), F.count("*").alias("n_called"),
     )
     return d.withColumn("kinship", F.try_divide(F.col("n_het_het") - 2 * F.col("n_ibs0"), F.col("n_het_a") + F.col("n_het_b")))
 

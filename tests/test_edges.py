@@ -224,3 +224,16 @@ def test_sharing_windows_shuffle_pairs_by_window_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\([^)]*sample_[ab]", plan)
     assert rows(out, "start", "n_pairs", "max_jaccard", "top_pairs") == [(10, 3, 1.0, '1-3,+2 more'), (60, 3, 1.0, '1-3,+2 more'), (110, 1, 1.0, '1-3')]
+
+
+def test_king_parts_grow_with_meetings(spark, monkeypatch):
+    g = spark.createDataFrame([(s, 1, p, (s * p) % 3) for s in range(1, 6) for p in range(1, 9)] + [(1, 1, 9, None), (2, 1, 9, 1)], "sample_id long, chrom long, pos long, dosage long")
+    monkeypatch.setattr(pairs, "MEETINGS", 8)
+    out = pairs.king_robust(g)
+    assert out.rdd.getNumPartitions() == 10  # 8 sites of 10 meetings
+    want = []
+    for a in range(1, 6):
+        for b in range(a + 1, 6):
+            c = [((a * p) % 3, (b * p) % 3) for p in range(1, 9)]
+            want.append((a, b, sum(x == y == 1 for x, y in c), sum(abs(x - y) == 2 for x, y in c), sum(x == 1 for x, _ in c), sum(y == 1 for _, y in c), 8))
+    assert rows(out, "sample_a", "sample_b", "n_het_het", "n_ibs0", "n_het_a", "n_het_b", "n_called") == want
