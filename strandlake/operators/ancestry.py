@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..plans.lineage import cut
+from ..plans.lineage import stored
 from . import graph
 from .axis import SIZE, with_known
 from .intervals import interpolate, overlap_join, point_in_interval
@@ -91,14 +92,24 @@ def transition_scores(truth: DataFrame, calls: DataFrame, keys: list[str], toler
     ones are called changes without a match, over the summed map lengths of all keys of
     truth in Morgan; null where that is zero. Keys that one side lacks have no changes there.
     """
-    t, c = cut(boundaries(truth, keys)), cut(boundaries(calls, keys))
+    t, c = stored(boundaries(truth, keys)), stored(boundaries(calls, keys))
     span = truth.groupBy(*keys).agg((F.max("pos") - F.min("pos")).alias("s")).agg((F.sum("s") / 100).alias("morgan"))
-    whole = cut(t.agg(F.count("*").alias("n_truth")).crossJoin(c.agg(F.count("*").alias("n_called"))).crossJoin(span))
-    out = None
-    for tolerance in tolerances:
-        m = match_boundaries(t, c, keys, tolerance, optimal=True).agg(F.count("*").alias("matched"), F.avg(F.abs(F.col("truth") - F.col("called"))).alias("mean_error"))
-        part = whole.crossJoin(m).withColumn("tolerance", F.lit(float(tolerance)))
-        out = part if out is None else out.unionByName(part)
+    whole = t.agg(F.count("*").alias("n_truth")).crossJoin(c.agg(F.count("*").alias("n_called"))).crossJoin(span)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = {float(x): [0, 0.0] for x in tolerances}
+            for row in zip(*(pdf[f"_{x}_{c}"] for x in "tc" for c in ("midpoint", "before", "after"))):
+                for tolerance, sums in found.items():
+                    pairs = _matched(*row, tolerance, True)
+                    sums[0] += len(pairs)
+                    sums[1] += sum(abs(a - b) for a, b in pairs)
+            yield pd.DataFrame([(x, *sums) for x, sums in found.items()], columns=["tolerance", "matched", "error"])
+
+    m = _gathered(t, c, keys).mapInPandas(score, "tolerance double, matched long, error double")  # boundaries meet once for all tolerances
+    m = m.groupBy("tolerance").agg(F.sum("matched").alias("matched"), F.sum("error").alias("error"))
+    asked = truth.sparkSession.createDataFrame([(float(x),) for x in tolerances], "tolerance double")
+    out = asked.join(m, "tolerance", "left").na.fill(0, ["matched"]).withColumn("mean_error", F.try_divide("error", "matched")).crossJoin(whole)
     p, r = F.try_divide("matched", "n_called"), F.try_divide("matched", "n_truth")
     false = F.try_divide(F.col("n_called") - F.col("matched"), "morgan")
     return out.select("tolerance", "n_truth", "n_called", "matched", p.alias("precision"), r.alias("recall"), F.try_divide(2 * F.col("matched"), F.col("n_called") + F.col("n_truth")).alias("f1"), false.alias("false_per_morgan"), "mean_error")
@@ -111,46 +122,58 @@ def boundaries(labels: DataFrame, keys: list[str]) -> DataFrame:
     return d.filter("before <> label").select(*keys, ((F.col("_p") + F.col("pos")) / 2).alias("midpoint"), "before", F.col("label").alias("after"))
 
 
+def _gathered(truth: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and, of both sides' boundaries, arrays of midpoints and labels; haplotypes that one side lacks are left out."""
+    place = F.struct(F.col("midpoint").cast("double").alias("midpoint"), "before", "after")
+    both = truth.select(*keys, place.alias("_t"), F.lit(None).alias("_c")).unionByName(calls.select(*keys, F.lit(None).alias("_t"), place.alias("_c")))
+    both = both.groupBy(*keys).agg(F.collect_list("_t").alias("_t"), F.collect_list("_c").alias("_c")).filter((F.size("_t") > 0) & (F.size("_c") > 0))
+    return both.select(*keys, *[F.col(f"_{x}").getField(c).alias(f"_{x}_{c}") for x in "tc" for c in ("midpoint", "before", "after")])
+
+
+def _matched(t_at, t_before, t_after, c_at, c_before, c_after, tolerance: float, optimal: bool) -> list[tuple[float, float]]:
+    """(truth, called) midpoints that match in one haplotype."""
+    from ..functions.assignment import matching
+
+    near: dict[tuple, list[float]] = {}
+    for at, *label in sorted(zip(c_at.tolist(), c_before.tolist(), c_after.tolist())):
+        near.setdefault(tuple(label), []).append(at)
+    pairs = []
+    for at, *label in zip(t_at.tolist(), t_before.tolist(), t_after.tolist()):
+        calls_at = near.get(tuple(label), ())
+        pairs += [(abs(at - x), at, x) for x in calls_at[bisect_left(calls_at, at - tolerance) : bisect_right(calls_at, at + tolerance)]]
+    pairs.sort()
+    used_t, used_c, out = set(), set(), []
+    if optimal and pairs:
+        times_t, times_c = Counter(a for _, a, _ in pairs), Counter(b for _, _, b in pairs)
+        # two that could only match each other do, as any match is worth more than its distance
+        alone, others = [], []
+        for d, a, b in pairs:
+            (alone if times_t[a] == times_c[b] == 1 else others).append((d, a, b))
+        rows, cols = sorted({a for _, a, _ in others}), sorted({b for _, _, b in others})
+        row, col = ({x: i for i, x in enumerate(xs)} for xs in (rows, cols))
+        # distances in parts of the tolerance, as whole numbers; any match is worth more than all of them
+        parts, most = 1 << 20, min(len(times_t), len(times_c))
+        gains = ((row[a], col[b], (parts + 1) * most + 1 - round(d / tolerance * parts) if tolerance else 1) for d, a, b in others)
+        return sorted([(a, b) for _, a, b in alone] + [(rows[i], cols[k]) for i, k in matching(gains)])
+    for _, a, b in pairs:
+        if a not in used_t and b not in used_c:
+            used_t.add(a)
+            used_c.add(b)
+            out.append((a, b))
+    return out
+
+
 def match_boundaries(truth: DataFrame, calls: DataFrame, keys: list[str], tolerance: float, optimal: bool = False) -> DataFrame:
     """One-to-one matches of boundaries with the same transition within a tolerance, by haplotype: nearest first, or (optimal) as many as can be and of these the nearest in all.
 
     Spark gathers a haplotype's boundaries, which are few, into a row; tasks match row by row.
     """
-    from ..functions.assignment import matching
-
-    place = F.struct(F.col("midpoint").cast("double").alias("midpoint"), "before", "after")
-    both = truth.select(*keys, place.alias("_t"), F.lit(None).alias("_c")).unionByName(calls.select(*keys, F.lit(None).alias("_t"), place.alias("_c")))
-    both = both.groupBy(*keys).agg(F.collect_list("_t").alias("_t"), F.collect_list("_c").alias("_c")).filter((F.size("_t") > 0) & (F.size("_c") > 0))
-    both = both.select(*keys, *[F.col(f"_{x}").getField(c).alias(f"_{x}_{c}") for x in "tc" for c in ("midpoint", "before", "after")])
+    both = _gathered(truth, calls, keys)
     kept = StructType([both.schema[k] for k in keys] + [StructField("_match", ArrayType(StructType([StructField("truth", DoubleType()), StructField("called", DoubleType())])))])
 
-    def matched(t_at, t_before, t_after, c_at, c_before, c_after) -> list[tuple[float, float]]:
-        near: dict[tuple, list[float]] = {}
-        for at, *label in sorted(zip(c_at.tolist(), c_before.tolist(), c_after.tolist())):
-            near.setdefault(tuple(label), []).append(at)
-        pairs = []
-        for at, *label in zip(t_at.tolist(), t_before.tolist(), t_after.tolist()):
-            calls_at = near.get(tuple(label), ())
-            pairs += [(abs(at - x), at, x) for x in calls_at[bisect_left(calls_at, at - tolerance) : bisect_right(calls_at, at + tolerance)]]
-        pairs.sort()
-        used_t, used_c, out = set(), set(), []
-        if optimal and pairs:
-            rows, cols = sorted({a for _, a, _ in pairs}), sorted({b for _, _, b in pairs})
-            row, col = ({x: i for i, x in enumerate(xs)} for xs in (rows, cols))
-            # distances in parts of the tolerance, as whole numbers; any match is worth more than all of them
-            parts, most = 1 << 20, min(len(rows), len(cols))
-            gains = ((row[a], col[b], (parts + 1) * most + 1 - round(d / tolerance * parts) if tolerance else 1) for d, a, b in pairs)
-            return [(rows[i], cols[k]) for i, k in sorted(matching(gains))]
-        for _, a, b in pairs:
-            if a not in used_t and b not in used_c:
-                used_t.add(a)
-                used_c.add(b)
-                out.append((a, b))
-        return out
-
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [matched(*r) for r in zip(*(pdf[f"_{x}_{c}"] for x in "tc" for c in ("midpoint", "before", "after")))]
+            found = [_matched(*r, tolerance, optimal) for r in zip(*(pdf[f"_{x}_{c}"] for x in "tc" for c in ("midpoint", "before", "after")))]
             out = pdf[keys].copy()
             out["_match"] = [[{"truth": a, "called": b} for a, b in pairs] for pairs in found]
             yield out

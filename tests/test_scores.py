@@ -131,6 +131,18 @@ def test_transition_scores(spark):
     assert (none.n_truth, none.matched, none.f1, none.false_per_morgan) == (0, 0, None, None)
 
 
+def test_transitions_match_once_for_all_tolerances(spark, monkeypatch):
+    """Boundaries meet in one pass, and those that could only match each other need no search."""
+    gathered, searched, whole = [], [], A._gathered
+    monkeypatch.setattr(A, "_gathered", lambda *a: gathered.append(a) or whole(*a))
+    d = spark.createDataFrame([(k, float(x), "ab"[x // 2 % 2]) for k in range(5) for x in range(20)], "k long, pos double, label string")
+    got = A.transition_scores(d, d, ["k"], [0.0, 0.5, 1.0]).collect()
+    assert len(gathered) == 1 and sorted((r.tolerance, r.matched, r.mean_error) for r in got) == [(t, 45, 0.0) for t in (0.0, 0.5, 1.0)]
+    monkeypatch.setattr("strandlake.functions.assignment.matching", lambda pairs: searched.extend(pairs) or set())
+    at, labels = np.arange(4.0), np.array(list("abab"))
+    assert A._matched(at, labels, labels, at + 0.25, labels, labels, 0.5, True) == [(x, x + 0.25) for x in at.tolist()] and not searched
+
+
 def brute_ami(table):
     t = sum(table.values())
     a, b = Counter(), Counter()
