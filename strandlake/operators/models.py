@@ -18,6 +18,8 @@ from .stats import mann_whitney, poisson_weight
 
 #: Neighbours that vote; rows of a block of queries and of a stripe of references that meet in one task.
 NEIGHBOURS, QUERIES, REFERENCES = 5, 4096, 1 << 16
+#: References of a box of space, about; rows that planes are drawn from, about; rough distances that a task holds at once.
+LEAF, SAMPLE, CELLS = 4096, 1 << 16, 1 << 21
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,20 +44,86 @@ def scores(train: DataFrame, test: DataFrame, columns: list[str], label: str, mo
     return out.select(*test.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
+def _leaves(rows: DataFrame, vector: str, leaves: int) -> list[tuple[list, list]]:
+    """(lowest, highest) corner of each box of a k-d tree that covers all of space, its planes at medians of a sample of rows. The planes only deal the work; any would do."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    sample = [r[0] for r in rows.sample(share, seed=0).select(F.col(vector).cast("array<double>")).limit(4 * SAMPLE).collect()] if leaves > 1 else []
+    if not sample:
+        return [([], [])]
+    boxes = [(np.array(sample), np.full(len(sample[0]), -np.inf), np.full(len(sample[0]), np.inf))]
+    while len(boxes) < leaves:
+        halves = []
+        for points, low, high in boxes:
+            at = int(np.argmax(np.ptp(points, axis=0))) if len(points) > 1 else 0
+            plane = float(np.median(points[:, at])) if len(points) > 1 else 0.0
+            below = points[:, at] < plane
+            if not below.any() or below.all():
+                halves.append((points, low, high))
+                continue
+            left, right = high.copy(), low.copy()
+            left[at] = right[at] = plane
+            halves += [(points[below], low, left), (points[~below], right, high)]
+        if len(halves) == len(boxes):  # only copies are left
+            break
+        boxes = halves
+    return [(low.tolist(), high.tolist()) for _, low, high in boxes]
+
+
 def nearest(queries: DataFrame, references: DataFrame, query: str, reference: str, vector: str, k: int, *carried: str) -> DataFrame:
     """query, reference, distance, rank, carried: the k nearest references (Euclidean) of each query, exactly; equal distances by reference.
 
-    Queries are dealt to blocks and references to stripes; each block meets each stripe in
-    one task, which keeps k rows a query at most. Those of all stripes are then ranked.
-    Rows with a null vector are left out; fewer than k references give fewer rows.
+    Space is cut into boxes of about LEAF references. A query's box bounds the distance of
+    its k-th neighbour; it then visits those boxes only that reach within. In a box, queries
+    are dealt to blocks and references to stripes; each block meets each stripe in one task,
+    which keeps k rows a query at most. Those of all are then ranked. Rows with a null
+    vector are left out; fewer than k references give fewer rows. In many dimensions most
+    boxes are visited.
     """
     q, r = (d.filter(F.col(vector).isNotNull()) for d in (queries, references))
     q, r = stored(q.select(query, vector)), stored(r.select(reference, vector, *carried))
-    blocks, stripes = (max(1, -(-d.count() // size)) for d, size in ((q, QUERIES), (r, REFERENCES)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = q.withColumns({"_block": dealt(query, blocks)}).withColumn("_stripe", every(stripes))
-    r = r.withColumns({"_stripe": dealt(reference, stripes)}).withColumn("_block", every(blocks))
+    boxes = _leaves(r, vector, -(-r.count() // LEAF))
+    lows, highs = (np.array([b[i] for b in boxes], float) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def home(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        found = np.zeros(len(x), int)
+        for i in range(len(lows) if lows.shape[1] else 0):
+            found[((x >= lows[i]) & (x < highs[i])).all(1)] = i
+        return pd.Series(found)
+
+    @F.pandas_udf("array<int>")
+    def visited(vectors: pd.Series, own: pd.Series, reach: pd.Series) -> pd.Series:
+        if not lows.shape[1]:
+            return pd.Series([[] for _ in own])
+        x, out = np.stack(vectors.to_numpy()).astype(float), []
+        near = reach.to_numpy(float) * (1 + 1e-9) + 1e-12  # rounding may not lose a neighbour at the same distance
+        for v, box, most in zip(x, own, near):
+            away = np.maximum(np.maximum(lows - v, v - highs), 0)
+            reached = np.flatnonzero((away**2).sum(1) <= (np.inf if np.isnan(most) else most * most))
+            out.append(reached[reached != box].tolist())
+        return pd.Series(out)
+
+    q, r = stored(q.withColumn("_box", home(vector))), stored(r.withColumn("_box", home(vector)))
+    first = stored(_met(q, r, query, reference, vector, k, carried))
+    if len(boxes) > 1:
+        bound = first.groupBy(query).agg(F.count("*").alias("n"), F.max("distance").alias("d"))  # k rows a stripe: the greatest of them bounds the k-th
+        far = q.join(bound, query, "left").withColumn("_box", F.explode(visited(vector, "_box", F.when(F.col("n") >= k, F.col("d")))))
+        first = first.unionByName(_met(stored(far.select(query, vector, "_box")), r, query, reference, vector, k, carried))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", reference))  # k rows a stripe
+    return first.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, reference, "distance", "rank", *carried)
+
+
+def _met(q: DataFrame, r: DataFrame, query: str, reference: str, vector: str, k: int, carried: Sequence[str]) -> DataFrame:
+    """query, reference, carried, distance: the k nearest references of each query in each stripe of its box (_box); a query may be in several boxes."""
+    parts = lambda d, name, size: F.broadcast(d.groupBy("_box").agg(F.ceil(F.count("*") / size).cast("int").alias(name)))
+    sizes = parts(q, "_blocks", QUERIES).join(parts(r, "_stripes", REFERENCES), "_box")
+    sizes = F.broadcast(stored(sizes))  # a row a box
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q, r = q.join(sizes, "_box"), r.join(sizes, "_box")
+    q = q.withColumns({"_block": dealt(query, "_blocks")}).withColumn("_stripe", every("_stripes")).drop("_blocks", "_stripes")
+    r = r.withColumns({"_stripe": dealt(reference, "_stripes")}).withColumn("_block", every("_blocks")).drop("_blocks", "_stripes")
     kinds = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *r.schema.fields)}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (query, reference, *carried)) + ", distance double"
 
@@ -64,22 +132,25 @@ def nearest(queries: DataFrame, references: DataFrame, query: str, reference: st
             return pd.DataFrame({c: [] for c in (query, reference, *carried, "distance")})
         b = b.sort_values(reference, kind="stable")
         x, y = (np.stack(d[vector].to_numpy()).astype(float) for d in (a, b))
-        out, most = [], min(k, len(b))
-        for lo in range(0, len(x), 256):
-            part = x[lo : lo + 256]
-            rough = np.maximum((part**2).sum(1)[:, None] + (y**2).sum(1) - 2 * part @ y.T, 0)
-            edge = np.partition(rough, most - 1, 1)[:, most - 1]
-            slack = 1e-9 * ((part**2).sum(1) + (y**2).sum(1).max() + 1)
-            for i in range(len(part)):
-                near = np.flatnonzero(rough[i] <= edge[i] + slack[i])  # the rough distances may swap neighbours that are all but equal
-                d = np.sqrt(((y[near] - part[i]) ** 2).sum(1))
-                top = np.argsort(d, kind="stable")[:most]
-                out.append(b.iloc[near[top]][[reference, *carried]].assign(**{query: a[query].iloc[lo + i], "distance": d[top]}))
-        return pd.concat(out)[[query, reference, *carried, "distance"]]
-
-    met = q.groupBy("_block", "_stripe").cogroup(r.groupBy("_block", "_stripe")).applyInPandas(run, schema)
-    rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", reference))  # k rows a stripe
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(query, reference, "distance", "rank", *carried)
+        most, step, size = min(k, len(b)), max(1, CELLS // len(b)), (y**2).sum(1)
+        whose, which, how_far = [], [], []
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            own = (part**2).sum(1)
+            rough = np.maximum(own[:, None] + size - 2 * part @ y.T, 0)
+            edge = np.partition(rough, most - 1, 1)[:, most - 1] + 1e-9 * (own + size.max() + 1)
+            i, near = np.nonzero(rough <= edge[:, None])  # the rough distances may swap neighbours that are all but equal
+            d = np.sqrt(((y[near] - part[i]) ** 2).sum(1))
+            order = np.lexsort((near, d, i))  # b stands in order of reference
+            i, near, d = i[order], near[order], d[order]
+            start = np.searchsorted(i, np.arange(len(part)))
+            top = np.arange(len(i)) - start[i] < most
+            whose.append(lo + i[top]), which.append(near[top]), how_far.append(d[top])
+        out = b.iloc[np.concatenate(which)][[reference, *carried]].reset_index(drop=True)
+        out[query] = a[query].to_numpy()[np.concatenate(whose)]
+        return out.assign(distance=np.concatenate(how_far))[[query, reference, *carried, "distance"]]
+
+    return q.groupBy("_box", "_block", "_stripe").cogroup(r.groupBy("_box", "_block", "_stripe")).applyInPandas(run, schema)
 
 
 def class_metrics(scored: DataFrame, label: str, keys: list[str]) -> DataFrame:
