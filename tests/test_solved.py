@@ -97,6 +97,23 @@ def test_adjusted_kinship_equals_numpy(spark):
     assert all(abs(v - top[a, b] / (4 * low[a, b])) < 1e-8 for (a, b), v in got.items())
 
 
+def test_adjusted_kinship_shuffles_people_not_pairs(spark, monkeypatch):
+    """Whom a person meets at a site goes to the person as one row; long lists are cut, with the same values."""
+    rng = np.random.default_rng(4)
+    g = spark.createDataFrame([(i, 1, j, float(rng.integers(0, 3)) / 2) for i in range(12) for j in range(9) if rng.random() < 0.8], "sample_id long, chrom long, pos long, dosage double").cache()
+    pc = spark.createDataFrame([(i, i % 5 / 5) for i in range(12)], "sample_id long, pc1 double")
+    got = []
+    for listed, meetings in ((256, 1 << 19), (4, 50)):
+        monkeypatch.setattr(evaluation, "LISTED", listed)
+        monkeypatch.setattr(evaluation, "MEETINGS", meetings)
+        d = evaluation.pc_relate(g, pc, ["pc1"])
+        got.append({(r.sample_a, r.sample_b): (r.kinship, r.n_sites) for r in d.collect()})
+        exchanges = [x for x in d._jdf.queryExecution().sparkPlan().toString().splitlines() + d._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+        assert exchanges and not any("sample_b" in x for x in exchanges)
+    assert len(got[0]) == 66 and got[0].keys() == got[1].keys()
+    assert all(abs(got[0][p][0] - got[1][p][0]) < 1e-12 and got[0][p][1] == got[1][p][1] for p in got[0])
+
+
 def test_targets_are_the_sampled_pairs(spark):
     """Of each stratum no more than asked for, and only pairs that share elsewhere or nowhere as said."""
     from strandlake import registry
