@@ -243,19 +243,20 @@ def permute_carriers(carriers: DataFrame, missing: DataFrame, rounds: int, seed:
     small, swaps = broadcast_if_small(sizes), None
     for turn in range(rounds):
         h = F.xxhash64(*cell, F.lit(seed), F.lit(turn))
-        d = have.join(small, group).withColumn("_h", h).withColumn("_cell", F.pmod("_h", F.greatest(F.lit(1), F.floor(F.col("n") / 2))))
-        two = d.groupBy(*group, "_cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", *cell))), 1, 2).alias("e")).filter(F.size("e") == 2)  # few share a cell
+        d = have.join(small, group).withColumn("_cell", F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("n") / 2)))).select(*group, "_cell", *cell)
+        hashed = lambda x: F.struct(F.xxhash64(*[x[c] for c in cell], F.lit(seed), F.lit(turn)).alias("_h"), *[x[c].alias(c) for c in cell])  # noqa: B023,E731  taken behind the shuffle
+        two = d.groupBy(*group, "_cell").agg(F.slice(F.array_sort(F.transform(F.collect_list(F.struct(*cell)), hashed)), 1, 2).alias("e")).filter(F.size("e") == 2)  # few share a cell
         x, y = F.get("e", F.lit(0)), F.get("e", F.lit(1))
         c = two.select(*group, "_cell", x["sample_id"].alias("s1"), x["event"].alias("e1"), y["sample_id"].alias("s2"), y["event"].alias("e2")).filter("s1 <> s2 and e1 <> e2")
+        c = stored(c)  # read three times, shuffled once
         made = c.select(*group, "_cell", F.explode(F.array(F.struct(F.col("s1").alias("sample_id"), F.col("e2").alias("event")), F.struct(F.col("s2").alias("sample_id"), F.col("e1").alias("event")))).alias("x")).select(*group, "_cell", "x.*")
-        made = stored(made)
-        twice = made.groupBy(*cell).agg(F.count("*").alias("k")).filter("k > 1").select(*cell)
-        bad = made.join(have.select(*cell).unionByName(closed).unionByName(twice).distinct(), cell, "left_semi").select(*group, "_cell").distinct()
+        twice = made.withColumn("_k", F.count("*").over(Window.partitionBy(*cell))).filter("_k > 1")
+        bad = made.join(have.select(*cell).unionByName(closed), cell, "left_semi").unionByName(twice.drop("_k")).select(*group, "_cell").distinct()
         good = stored(c.join(bad, [*group, "_cell"], "left_anti"))
         gone = good.select(F.col("s1").alias("sample_id"), F.col("e1").alias("event")).unionByName(good.select(F.col("s2").alias("sample_id"), F.col("e2").alias("event")))
         come = made.join(good.select(*group, "_cell"), [*group, "_cell"], "left_semi").select(*cell, *group)
         old, have = have, stored(have.join(gone, cell, "left_anti").unionByName(come))
-        release(made, *([old] if turn else []))
+        release(c, *([old] if turn else []))
         n = good.groupBy(*group).agg(F.count("*").alias("swaps"))
         swaps = n if swaps is None else swaps.unionByName(n)
     moved = have.join(first.select(*cell), cell, "left_anti").groupBy(*group).agg(F.count("*").alias("moved"))

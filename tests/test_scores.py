@@ -131,6 +131,22 @@ def test_transition_scores(spark):
     assert (none.n_truth, none.matched, none.f1, none.false_per_morgan) == (0, 0, None, None)
 
 
+def test_permutation_pairs_carriers_once_a_round(spark, monkeypatch):
+    """What a round pairs is stored before both its uses, not made again for each."""
+    from strandlake.operators import models as M
+
+    rng = random.Random(9)
+    cells = sorted({(rng.randrange(20), f"e{rng.randrange(15)}") for _ in range(120)})
+    c = spark.createDataFrame([(s, e, 1, s % 2) for s, e in cells], "sample_id long, event string, dosage long, stratum long")
+    kept, whole = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda d: kept.append(d.columns) or whole(d))
+    after, mixing = M.permute_carriers(c, c.limit(0).select("sample_id", "event"), 2)
+    got = [(r.sample_id, r.event) for r in after.collect()]
+    assert sum("s1" in columns for columns in kept) == 4 and not any("_k" in columns for columns in kept)
+    assert len(set(got)) == len(cells) and Counter(s for s, _ in got) == Counter(s for s, _ in cells) and Counter(e for _, e in got) == Counter(e for _, e in cells)
+    assert sum(r.moved for r in mixing.collect()) == len(set(got) - set(cells)) > 0
+
+
 def test_transitions_match_once_for_all_tolerances(spark, monkeypatch):
     """Boundaries meet in one pass, and those that could only match each other need no search."""
     gathered, searched, whole = [], [], A._gathered
