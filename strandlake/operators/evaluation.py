@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions.assignment import matching
+from ..plans.joins import broadcast_if_small
 from ..plans.lineage import cut, stored
 from . import graph
 from .intervals import overlap_join, point_in_interval, total, union
@@ -16,6 +17,8 @@ from .stats import value_ranks
 
 #: People of a site that travel in one row, about.
 LISTED = 256
+#: Parts of segments (a row for each person and bucket) that go to all tasks.
+FEW_SEGMENTS = 200_000
 
 
 def assign_overlaps(truth: DataFrame, calls: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -76,12 +79,18 @@ def config_diagnostics(segments: DataFrame, config: str) -> DataFrame:
 
 
 def segment_evidence(segments: DataFrame, genotypes: DataFrame, size: int) -> DataFrame:
-    """For each segment (seg, sample_a, sample_b, chrom, lo, hi): sites where both, either (called in both) carry, sites called in both, longest gap of shared ones."""
-    g = genotypes.select("sample_id", "chrom", "pos", "dosage")
-    a = g.select(F.col("sample_id").alias("sample_a"), "chrom", "pos", F.col("dosage").alias("x"))
-    s = segments.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
-    j = s.join(a.withColumn("_b", F.floor(F.col("pos") / size)), ["sample_a", "chrom", "_b"]).filter("pos between lo and hi")
-    j = j.join(g.select(F.col("sample_id").alias("sample_b"), "chrom", "pos", F.col("dosage").alias("y")), ["sample_b", "chrom", "pos"])
+    """For each segment (seg, sample_a, sample_b, chrom, lo, hi): sites where both, either (called in both) carry, sites called in both, longest gap of shared ones.
+
+    Both people's cells are found by one join, before which few segments are broadcast, and
+    meet by segment. Where a cell repeats, its largest dosage counts.
+    """
+    sides = F.explode(F.array(*[F.struct(F.col(c).alias("sample_id"), F.lit(k).alias("_side")) for k, c in enumerate(PAIR)])).alias("_s")
+    s = segments.select("seg", *PAIR, "chrom", "lo", "hi", sides).select("*", "_s.*").drop("_s")
+    s = stored(s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))))
+    g = genotypes.select("sample_id", "chrom", "pos", "dosage", F.floor(F.col("pos") / size).alias("_b"))
+    j = g.join(broadcast_if_small(s, FEW_SEGMENTS), ["sample_id", "chrom", "_b"]).filter("pos between lo and hi").select("seg", *PAIR, "chrom", "pos", "_side", "dosage").repartition("seg")
+    of = lambda k: F.max(F.when(F.col("_side") == k, F.col("dosage")))
+    j = j.groupBy("seg", *PAIR, "chrom", "pos").agg(of(0).alias("x"), of(1).alias("y"), (F.max("_side") - F.min("_side")).alias("_two")).filter("_two = 1")
     both = (F.col("x") > 0) & (F.col("y") > 0)
     called = F.col("x").isNotNull() & F.col("y").isNotNull()
     last = F.max(F.when(both, F.col("pos"))).over(Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))

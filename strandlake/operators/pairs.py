@@ -30,6 +30,20 @@ def shared_pairs(carriers: DataFrame, min_shared: int = 1) -> DataFrame:
     return out
 
 
+def segment_carriers(carriers: DataFrame, max_gap: int, min_sites: int, min_length: int = 0) -> DataFrame:
+    """carriers where a pair's segment can be: in a person's own run, over gaps up to max_gap, of enough sites and length. A person's site that repeats counts once.
+
+    Sites that follow each other in a pair's chain are in one run of either person, so no
+    segment is lost or cut, and only what is kept meets other people.
+    """
+    w = Window.partitionBy("sample_id", "chrom").orderBy("pos")
+    d = carriers.select("sample_id", *SITE).withColumn("_step", F.col("pos") - F.lag("pos").over(w)).filter("_step is null or _step > 0")
+    d = d.withColumn("_run", F.count_if(F.col("_step") > max_gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("sample_id", "chrom", "_run")
+    d = d.withColumns({"_n": F.count("*").over(run), "_length": F.max("pos").over(run) - F.min("pos").over(run) + 1})
+    return d.filter((F.col("_n") >= min_sites) & (F.col("_length") >= min_length)).select("sample_id", *SITE)
+
+
 def chains(shared: DataFrame, max_gap: int, keys: list[str], min_length: int = 0, min_sites: int = 1) -> DataFrame:
     """Maximal runs of positions with gaps up to max_gap: start_pos, end_pos, length_bp (inclusive), n_shared_variants."""
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -43,9 +57,10 @@ def chains(shared: DataFrame, max_gap: int, keys: list[str], min_length: int = 0
 def pair_segments(carriers: DataFrame, max_gap: int, min_sites: int, min_length: int = 0) -> DataFrame:
     """Segments that pairs share; jaccard is the constant 1.0 of this format.
 
-    Pairs with fewer sites than a segment needs fall with their chains: a pair's positions are shuffled once.
+    Pairs with fewer sites than a segment needs fall with their chains: a pair's positions are
+    shuffled once, and only those in runs of both people.
     """
-    found = chains(shared_pairs(carriers), max_gap, [*PAIR, "chrom"], min_length, min_sites)
+    found = chains(shared_pairs(segment_carriers(carriers, max_gap, min_sites, min_length)), max_gap, [*PAIR, "chrom"], min_length, min_sites)
     return found.withColumn("jaccard", F.lit(1.0))
 
 

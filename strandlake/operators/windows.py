@@ -9,7 +9,7 @@ from ..plans.joins import broadcast_if_small
 from ..plans.lineage import cut
 from .axis import SIZE, with_before, with_island, with_neighbours, with_ordinal
 from .intervals import interpolate
-from .pairs import PAIR, chains, shared_pairs
+from .pairs import PAIR, chains, segment_carriers, shared_pairs
 
 
 def sharing_windows(carriers: DataFrame, size: int, step: int, top: int) -> DataFrame:
@@ -191,7 +191,8 @@ def sweep_classes(carriers: DataFrame, gaps: list[int], lengths: list[int], site
     spark = carriers.sparkSession
     aliases = spark.createDataFrame([(*x, max(x[2:])) for x in grid], "max_gap long, min_length long, min_sites long, geometric_sites long, effective_sites long")
     classes = aliases.select("max_gap", "min_length", "effective_sites").distinct()
-    shared, made = cut(shared_pairs(carriers, min(max(x[2:]) for x in grid))), None
+    least = min(max(x[2:]) for x in grid)
+    shared, made = cut(shared_pairs(segment_carriers(carriers, max(gaps), least, min(lengths)), least)), None
     for gap in sorted(set(gaps)):
         part = chains(shared, gap, [*PAIR, "chrom"]).withColumn("max_gap", F.lit(gap).cast("long"))
         made = part if made is None else made.unionByName(part)
@@ -204,7 +205,7 @@ def sweep_classes(carriers: DataFrame, gaps: list[int], lengths: list[int], site
 def segment_sweep(carriers: DataFrame, gaps: list[int], lengths: list[int], sites: list[int]) -> DataFrame:
     """n_segments, n_pairs, total_bp of every configuration; chains are made once a gap."""
     spark = carriers.sparkSession
-    shared, made = cut(shared_pairs(carriers, min(sites))), None
+    shared, made = cut(shared_pairs(segment_carriers(carriers, max(gaps), min(sites), min(lengths)), min(sites))), None
     for gap in gaps:
         part = chains(shared, gap, [*PAIR, "chrom"]).withColumn("max_gap", F.lit(gap).cast("long"))
         made = part if made is None else made.unionByName(part)

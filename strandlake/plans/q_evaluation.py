@@ -8,6 +8,7 @@ from ..operators import evaluation as E
 
 from ..operators import summaries as S
 from . import domain as D
+from .lineage import stored
 from .q_ancestry import KIN, kin
 from .q_graph import LABELS, labels, nodes
 from .q_pairs import segments, summary
@@ -64,8 +65,9 @@ j AS (SELECT seg, sample_a, sample_b, g.chrom, a.pos, a.dosage AS x, b.dosage AS
 l AS (SELECT *, max(CASE WHEN x > 0 AND y > 0 THEN pos END) OVER (PARTITION BY seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM j)
 SELECT seg, sample_a, sample_b, chrom, count(*) FILTER (WHERE x > 0 AND y > 0) AS n_both, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND (x > 0 OR y > 0)) AS n_either, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_called, max(CASE WHEN x > 0 AND y > 0 THEN pos - p END) AS max_gap FROM l GROUP BY ALL""")
 def segment_evidence(s, d):
-    seg = segments(s, d).select(F.concat_ws("-", "sample_a", "sample_b", "chrom", "start_pos").alias("seg"), "sample_a", "sample_b", "chrom", F.col("start_pos").alias("lo"), F.col("end_pos").alias("hi"))
-    return E.segment_evidence(seg, D.genotypes(s, d), 50_000)
+    g = stored(D.genotypes(s, d))  # read for the segments and for their evidence, made once
+    seg = segments(s, d, g).select(F.concat_ws("-", "sample_a", "sample_b", "chrom", "start_pos").alias("seg"), "sample_a", "sample_b", "chrom", F.col("start_pos").alias("lo"), F.col("end_pos").alias("hi"))
+    return E.segment_evidence(seg, g, 50_000)
 
 
 KNOWN = LABELS + ", lk AS (SELECT * FROM lab WHERE community IS NOT NULL)"

@@ -20,12 +20,12 @@ def query(sql: str | None):
     return add
 
 
-def carriers(s, d):
-    return D.genotypes(s, d).filter("dosage > 0").select("sample_id", "chrom", "pos")
+def carriers(s, d, g=None):
+    return (D.genotypes(s, d) if g is None else g).filter("dosage > 0").select("sample_id", "chrom", "pos")
 
 
-def segments(s, d):
-    return P.pair_segments(carriers(s, d), D.MAX_GAP, D.MIN_SITES)
+def segments(s, d, g=None):
+    return P.pair_segments(carriers(s, d, g), D.MAX_GAP, D.MIN_SITES)
 
 
 def summary(s, d):

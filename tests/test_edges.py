@@ -237,3 +237,76 @@ def test_king_parts_grow_with_meetings(spark, monkeypatch):
             c = [((a * p) % 3, (b * p) % 3) for p in range(1, 9)]
             want.append((a, b, sum(x == y == 1 for x, y in c), sum(abs(x - y) == 2 for x, y in c), sum(x == 1 for x, _ in c), sum(y == 1 for _, y in c), 8))
     assert rows(out, "sample_a", "sample_b", "n_het_het", "n_ibs0", "n_het_a", "n_het_b", "n_called") == want
+
+
+def test_only_sites_in_runs_of_both_people_meet(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    from strandlake.operators import windows
+
+    def runs(positions, gap):
+        out = []
+        for p in sorted(positions):
+            if out and p - out[-1][-1] <= gap:
+                out[-1].append(p)
+            else:
+                out.append([p])
+        return out
+
+    rng = random.Random(5)
+    held = {(s, c): set(rng.sample(range(400), 30)) for s in range(1, 9) for c in (1, 2)}
+    held |= {(9, 1): {p for p in range(400) if p % 30 == 0}, (10, 1): {p for p in range(400) if p % 30 == 0}}  # nothing within 10
+    rows_of = [(s, c, p) for (s, c), v in held.items() for p in v]
+    d = spark.createDataFrame(rows_of + rows_of[:40] + [(1, 1, None), (None, 1, 7), (None, 1, 9)], "sample_id long, chrom long, pos long")
+    met, chains = [], pairs.chains
+
+    def seen(shared, *args, **kwargs):
+        met.append(rows(shared, "sample_a", "sample_b", "chrom", "pos"))
+        return chains(shared, *args, **kwargs)
+
+    monkeypatch.setattr(pairs, "chains", seen)
+    for gap, least, length in ((10, 2, 0), (25, 3, 0), (25, 2, 40), (8, 1, 0)):
+        want = []
+        for a, b in combinations(range(1, 11), 2):
+            for c in (1, 2):
+                for r in runs(held.get((a, c), set()) & held.get((b, c), set()), gap):
+                    if len(r) >= least and r[-1] - r[0] + 1 >= length:
+                        want.append((a, b, c, r[0], r[-1], len(r)))
+        got = pairs.pair_segments(d, gap, least, length)
+        assert rows(got, "sample_a", "sample_b", "chrom", "start_pos", "end_pos", "n_shared_variants") == sorted(want)
+    kept = {(s, c, p) for (s, c), v in held.items() for r in runs(v, 10) if len(r) >= 2 for p in r}
+    every = [(a, b, c, p) for a, b in combinations(range(1, 11), 2) for c in (1, 2) for p in held.get((a, c), set()) & held.get((b, c), set())]
+    assert met[0] == sorted(x for x in every if (x[0], *x[2:]) in kept and (x[1], *x[2:]) in kept) and len(met[0]) < len(every)
+    # a sweep pairs what the widest gap of its grid lets meet
+    full, paired = {}, []
+    for name, f in (("sweep", lambda: windows.segment_sweep(d, [5, 10], [1, 12], [2, 3])), ("classes", lambda: windows.sweep_classes(d, [5, 10], [1, 12], [2, 3])[0])):
+        monkeypatch.setattr(windows, "cut", lambda x: paired.append(x.count()) or x)
+        full[name] = {(r.max_gap, r.min_length, r[2]): (r.n_segments, r.n_pairs, r.total_bp) for r in f().collect()}
+    for (gap, length, least), found in (full["sweep"] | full["classes"]).items():
+        hit = [(a, b, r) for a, b in combinations(range(1, 11), 2) for c in (1, 2) for r in runs(held.get((a, c), set()) & held.get((b, c), set()), gap) if len(r) >= least and r[-1] - r[0] + 1 >= length]
+        assert found == (len(hit), len({x[:2] for x in hit}), sum(r[-1] - r[0] + 1 for _, _, r in hit))
+    alone = spark.createDataFrame([(s, 1, p) for s in range(6) for p in range(0, 400, 20)], "sample_id long, chrom long, pos long")
+    paired.clear()
+    assert {r.n_segments for r in windows.segment_sweep(alone, [5, 10], [1], [2]).collect()} == {0} and paired == [0]
+
+
+def test_evidence_of_few_segments_shuffles_no_genotypes(spark, monkeypatch):
+    from strandlake.operators import evaluation
+
+    got = {(s, 1, p): (s * p + p // 7) % 4 for s in (1, 2, 3) for p in range(0, 200, 3) if (s + p) % 5}
+    g = spark.createDataFrame([(*k, None if v == 3 else v) for k, v in got.items()], "sample_id long, chrom long, pos long, dosage long")
+    seg = [("x", 1, 2, 1, 9, 131), ("y", 1, 3, 1, 60, 60), ("z", 2, 3, 1, 0, 198), ("none", 1, 2, 1, 500, 700), ("other", 1, 2, 2, 0, 198)]
+    s = spark.createDataFrame(seg, "seg string, sample_a long, sample_b long, chrom long, lo long, hi long")
+    want = []
+    for name, a, b, c, lo, hi in seg:
+        cells = [(p, got[a, c, p], got[b, c, p]) for p in range(lo, hi + 1) if (a, c, p) in got and (b, c, p) in got]
+        both = [p for p, x, y in cells if x in (1, 2) and y in (1, 2)]
+        called = [(x, y) for _, x, y in cells if x != 3 and y != 3]
+        if cells:
+            want.append((name, len(both), sum(x > 0 or y > 0 for x, y in called), len(called), max((q - p for p, q in zip(both, both[1:])), default=None)))
+    few = evaluation.segment_evidence(s, g, 50)
+    assert rows(few, "seg", "n_both", "n_either", "n_called", "max_gap") == sorted(want)
+    assert _exchanges_of(few, "sample_") == 0
+    monkeypatch.setattr(evaluation, "FEW_SEGMENTS", 0)
+    assert rows(evaluation.segment_evidence(s, g, 50), "seg", "n_both", "n_either", "n_called", "max_gap") == sorted(want)
