@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..plans.lineage import stored
 
 SITE = ["chrom", "pos"]
 PAIR = ["sample_a", "sample_b"]
-#: Meetings of two people at a site that one task counts by pair.
-MEETINGS = 1 << 19
+#: Meetings of two people at a site that one task counts by pair; people of a site that one list names, about.
+MEETINGS, LISTED = 1 << 19, 256
 
 
 def shared_pairs(carriers: DataFrame, min_shared: int = 1) -> DataFrame:
@@ -90,6 +91,35 @@ def weighted_pairs(segments: DataFrame, weight: str, a: str, b: str) -> DataFram
     return d.groupBy(*PAIR).agg(F.sum(weight).alias("total"), F.count("*").alias("n"), F.max(weight).alias("longest"))
 
 
+def meetings(cells: DataFrame, values: list[str], listed: int, each: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """sample_a, sample_b, `by` and the values of both (as v_a and v_b) for each site where two people meet, dealt by sample_a.
+
+    cells: a stored table of sample_id, chrom, pos and the values, a row a person and site.
+    `by` are columns of the site. Whom a person meets at a site travels as one row of lists,
+    whole numbers in the narrowest type that holds them all. Lists of `listed` people cut
+    long ones, and parts are as many as `each` meetings ask for.
+    """
+    columns, cells = ["sample_id", *values], cells.filter("chrom is not null and pos is not null")
+    whole = [c for c in columns if isinstance(cells.schema[c].dataType, IntegralType)]
+    n = cells.groupBy(*SITE).agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in whole for f in (F.min, F.max)])
+    met = n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("all"), F.max("n").alias("most"), *[f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for c in whole for f in (F.min, F.max)]).first().asDict()
+    kind = {c: cells.schema[c].dataType.simpleString() for c in columns}
+    small = kind | {c: next((t for t, bits in (("byte", 7), ("short", 15), ("int", 31)) if -(1 << bits) <= met[f"min_{c}"] and met[f"max_{c}"] < 1 << bits), kind[c]) for c in whole if met[f"max_{c}"] is not None}
+    lists, parts = (max(1, -(-int(met[k] or 0) // size)) for k, size in (("most", listed), ("all", each)))
+    named = F.array_sort(F.collect_list(F.struct(*columns))).alias("_l")
+    if lists == 1:  # a site's people are one list, in which each meets those behind
+        j = cells.groupBy(*SITE).agg(named).select(*SITE, "_l", F.posexplode("_l").alias("_i", "_a"))
+        j = j.select(*by, "_a.*", F.slice("_l", F.col("_i") + 2, F.size("_l")).alias("_l"))
+    else:
+        b = cells.groupBy(*SITE, F.pmod(F.xxhash64("sample_id"), F.lit(lists)).alias("_list")).agg(named)
+        j = cells.join(b, SITE)
+    j = j.withColumn("_l", F.filter("_l", lambda x: x["sample_id"] > F.col("sample_id")))
+    to = lambda c: F.transform("_l", lambda x: x[c].cast(small[c])).alias(f"{c}_b")
+    j = j.filter(F.size("_l") > 0).select(*by, F.col("sample_id").alias("sample_a"), *[F.col(c).cast(small[c]).alias(f"{c}_a") for c in values], *[to(c) for c in columns]).repartition(parts, "sample_a")
+    j = j.select(*by, "sample_a", *[f"{c}_a" for c in values], F.posexplode("sample_id_b").alias("_i", "sample_b"), *[F.col(f"{c}_b").alias(f"_{c}") for c in values])
+    return j.select("sample_a", F.col("sample_b").cast(kind["sample_id"]).alias("sample_b"), *by, *[x.cast(kind[c]).alias(f"{c}_{k}") for c in values for k, x in (("a", F.col(f"{c}_a")), ("b", F.get(f"_{c}", "_i")))])
+
+
 def pair_evidence(genotypes: DataFrame) -> DataFrame:
     """Joint-call evidence of all pairs with a site that both carry or that one or both miss.
 
@@ -98,17 +128,14 @@ def pair_evidence(genotypes: DataFrame) -> DataFrame:
     called without the allele. Pairs meet at stored sites only; the rest follows from each
     person's own counts and the number of sites.
     """
-    sites = genotypes.select(*SITE).distinct().agg(F.count("*").alias("sites"))
-    own = genotypes.groupBy("sample_id").agg(F.count_if(F.col("dosage") > 0).alias("c"), F.count_if(F.col("dosage").isNull()).alias("m"))
-    g = genotypes.filter("dosage is null or dosage > 0").join(own, "sample_id")
-    a, b = (g.select(F.col("sample_id").alias(f"sample_{x}"), *SITE, F.col("dosage").alias(v), F.col("c").alias(f"c_{x}"), F.col("m").alias(f"m_{x}")) for x, v in (("a", "x"), ("b", "y")))
-    # what a pair's site says and both people's own counts (below 2^31, in one number) travel with the pair, which is shuffled once
-    blank = F.col("x").isNull().cast("long") + F.col("y").isNull().cast("long")
-    own_counts = F.shiftleft(F.col("m_a") + F.col("m_b"), 32) + F.col("c_a") + F.col("c_b")
-    d = a.join(b, SITE).filter("sample_a < sample_b").select(*PAIR, blank.alias("_blank"), own_counts.alias("_own")).repartition(*PAIR)
-    d = d.groupBy(*PAIR).agg(*[F.count_if(F.col("_blank") == k).alias(n) for k, n in enumerate(("n_both", "n_lost", "n_blank"))], F.max("_own").alias("_own")).crossJoin(F.broadcast(sites))
-    c, m = F.col("_own").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright("_own", 32)
-    return d.select(*PAIR, "n_both", (c - F.col("n_lost") - F.col("n_both")).alias("n_either"), (F.col("sites") - m + F.col("n_blank")).alias("n_called"))
+    g, w = stored(genotypes), Window.partitionBy("sample_id")
+    sites = g.select(*SITE).distinct().agg(F.count("*").alias("sites"))
+    g = g.withColumns({"c": F.count_if(F.col("dosage") > 0).over(w), "m": F.count_if(F.col("dosage").isNull()).over(w), "blank": F.col("dosage").isNull().cast("int")})
+    g = stored(g.filter("dosage is null or dosage > 0").select("sample_id", *SITE, "blank", "c", "m"))
+    d = meetings(g, ["blank", "c", "m"], LISTED, MEETINGS)
+    blank = F.col("blank_a") + F.col("blank_b")
+    d = d.groupBy(*PAIR).agg(*[F.count_if(blank == k).alias(n) for k, n in enumerate(("n_both", "n_lost", "n_blank"))], *[F.max(F.col(f"{c}_a") + F.col(f"{c}_b")).alias(f"_{c}") for c in "cm"]).crossJoin(F.broadcast(sites))
+    return d.select(*PAIR, "n_both", (F.col("_c") - F.col("n_lost") - F.col("n_both")).alias("n_either"), (F.col("sites") - F.col("_m") + F.col("n_blank")).alias("n_called"))
 
 
 def masked_jaccard(evidence: DataFrame) -> DataFrame:
@@ -147,12 +174,7 @@ def king_robust(genotypes: DataFrame) -> DataFrame:
     (het-het - 2 * opposite homozygotes) / (het_a + het_b), over sites called in both.
     """
     g = stored(genotypes.filter("dosage is not null").select("sample_id", *SITE, "dosage"))
-    a = g.select(F.col("sample_id").alias("sample_a"), *SITE, F.col("dosage").alias("x"))
-    b = g.select(F.col("sample_id").alias("sample_b"), *SITE, F.col("dosage").alias("y"))
-    # most pairs meet at few sites: one byte a site goes to the pair, without tables of counts before the shuffle, and parts are as many as the meetings ask for
-    meetings = g.groupBy(*SITE).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    j = a.join(b, SITE).filter("sample_a < sample_b").select(*PAIR, (4 * F.col("x") + F.col("y")).cast("byte").alias("_xy")).repartition(max(1, -(-int(meetings) // MEETINGS)), *PAIR)
-    x, y = F.shiftright("_xy", 2), F.col("_xy").bitwiseAND(F.lit(3).cast("byte"))
+    j, x, y = meetings(g, ["dosage"], LISTED, MEETINGS), F.col("dosage_a"), F.col("dosage_b")
     d = j.groupBy(*PAIR).agg(
         F.count_if((x == 1) & (y == 1)).alias("n_het_het"), F.count_if(F.abs(x - y) == 2).alias("n_ibs0"),
         F.count_if(x == 1).alias("n_het_a"), F.count_if(y == 1).alias("n_het_b"), F.count("*").alias("n_called"),

@@ -12,7 +12,7 @@ from ..operators import summaries as S
 from ..operators import windows as W
 from . import domain as D
 from .q_graph import LABELS, labels, nodes
-from .lineage import cut
+from .lineage import cut, stored
 from .q_intervals import genetic_map
 from .q_pairs import COMP, PANEL, carriers, people, summary
 from .q_stats import CUST, customers
@@ -134,9 +134,9 @@ def pair_bounds(s, d):
 @query(f"""WITH {D.GENO}, p AS (SELECT a.sample_id AS a, b.sample_id AS b, a.chrom, count(*)::DOUBLE AS n, avg(a.dosage * b.dosage) AS k FROM geno a JOIN geno b ON a.chrom = b.chrom AND a.pos = b.pos AND a.sample_id < b.sample_id AND a.dosage IS NOT NULL AND b.dosage IS NOT NULL GROUP BY ALL)
 SELECT a, b, sum(n) AS n, round(sum(n * k) / sum(n), 9) AS k FROM p GROUP BY a, b""")
 def merged_relationship(s, d):
-    g = D.genotypes(s, d).filter("dosage is not null")
-    x, y = (g.select(F.col("sample_id").alias(e), "chrom", "pos", F.col("dosage").alias(f"d{e}")) for e in "ab")
-    parts = x.join(y, ["chrom", "pos"]).filter("a < b").select("a", "b", "chrom", "da", "db").repartition("a", "b").groupBy("a", "b", "chrom").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("da") * F.col("db")).alias("k"))
+    g = stored(D.genotypes(s, d).filter("dosage is not null"))
+    met = P.meetings(g, ["dosage"], P.LISTED, P.MEETINGS, ("chrom",)).withColumnsRenamed({"sample_a": "a", "sample_b": "b"})
+    parts = met.groupBy("a", "b", "chrom").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("dosage_a") * F.col("dosage_b")).alias("k"))
     return C.merged_relationship(parts).withColumn("k", F.round("k", 9))
 
 

@@ -239,6 +239,36 @@ def test_king_parts_grow_with_meetings(spark, monkeypatch):
     assert rows(out, "sample_a", "sample_b", "n_het_het", "n_ibs0", "n_het_a", "n_het_b", "n_called") == want
 
 
+def test_whom_a_person_meets_travels_as_lists(spark, monkeypatch):
+    """Pairs are dealt by one person, with the same counts for long lists, wide ids and people of one part."""
+    from strandlake.plans import q_contrasts
+
+    dosage = {(s, p): None if (s + p) % 5 == 0 else (s * p) % 3 for s in range(1, 9) for p in range(1, 7) if (s * p) % 7}
+    for shift, listed, each in ((0, 256, 1 << 19), (1 << 40, 256, 20), (-4, 3, 7)):
+        monkeypatch.setattr(pairs, "LISTED", listed)
+        monkeypatch.setattr(pairs, "MEETINGS", each)
+        g = spark.createDataFrame([(s + shift, 1 + p % 2, p, x) for (s, p), x in dosage.items()] + [(9 + shift, 1, None, 1), (10 + shift, 1, None, 1)], "sample_id long, chrom long, pos long, dosage long")
+        monkeypatch.setattr(q_contrasts.D, "genotypes", lambda *_: g)
+        evidence, king, merged = [], [], []
+        for a in range(1, 9):
+            for b in range(a + 1, 9):
+                both = [(dosage[a, p], dosage[b, p]) for p in range(1, 7) if (a, p) in dosage and (b, p) in dosage]
+                called = [(x, y) for x, y in both if x is not None and y is not None]
+                pair = (a + shift, b + shift)
+                if called:
+                    king.append((*pair, sum(x == y == 1 for x, y in called), sum(abs(x - y) == 2 for x, y in called), len(called)))
+                    merged.append((*pair, float(len(called)), round(sum(x * y for x, y in called) / len(called), 9)))
+                if any((x is None or x > 0) and (y is None or y > 0) for x, y in both):
+                    own = [sum((k, p) in dosage and bool(dosage[k, p]) for p in range(1, 7)) for k in (a, b)]
+                    n_both, lost = sum(bool(x and y) for x, y in both), sum(x is None and bool(y) or y is None and bool(x) for x, y in both)
+                    evidence.append((*pair, n_both, sum(own) - lost - n_both))
+        found = pairs.king_robust(g), pairs.pair_evidence(g), q_contrasts.merged_relationship(spark, "")
+        assert rows(found[0], "sample_a", "sample_b", "n_het_het", "n_ibs0", "n_called") == king
+        assert rows(found[1], "sample_a", "sample_b", "n_both", "n_either") == evidence
+        assert rows(found[2], "a", "b", "n", "k") == merged
+        assert not any("Exchange" in line and ("sample_b" in line or "(a#" in line or " b#" in line) for d in found for line in d._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
 def test_only_sites_in_runs_of_both_people_meet(spark, monkeypatch):
     import random
     from itertools import combinations
